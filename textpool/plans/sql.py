@@ -91,3 +91,28 @@ def merge_overrides(base: str, hard: str) -> str:
 def remove_leakage(train: str, val: str) -> str:
     return (f"SELECT Sentence, Polarity FROM ({train}) t WHERE {norm('t.Sentence')} NOT IN "
             f"(SELECT {norm('Sentence')} FROM ({val}))")
+
+
+def shape_logits(text: str) -> str:
+    """SQL twin of ShapeScorer."""
+    return (f"CAST(0.002 AS DOUBLE) * length({text}) AS l0, "
+            f"CAST(0.5 AS DOUBLE) * (length({text}) - length(replace({text}, chr(10), '')) + 1) AS l1, "
+            f"CAST(0.8 AS DOUBLE) * (length({text}) - length(replace({text}, ',', ''))) AS l2")
+
+
+def scored(src: str, fallback: bool = True, threshold: float = 0.70) -> str:
+    """src has l0, l1, l2 (+ passthrough cols) → adds p0..p2, raw_id, confidence, pred_id, fallback_applied."""
+    pred = (f"CASE WHEN confidence < CAST({threshold} AS DOUBLE) THEN 1 ELSE raw_id END" if fallback else "raw_id")
+    return (
+        "SELECT *, CAST(" + pred + " AS INTEGER) AS pred_id, (" + pred + ") <> raw_id AS fallback_applied FROM ("
+        "SELECT *, CAST(CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS INTEGER) AS raw_id, "
+        "greatest(p0, p1, p2) AS confidence FROM ("
+        "SELECT *, exp(l0 - _m) / (exp(l0 - _m) + exp(l1 - _m) + exp(l2 - _m)) AS p0, "
+        "exp(l1 - _m) / (exp(l0 - _m) + exp(l1 - _m) + exp(l2 - _m)) AS p1, "
+        "exp(l2 - _m) / (exp(l0 - _m) + exp(l1 - _m) + exp(l2 - _m)) AS p2 FROM ("
+        f"SELECT *, greatest(l0, l1, l2) AS _m FROM ({src}))))"
+    )
+
+
+def valid_text(src: str, text: str = "text", keep: str = "*") -> str:
+    return f"SELECT * FROM (SELECT * REPLACE ({strip(text)} AS {text}) FROM ({src})) WHERE length({text}) >= 2"
