@@ -1,0 +1,129 @@
+"""Catalogue: ablation plan/pairs, epoch selection, best checkpoint, seed variance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textpool.operators import experiments as EX
+from textpool.operators import metrics as M
+from textpool.operators import pool as P
+from textpool.plans import sql as S
+from textpool.plans.pool_queries import _POOL_CTES, training_pool_stages
+from textpool.plans.registry import register
+from textpool.plans.score_queries import embed_scored
+from textpool.sources.tables import read_table
+
+
+def epoch_history(spark, d):
+    """lineitem as a training log: run = order, epoch = position of the line within the order
+    (by line number, quantity, tax, discount; a handful per order), val_macro_f1 = quantity / 50,
+    losses from tax and discount."""
+    from pyspark.sql import Window
+    li = read_table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity", "l_tax", "l_discount")
+    return li.select(F.col("l_orderkey").alias("run_id"), F.row_number().over(w).alias("epoch"),
+                     (F.col("l_tax") * 10).alias("train_loss"), (F.col("l_discount") * 10).alias("val_loss"),
+                     (F.col("l_quantity") / 50).alias("val_macro_f1"))
+
+
+_EPOCH_SQL = (
+    "WITH RECURSIVE h AS (SELECT l_orderkey AS run_id, CAST(rn AS INTEGER) AS epoch, l_tax * 10 AS train_loss, "
+    "l_discount * 10 AS val_loss, l_quantity / 50 AS val_macro_f1, rn FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_tax, l_discount) AS rn FROM lineitem)), "
+    "r AS (SELECT run_id, epoch, train_loss, val_loss, val_macro_f1, rn, "
+    "val_macro_f1 > CAST(-1.0 AS DOUBLE) + CAST(0.0001 AS DOUBLE) AS improved, "
+    "CASE WHEN val_macro_f1 > CAST(-1.0 AS DOUBLE) + CAST(0.0001 AS DOUBLE) THEN val_macro_f1 ELSE CAST(-1.0 AS DOUBLE) END AS best, "
+    "CASE WHEN val_macro_f1 > CAST(-1.0 AS DOUBLE) + CAST(0.0001 AS DOUBLE) THEN 0 ELSE 1 END AS stale FROM h WHERE rn = 1 "
+    "UNION ALL SELECT h.run_id, h.epoch, h.train_loss, h.val_loss, h.val_macro_f1, h.rn, "
+    "h.val_macro_f1 > r.best + CAST(0.0001 AS DOUBLE), "
+    "CASE WHEN h.val_macro_f1 > r.best + CAST(0.0001 AS DOUBLE) THEN h.val_macro_f1 ELSE r.best END, "
+    "CASE WHEN h.val_macro_f1 > r.best + CAST(0.0001 AS DOUBLE) THEN 0 ELSE r.stale + 1 END "
+    "FROM r JOIN h ON h.run_id = r.run_id AND h.rn = r.rn + 1 WHERE r.stale < 2), "
+    "best AS (SELECT run_id, max(CASE WHEN improved THEN epoch END) AS best_epoch, "
+    "max(CASE WHEN improved THEN val_macro_f1 END) AS best_val_macro_f1, count(*) AS epochs_ran FROM r GROUP BY run_id)\n")
+
+
+def _epochs(spark, d):
+    return EX.select_epochs(epoch_history(spark, d))
+
+
+def _rounded(df, cols):
+    return M.round_cols(df, cols)
+
+
+@register("epoch_selection", _EPOCH_SQL + "SELECT run_id, epoch, round(train_loss, 6) AS train_loss, "
+          "round(val_loss, 6) AS val_loss, round(val_macro_f1, 6) AS val_macro_f1, improved FROM r", ("W3",))
+def epoch_selection(spark, d):
+    return _rounded(_epochs(spark, d), ["train_loss", "val_loss", "val_macro_f1"])
+
+
+@register("best_checkpoint", _EPOCH_SQL + "SELECT run_id, best_epoch, round(best_val_macro_f1, 6) AS best_val_macro_f1, "
+          "epochs_ran FROM best", ("W4",))
+def best_checkpoint_q(spark, d):
+    return _rounded(EX.best_checkpoint(_epochs(spark, d)), ["best_val_macro_f1"])
+
+
+@register("seed_variance", _EPOCH_SQL + (
+    "SELECT o.o_orderpriority, count(*) AS runs, count(CASE WHEN best_val_macro_f1 > 0 THEN 1 END) AS valid_runs, "
+    "round(avg(CASE WHEN best_val_macro_f1 > 0 THEN best_val_macro_f1 END), 6) AS mean_val_macro_f1, "
+    "round(stddev_pop(CASE WHEN best_val_macro_f1 > 0 THEN best_val_macro_f1 END), 6) AS std_val_macro_f1, "
+    "round(avg(epochs_ran), 6) AS mean_epochs FROM best b JOIN orders o ON b.run_id = o.o_orderkey GROUP BY o.o_orderpriority"),
+    ("A17",))
+def seed_variance_q(spark, d):
+    runs = EX.best_checkpoint(_epochs(spark, d))
+    orders = read_table(spark, d, "orders", "o_orderkey", "o_orderpriority")
+    r = runs.join(orders, runs.run_id == orders.o_orderkey, "inner")
+    return _rounded(EX.seed_variance(r, "o_orderpriority"), ["mean_val_macro_f1", "std_val_macro_f1", "mean_epochs"])
+
+
+# ── J8 / J9 ─────────────────────────────────────────────────────────────────
+def pool_variants(spark, d):
+    """Training-pool size for each (extra, overrides) setting: four real pool builds."""
+    st = training_pool_stages(spark, d)
+    raw, extra, hard, val = st["merged_raw"], st["extra"], st["hard"], st["val"]
+    variants = {
+        (False, False): raw,
+        (True, False): P.majority_dedup(P.union_pools(raw, extra)),
+        (False, True): P.majority_dedup(P.merge_overrides(raw, hard)),
+        (True, True): P.majority_dedup(P.merge_overrides(P.majority_dedup(P.union_pools(raw, extra)), hard)),
+    }
+    parts = [P.remove_leakage(v, val).agg(F.count(F.lit(1)).alias("train_pool_size"))
+             .select(F.lit(a).alias("use_hf_train_extra"), F.lit(b).alias("merge_hard_examples"), "train_pool_size")
+             for (a, b), v in variants.items()]
+    return P.union_pools(*parts)
+
+
+_VARIANT_SQL = {
+    (False, False): "SELECT * FROM merged_raw",
+    (True, False): S.dedup("SELECT * FROM merged_raw UNION ALL SELECT * FROM extra"),
+    (False, True): S.dedup(S.merge_overrides("SELECT * FROM merged_raw", "SELECT * FROM hard")),
+    (True, True): S.dedup(S.merge_overrides(S.dedup("SELECT * FROM merged_raw UNION ALL SELECT * FROM extra"),
+                                            "SELECT * FROM hard")),
+}
+_GRID_CTES = "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in _POOL_CTES.items()) + ",\n" + (
+    "pv AS (" + " UNION ALL ".join(
+        f"SELECT {str(a).lower()} AS use_hf_train_extra, {str(b).lower()} AS merge_hard_examples, count(*) AS train_pool_size "
+        f"FROM ({S.remove_leakage(v, 'SELECT * FROM val')})" for (a, b), v in _VARIANT_SQL.items()) + "),\n"
+    "grid AS (SELECT printf('abl_%02d', CAST(use_hf_train_extra AS INTEGER) * 4 + CAST(merge_hard_examples AS INTEGER) * 2 "
+    "+ CAST(f AS INTEGER) + 1) AS run_id, use_hf_train_extra, merge_hard_examples, train_pool_size, "
+    "f AS confidence_fallback_enabled, use_hf_train_extra OR merge_hard_examples AS requires_retrain, "
+    "'Train + evaluate required for fair comparison.' AS notes FROM pv, (SELECT unnest([false, true]) AS f))\n")
+
+
+@register("ablation_grid", _GRID_CTES + "SELECT * FROM grid", ("J8",))
+def ablation_grid_q(spark, d):
+    return EX.ablation_grid(pool_variants(spark, d))
+
+
+def _fallback_metrics(spark, d):
+    on = embed_scored(spark, d, True).select(F.lit(True).alias("f"), "y", F.col("pred_id").alias("p"))
+    off = embed_scored(spark, d, False).select(F.lit(False).alias("f"), "y", F.col("pred_id").alias("p"))
+    ev = on.unionByName(off).withColumn("model", F.col("f").cast("string")).withColumn("id", F.lit(0))
+    cmp = M.model_comparison(ev)
+    return cmp.select((F.col("model") == "true").alias("confidence_fallback_enabled"), "accuracy", "macro_f1")
+
+
+@register("ablation_pairs", None, ("J9",))
+def ablation_pairs_q(spark, d):
+    runs = EX.ablation_grid(pool_variants(spark, d)).join(_fallback_metrics(spark, d), "confidence_fallback_enabled")
+    return EX.ablation_pairs(runs)
