@@ -84,17 +84,23 @@ def tfidf_relational(docs: DataFrame, id_col: str = "id", text_col: str = "text"
 
     Terms need ``df >= min_df``; the ``max_features`` most frequent (total count
     desc, term asc) are kept.  n = number of documents (scalar subquery).
+
+    Plan: documents are hash-partitioned by id once (the raw text is the
+    smallest thing to move); term counts per (id, term) and the per-document
+    norm (a window on id) then reuse that partitioning.  The only other shuffle
+    is the per-term document frequency, partially aggregated map-side.  The
+    selected vocabulary is bounded by ``max_features`` and broadcast.
     """
-    tf = with_terms(docs.select(id_col, text_col), text_col).select(id_col, F.explode("terms").alias("term")) \
-        .groupBy(id_col, "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    by_doc = docs.select(id_col, text_col).repartition(id_col)
+    tf = with_terms(by_doc, text_col).select(id_col, F.explode("terms").alias("term")) \
+        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     vocab = stats.filter(F.col("df") >= min_df).orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     vocab = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     w = tf.join(F.broadcast(vocab), "term", "inner").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("_norm")).alias("tfidf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return w.select(id_col, "term", (F.col("w") / norm).alias("tfidf"))
 
 
 def tfidf_logreg(train: DataFrame, test: DataFrame, text_col: str = "text", label_col: str = "y",
