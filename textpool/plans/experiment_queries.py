@@ -78,9 +78,16 @@ def seed_variance_q(spark, d):
 
 # ── J8 / J9 ─────────────────────────────────────────────────────────────────
 def pool_variants(spark, d):
-    """Training-pool size for each (extra, overrides) setting: four real pool builds."""
+    """Training-pool size for each (extra, overrides) setting: four real pool builds.
+
+    The four variants share their inputs, so those are materialised once with a
+    reliable ``checkpoint()`` in the shared checkpoint folder (lineage cut,
+    recomputation-free after executor loss) and read back by every variant.
+    """
+    from textpool.session import checkpoint_root
+    checkpoint_root(spark)
     st = training_pool_stages(spark, d)
-    raw, extra, hard, val = st["merged_raw"], st["extra"], st["hard"], st["val"]
+    raw, extra, hard, val = (st[k].checkpoint() for k in ("merged_raw", "extra", "hard", "val"))
     variants = {
         (False, False): raw,
         (True, False): P.majority_dedup(P.union_pools(raw, extra)),
@@ -123,7 +130,30 @@ def _fallback_metrics(spark, d):
     return cmp.select((F.col("model") == "true").alias("confidence_fallback_enabled"), "accuracy", "macro_f1")
 
 
-@register("ablation_pairs", None, ("J9",))
+_PAIRS_SQL = _GRID_CTES.rstrip("\n") + (
+    f", es AS ({S.scored(S.LOGITS, fallback=True)}), en AS ({S.scored(S.LOGITS, fallback=False)}), "
+    "ev AS (SELECT true AS f, y, pred_id AS p FROM es UNION ALL SELECT false, y, pred_id FROM en), "
+    "conf AS (SELECT f, y, p, count(*) AS n FROM ev GROUP BY f, y, p), "
+    "pc AS (SELECT f, c, sum(CASE WHEN y = c AND p = c THEN n ELSE 0 END) AS tp, "
+    "sum(CASE WHEN y = c THEN n ELSE 0 END) AS support, sum(CASE WHEN p = c THEN n ELSE 0 END) AS predicted "
+    "FROM conf, (SELECT unnest([0, 1, 2]) AS c) GROUP BY f, c), "
+    "r1 AS (SELECT f, support, predicted, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS prec, "
+    "CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS rec FROM pc), "
+    "rep AS (SELECT *, CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END AS f1 FROM r1), "
+    "acc AS (SELECT f, sum(CASE WHEN y = p THEN n ELSE 0 END) / sum(n) AS accuracy FROM conf GROUP BY f), "
+    "mf AS (SELECT f, avg(CASE WHEN support > 0 OR predicted > 0 THEN f1 END) AS macro_f1 FROM rep GROUP BY f), "
+    "fm AS (SELECT acc.f, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM acc JOIN mf ON acc.f = mf.f), "
+    "runs AS (SELECT g.run_id, g.use_hf_train_extra, g.merge_hard_examples, g.confidence_fallback_enabled, fm.accuracy, "
+    "fm.macro_f1 FROM grid g JOIN fm ON g.confidence_fallback_enabled = fm.f)\n"
+    "SELECT o.use_hf_train_extra, o.merge_hard_examples, o.run_id AS run_off, o.accuracy AS accuracy_off, "
+    "o.macro_f1 AS macro_f1_off, n.run_id AS run_on, n.accuracy AS accuracy_on, n.macro_f1 AS macro_f1_on, "
+    "n.accuracy - o.accuracy AS delta_accuracy, n.macro_f1 - o.macro_f1 AS delta_macro_f1, "
+    "(n.accuracy - o.accuracy = 0) AND (n.macro_f1 - o.macro_f1 = 0) AS no_change "
+    "FROM runs o JOIN runs n ON o.use_hf_train_extra = n.use_hf_train_extra AND o.merge_hard_examples = n.merge_hard_examples "
+    "WHERE NOT o.confidence_fallback_enabled AND n.confidence_fallback_enabled")
+
+
+@register("ablation_pairs", _PAIRS_SQL, ("J9",))
 def ablation_pairs_q(spark, d):
     runs = EX.ablation_grid(pool_variants(spark, d)).join(_fallback_metrics(spark, d), "confidence_fallback_enabled")
     return EX.ablation_pairs(runs)
