@@ -133,6 +133,23 @@ def test_class_weights(spark):
     assert sorted(r.weight for r in empty) == [1.0, 1.0, 1.0]
 
 
+def test_sorted_rank_hot_key(spark):
+    from textpool.operators.ranking import with_sorted_rank
+    rows = [("hot", 1)] * 3000 + [(f"k{i}", i % 3) for i in range(1500)]
+    df = spark.createDataFrame(rows, "Sentence string, Polarity int").repartition(6)
+    got = with_sorted_rank(df, 42, ["Sentence", "Polarity"], n_parts=8).collect()
+    assert sorted(r._rank for r in got) == list(range(4500))
+    order = sorted(set(rows), key=lambda r: (hashlib.md5(("42" + r[0] + str(r[1])).encode()).hexdigest(), r))
+    ranks = {}
+    for r in got:
+        ranks.setdefault((r.Sentence, r.Polarity), []).append(r._rank)
+    start = 0
+    for key in order:
+        rk = sorted(ranks[key])
+        assert rk == list(range(start, start + len(rk)))
+        start += len(rk)
+
+
 def test_with_position_consecutive(spark):
     df = spark.range(0, 1000, numPartitions=7).withColumn("v", F.col("id") * 2)
     pos = with_position(df).collect()

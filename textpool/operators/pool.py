@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpool.functions.text import norm_key
-from textpool.operators.ranking import with_seeded_rank
+from textpool.operators.ranking import with_seeded_rank, with_sorted_rank
 
 SEED = 42
 
@@ -174,7 +174,11 @@ def split_quotas(df: DataFrame, test_size: float = 0.2, val_share: float = 0.5)
 
 def stratified_split(df: DataFrame, seed: int = SEED, test_size: float = 0.2, val_share: float = 0.5,
                      n_buckets: int | None = None) -> DataFrame:
-    """Exact stratified 80/10/10 split (deduplicated pool: Sentence is unique).
+    """Exact stratified 80/10/10 split of a sentence-level (deduplicated) pool.
+
+    Sentences are unique after majority dedup, so md5 buckets are balanced;
+    (a pool with repeated sentences should go through ``majority_dedup`` first,
+    as the reference's split does).
 
     Within each class rows are ranked by ``md5(seed || Sentence)`` without a
     per-class window (bucketed ranks); the first ``q_train`` go to train, the
@@ -209,14 +213,15 @@ def seeded_sample(df: DataFrame, n: int, seed: int = SEED, key_cols: Sequence[st
     """Exactly ``min(n, count)`` rows, chosen by ``md5(seed || keys)`` order.
 
     Small ``n``: top-k (TakeOrderedAndProject, ``n`` rows per task at most).
-    Large ``n``: bucketed global rank and a filter — no single-task sort.
+    Large ``n``: a range-partitioned global rank and a filter — no single-task
+    sort, and a hot key is split across tasks by a random tie-breaker.
     Identical rows tie, but they are indistinguishable, so the result is exact.
     """
     keys = list(key_cols)
     if n <= TOPK_SAMPLE_LIMIT:
         from textpool.functions.hashing import seeded_hex
         return df.withColumn("_h", seeded_hex(seed, *keys)).orderBy("_h", *keys).limit(n).drop("_h")
-    ranked = with_seeded_rank(df, seed, keys, (), n_buckets=n_buckets)
+    ranked = with_sorted_rank(df, seed, keys, n_parts=n_buckets)
     return ranked.filter(F.col("_rank") < n).drop("_rank")
 
 

@@ -75,3 +75,32 @@ def with_seeded_rank(df: DataFrame, seed: int, key_cols: Sequence[str], group_co
         .withColumn(name, (F.col("_off") + F.col("_loc") - 1).cast("long"))
         .drop("_h", "_b", "_loc", "_off")
     )
+
+
+def with_sorted_rank(df: DataFrame, seed: int, key_cols: Sequence[str], name: str = "_rank",
+                     n_parts: int | None = None) -> DataFrame:
+    """0-based global rank ordered by ``md5(seed || keys)``, keys — safe for hot keys.
+
+    Rows are range-partitioned on (md5, keys, u) where ``u`` is a seeded random
+    tie-breaker, so even a key holding a third of all rows is cut across many
+    tasks (identical rows are interchangeable, so ``u`` never changes the result).
+    After a local sort, a row's rank is the rows in earlier range partitions
+    (a count table of ``n_parts`` rows, broadcast) plus its local index.
+    """
+    spark = df.sparkSession
+    n = n_parts or default_buckets(spark, floor=8, cap=1 << 15)
+    keys = list(key_cols)
+    tagged = df.withColumn("_h", seeded_hex(seed, *keys)).withColumn("_u", F.rand(seed))
+    order = ["_h", *keys, "_u"]
+    ranged = tagged.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = ranged.withColumn("_mid", F.monotonically_increasing_id()) \
+        .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)) \
+        .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (
+        ranged.join(F.broadcast(offsets), "_pid", "inner")  # size: number of range partitions
+        .withColumn(name, (F.col("_off") + F.col("_loc")).cast("long"))
+        .drop("_h", "_u", "_mid", "_pid", "_loc", "_off")
+    )
