@@ -86,7 +86,11 @@ def with_sorted_rank(df: DataFrame, seed: int, key_cols: Sequence[str], name: st
     tasks (identical rows are interchangeable, so ``u`` never changes the result).
     After a local sort, a row's rank is the rows in earlier range partitions
     (a count table of ``n_parts`` rows, broadcast) plus its local index.
+    The tagged rows are materialised once with a reliable ``checkpoint()`` in
+    the shared checkpoint folder, so the count pass and the rank pass read the
+    same rows (the random tie-breaker is never re-drawn, even after executor loss).
     """
+    from textpool.session import checkpoint_root
     spark = df.sparkSession
     n = n_parts or default_buckets(spark, floor=8, cap=1 << 15)
     keys = list(key_cols)
@@ -96,6 +100,8 @@ def with_sorted_rank(df: DataFrame, seed: int, key_cols: Sequence[str], name: st
     ranged = ranged.withColumn("_mid", F.monotonically_increasing_id()) \
         .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)) \
         .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+    checkpoint_root(spark)
+    ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
