@@ -44,7 +44,7 @@ def with_position(df: DataFrame, name: str = "position") -> DataFrame:
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return (
-        tagged.join(offsets, "_pid", "inner")
+        tagged.join(F.broadcast(offsets), "_pid", "inner")  # one row per input split
         .withColumn(name, (F.col("_off") + F.col("_loc")).cast("long"))
         .drop("_mid", "_pid", "_loc", "_off")
     )
