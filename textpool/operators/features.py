@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpool.functions.arrays import explode_values
+
 # Token patterns and encoder constants.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 TFIDF_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -30,22 +32,36 @@ def build_vocabulary(docs: DataFrame, vocab_size: int = 30_000, text_col: str =
     Counting is a partially aggregated shuffle on the token; the cut is a
     top-k bounded by ``vocab_size``; ids come from a window over those ≤ k rows.
     """
-    counts = docs.select(F.explode(tokens(text_col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = explode_values(docs, [], tokens(text_col), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(vocab_size)
     w = Window.orderBy(F.desc("n"), F.asc("token"))
     return top.select("token", (F.row_number().over(w) + (N_SPECIAL - 1)).cast("int").alias("token_id"))
 
 
+def by_document(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Raw text hash-partitioned by document id: the one shuffle of the text pipelines.
+
+    Raw text is the smallest thing to move (exploded tokens are larger); every
+    per-document step after it (tokenising, per-term counts, folds, norms)
+    runs without another shuffle, and tokenising runs at shuffle parallelism
+    whatever the input's file layout.  Reusing the same frame for the
+    vocabulary lets the exchange be reused too.
+    """
+    return docs.select(id_col, text_col).repartition(id_col)
+
+
 def encode_fixed(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text",
                  max_len: int = MAX_LEN) -> DataFrame:
     """M1: ``[CLS] ids… [SEP]`` truncated to ``max_len`` and padded with 0; mask marks real tokens.
 
-    Only the first ``max_len - 2`` token positions are exploded (the encoder's
-    truncation), looked up in the bounded vocabulary (broadcast), and folded
-    back per document — each group holds at most ``max_len`` entries.
+    Documents are hash-partitioned by id once (``by_document``); only the first
+    ``max_len - 2`` token positions are exploded (the encoder's truncation),
+    looked up in the bounded vocabulary (broadcast, so the partitioning is
+    kept) and folded back per document without a second shuffle — each group
+    holds at most ``max_len`` entries.
     """
     body = max_len - 2
-    t = docs.select(id_col, F.slice(tokens(text_col), 1, body).alias("_t"))
+    t = by_document(docs, id_col, text_col).select(id_col, F.slice(tokens(text_col), 1, body).alias("_t"))
     # posexplode_outer keeps token-less documents (they encode to [CLS][SEP])
     ex = t.select(id_col, F.posexplode_outer("_t").alias("pos", "token"))
     ids = ex.join(F.broadcast(vocab), "token", "left").select(
@@ -91,8 +107,8 @@ def tfidf_relational(docs: DataFrame, id_col: str = "id", text_col: str = "text"
     is the per-term document frequency, partially aggregated map-side.  The
     selected vocabulary is bounded by ``max_features`` and broadcast.
     """
-    by_doc = docs.select(id_col, text_col).repartition(id_col)
-    tf = with_terms(by_doc, text_col).select(id_col, F.explode("terms").alias("term")) \
+    by_doc = by_document(docs, id_col, text_col)
+    tf = explode_values(with_terms(by_doc, text_col), [id_col], F.col("terms"), "term") \
         .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     vocab = stats.filter(F.col("df") >= min_df).orderBy(F.desc("total"), F.asc("term")).limit(max_features)

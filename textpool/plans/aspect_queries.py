@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textpool.functions.arrays import explode_values
 from textpool.operators import aspects as AS
 from textpool.operators.scoring import PairShapeScorer
 from textpool.plans import sql as S
@@ -60,7 +61,7 @@ def aspect_rule_override(spark, d):
 def aspect_pair_score(spark, d):
     from textpool.operators.scoring import apply_scorer
     x = items(spark, d).filter(F.length("text") >= 2).withColumn("_asp", AS.extract_aspects(F.col("text")))
-    pairs = x.select("id", "text", F.explode("_asp").alias("detected_aspect")).filter(~AS.rule_neutral(F.col("text")))
+    pairs = explode_values(x, ["id", "text"], F.col("_asp"), "detected_aspect").filter(~AS.rule_neutral(F.col("text")))
     s = apply_scorer(pairs, PAIR_SCORER, text_col="text", pair_col="detected_aspect")
     return s.select("id", "detected_aspect", *[F.round(c, 6).alias(c) for c in ("l0", "l1", "l2")])
 

@@ -32,7 +32,8 @@ _ENC_SQL = (
 @register("encode_fixed", _ENC_SQL, ("M1",))
 def encode_fixed_q(spark, d):
     docs = _docs(spark, d)
-    enc = FE.encode_fixed(docs, FE.build_vocabulary(docs, VOCAB_SIZE))
+    # the vocabulary reads the same by-id partitioned text, so the exchange is shared
+    enc = FE.encode_fixed(docs, FE.build_vocabulary(FE.by_document(docs), VOCAB_SIZE))
     return enc.select("id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
                       F.array_join("input_ids", " ").alias("ids_text"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textpool.functions.arrays import explode_values
 from textpool.functions.text import strip_ws
 from textpool.operators.contract import empty_contract, strip_column_names
 
@@ -64,7 +65,7 @@ def lines_to_items(df: DataFrame, text_col: str = "text", max_items: int = 500)
     ``line_id`` is the position among kept lines (0-based)."""
     lines = F.transform(F.split(F.col(text_col), r"\r?\n"), lambda s: strip_ws(s))
     kept = F.slice(F.filter(lines, lambda s: F.length(s) >= 2), 1, max_items)
-    return df.select("*", F.posexplode(kept).alias("line_id", "line")).drop(text_col)
+    return explode_values(df, ["*"], kept, "line", pos_alias="line_id").drop(text_col)
 
 
 def read_text_lines(spark: SparkSession, path: str, max_items: int | None = None) -> DataFrame:
