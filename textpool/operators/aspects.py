@@ -46,8 +46,8 @@ def capitalised(tok: Column) -> Column:
 def extract_aspects(text: Column, noun_test: NounTest = capitalised) -> Column:
     """L1: distinct noun-like tokens, not blacklisted, at least 3 characters (lower-cased)."""
     toks = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0)
-    black = F.array(*[F.lit(w) for w in ASPECT_BLACKLIST])
-    keep = lambda t: noun_test(t) & ~F.array_contains(black, F.lower(t)) & (F.length(F.lower(t)) >= MIN_ASPECT_CHARS)
+    # cheapest test first; the blacklist IN-list becomes a hash-set lookup (InSet)
+    keep = lambda t: (F.length(F.lower(t)) >= MIN_ASPECT_CHARS) & noun_test(t) & ~F.lower(t).isin(*ASPECT_BLACKLIST)
     return F.array_distinct(F.filter(toks, keep))
 
 
@@ -60,24 +60,29 @@ def rule_neutral(text: Column) -> Column:
 def aspect_rows(items: DataFrame, pair_scorer, noun_test: NounTest = capitalised) -> DataFrame:
     """L1 + L2 + L3 + L4 + L5: one row per (text, aspect); no aspect → GENERAL / Neutral / 0.0.
 
-    Input ``(id, text)``; texts shorter than 2 characters are skipped.  Only
-    non-rule (text, aspect) pairs reach the scorer; the rest are Column logic.
+    Input ``(id, text)``; texts shorter than 2 characters are skipped.  One pass:
+    aspects are extracted once, each row is tagged (no aspect / rule-neutral /
+    to score), and only the to-score pairs reach the scorer; the rest are
+    Column logic on the same rows.
     """
     x = items.filter(F.length("text") >= 2).withColumn("_asp", extract_aspects(F.col("text"), noun_test))
     ex = x.select("id", "text", F.explode_outer("_asp").alias("detected_aspect"))
-    general = ex.filter(F.col("detected_aspect").isNull()).select(
-        "id", "text", F.lit(GENERAL).alias("detected_aspect"), F.lit("Neutral").alias("sentiment"),
-        F.lit(0.0).alias("confidence_score"))
-    pairs = ex.filter(F.col("detected_aspect").isNotNull())
-    ruled = pairs.filter(rule_neutral(F.col("text"))).select(
-        "id", "text", "detected_aspect", F.lit("Neutral").alias("sentiment"), F.lit(100.0).alias("confidence_score"))
-    to_score = pairs.filter(~rule_neutral(F.col("text")))
-    scored = apply_scorer(to_score, pair_scorer, text_col="text", pair_col="detected_aspect")
+    kind = F.when(F.col("detected_aspect").isNull(), F.lit(0)).when(rule_neutral(F.col("text")), F.lit(1)) \
+        .otherwise(F.lit(2))
+    tagged = ex.withColumn("_kind", kind)
+    scored = apply_scorer(tagged, pair_scorer, text_col="text", pair_col="detected_aspect",
+                          where=F.col("_kind") == 2)
     p0, p1, p2 = softmax3(F.col("l0"), F.col("l1"), F.col("l2"))
-    s = scored.select("id", "text", "detected_aspect", p0.alias("p0"), p1.alias("p1"), p2.alias("p2"))
-    s = s.select("id", "text", "detected_aspect", class_name_of(argmax3(F.col("p0"), F.col("p1"), F.col("p2")))
-                 .alias("sentiment"), F.round(F.greatest("p0", "p1", "p2") * 100, 2).alias("confidence_score"))
-    return general.unionByName(ruled).unionByName(s)
+    s = scored.select("id", "text", "detected_aspect", "_kind", p0.alias("p0"), p1.alias("p1"), p2.alias("p2"))
+    model_label = class_name_of(argmax3(F.col("p0"), F.col("p1"), F.col("p2")))
+    model_conf = F.round(F.greatest("p0", "p1", "p2") * 100, 2)
+    return s.select(
+        "id", "text",
+        F.coalesce(F.col("detected_aspect"), F.lit(GENERAL)).alias("detected_aspect"),
+        F.when(F.col("_kind") < 2, F.lit("Neutral")).otherwise(model_label).alias("sentiment"),
+        F.when(F.col("_kind") == 0, F.lit(0.0)).when(F.col("_kind") == 1, F.lit(100.0))
+        .otherwise(model_conf).alias("confidence_score"),
+    )
 
 
 def report_filter(rows: DataFrame) -> DataFrame:
@@ -98,14 +103,22 @@ def top_aspects(rows: DataFrame, k: int = 10) -> DataFrame:
         .orderBy(F.desc("n"), F.asc("detected_aspect")).limit(k)
 
 
+def keep_top_aspects(rows: DataFrame, k: int = 10) -> DataFrame:
+    """The rows whose aspect is among the top-k (a ≤ k-row table, so the semi join broadcasts it)."""
+    top = top_aspects(rows, k).select("detected_aspect")
+    return rows.join(F.broadcast(top), "detected_aspect", "left_semi")
+
+
 def aspect_crosstab(rows: DataFrame, k: int = 10) -> DataFrame:
-    """A20 + J10: aspect × sentiment counts with ``Total`` for the top-k aspects.
+    """A20 + A21: aspect × sentiment counts with ``Total`` for the top-k aspects, Total descending.
 
-    The top-k table has at most k rows, so the semi join broadcasts it.
+    One partially aggregated pass: per-aspect sentiment counts and the total
+    come from the same ``groupBy``, and the top-k by Total (= the aspect's row
+    count, the A21 ranking) is a bounded TakeOrderedAndProject over that
+    aggregate — the rows are read once, not once for the ranking and again
+    for a semi join.
     """
-    top = top_aspects(rows, k).select("detected_aspect")
-    kept = rows.join(F.broadcast(top), "detected_aspect", "left_semi")
-    ct = kept.groupBy("detected_aspect").agg(
-        *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("Negative", "Neutral", "Positive")])
-    return ct.withColumn("Total", F.col("Negative") + F.col("Neutral") + F.col("Positive")) \
-        .orderBy(F.desc("Total"), F.asc("detected_aspect"))
+    ct = rows.groupBy("detected_aspect").agg(
+        *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("Negative", "Neutral", "Positive")],
+        F.count(F.lit(1)).alias("Total"))
+    return ct.orderBy(F.desc("Total"), F.asc("detected_aspect")).limit(k)

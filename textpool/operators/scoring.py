@@ -75,28 +75,44 @@ def _loaded(factory):
     return fn
 
 
-def apply_scorer(df: DataFrame, scorer, text_col: str = "text", pair_col: str | None = None) -> DataFrame:
+def apply_scorer(df: DataFrame, scorer, text_col: str = "text", pair_col: str | None = None,
+                 where: Column | None = None) -> DataFrame:
     """M4: add ``l0, l1, l2`` from ``scorer`` (a factory returning a pandas batch function).
 
     Arrow batches are re-cut into ``SCORER_BATCH``-row forward passes; the model
-    is built once per Python worker process and reused across tasks.
+    is built once per Python worker process and reused across tasks.  With
+    ``where``, only rows where it holds reach the model (the others pass
+    through with null logits), so a caller that needs scored and unscored rows
+    makes one pass instead of a union of re-computed branches.
     """
     out_schema = T.StructType(df.schema.fields + [T.StructField(f"l{i}", T.DoubleType()) for i in range(3)])
+    mask_col = "_tp_score_row"
+    src = df if where is None else df.withColumn(mask_col, F.coalesce(where, F.lit(False)))
+    logit_cols = ["l0", "l1", "l2"]
+    masked = where is not None  # the closure must not capture the Column itself
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = _loaded(scorer)
         for pdf in batches:
             if pdf.empty:
                 continue
+            pdf = pdf.reset_index(drop=True)
+            mask = pdf.pop(mask_col).to_numpy(dtype=bool) if masked else None
+            todo = pdf if mask is None else pdf[mask]
             parts = []
-            for start in range(0, len(pdf), SCORER_BATCH):
-                chunk = pdf.iloc[start:start + SCORER_BATCH]
+            for start in range(0, len(todo), SCORER_BATCH):
+                chunk = todo.iloc[start:start + SCORER_BATCH]
                 args = (chunk[text_col],) if pair_col is None else (chunk[text_col], chunk[pair_col])
-                parts.append(fn(*args).reset_index(drop=True))
-            logits = pd.concat(parts, ignore_index=True)
-            yield pd.concat([pdf.reset_index(drop=True), logits[["l0", "l1", "l2"]]], axis=1)
-
-    return df.mapInPandas(run, out_schema)
+                parts.append(fn(*args).reset_index(drop=True)[logit_cols])
+            if mask is None:
+                logits = pd.concat(parts, ignore_index=True)
+            else:
+                logits = pd.DataFrame(float("nan"), index=pdf.index, columns=logit_cols)
+                if parts:
+                    logits.loc[mask, logit_cols] = pd.concat(parts, ignore_index=True).to_numpy()
+            yield pd.concat([pdf, logits.reset_index(drop=True)], axis=1)
+
+    return src.mapInPandas(run, out_schema)
 
 
 # ── filters and projections ─────────────────────────────────────────────────

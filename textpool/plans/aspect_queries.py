@@ -71,6 +71,16 @@ def aspect_pair_score(spark, d):
     "top AS (SELECT detected_aspect FROM flt GROUP BY detected_aspect ORDER BY count(*) DESC, detected_aspect ASC LIMIT 10) "
     "SELECT detected_aspect, count_if(sentiment = 'Negative') AS Negative, count_if(sentiment = 'Neutral') AS Neutral, "
     "count_if(sentiment = 'Positive') AS Positive, count(*) AS Total FROM flt WHERE detected_aspect IN (SELECT * FROM top) "
-    "GROUP BY detected_aspect").replace("\n, flt AS", ", flt AS"), ("A20", "A21", "J10", "P17"))
+    "GROUP BY detected_aspect").replace("\n, flt AS", ", flt AS"), ("A20", "A21", "P17"))
 def aspect_crosstab_q(spark, d):
     return AS.aspect_crosstab(AS.report_filter(_rows(spark, d)))
+
+
+@register("top_aspect_rows", _ASPECT_CTES + (
+    f", flt AS (SELECT * FROM rows WHERE confidence_score > 60 AND detected_aspect NOT IN ({_IGN})), "
+    "top AS (SELECT detected_aspect FROM flt GROUP BY detected_aspect ORDER BY count(*) DESC, detected_aspect ASC LIMIT 10) "
+    "SELECT id, detected_aspect, sentiment, confidence_score FROM flt WHERE detected_aspect IN (SELECT * FROM top)"
+).replace("\n, flt AS", ", flt AS"), ("J10", "A21", "P17"))
+def top_aspect_rows_q(spark, d):
+    rows = AS.report_filter(_rows(spark, d)).select("id", "detected_aspect", "sentiment", "confidence_score")
+    return AS.keep_top_aspects(rows)
