@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import functions as F
 
 from textpool.operators import contract as C
@@ -13,23 +15,48 @@ from textpool.plans.registry import register
 # ── shared stage builders (Spark) ───────────────────────────────────────────
 
 
-def training_pool_stages(spark, d: str) -> dict:
+class _PoolStages(Mapping):
+    """Stages of the pool build, each constructed on first use and then shared.
+
+    A query that needs one stage builds only that stage's lineage, so the
+    driver does not analyse plans it never runs.
+    """
+
+    _BUILD = {
+        "splits": lambda s: I.doc_split_frames(s.spark, s.d),
+        "base": lambda s: C.normalise_contract(s["splits"]["train"], 1),
+        "val": lambda s: C.normalise_contract(s["splits"]["val"], 1),
+        "chat": lambda s: C.normalise_contract(I.chat_pool(s.spark, s.d), 1),
+        "merged_raw": lambda s: P.majority_dedup(P.union_pools(s["base"], s["chat"])),
+        "part": lambda s: C.normalise_contract(I.part_pool(s.spark, s.d), 1),
+        "extra": lambda s: P.seeded_sample(s["part"], I.EXTRA_SAMPLE_SIZE, I.SEED),
+        "merged_extra": lambda s: P.majority_dedup(P.union_pools(s["merged_raw"], s["extra"])),
+        "hard": lambda s: C.normalise_contract(I.hard_examples(s.spark, s.d), 1),
+        "overridden": lambda s: P.merge_overrides(s["merged_extra"], s["hard"]),
+        "deduped": lambda s: P.majority_dedup(s["overridden"]),
+        "final": lambda s: P.remove_leakage(s["deduped"], s["val"]),
+    }
+    _PUBLIC = ["base", "val", "chat", "merged_raw", "extra", "merged_extra", "hard", "overridden", "deduped", "final"]
+
+    def __init__(self, spark, d: str):
+        self.spark, self.d, self._built = spark, d, {}
+
+    def __getitem__(self, key):
+        if key not in self._built:
+            self._built[key] = self._BUILD[key](self)
+        return self._built[key]
+
+    def __iter__(self):
+        return iter(self._PUBLIC)
+
+    def __len__(self):
+        return len(self._PUBLIC)
+
+
+def training_pool_stages(spark, d: str) -> Mapping:
     """The reference's build order: base → +raw, dedup → +sampled extra, dedup →
-    overrides → dedup → leakage report and removal against val."""
-    splits = I.doc_split_frames(spark, d)
-    tr0 = C.normalise_contract(splits["train"], 1)
-    val = C.normalise_contract(splits["val"], 1)
-    chat = C.normalise_contract(I.chat_pool(spark, d), 1)
-    tr1 = P.majority_dedup(P.union_pools(tr0, chat))
-    part = C.normalise_contract(I.part_pool(spark, d), 1)
-    extra = P.seeded_sample(part, I.EXTRA_SAMPLE_SIZE, I.SEED)
-    tr2 = P.majority_dedup(P.union_pools(tr1, extra))
-    hard = C.normalise_contract(I.hard_examples(spark, d), 1)
-    tr3 = P.merge_overrides(tr2, hard)
-    tr4 = P.majority_dedup(tr3)
-    final = P.remove_leakage(tr4, val)
-    return dict(base=tr0, val=val, chat=chat, merged_raw=tr1, extra=extra, merged_extra=tr2,
-                hard=hard, overridden=tr3, deduped=tr4, final=final)
+    overrides → dedup → leakage report and removal against val (stages built lazily)."""
+    return _PoolStages(spark, d)
 
 
 # ── shared stage builders (SQL) ─────────────────────────────────────────────
