@@ -17,6 +17,12 @@ def seeded_hex(seed: int, *cols) -> Column:
 
 
 def hex_bucket(hex_col: Column, n_buckets: int) -> Column:
-    """Monotone bucket (0..n_buckets-1) of an md5 hex string (its first 32 bits)."""
+    """Monotone bucket (0..n_buckets-1) of an md5 hex string (its first 32 bits).
+
+    Declared non-null (an md5 hex always converts): a join on the bucket then
+    infers no ``isnotnull(bucket)`` filter, which Catalyst would push below an
+    aggregate on the hashed key — hashing every raw row instead of every group
+    and making otherwise identical branches lose their shared exchange.
+    """
     top = F.conv(F.substring(hex_col, 1, 8), 16, 10).cast("long")
-    return ((top * F.lit(int(n_buckets))) / F.lit(1 << 32)).cast("long")
+    return F.coalesce(((top * F.lit(int(n_buckets))) / F.lit(1 << 32)).cast("long"), F.lit(0).cast("long"))

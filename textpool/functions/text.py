@@ -38,3 +38,14 @@ def exact_key(c) -> Column:
 def norm_key(c) -> Column:
     """``lower().strip()`` key used by override merge and the leakage guard."""
     return strip_ws(F.lower(_col(c)))
+
+
+def norm_join_key(c) -> Column:
+    """``norm_key`` declared non-null, for joins on contract text (never null or empty).
+
+    A nullable join key makes Catalyst infer ``isnotnull(key)`` and push it to
+    the scan, where the whole key expression (lower-casing every document) is
+    evaluated a second time.  Null text cannot reach a join after the
+    contract's filter, so the coalesce never changes a key.
+    """
+    return F.coalesce(norm_key(c), F.lit(""))

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textpool.functions.aggregates import count_where
 from textpool.functions.labels import class_name_of
 from textpool.functions.scoring import argmax3, softmax3
 from textpool.operators.scoring import apply_scorer
@@ -119,6 +120,6 @@ def aspect_crosstab(rows: DataFrame, k: int = 10) -> DataFrame:
     for a semi join.
     """
     ct = rows.groupBy("detected_aspect").agg(
-        *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("Negative", "Neutral", "Positive")],
+        *[count_where(F.col("sentiment") == s).alias(s) for s in ("Negative", "Neutral", "Positive")],
         F.count(F.lit(1)).alias("Total"))
     return ct.orderBy(F.desc("Total"), F.asc("detected_aspect")).limit(k)

@@ -16,7 +16,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textpool.functions.text import norm_key
+from textpool.functions.aggregates import count_where
+from textpool.functions.text import norm_join_key, norm_key
 from textpool.operators.ranking import with_seeded_rank, with_sorted_rank
 
 SEED = 42
@@ -35,9 +36,9 @@ def majority_dedup(df: DataFrame) -> DataFrame:
     single aggregation (partial agg before the shuffle, no second shuffle).
     """
     agg = df.groupBy("Sentence").agg(
-        F.count_if(F.col("Polarity") == 0).alias("_c0"),
-        F.count_if(F.col("Polarity") == 1).alias("_c1"),
-        F.count_if(F.col("Polarity") == 2).alias("_c2"),
+        count_where(F.col("Polarity") == 0).alias("_c0"),
+        count_where(F.col("Polarity") == 1).alias("_c1"),
+        count_where(F.col("Polarity") == 2).alias("_c2"),
     )
     vote = (
         F.when((F.col("_c0") >= F.col("_c1")) & (F.col("_c0") >= F.col("_c2")), F.lit(0))
@@ -60,8 +61,8 @@ def merge_overrides(base: DataFrame, hard: DataFrame) -> DataFrame:
     Every base row whose ``lower().strip()`` key appears among the curated keys
     is removed (so all case variants go), then the curated rows are added.
     """
-    hard_keys = hard.select(norm_key("Sentence").alias("_nk")).distinct()
-    kept = base.withColumn("_nk", norm_key("Sentence")).join(hard_keys, "_nk", "left_anti").drop("_nk")
+    hard_keys = hard.select(norm_join_key("Sentence").alias("_nk")).distinct()
+    kept = base.withColumn("_nk", norm_join_key("Sentence")).join(hard_keys, "_nk", "left_anti").drop("_nk")
     return kept.unionByName(hard.select("Sentence", "Polarity"))
 
 
@@ -103,8 +104,8 @@ def leakage_report(train: DataFrame, val: DataFrame, n_samples: int = 20) -> Dat
     agg = stats_rows.unionByName(sample_rows).agg(
         F.coalesce(F.sum("nt"), F.lit(0)).cast("long").alias("train_size"),
         F.coalesce(F.sum("nv"), F.lit(0)).cast("long").alias("val_size"),
-        F.count_if("_both").cast("long").alias("overlap_count"),
-        F.count_if(F.col("nv") > 0).alias("_val_distinct"),
+        count_where("_both").cast("long").alias("overlap_count"),
+        count_where(F.col("nv") > 0).alias("_val_distinct"),
         F.array_sort(F.collect_list("_s")).alias("overlap_samples"),
     )
     return agg.select(
@@ -117,8 +118,8 @@ def leakage_report(train: DataFrame, val: DataFrame, n_samples: int = 20) -> Dat
 
 def remove_leakage(train: DataFrame, val: DataFrame) -> DataFrame:
     """Drop every train row whose normalised key occurs in val (val is untouched)."""
-    val_keys = val.select(norm_key("Sentence").alias("_nk")).distinct()
-    return train.withColumn("_nk", norm_key("Sentence")).join(val_keys, "_nk", "left_anti").drop("_nk")
+    val_keys = val.select(norm_join_key("Sentence").alias("_nk")).distinct()
+    return train.withColumn("_nk", norm_join_key("Sentence")).join(val_keys, "_nk", "left_anti").drop("_nk")
 
 
 def split_overlap(train: DataFrame, val: DataFrame, test: DataFrame, col: str = "Sentence") -> DataFrame:
@@ -131,9 +132,9 @@ def split_overlap(train: DataFrame, val: DataFrame, test: DataFrame, col: str =
     per_key = tagged.groupBy("_k").agg(F.bit_or("_s").alias("m"))
     has = lambda bit: (F.col("m").bitwiseAND(F.lit(bit)) > 0)
     return per_key.agg(
-        F.count_if(has(1) & has(2)).cast("long").alias("train_val_overlap"),
-        F.count_if(has(1) & has(4)).cast("long").alias("train_test_overlap"),
-        F.count_if(has(2) & has(4)).cast("long").alias("val_test_overlap"),
+        count_where(has(1) & has(2)).cast("long").alias("train_val_overlap"),
+        count_where(has(1) & has(4)).cast("long").alias("train_test_overlap"),
+        count_where(has(2) & has(4)).cast("long").alias("val_test_overlap"),
     )
 
 

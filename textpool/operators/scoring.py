@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textpool.functions.aggregates import count_where
 from textpool.functions.labels import CLASS_NAMES, NEUTRAL_ID, class_name_of
 from textpool.functions.scoring import argmax3, fallback_class, softmax3
 from textpool.functions.text import strip_ws
@@ -177,7 +178,7 @@ def sentiment_share(df: DataFrame, col: str = "sentiment") -> DataFrame:
 
 def fallback_rate(pred: DataFrame) -> DataFrame:
     """Flagged rows / rows."""
-    return pred.agg(F.count(F.lit(1)).alias("rows"), F.count_if("fallback_applied").alias("fallback_rows")) \
+    return pred.agg(F.count(F.lit(1)).alias("rows"), count_where("fallback_applied").alias("fallback_rows")) \
         .withColumn("fallback_rate", F.when(F.col("rows") > 0, F.col("fallback_rows") / F.col("rows")).otherwise(0.0))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textpool.functions.aggregates import count_where
 from textpool.operators import explore as X
 from textpool.operators import scoring as SC
 from textpool.operators import validation as V
@@ -55,8 +56,8 @@ def request_rules_q(spark, d):
     first assistant turn = topic title."""
     cv = read_table(spark, d, "conversations", "conv_id", "turn", "role", "text")
     req = cv.groupBy("conv_id").agg(
-        F.count_if(F.col("role") == "user").alias("n_texts"),
-        F.count_if(F.col("role") == "system").alias("n_rows"),
+        count_where(F.col("role") == "user").alias("n_texts"),
+        count_where(F.col("role") == "system").alias("n_rows"),
         F.coalesce(F.max(F.when(F.col("role") == "user", F.length("text"))), F.lit(0)).alias("max_text_chars"),
         F.min_by(F.when(F.col("role") == "assistant", F.col("text")),
                  F.when(F.col("role") == "assistant", F.col("turn"))).alias("topic_title"),
