@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpool.functions.arrays import explode_values
+from textpool.operators.ranking import top_k
 
 # Token patterns and encoder constants.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
@@ -29,13 +30,14 @@ def tokens(text_col: str = "text", pattern: str = WORD_PATTERN):
 def build_vocabulary(docs: DataFrame, vocab_size: int = 30_000, text_col: str = "text") -> DataFrame:
     """(token, token_id): the ``vocab_size`` most frequent tokens (count desc, token asc), ids from 4.
 
-    Counting is a partially aggregated shuffle on the token; the cut is a
-    top-k bounded by ``vocab_size``; ids come from a window over those ≤ k rows.
+    Counting is a partially aggregated shuffle on the token; the cut is an
+    exact top-k (``ranking.top_k``: single-task only for small k, else a
+    range-partitioned rank) whose rank gives the ids; the result is bounded by
+    ``vocab_size``.
     """
     counts = explode_values(docs, [], tokens(text_col), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), F.asc("token")).limit(vocab_size)
-    w = Window.orderBy(F.desc("n"), F.asc("token"))
-    return top.select("token", (F.row_number().over(w) + (N_SPECIAL - 1)).cast("int").alias("token_id"))
+    top = top_k(counts, vocab_size, [F.desc("n"), F.asc("token")], rank_col="_r")
+    return top.select("token", (F.col("_r") + N_SPECIAL).cast("int").alias("token_id"))
 
 
 def by_document(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -105,13 +107,15 @@ def tfidf_relational(docs: DataFrame, id_col: str = "id", text_col: str = "text"
     smallest thing to move); term counts per (id, term) and the per-document
     norm (a window on id) then reuse that partitioning.  The only other shuffle
     is the per-term document frequency, partially aggregated map-side.  The
-    selected vocabulary is bounded by ``max_features`` and broadcast.
+    cut to ``max_features`` terms is a range-partitioned exact top-k (no task
+    receives partitions × 80,000 rows); the selected vocabulary is bounded by
+    ``max_features`` and broadcast.
     """
     by_doc = by_document(docs, id_col, text_col)
     tf = explode_values(with_terms(by_doc, text_col), [id_col], F.col("terms"), "term") \
         .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    vocab = stats.filter(F.col("df") >= min_df).orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+    vocab = top_k(stats.filter(F.col("df") >= min_df), max_features, [F.desc("total"), F.asc("term")])
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     vocab = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     w = tf.join(F.broadcast(vocab), "term", "inner").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpool.functions.hashing import hex_bucket, seeded_hex
@@ -77,6 +77,32 @@ def with_seeded_rank(df: DataFrame, seed: int, key_cols: Sequence[str], group_co
     )
 
 
+def _rank_range_partitions(ranged: DataFrame, name: str, materialise: bool) -> DataFrame:
+    """Global 0-based rank of range-partitioned, locally sorted rows.
+
+    A row's rank is the number of rows in earlier range partitions (a count
+    table with one row per partition, broadcast) plus its local index.  With
+    ``materialise`` the rows are written once with a reliable ``checkpoint()``
+    in the shared folder, for inputs whose recomputation could differ.
+    """
+    spark = ranged.sparkSession
+    ranged = ranged.withColumn("_mid", F.monotonically_increasing_id()) \
+        .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)) \
+        .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+    if materialise:
+        from textpool.session import checkpoint_root
+        checkpoint_root(spark)
+        ranged = ranged.checkpoint(eager=True)
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    return (
+        ranged.join(F.broadcast(offsets), "_pid", "inner")  # size: number of range partitions
+        .withColumn(name, (F.col("_off") + F.col("_loc")).cast("long"))
+        .drop("_mid", "_pid", "_loc", "_off")
+    )
+
+
 def with_sorted_rank(df: DataFrame, seed: int, key_cols: Sequence[str], name: str = "_rank",
                      n_parts: int | None = None) -> DataFrame:
     """0-based global rank ordered by ``md5(seed || keys)``, keys — safe for hot keys.
@@ -84,29 +110,54 @@ def with_sorted_rank(df: DataFrame, seed: int, key_cols: Sequence[str], name: st
     Rows are range-partitioned on (md5, keys, u) where ``u`` is a seeded random
     tie-breaker, so even a key holding a third of all rows is cut across many
     tasks (identical rows are interchangeable, so ``u`` never changes the result).
-    After a local sort, a row's rank is the rows in earlier range partitions
-    (a count table of ``n_parts`` rows, broadcast) plus its local index.
     The tagged rows are materialised once with a reliable ``checkpoint()`` in
     the shared checkpoint folder, so the count pass and the rank pass read the
     same rows (the random tie-breaker is never re-drawn, even after executor loss).
     """
-    from textpool.session import checkpoint_root
     spark = df.sparkSession
     n = n_parts or default_buckets(spark, floor=8, cap=1 << 15)
     keys = list(key_cols)
     tagged = df.withColumn("_h", seeded_hex(seed, *keys)).withColumn("_u", F.rand(seed))
     order = ["_h", *keys, "_u"]
     ranged = tagged.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_mid", F.monotonically_increasing_id()) \
-        .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)) \
-        .withColumn("_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
-    checkpoint_root(spark)
-    ranged = ranged.checkpoint(eager=True)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (
-        ranged.join(F.broadcast(offsets), "_pid", "inner")  # size: number of range partitions
-        .withColumn(name, (F.col("_off") + F.col("_loc")).cast("long"))
-        .drop("_h", "_u", "_mid", "_pid", "_loc", "_off")
-    )
+    return _rank_range_partitions(ranged, name, materialise=True).drop("_h", "_u")
+
+
+def with_order_rank(df: DataFrame, order: Sequence[Column], name: str = "_rank",
+                    n_parts: int | None = None) -> DataFrame:
+    """0-based global rank under a *total* order (its keys are unique), with no single-task sort.
+
+    Range-partitioned on the order and sorted within partitions.  The range
+    bounds come from a sample of rows whose arrival order after a shuffle is
+    not fixed, so two evaluations may cut the partitions differently: the
+    ranked rows are materialised once (reliable checkpoint) and the count and
+    rank passes both read them.
+    """
+    n = n_parts or default_buckets(df.sparkSession, floor=8, cap=1 << 15)
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return _rank_range_partitions(ranged, name, materialise=True)
+
+
+# Largest k served by a single-task top-k (TakeOrderedAndProject): every
+# partition sends its local top-k to one task, i.e. partitions × k rows.
+TOPK_SINGLE_TASK_LIMIT = 10_000
+
+
+def top_k(df: DataFrame, k: int, order: Sequence[Column], rank_col: str | None = None,
+          n_parts: int | None = None, single_task_limit: int | None = None) -> DataFrame:
+    """Exactly the first ``k`` rows under a total ``order``; optionally their 0-based rank.
+
+    Small ``k``: TakeOrderedAndProject (and, for the rank, a window over those
+    ≤ k rows).  Large ``k``: a range-partitioned global rank and a filter, so
+    no task receives ``partitions × k`` rows.
+    """
+    limit = TOPK_SINGLE_TASK_LIMIT if single_task_limit is None else single_task_limit
+    order = list(order)
+    if k <= limit:
+        top = df.orderBy(*order).limit(k)
+        if rank_col:
+            top = top.withColumn(rank_col, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+        return top
+    name = rank_col or "_topk_rank"
+    ranked = with_order_rank(df, order, name, n_parts).filter(F.col(name) < k)
+    return ranked if rank_col else ranked.drop(name)
