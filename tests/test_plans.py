@@ -93,3 +93,18 @@ def test_stratified_split_scans_its_input_once(spark, tmp_path):
     assert "isFinalPlan=true" in executed
     # the deduplicated input feeds quotas, bucket counts and ranks through one exchange
     assert "ReusedExchange" in executed or executed.count("FileScan parquet") == 1
+
+
+def test_deep_page_equals_offset_page(spark):
+    from textpool.operators import explore as X
+    rows = [(f"id{i:04d}", None if i % 17 == 0 else f"t{i % 50:02d}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "id string, text string").repartition(6)
+    for direction in ("asc", "desc"):
+        shallow = [tuple(r) for r in X.page(df, 7, "text", direction).collect()]
+        old = R.TOPK_SINGLE_TASK_LIMIT
+        try:
+            R.TOPK_SINGLE_TASK_LIMIT = 0
+            deep = [tuple(r) for r in X.page(df, 7, "text", direction).collect()]
+        finally:
+            R.TOPK_SINGLE_TASK_LIMIT = old
+        assert deep == shallow and len(deep) == 25

@@ -32,22 +32,36 @@ def search(df: DataFrame, sentiment: str = "All", query: str = "") -> DataFrame:
     return df.filter(cond)
 
 
+def sort_order(key: str, direction: str = "asc", tie: str = "id") -> list[Column]:
+    """T2's order: nulls behave as the empty (smallest) value; ``tie`` makes it total."""
+    c = F.col(key)
+    return [c.asc_nulls_first() if direction == "asc" else c.desc_nulls_last(), F.col(tie).asc()]
+
+
 def sort_rows(df: DataFrame, key: str, direction: str = "asc", tie: str = "id") -> DataFrame:
     """User sort; nulls behave as the empty (smallest) value; ``tie`` gives a total order."""
-    c = F.col(key)
-    o = c.asc_nulls_first() if direction == "asc" else c.desc_nulls_last()
-    return df.orderBy(o, F.col(tie).asc())
+    return df.orderBy(*sort_order(key, direction, tie))
 
 
 def page(df: DataFrame, page_no: int, key: str, direction: str = "asc", tie: str = "id",
          page_size: int = PAGE_SIZE) -> DataFrame:
-    """One page of the sorted rows; top-k (TakeOrderedAndProject), no full sort.
+    """One page of the sorted rows, without a full sort.
 
-    The page number is clamped to ``[1, total_pages]`` by the caller-visible
-    ``total_pages``; deep pages should use :func:`page_after` (keyset).
+    Shallow pages are a top-k of ``page_no · page_size`` rows
+    (TakeOrderedAndProject).  Deeper pages would send partitions × that many
+    rows to one task, so they use the range-partitioned global rank instead
+    and keep the rows whose rank falls in the page.  The page number is
+    clamped to ``[1, total_pages]`` by :func:`clamped_page`.
     """
+    from textpool.operators import ranking as R
     p = max(1, int(page_no))
-    return sort_rows(df, key, direction, tie).offset((p - 1) * page_size).limit(page_size)
+    start = (p - 1) * page_size
+    order = sort_order(key, direction, tie)
+    if start + page_size <= R.TOPK_SINGLE_TASK_LIMIT:
+        return df.orderBy(*order).offset(start).limit(page_size)
+    ranked = R.with_order_rank(df, order, "_pos")
+    return ranked.filter((F.col("_pos") >= start) & (F.col("_pos") < start + page_size)) \
+        .orderBy("_pos").drop("_pos")
 
 
 def total_pages(df: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
