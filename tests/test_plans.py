@@ -73,6 +73,7 @@ def test_keep_top_aspects_semi_join(spark):
     rows = [(str(i), f"a{i % 4}", "Positive", 99.0) for i in range(40)] + [("x", "a0", "Negative", 99.0)]
     df = spark.createDataFrame(rows, "id string, detected_aspect string, sentiment string, confidence_score double")
     kept = AS.keep_top_aspects(df, k=1).collect()
+    assert sorted(map(tuple, AS.keep_top_aspects(df, k=1, materialise=False).collect())) == sorted(map(tuple, kept))
     assert {r.detected_aspect for r in kept} == {"a0"} and len(kept) == 11
 
 

@@ -83,3 +83,21 @@ def test_distribution_and_rate(spark):
     share = {x.sentiment: x.share_pct for x in SC.sentiment_share(df).collect()}
     assert abs(share["Positive"] - 200 / 3) < 1e-9
     assert F is not None
+
+
+def test_score_upload_outputs_share_one_scoring(spark):
+    from textpool.operators import scoring as SC
+
+    class ByLength:
+        def __call__(self):
+            def score(texts):
+                return pd.DataFrame({"l0": 0.0, "l1": 0.0, "l2": texts.str.len().astype(float)})
+            return score
+
+    entries = spark.createDataFrame([(str(i), "x" * (i % 5)) for i in range(40)], "id string, text string").coalesce(1)
+    out = SC.score_upload(entries, ByLength())
+    preds = out["predictions"].collect()
+    dist = {r.label: r["count"] for r in out["distribution"].collect()}
+    fb = out["fallback"].collect()[0]
+    assert len(preds) == 24 and dist["Total"] == 24 and fb.rows == 24  # lengths 0 and 1 (16 of 40) dropped
+    assert sum(dist[k] for k in dist if k != "Total") == 24

@@ -104,8 +104,17 @@ def top_aspects(rows: DataFrame, k: int = 10) -> DataFrame:
         .orderBy(F.desc("n"), F.asc("detected_aspect")).limit(k)
 
 
-def keep_top_aspects(rows: DataFrame, k: int = 10) -> DataFrame:
-    """The rows whose aspect is among the top-k (a ≤ k-row table, so the semi join broadcasts it)."""
+def keep_top_aspects(rows: DataFrame, k: int = 10, materialise: bool = True) -> DataFrame:
+    """The rows whose aspect is among the top-k (a ≤ k-row table, so the semi join broadcasts it).
+
+    The rows are read twice (ranking, then the semi join); with ``materialise``
+    they are written once with a reliable ``checkpoint()`` in the shared folder,
+    so the scorer behind them runs once.
+    """
+    if materialise:
+        from textpool.session import checkpoint_root
+        checkpoint_root(rows.sparkSession)
+        rows = rows.checkpoint(eager=True)
     top = top_aspects(rows, k).select("detected_aspect")
     return rows.join(F.broadcast(top), "detected_aspect", "left_semi")
 

@@ -161,6 +161,21 @@ def score_texts(entries: DataFrame, scorer, enabled: bool = True, threshold: flo
     return predict_from_logits(apply_scorer(v, scorer), enabled, threshold)
 
 
+def score_upload(entries: DataFrame, scorer, enabled: bool = True,
+                 threshold: float = CONFIDENCE_THRESHOLD) -> dict[str, DataFrame]:
+    """M8: one scoring pass feeding the prediction table, the distribution and the fallback rate.
+
+    The prediction rows are materialised once with a reliable ``checkpoint()``
+    in the shared checkpoint folder: the scorer (the slow, Python step) runs
+    once however many outputs are read, and a lost executor re-reads the
+    checkpoint instead of re-running the model.
+    """
+    from textpool.session import checkpoint_root
+    checkpoint_root(entries.sparkSession)
+    pred = prediction_rows(score_texts(entries, scorer, enabled, threshold), with_map=False).checkpoint(eager=True)
+    return {"predictions": pred, "distribution": sentiment_distribution(pred), "fallback": fallback_rate(pred)}
+
+
 # ── A3 / A4 / A19 / K4 ──────────────────────────────────────────────────────
 def sentiment_distribution(df: DataFrame, col: str = "sentiment") -> DataFrame:
     """A3: counts per sentiment plus the total (rollup: one aggregation, both levels)."""

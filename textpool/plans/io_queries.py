@@ -48,7 +48,7 @@ def upload_pipeline(spark, d):
     id_col = C.pick_column(df.columns, C.ID_ALIASES)
     entries = df.select(F.col(id_col).alias("id") if id_col else F.lit(None).cast("string").alias("id"),
                         F.col(text_col).alias("text"))
-    pred = SC.prediction_rows(SC.score_texts(entries, SCORER), with_map=False)
+    pred = SC.score_upload(entries, SCORER)["predictions"]  # scored once; distribution/fallback read the same rows
     return pred.select("id", "sentiment", "raw_sentiment", "fallback_applied", F.round("confidence", 4).alias("confidence"))
 
 
