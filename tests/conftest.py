@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -11,8 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from textpool.session import local_session
     s = local_session(cores=4, shuffle_partitions=4, app="textpool-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="textpool-tests-"))
+    from textpool.session import checkpoint_root
+    checkpoint_root(s)  # the configured spark.checkpoint.dir, or a private folder when unset
     yield s
 
 

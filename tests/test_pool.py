@@ -111,11 +111,13 @@ def test_seeded_sample_exact_and_partition_independent(spark):
     assert len(big) == 1050
     old = P.TOPK_SAMPLE_LIMIT
     try:
-        P.TOPK_SAMPLE_LIMIT = 10  # force the distributed rank path
+        P.TOPK_SAMPLE_LIMIT = 10  # force the bucket-cut + distributed rank path
         c = sorted(map(tuple, P.seeded_sample(df, 123, seed=42, n_buckets=4).collect()))
+        c64 = sorted(map(tuple, P.seeded_sample(df.repartition(5), 123, seed=42, n_buckets=64).collect()))
+        every = sorted(map(tuple, P.seeded_sample(df, 10**6, seed=42, n_buckets=64).collect()))
     finally:
         P.TOPK_SAMPLE_LIMIT = old
-    assert c == a
+    assert c == a and c64 == a and every == big
 
 
 def test_class_weights(spark):

@@ -214,15 +214,29 @@ def seeded_sample(df: DataFrame, n: int, seed: int = SEED, key_cols: Sequence[st
     """Exactly ``min(n, count)`` rows, chosen by ``md5(seed || keys)`` order.
 
     Small ``n``: top-k (TakeOrderedAndProject, ``n`` rows per task at most).
-    Large ``n``: a range-partitioned global rank and a filter — no single-task
-    sort, and a hot key is split across tasks by a random tie-breaker.
-    Identical rows tie, but they are indistinguishable, so the result is exact.
+    Large ``n``: rows are counted per md5-prefix bucket (a partially
+    aggregated table of at most ``n_buckets`` rows).  Buckets are monotone in
+    the md5 order, so every row of a bucket before the one where the running
+    count reaches ``n`` is in the sample and no row after it is.  Only those
+    candidates get the exact range-partitioned rank (no single-task sort; a
+    hot key is cut across tasks by a random tie-breaker) and its checkpoint,
+    i.e. about ``n`` rows instead of the whole input.  Identical rows tie, but
+    they are indistinguishable, so the result is exact.
     """
+    from textpool.functions.hashing import hex_bucket, seeded_hex
+    from textpool.operators.ranking import default_buckets
     keys = list(key_cols)
     if n <= TOPK_SAMPLE_LIMIT:
-        from textpool.functions.hashing import seeded_hex
         return df.withColumn("_h", seeded_hex(seed, *keys)).orderBy("_h", *keys).limit(n).drop("_h")
-    ranked = with_sorted_rank(df, seed, keys, n_parts=n_buckets)
+    nb = n_buckets or default_buckets(df.sparkSession)
+    bucket = hex_bucket(seeded_hex(seed, *keys), nb)
+    counts = df.select(bucket.alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # ≤ nb rows
+    running = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    # scalar subquery (no driver round trip); null when n ≥ count, and then every row is a candidate
+    cut = counts.select("_b", running.alias("_cum")).filter(F.col("_cum") >= n) \
+        .agg(F.min("_b").alias("_cut")).scalar()
+    candidates = df.filter(bucket <= F.coalesce(cut, F.lit(nb)))
+    ranked = with_sorted_rank(candidates, seed, keys, n_parts=n_buckets)
     return ranked.filter(F.col("_rank") < n).drop("_rank")
 
 

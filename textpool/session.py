@@ -45,7 +45,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = spark.sparkContext.getCheckpointDir()
         if not root:
             root = tempfile.mkdtemp(prefix="textpool-ckpt-")
-            spark.conf.set("spark.checkpoint.dir", root)
+            try:
+                spark.conf.set("spark.checkpoint.dir", root)
+            except Exception:  # a core conf: not settable at runtime; setCheckpointDir below suffices
+                pass
     try:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(root)
