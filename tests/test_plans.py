@@ -24,10 +24,12 @@ def test_top_k_paths_agree_with_brute_force(spark):
     rows, df = _counts(spark)
     want = sorted(rows, key=lambda r: (-r[1], r[0]))
     order = [F.desc("n"), F.asc("term")]
-    for limit in (10**9, 0):  # single-task top-k, then the range-partitioned rank
-        got = R.top_k(df, 300, order, rank_col="rk", n_parts=7, single_task_limit=limit).collect()
-        assert sorted((r.rk, r.term, r.n) for r in got) == [(i, t, n) for i, (t, n) in enumerate(want[:300])]
-    assert R.top_k(df, 10**6, order, single_task_limit=0).count() == len(rows)
+    # single-task top-k, the range-partitioned rank, and the rank over the count-bucket candidates
+    for limit, cnt in ((10**9, None), (0, None), (0, "n")):
+        for k in (1, 300, 1999):
+            got = R.top_k(df, k, order, rank_col="rk", n_parts=7, single_task_limit=limit, desc_count=cnt).collect()
+            assert sorted((r.rk, r.term, r.n) for r in got) == [(i, t, n) for i, (t, n) in enumerate(want[:k])]
+        assert R.top_k(df, 10**6, order, single_task_limit=0, desc_count=cnt).count() == len(rows)
 
 
 def test_vocabulary_ids_same_on_both_paths(spark):

@@ -36,7 +36,7 @@ def build_vocabulary(docs: DataFrame, vocab_size: int = 30_000, text_col: str =
     ``vocab_size``.
     """
     counts = explode_values(docs, [], tokens(text_col), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = top_k(counts, vocab_size, [F.desc("n"), F.asc("token")], rank_col="_r")
+    top = top_k(counts, vocab_size, [F.desc("n"), F.asc("token")], rank_col="_r", desc_count="n")
     return top.select("token", (F.col("_r") + N_SPECIAL).cast("int").alias("token_id"))
 
 
@@ -115,7 +115,8 @@ def tfidf_relational(docs: DataFrame, id_col: str = "id", text_col: str = "text"
     tf = explode_values(with_terms(by_doc, text_col), [id_col], F.col("terms"), "term") \
         .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    vocab = top_k(stats.filter(F.col("df") >= min_df), max_features, [F.desc("total"), F.asc("term")])
+    vocab = top_k(stats.filter(F.col("df") >= min_df), max_features, [F.desc("total"), F.asc("term")],
+                  desc_count="total")
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     vocab = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
     w = tf.join(F.broadcast(vocab), "term", "inner").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))

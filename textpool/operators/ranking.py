@@ -143,13 +143,31 @@ def with_order_rank(df: DataFrame, order: Sequence[Column], name: str = "_rank",
 TOPK_SINGLE_TASK_LIMIT = 10_000
 
 
+# Buckets per doubling of a count score: a bucket spans a factor 2^(1/16) ≈ 1.044.
+_LOG_STEPS = 16
+
+
+def _count_bucket(score: Column) -> Column:
+    """Monotone bucket of a non-negative score: -1 for ≤ 0, else floor(16 · log2(score))
+    (at most about 1,000 distinct values for any 64-bit count)."""
+    return F.when(score > 0, F.floor(F.log2(score.cast("double")) * _LOG_STEPS)).otherwise(F.lit(-1)).cast("int")
+
+
 def top_k(df: DataFrame, k: int, order: Sequence[Column], rank_col: str | None = None,
-          n_parts: int | None = None, single_task_limit: int | None = None) -> DataFrame:
+          n_parts: int | None = None, single_task_limit: int | None = None,
+          desc_count: str | None = None) -> DataFrame:
     """Exactly the first ``k`` rows under a total ``order``; optionally their 0-based rank.
 
     Small ``k``: TakeOrderedAndProject (and, for the rank, a window over those
     ≤ k rows).  Large ``k``: a range-partitioned global rank and a filter, so
     no task receives ``partitions × k`` rows.
+
+    ``desc_count`` names a non-negative count column that is the first,
+    descending order key.  Rows are then counted per log-scale bucket of it
+    (≈ 1,000 buckets, partially aggregated), a scalar subquery finds the bucket
+    where the running count from the top reaches ``k``, and only rows at or
+    above it (about ``1.05 · k`` for frequency-like counts) are ranked and
+    materialised — not every row.
     """
     limit = TOPK_SINGLE_TASK_LIMIT if single_task_limit is None else single_task_limit
     order = list(order)
@@ -158,6 +176,15 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], rank_col: str | None =
         if rank_col:
             top = top.withColumn(rank_col, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
         return top
+    if desc_count:
+        b = _count_bucket(F.col(desc_count))
+        hist = df.select(b.alias("_lb")).groupBy("_lb").agg(F.count(F.lit(1)).alias("_n"))  # ≤ ~1,000 rows
+        running = F.sum("_n").over(Window.orderBy(F.desc("_lb")).rowsBetween(Window.unboundedPreceding, 0))
+        cut = hist.select("_lb", running.alias("_cum")).filter(F.col("_cum") >= k) \
+            .agg(F.max("_lb").alias("_cut")).scalar()  # null when k ≥ count: keep every row
+        df = df.filter(b >= F.coalesce(cut, F.lit(-1)))
+        # about k candidates: size the range partitions by k, not by the input
+        n_parts = n_parts or min(default_buckets(df.sparkSession, floor=8, cap=1 << 15), max(8, -(-k // 10_000)))
     name = rank_col or "_topk_rank"
     ranked = with_order_rank(df, order, name, n_parts).filter(F.col(name) < k)
     return ranked if rank_col else ranked.drop(name)
