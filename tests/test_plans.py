@@ -111,3 +111,24 @@ def test_deep_page_equals_offset_page(spark):
         finally:
             R.TOPK_SINGLE_TASK_LIMIT = old
         assert deep == shallow and len(deep) == 25
+
+
+def _docs(spark):
+    return spark.createDataFrame([(i, " ".join(f"w{(i * j) % 53}" for j in range(1, 40))) for i in range(80)],
+                                 "id long, text string")
+
+
+def test_tfidf_vocabulary_cut_has_no_single_task_topk(spark):
+    plan = FE.tfidf_relational(_docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan  # the 80,000-term cut is a range-partitioned rank
+
+
+def test_encode_folds_documents_without_a_second_shuffle(spark):
+    docs = _docs(spark)
+    enc = FE.encode_fixed(docs, FE.build_vocabulary(FE.by_document(docs), 50))
+    lines = enc._jdf.queryExecution().executedPlan().toString().split("\n")
+    aggs = [i for i, line in enumerate(lines) if "ObjectHashAggregate(keys=[id" in line]
+    assert len(aggs) == 2  # partial and final per-document fold ...
+    assert not any("Exchange" in line for line in lines[aggs[0]:aggs[1]])  # ... with no shuffle between them
+    rows = enc.collect()
+    assert len(rows) == 80 and all(len(r.input_ids) == FE.MAX_LEN for r in rows)
