@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpool.llm import line_dedup, mixing, url_filter
+from textpool.llm import langid, line_dedup, mixing, pii, url_filter
 from textpool.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,16 @@ def op2(spark, d):
     return url_filter.judge_urls(spark, read_table(spark, d, "pages", "page_id", "url", "html"))
 
 
+@_query("op5_personal_data")
+def op5(spark, d):
+    return pii.pii_digest(spark, read_table(spark, d, "documents", "doc_id", "text"))
+
+
+@_query("op8_language_id")
+def op8(spark, d):
+    return langid.langid_digest(spark, read_table(spark, d, "documents", "doc_id", "text", "lang"))
+
+
 @_query("op10_line_dedup", line_dedup.SQL)
 def op10(spark, d):
     return line_dedup.line_dedup_digest(spark, read_table(spark, d, "documents", "doc_id", "text"))
