@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpool.llm import langid, line_dedup, mixing, pii, url_filter
+from textpool.llm import decontam, html_extract, langid, line_dedup, mixing, pii, tool_chat, url_filter
 from textpool.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,16 +32,32 @@ def op2(spark, d):
     return url_filter.judge_urls(spark, read_table(spark, d, "pages", "page_id", "url", "html"))
 
 
+@_query("op4_decontaminate")
+def op4(spark, d):
+    return decontam.contamination_digest(spark, read_table(spark, d, "documents", "doc_id", "text"),
+                                         read_table(spark, d, "benchmark", "item_id", "text"))
+
+
 @_query("op5_personal_data")
 def op5(spark, d):
     return pii.pii_digest(spark, read_table(spark, d, "documents", "doc_id", "text"))
 
 
+@_query("op6_main_text")
+def op6(spark, d):
+    return html_extract.extract(spark, read_table(spark, d, "pages", "page_id", "url", "html"))
+
+
 @_query("op8_language_id")
 def op8(spark, d):
     return langid.langid_digest(spark, read_table(spark, d, "documents", "doc_id", "text", "lang"))
 
 
+@_query("op9_tool_calls", tool_chat.SQL)
+def op9(spark, d):
+    return tool_chat.tool_chat_digest(spark, read_table(spark, d, "conversations", "conv_id", "turn", "role", "text"))
+
+
 @_query("op10_line_dedup", line_dedup.SQL)
 def op10(spark, d):
     return line_dedup.line_dedup_digest(spark, read_table(spark, d, "documents", "doc_id", "text"))
