@@ -9,12 +9,12 @@ document must repeat its own.
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +36,11 @@ UNITS = frozenset("""
     days week weeks month months year years hz khz mhz ghz w kw mw j kj cal kcal v mv ma k c f pa kpa bar mph kmh kph dollar
     dollars cent cents euro euros percent
     """.split())
-_NUMBER = re.compile(r"[-+$€£]?[0-9][0-9.,:/]*[%$€£]?$|(?:zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million|billion)$")
+#: Numbers as words.
+NUMBERS = frozenset("""
+    zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million billion
+    """.split())
+_NUMBER = re.compile(r"[-+$€£]?[0-9][0-9.,:/]*[%$€£]?$")
 _NUMBER_UNIT = re.compile(r"([-+$€£]?[0-9][0-9.,]*)([a-z]+)$")
 _STRIP = "\"'`“”‘’«»()[]{}<>.,;:!?*#&%$_~|…-"
 #: Words remembered by a task.
@@ -44,7 +48,7 @@ _FORGET = 500_000
 SLAB = 2_000_000
 
 WORD, NUM, UNIT, NAME, NONE = 0, 1, 2, 3, -1
-_SEED = np.uint64(0x9E3779B97F4A7C15)
+_SEED = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,7 +59,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
 #: Stands for a line break among the words.
@@ -72,13 +76,16 @@ class Words(dict):
         self.traits.append((0, NONE, False, True))
 
     def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.traits)
+        if word.isalpha() and word.islower():  # most words
+            self.traits.append((_word_hash(word), NUM if word in NUMBERS else WORD, False, False))
+            return number
         bare = word.strip(_STRIP)
         low = bare.lower()
-        kind = NUM if _NUMBER.match(low) else WORD
+        kind = NUM if low in NUMBERS or _NUMBER.match(low) else WORD
         if kind == WORD and (m := _NUMBER_UNIT.match(low)) and m[2] in UNITS:
             kind = NUM
         capital = bool(bare) and bare[0].isupper() and any(c.islower() for c in bare)
-        self[word] = number = len(self.traits)
         self.traits.append((_word_hash(low), kind if bare else NONE, capital, word.rstrip("\"'”’»)]").endswith((".", "!", "?", ":"))))
         return number
 
@@ -92,7 +99,7 @@ def tokens(texts: list[str], words: Words | None = None) -> tuple[np.ndarray, np
     words = Words() if words is None else words
     split = [t.replace("\n", f" {_BREAK} ").split() for t in texts]
     lengths = [len(w) for w in split]
-    ids = np.fromiter((n for w in split for n in map(words.__getitem__, w)), np.int64, sum(lengths))
+    ids = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, sum(lengths))
     used, ids = np.unique(ids, return_inverse=True)
     traits = [words.traits[i] for i in used.tolist()]
     value, kind, capital, ends = (np.array([t[i] for t in traits], d)[ids] for i, d in enumerate((np.uint64, np.int8, bool, bool)))
@@ -120,7 +127,7 @@ def windows(value: np.ndarray, kind: np.ndarray, doc: np.ndarray, size: int = WI
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     template = np.where(kind == WORD, value, _PLACEHOLDER[kind])
-    factor = _mix(np.arange(1, size + 1, dtype=np.uint64) + np.uint64(size) * _SEED) | np.uint64(1)
+    factor = _mix(np.arange(1, size + 1, dtype=np.uint64) + np.uint64(size * _SEED % (1 << 64))) | np.uint64(1)
     h = template[:n] * factor[0]
     for j in range(1, size):
         h += template[j:j + n] * factor[j]
