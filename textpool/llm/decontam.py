@@ -10,6 +10,7 @@ document must repeat its own.
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -47,7 +48,8 @@ _STRIP = "\"'`“”‘’«»()[]{}<>.,;:!?*#&%$_~|…-"
 _FORGET = 500_000
 SLAB = 2_000_000
 
-WORD, NUM, UNIT, NAME, NONE = 0, 1, 2, 3, -1
+WORD, NUM, UNIT, NAME, NONE = 0, 1, 2, 3, 4
+_CAPITAL, _ENDS = 8, 16
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -58,35 +60,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-
+_word_hash = xxhash.xxh3_64_intdigest
 
 #: Stands for a line break among the words.
 _BREAK = "\ue000\ue001"
 
 
 class Words(dict):
-    """Numbers words as they come; per number: hash of the bare word, kind by itself, is capitalised, ends a sentence."""
+    """Numbers words as they come; keeps the hash of each bare word, and its kind by itself with flags for a capital and a sentence's end."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.traits: list[tuple[int, int, bool, bool]] = []
+        self.hashes, self.traits = array("Q", [0]), array("B", [NONE | _ENDS])
         self[_BREAK] = 0
-        self.traits.append((0, NONE, False, True))
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self.traits)
         if word.isalpha() and word.islower():  # most words
-            self.traits.append((_word_hash(word), NUM if word in NUMBERS else WORD, False, False))
+            self.hashes.append(_word_hash(word))
+            self.traits.append(NUM if word in NUMBERS else WORD)
             return number
         bare = word.strip(_STRIP)
         low = bare.lower()
         kind = NUM if low in NUMBERS or _NUMBER.match(low) else WORD
         if kind == WORD and (m := _NUMBER_UNIT.match(low)) and m[2] in UNITS:
             kind = NUM
-        capital = bool(bare) and bare[0].isupper() and any(c.islower() for c in bare)
-        self.traits.append((_word_hash(low), kind if bare else NONE, capital, word.rstrip("\"'”’»)]").endswith((".", "!", "?", ":"))))
+        capital = bool(bare) and bare[0].isupper() and not bare.isupper()
+        ends = word.rstrip("\"'”’»)]").endswith((".", "!", "?", ":"))
+        self.hashes.append(_word_hash(low))
+        self.traits.append((kind if bare else NONE) | capital * _CAPITAL | ends * _ENDS)
         return number
 
 
@@ -100,9 +102,8 @@ def tokens(texts: list[str], words: Words | None = None) -> tuple[np.ndarray, np
     split = [t.replace("\n", f" {_BREAK} ").split() for t in texts]
     lengths = [len(w) for w in split]
     ids = np.fromiter(map(words.__getitem__, chain.from_iterable(split)), np.int64, sum(lengths))
-    used, ids = np.unique(ids, return_inverse=True)
-    traits = [words.traits[i] for i in used.tolist()]
-    value, kind, capital, ends = (np.array([t[i] for t in traits], d)[ids] for i, d in enumerate((np.uint64, np.int8, bool, bool)))
+    value, traits = np.array(words.hashes)[ids], np.array(words.traits)[ids]
+    kind, capital, ends = traits & 7, (traits & _CAPITAL) > 0, (traits & _ENDS) > 0
     doc = np.repeat(np.arange(len(texts)), lengths)
     told = (kind != NONE) | ends
     value, kind, capital, ends, doc = value[told], kind[told], capital[told], ends[told], doc[told]
