@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpool.llm import decontam, html_extract, langid, line_dedup, mixing, pii, tool_chat, url_filter
+from textpool.llm import decontam, html_extract, langid, line_dedup, mixing, ngram_join, pii, tool_chat, url_filter
 from textpool.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op6(spark, d):
     return html_extract.extract(spark, read_table(spark, d, "pages", "page_id", "url", "html"))
 
 
+@_query("op7_jaccard_join")
+def op7(spark, d):
+    return ngram_join.near_copies(spark, read_table(spark, d, "documents", "doc_id", "text"))
+
+
 @_query("op8_language_id")
 def op8(spark, d):
     return langid.langid_digest(spark, read_table(spark, d, "documents", "doc_id", "text", "lang"))
