@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpool.llm import decontam, html_extract, langid, line_dedup, mixing, ngram_join, pii, tool_chat, url_filter
+from textpool.llm import decontam, embed_dedup, html_extract, langid, line_dedup, mixing, ngram_join, pii, tool_chat, url_filter
 from textpool.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op2(spark, d):
     return url_filter.judge_urls(spark, read_table(spark, d, "pages", "page_id", "url", "html"))
 
 
+@_query("op3_embedding_dedup")
+def op3(spark, d):
+    return embed_dedup.near_vectors(spark, read_table(spark, d, "embeddings", "vec_id", "embedding", "label"))
+
+
 @_query("op4_decontaminate")
 def op4(spark, d):
     return decontam.contamination_digest(spark, read_table(spark, d, "documents", "doc_id", "text"),
