@@ -1,0 +1,520 @@
+"""Each operator against brute force or SQL, and on odd rows."""
+
+import hashlib
+import json
+import math
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.conftest import SF_SMALL
+from textpool.llm import decontam, embed_dedup, html_extract, langid, line_dedup, mixing, ngram_join, pii, shingles, tool_chat, url_filter
+from textpool.llm.common import connected, n_words
+from textpool.llm.queries import ORACLE, QUERIES
+from textpool.sources.tables import TABLES, table_path
+
+WORDS = "red blue green stone river cloud night paper glass music garden window market silver winter summer bread water light road".split()
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) * (rng.random() < 0.02) for _ in range(n))
+
+
+def odd_docs():
+    rng = random.Random(3)
+    long = "\n".join(prose(rng, 9) for _ in range(4000))
+    rows = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, " \n\t", "en", "b", 3), (None, "no id here at all", "en", None, 1),
+            (None, "no id here at all", "en", None, 1), (5, "The same text twice, in two rows.", "en", "a", 5),
+            (5, "The same text twice, in two rows.", "en", "a", 5), (6, "the SAME text twice, in two rows.", "en", "b", 5),
+            (7, long, "en", "a", len(long)), (8, "42 17 3", "en", "c", 7), (9, "é", "fr", "c", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    clash = ["size", "words", "epoch", "row", "lines", "f", "langid", "id", "key", "row_key"]
+    docs = spark.createDataFrame(odd_docs(), DOC)
+    return docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)])
+
+
+def empty(df):
+    return df.filter("false")
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# registered queries
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(SF_SMALL, t)}')")
+    got = QUERIES[name](spark, SF_SMALL).toPandas()
+    want = con.execute(ORACLE[name]).df()[list(got.columns)]
+
+    def lines(df):
+        return sorted("|".join(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False))
+
+    assert lines(got) == lines(want)
+
+
+def test_queries_cover_all_operators():
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+
+
+# 1 mixing
+
+def test_mix_meets_its_targets_and_limits(spark):
+    rng = random.Random(1)
+    rows = [(i, prose(rng, rng.choice([1, 5, 40])), "en", s, 0) for i, s in enumerate(["hot"] * 400 + ["b"] * 60 + [None] * 20 + ["tiny"])]
+    plan, _ = mixing.mix_plan(spark, spark.createDataFrame(rows, DOC))
+    got = plan.toPandas()
+    sizes = got.groupby(got.source.fillna("~"))["size"].sum()
+    taken, target = got.groupby(got.source.fillna("~"))["taken"].sum(), got.groupby(got.source.fillna("~"))["target"].first()
+    assert abs(target.sum() - sizes.sum()) < 1e-6 and (target <= 3 * sizes + 1e-9).all()
+    assert (abs(taken - target) <= 1).all()
+    assert (got.taken <= 3 * got["size"]).all()
+    open_sources = target < 3 * sizes - 1e-9
+    weight = np.array([1, 2, 3, 1])  # b, hot, tiny, null
+    assert len(set((target / weight)[open_sources].round(6))) == 1
+    again, _ = mixing.mix_plan(spark, spark.createDataFrame(rows, DOC).repartition(7))
+    assert rows_of(again.select("doc_id", "taken")) == rows_of(plan.select("doc_id", "taken"))
+
+
+def test_mixed_documents_hold_what_the_plan_takes(spark, odd):
+    plan, _ = mixing.mix_plan(spark, odd)
+    mixed = mixing.mix_documents(spark, odd)
+    assert mixed.columns[-2:] == ["epoch_", "words_"]
+    real = mixed.withColumn("n", n_words("text"))
+    assert real.filter("n <> words_").count() == 0
+    taken = plan.agg(F.sum("taken")).first()[0]
+    assert mixed.agg(F.sum("words_")).first()[0] == taken > 0
+    assert mixing.mix_documents(spark, empty(odd)).count() == 0
+    assert mixing.mixing_digest(spark, empty(odd)).count() == 0
+
+
+# 2 urls
+
+def test_rules_and_hosts(spark):
+    urls = [None, "", "no scheme/x", "http://A.Example.ORG/en/12?x#y", "http://example.org/es", "http://x.com/fr/1", "http://com/de/1#a",
+            "ftp://example.org", "http://notorg/x", "HTTP://b.net?q=/es/", "http://example.org/es/ä"]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(spark, pages).collect()}
+
+    def want(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host):])[0] if rest else ""
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, *(max(fits)[1:] if fits else (None, None))
+
+    for i, u in enumerate(urls):
+        w = want(u)
+        assert got[i][:3] == w[:3], u
+        if w[3]:
+            assert got[i][3] == w[3]
+    assert url_filter.judge_urls(spark, empty(pages)).count() == 0
+
+
+def test_distrust_flows_against_links_and_trust_along(spark):
+    links = [("http://good.org/", ["http://friend.net/a"]), ("http://friend.net/a", []), ("http://bad.com/de/1", []),
+             ("http://fan.net/", ["http://bad.com/x", "//bad.com/y", "/own"]), ("http://lonely.net/", [])]
+    pages = spark.createDataFrame([(i, u, "".join(f'<a class="x" href="{t}">t</a>' for t in to)) for i, (u, to) in enumerate(links)],
+                                  "page_id long, url string, html string")
+    edges = {(r.src, r.dst) for r in url_filter.host_edges(pages).collect()}
+    assert edges == {("good.org", "friend.net"), ("fan.net", "bad.com")}
+    got = {r.host: r for r in url_filter.judge_urls(spark, pages).collect()}
+    assert {h: r.verdict for h, r in got.items()} == {"good.org": "allow", "friend.net": "allow", "bad.com": "block", "fan.net": "block", "lonely.net": "allow"}
+    # brute force: the same rounds on dense matrices
+    names = sorted(got)
+    m = np.zeros((len(names),) * 2)
+    for s, t in edges:
+        m[names.index(t), names.index(s)] = 1
+    seed = np.array([float(n == "good.org") for n in names])
+    r = (1 - url_filter.DAMPING) * seed
+    for _ in range(url_filter.ROUNDS):
+        r = (1 - url_filter.DAMPING) * seed + url_filter.DAMPING * m @ r
+    assert all(abs(got[n].trust - x) < 1e-9 for n, x in zip(names, r, strict=True))
+
+
+# 3 embeddings
+
+def test_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    rows = []
+    for i in range(1500):
+        v = centres[i % 30] + rng.normal(size=16) * rng.choice([0.02, 0.15, 0.3])
+        rows.append((i, [float(x) for x in v.astype("float32")], int(i % 3 > 0)))
+    rows += [(2000 + i, rows[0][1], rows[0][2]) for i in range(700)]  # one large group of copies
+    rows += [(3000, None, 1), (3001, [0.0] * 16, 1), (3002, [float("nan")] + [1.0] * 15, 1), (3003, [None] + [1.0] * 15, 1),
+             (3004, [float("inf")] * 16, 1), (3005, rows[0][1], None), (3006, [], 1), (3007, [1.0, 2.0], 1), (3008, [2.0, 4.0], 1), (3009, [1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r for r in embed_dedup.near_vectors(spark, df).collect()}
+    assert len(got) == len(rows)
+    ids = [r[0] for r in rows[:2200]]
+    x = np.array([r[1] for r in rows[:2200]], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([r[2] for r in rows[:2200]])
+    hit = (x @ x.T >= embed_dedup.THRESHOLD) & (label[:, None] == label[None, :])
+    want = hit.sum(1) - 1
+    have = np.array([got[i].n_links for i in ids])
+    assert (have <= want).all() and have.sum() >= 0.9 * want.sum()
+    root = np.arange(len(ids))
+    for _ in range(len(ids)):
+        new = np.where(hit, root[None, :], len(ids)).min(1)
+        if (new == root).all():
+            break
+        root = new
+    if (have == want).all():
+        assert [got[i].component_id for i in ids] == [ids[r] for r in root]
+    assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in (3000, 3001, 3002, 3003, 3004, 3005, 3006, 3009))
+    assert got[3007].n_links == got[3008].n_links == 1 and got[3008].component_id == 3007 and not got[3008].kept
+    assert embed_dedup.near_vectors(spark, empty(df)).count() == 0
+
+
+def test_traversal_visits_cells_in_order():
+    rng = np.random.default_rng(0)
+    a, b = rng.random(9), rng.random(7)
+    cells = embed_dedup.traverse(a, b, 0.6)
+    all_cells = sorted((a[i] + b[j], i, j) for i in range(9) for j in range(7))
+    assert [(i, j) for s, i, j in all_cells if s <= all_cells[0][0] + 0.6] == cells
+
+
+# 4 decontamination
+
+def test_templates_catch_other_values_and_leave_clean_text(spark):
+    item = "Yesterday Anna Miller bought 12 kg of apples and later sold 12 boxes to old Peter Brown for a price of 30 dollars each"
+    bench = spark.createDataFrame([(1, item), (2, "short one with 5 words"), (3, None), (4, "")], "item_id long, text string")
+    rng = random.Random(2)
+    pre, post = prose(rng, 30) + ".", prose(rng, 30)
+    other = item.replace("12", "75").replace("30", "9.5").replace("Anna", "Berta").replace("kg", "pounds")
+    broken = item.replace("12 boxes", "99 boxes")
+    texts = [f"{pre} {item} {post}", f"{pre} {other} {post}", f"{pre} {broken} {post}", pre + post, None, "", f"{pre} Short one with 7 words {post}",
+             "Price 1 2 3 4 5 6 7 8 9 10 11 12 13 14", f"{pre} {item.lower()} {post}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contamination_digest(spark, docs, bench).collect()}
+    assert {(0, 1), (1, 1), (6, 2)} <= got and not {d for d, _ in got} & {3, 4, 5, 7}
+    whole = {d for d, _ in got}
+    kept = {r.doc_id for r in decontam.drop_contaminated(spark, docs.withColumn("row_key", F.lit(1)), bench).collect()}
+    assert kept == set(range(len(texts))) - whole
+    old = decontam.MOST_SHIPPED
+    decontam.MOST_SHIPPED = -1  # all windows meet in the join
+    try:
+        assert {(r.doc_id, r.item_id) for r in decontam.contamination_digest(spark, docs, bench).collect()} == got
+    finally:
+        decontam.MOST_SHIPPED = old
+    assert decontam.contamination_digest(spark, docs, empty(bench)).count() == 0
+    assert decontam.contamination_digest(spark, empty(docs), bench).count() == 0
+
+
+def test_inconsistent_values_break_an_alignment(spark):
+    item = "take 5 of the red stones and put 5 of them near the river then wait until the night is over"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    same, apart = item.replace("5", "8"), item.replace("5", "8", 1).replace("put 5", "put 6")
+    docs = spark.createDataFrame([(1, same), (2, apart)], "doc_id long, text string")
+    assert [r.doc_id for r in decontam.contamination_digest(spark, docs, bench).collect()] == [1]
+
+
+# 5 personal data
+
+def brute_spans(text):
+    def luhn(d):
+        t = 0
+        for i, c in enumerate(reversed(d)):
+            n = int(c) * (1 + i % 2)
+            t += n - 9 if n > 9 else n
+        return t % 10 == 0
+
+    rules = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+             ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and luhn(d)),
+             ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15))
+    return [(k, *m.span()) for k, p, ok in rules for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_base_spans_are_those_of_the_plain_patterns():
+    rng = random.Random(4)
+    pieces = ["a@b.c", "x.y+z@mail-1.example.com", "@", "a@b", ".", "1.2.3.4", "300.1.1.1", "001.2.3.255.6", "4111 1111 1111 1111", "4111-1111-1111-1112",
+              "+1 (212) 555-0199", "+1", " ", "\n", "é", "12", "-", "a", "+", "@x.y", "_", "5500005555555559", "٣"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+        assert pii.base_spans(text) == brute_spans(text), repr(text)
+    long = "9" * 50_000 + "a" * 50_000 + "." * 50_000 + "1." * 50_000
+    pii.base_spans(long)  # linear, so at once
+
+
+def test_contexts_find_identifiers_no_pattern_knows(spark, odd):
+    rows = [(i, f"some words before, send mail to user{i}@mail.example.com and wait", "en", "a", 0) for i in range(12)]
+    rows += [(100 + i, f"other words here, send mail to staff-{i}77 and wait", "en", "a", 0) for i in range(3)]
+    rows += [(200, "room 101 is not told by any context", "en", "a", 0)]
+    got = {r.doc_id: r for r in pii.pii_digest(spark, spark.createDataFrame(rows, DOC)).collect()}
+    assert got[0].n_email == 1 and got[0].n_ip == got[0].n_card == 0 and got[0].spans == "email:32:54"
+    assert got[0].base_sha256 == hashlib.sha256(b"email:32:54").hexdigest()
+    assert got[100].spans == "id:31:40" and got[100].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert got[200].spans == ""
+    digest = pii.pii_digest(spark, odd)
+    assert digest.count() == len(odd_docs())
+    assert pii.pii_digest(spark, empty(odd)).count() == 0
+
+
+# 6 html
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu one</a><li><a href=/y>Menu two</a></ul></nav>
+<div class="cookie-banner">We use cookies on this page and ask you to accept all of them.</div>
+<article class="post"><header><h1>A &amp; B</h1></header><p>First&nbsp;text  with
+ several words.<br>Next line<p>Unclosed <b>bold<p>Short.</p><!-- <p>hidden</p> -->
+<aside>Related stories that you may also want to read today.</aside><div id="comments"><p>Reader: what a fine text this is, thanks.</p></div>
+<form><label>Name</label><input value="v"><textarea>typed</textarea><button>Send</button></form><p>1 &lt; 2 &#8212; &eacute;</p></article>
+<aside class="sidebar"><p>Beside the text stand many words that do not belong to it.</p></aside><footer>&copy; all rights</footer></body></html>"""
+
+
+def test_main_text(spark):
+    plain = "<p>" + " ".join(["word"] * 30) + "</p>"
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", plain), (5, "u", "<p"), (6, "u", "a < b > c"),
+                                   (7, "u", "<article>" + "<p>x</p>" * 5000), (None, "u", PAGE)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_extract.extract(spark, pages).collect()}
+    assert got[1].text == "A & B\nFirst text with several words. Next line\nUnclosed bold\nShort.\n1 < 2 — é"
+    assert got[1].n_chars == len(got[1].text) and got[None].text == got[1].text
+    assert got[2].text == got[3].text == "" and got[2].n_chars == 0
+    assert got[4].text == " ".join(["word"] * 30)
+    assert got[7].text == "\n".join(["x"] * 5000)
+    assert html_extract.extract(spark, empty(pages)).count() == 0
+
+
+def test_tree_agrees_with_its_table(spark):
+    tree = html_extract.train(spark)
+    rows = html_extract.labelled_blocks()
+    got = html_extract.judge(tree, np.array([x for _, x in rows]))
+    assert (got == np.array([y > 0.5 for y, _ in rows])).mean() >= 0.95
+
+
+# 7 Jaccard join
+
+def word_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_classes(rows):
+    sets = [word_set(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            inter = len(x & sets[j])
+            if inter and 100 * inter >= 75 * (len(x) + len(sets[j]) - inter):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    out = {}
+    for i in range(len(rows)):
+        out.setdefault(root(i), []).append(rows[i][0])
+    return sorted((rows[i][0], len(sets[i]), min(out[root(i)])) for i in range(len(rows)))
+
+
+def near_rows(seed=11, groups=6):
+    rng = random.Random(seed)
+    passage = prose(rng, 60)
+    rows = []
+    for g in range(groups):
+        base = prose(rng, rng.choice([6, 40, 200])).split()
+        for _ in range(rng.choice([2, 9, 40])):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(1, len(w) // 25) + 1)):
+                w[rng.randrange(len(w))] = rng.choice(WORDS) + "x"
+            rows.append(" ".join(w).title() if rng.random() < 0.1 else "\t".join(w))
+    rows += [f"{prose(rng, 25)} {passage} {prose(rng, rng.choice([2, 25]))}" for _ in range(40)]
+    rows += [prose(rng, 80) for _ in range(30)] + ["", None, " ", "one", "ONE", "one two three four", "one two three four five"]
+    rng.shuffle(rows)
+    return [(i, t) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("region", [ngram_join.REGION, 0.02])
+def test_jaccard_join_against_brute_force(spark, region, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_REGION_END", np.uint64(int(region * 2**64)))  # a small part certifies few
+    monkeypatch.setattr(ngram_join, "GROUP", 4)  # many parts, so that the last step has pairs left
+    rows = near_rows()
+    got = ngram_join.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_classes(rows)
+
+
+def test_jaccard_join_without_shipped_classes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_SHIPPED", -1)
+    rows = near_rows(12, 3)
+    got = ngram_join.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_classes(rows)
+
+
+def test_jaccard_join_on_odd_rows(spark, odd):
+    got = ngram_join.near_copies(spark, odd).collect()
+    assert len(got) == len(odd_docs())
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id in (1, 2, 3, 5, 6)) == [(1, 1), (2, 2), (3, 3), (5, 5), (5, 5), (6, 5)]
+    kept = ngram_join.keep_one_of_each(spark, odd)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 3, 5, 7, 8, 9}
+    assert not kept.filter("doc_id = 6").count()
+    assert ngram_join.near_copies(spark, empty(odd)).count() == 0
+
+
+def test_long_texts_are_cut_only_between_words(monkeypatch):
+    import pyarrow as pa
+    texts = [t for _, t in near_rows(13, 2)]
+
+    def sets():
+        return [(i, frozenset(h[r == i].tolist())) for a, b, h, r in shingles.shingle_sets(pa.array(texts)) for i in range(a, b)]
+
+    whole = sets()
+    monkeypatch.setattr(shingles, "SLAB", 50)
+    assert sets() == whole and [len(s) for _, s in whole] == [len(word_set(t)) for t in texts]
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, i) for i in range(1001, 1400)] + [(i, i + 1) for i in range(2000, 2100)]
+    got = {r.node: r.root for r in connected(spark, spark.createDataFrame(pairs, "u long, v long"), "t").collect()}
+    up = {x: x for p in pairs for x in p}
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    assert all(got.get(x, x) == root(x) for x in up)
+
+
+# 8 language
+
+def test_language_models_are_right_on_held_out_texts(spark):
+    got = QUERIES["op8_language_id"](spark, SF_SMALL)
+    docs = spark.read.parquet(table_path(SF_SMALL, "documents")).select("doc_id", "lang")
+    right, n = got.filter("held_out").join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count(F.lit(1))).first()
+    assert n > 20 and right >= 0.98
+    assert got.filter("score < 0 OR score > 1").count() == 0
+
+
+def test_models_sum_to_one():
+    rng = random.Random(1)
+    counts = {l: np.unique(langid.symbols([prose(rng, 60)])[0], return_counts=True) for l in ("a", "b")}
+    model = langid.estimate(["a", "b"], counts)
+    letters = (model.grams[1][0]).astype(np.uint64)
+    for context in (counts["a"][0][5] >> np.uint64(16), np.uint64(ord("z") + 1)):
+        p = np.exp(model.log_p((np.uint64(context) << np.uint64(16)) | letters).astype(float)).sum(0)
+        assert np.allclose(p + np.exp(model.log_p(np.array([(int(context) << 16) | 64000], np.uint64)))[0], 1, atol=1e-3)
+
+
+def test_language_of_odd_rows(spark, odd):
+    docs = odd.unionByName(spark.createDataFrame([(50 + i, "日本語 " * 60, None, "a", 0) for i in range(2)], DOC), allowMissingColumns=True)
+    rng = random.Random(6)
+    more = spark.createDataFrame([(100 + i, prose(rng, 50), "en", "a", 0) for i in range(60)]
+                                 + [(200 + i, "der die das und ich nicht " * rng.randrange(2, 9) + f"wort{i}", "de", "a", 0) for i in range(60)], DOC)
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    got = langid.langid_digest(spark, docs).collect()
+    assert len(got) == docs.count()
+    und = {r.doc_id for r in got if r.lang_pred == "und"}
+    assert {1, 2, 3, 8} <= und and not und & {5, 7, 9, 50, 100, 200}
+    assert all(r.rejected for r in got if r.doc_id in (50, 51))
+    kept = langid.keep_identified(spark, docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {*range(100, 160), *range(200, 260)}
+    unlearned = langid.langid_digest(spark, docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r.lang_pred for r in unlearned.collect()} == {"und"}
+    assert langid.langid_digest(spark, empty(docs)).count() == 0
+
+
+# 9 tool calls
+
+def test_calls_are_linked_ordered_and_checked(spark):
+    schema = {"add": {"type": "object", "properties": {"a": {"type": "integer", "minimum": 0}, "t": {"enum": ["x", "y"]}}, "required": ["a"], "additionalProperties": False}}
+    calls = [(1, "c3", "c2", 3, "add", '{"t":"x","a":3}'), (1, "c1", None, 1, "add", '{ "a" : 1 }'), (1, "c2", "c1", 2, "add", '{"a":-1}'),
+             (1, "c4", "gone", 4, "nope", "{}"), (2, "d1", "d2", 1, "add", '{"a":1}'), (2, "d2", "d1", 2, "add", '{"a":1}'),
+             (3, "e", None, 1, "add", "{bad"), (3, "e2", "e", 1, "add", '{"b":1,"a":1}'), (3, None, None, 1, "add", "{}"), (3, "e3", None, None, None, None),
+             (4, "c1", None, 9, "add", '{"a":9}')]
+    results = [("c1", 'été "q"'), ("c1", "zz"), ("c3", None), ("e", "r"), ("e2", "r"), ("c4", "r"), ("d1", "r"), ("lost", "r"), (None, "r")]
+    got = {r.call_id: r for r in tool_chat.link_calls(
+        spark, spark.createDataFrame(calls, "conv_id long, call_id string, parent_id string, turn long, name string, arguments string"),
+        spark.createDataFrame(results, "call_id string, content string"), schema).collect()}
+    assert {k: (r.depth, r.status) for k, r in got.items()} == {
+        "c1": (0, "ok"), "c2": (1, "unanswered"), "c3": (2, "ok"), "c4": (0, "invalid"), "d1": (None, "cyclic"), "d2": (None, "cyclic"),
+        "e": (0, "invalid"), "e2": (1, "invalid"), "e3": (0, "unanswered")}
+    assert got["c1"].json == '{"call":{"arguments":{"a":1},"name":"add"},"id":"c1","parent":null,"result":"zz","status":"ok"}'.replace('"zz"', json.dumps(min('été "q"', "zz"), ensure_ascii=False))
+    assert got["c1"].n_results == 2 and got["c2"].fault == "arguments.a: below 0" and got["e2"].fault == "arguments.b: unknown"
+    assert json.loads(got["c3"].json)["call"]["arguments"] == {"a": 3, "t": "x"}
+
+
+def test_long_chains_take_few_rounds(spark):
+    n = 300
+    calls = spark.createDataFrame([(f"c{i}", f"c{i - 1}") for i in range(n)], "call_id string, parent_id string")
+    assert {(r.call_id, r.depth) for r in tool_chat.depths(spark, calls).collect()} == {(f"c{i}", i) for i in range(n)}
+
+
+# 10 lines
+
+def brute_lines(rows):
+    first = {}
+    held = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            key = re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+            if len(key) >= 10:
+                held.setdefault(key, set()).add(math.inf if i is None else i)
+    first = {k: min(v) for k, v in held.items() if len(v) > 1}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        keys = [re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r")) for x in lines]
+        kept = [x for x, k in zip(lines, keys, strict=True) if k not in first or first[k] == (math.inf if i is None else i)]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup_against_brute_force(spark, odd):
+    rng = random.Random(9)
+    pool = ["a common line of text", " A COMMON line of text\t", "É is not é here", "é is not é here", "short", "", "  ", "exactly10c", "nine char", "İstanbul lines", "i̇stanbul lines"]
+    rows = [(i, "\n".join(rng.choice(pool + [prose(rng, 4)]) for _ in range(rng.randrange(1, 9)))) for i in range(200)]
+    rows += [(None, "a common line of text\nmine alone here"), (500, "mine alone here\n"), (None, None), (501, ""), (3, "another text of document three\nexactly10c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.line_dedup_digest(spark, docs)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_lines(rows)
+    cut = line_dedup.dedup_lines(spark, docs).select("line_dedup.*", "row.text").collect()
+    for r in cut:  # the bitmap tells the text
+        lines = (r.text or "").split("\n")
+        assert "\n".join(x for run in r.keep for x in lines[run.start:run.start + run.len]) == r.kept_text
+    again = line_dedup.drop_repeated_lines(spark, odd)
+    assert again.columns == odd.columns and again.count() == len(odd_docs())
+    assert line_dedup.line_dedup_digest(spark, empty(odd)).count() == 0
+
+
+# pipeline
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(table_path(SF_SMALL, "documents"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, SF_SMALL)
+        assert docs.columns == before.columns, name
+        docs.write.parquet(path := str(tmp_path / name))
+        docs = spark.read.parquet(path)
+        assert 0 < docs.count() <= before.count()
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_copies", "decontaminate", "mix_sources"]
+    classes = ngram_join.near_copies(spark, docs)
+    assert classes.groupBy("component_id").count().filter("count > 1 AND component_id IS NOT NULL").count() <= docs.count() * 0.02
+    bench = spark.read.parquet(table_path(SF_SMALL, "benchmark"))
+    assert decontam.contamination_digest(spark, docs, bench).count() == 0
+    assert corpus_pipeline.run(spark, SF_SMALL).count() > 0

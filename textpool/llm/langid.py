@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpool.llm.common import slabs
+from textpool.llm.common import materialise, slabs
 
 ORDER = 4
 #: Bounds of the labelled sample that is counted, per language: distinct texts and code points.
@@ -171,7 +171,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
+def training_sample(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
     """(lang, text, calibrates): about ``fit_rows`` distinct labelled texts per language, chosen by their hash.
 
     Held-out documents, null languages, and texts without a letter are left
@@ -182,6 +182,7 @@ def training_sample(docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int =
     sums = rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n"), F.sum(F.length("text")).alias("chars"))
     share = sums.select(F.col("lang").alias("l"), F.least(
         F.lit(1.0), fit_rows / F.col("n"), fit_chars / F.col("chars")).alias("share"))
+    share = materialise(spark, share, "language-shares")  # a row per language, of known size
     top = F.pmod(F.col("hash"), F.lit(1 << 30)) / float(1 << 30)
     return (rows.join(share, F.col("lang") == F.col("l")).filter(top < F.col("share"))
             .dropDuplicates(["lang", "hash"])
@@ -207,7 +208,7 @@ def fit(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS, fit_char
     Counted on the executors; the driver gets the n-gram counts of the
     bounded sample, at most ``fit_chars`` per language.
     """
-    sample = training_sample(docs, fit_rows, fit_chars)
+    sample = training_sample(spark, docs, fit_rows, fit_chars)
     counted = sample.filter("NOT calibrates").select("lang", "text").mapInArrow(_count_grams, "lang string, key long, n long")
     table = counted.groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
     if not table.num_rows:  # so few texts that all of them calibrate

@@ -142,7 +142,8 @@ def uncertified(spark: SparkSession, docs: DataFrame, rows: DataFrame, classes:
     n_buckets = max(LEAST_BUCKETS, -(-total // BUCKET))
     packed = docs.select("text").mapInArrow(_postings(n_buckets), "bucket int, payload binary")
     shared = packed.groupBy("bucket").applyInArrow(_count_shared, "f long, shared long").groupBy("f").agg(F.sum("shared").alias("shared"))
-    return classes.join(shared, "f").filter(F.col("n_region") - F.col("shared") < _prefix(F.col("n")))
+    own = F.col("n_region") - F.coalesce("shared", F.lit(0))
+    return classes.join(shared, "f", "left").filter(own < _prefix(F.col("n")))
 
 
 # step 2: sets of the uncertified classes, and links within groups of one hash

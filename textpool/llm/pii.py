@@ -190,6 +190,9 @@ def pii_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["s"].cast("string"), s["e"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, i=i: s["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["k"] == kind)).cast("long")
+
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
                         joined(F.concat("base", "found")).alias("spans"))
