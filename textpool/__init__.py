@@ -5,4 +5,12 @@ Every operator is a ``DataFrame -> DataFrame`` function (usable with
 and Structured Streaming.
 """
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+__version__ = "0.2.0"
+
+# Functions of this package travel to the Python workers by value, so the
+# executors need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
