@@ -7,11 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from textpool.plans import catalog
 from tests.conftest import SF_SMALL
 from textpool.sources.tables import TABLES, table_path
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = catalog.QUERIES  # the training-data queries have tests of their own
+SQL = catalog.ORACLE
 
 
 def _norm(v):

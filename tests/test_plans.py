@@ -123,12 +123,31 @@ def test_tfidf_vocabulary_cut_has_no_single_task_topk(spark):
     assert "TakeOrderedAndProject" not in plan  # the 80,000-term cut is a range-partitioned rank
 
 
-def test_encode_folds_documents_without_a_second_shuffle(spark):
+def test_encoder_keeps_every_token_in_windows(spark):
     docs = _docs(spark)
-    enc = FE.encode_fixed(docs, FE.build_vocabulary(FE.by_document(docs), 50))
-    lines = enc._jdf.queryExecution().executedPlan().toString().split("\n")
-    aggs = [i for i, line in enumerate(lines) if "ObjectHashAggregate(keys=[id" in line]
-    assert len(aggs) == 2  # partial and final per-document fold ...
-    assert not any("Exchange" in line for line in lines[aggs[0]:aggs[1]])  # ... with no shuffle between them
-    rows = enc.collect()
-    assert len(rows) == 80 and all(len(r.input_ids) == FE.MAX_LEN for r in rows)
+    vocab = FE.build_vocabulary(docs)
+    rows = FE.encode_fixed(docs, vocab, max_len=12).collect()
+    assert all(len(r.input_ids) == len(r.attention_mask) == 12 for r in rows)
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    for d in docs.collect():
+        own = sorted((r.window_no, r.input_ids, r.attention_mask) for r in rows if r.id == d.id)
+        assert [w for w, *_ in own] == list(range(4))
+        body = [i for _, x, m in own for i in x[1:sum(m) - 1]]
+        assert body == [ids[t] for t in d.text.split()]
+    empty = FE.encode_fixed(spark.createDataFrame([(1, ""), (2, None)], "id long, text string"), vocab, max_len=4).collect()
+    assert sorted((r.id, r.window_no, r.input_ids) for r in empty) == [(1, 0, [2, 3, 0, 0]), (2, 0, [2, 3, 0, 0])]
+
+
+def test_counts_move_digests_not_texts(spark):
+    from textpool.operators import pool as P
+    a = spark.createDataFrame([("x", 1)], "Sentence string, Polarity int")
+    for df in (P.override_counts(a, a), P.split_overlap(a, a, a)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        keys = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+        assert keys and all("_nk" in k or "_k#" in k for k in keys) and "sha2" in plan
+
+
+def test_sample_has_no_single_task_topk(spark):
+    from textpool.operators import pool as P
+    df = spark.range(1000).selectExpr("cast(id as string) as Sentence", "1 as Polarity")
+    assert "TakeOrderedAndProject" not in P.seeded_sample(df, 10)._jdf.queryExecution().executedPlan().toString()

@@ -26,3 +26,8 @@ def hex_bucket(hex_col: Column, n_buckets: int) -> Column:
     """
     top = F.conv(F.substring(hex_col, 1, 8), 16, 10).cast("long")
     return F.coalesce(((top * F.lit(int(n_buckets))) / F.lit(1 << 32)).cast("long"), F.lit(0).cast("long"))
+
+
+def digest(col: Column) -> Column:
+    """32-byte key that stands for a text in joins and groupings (never null: a null text has a key of its own)."""
+    return F.coalesce(F.unhex(F.sha2(col, 256)), F.lit(b""))

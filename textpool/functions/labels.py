@@ -28,14 +28,14 @@ def polarity_of(c, fill_missing: int | None = 1, is_boolean: bool = False) -> Co
 
     * null → ``fill_missing``
     * a known spelling (after strip + lower) → its id
-    * a number whose truncation toward zero is 0, 1 or 2 → that id
+    * a decimal number (no type suffix) whose truncation toward zero is 0, 1 or 2 → that id
     * anything else (incl. NaN / ±inf) → ``fill_missing`` (null = drop later)
     """
     col = F.col(c) if isinstance(c, str) else c
     if is_boolean:
         col = col.cast("int")
     s = F.lower(strip_ws(col.cast("string")))
-    d = s.try_cast("double")
+    d = F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"), s.try_cast("double"))
     numeric = F.when((d > F.lit(-1.0)) & (d < F.lit(3.0)), d.cast("int"))
     fill = F.lit(fill_missing).cast("int") if fill_missing is not None else F.lit(None).cast("int")
     mapped = F.coalesce(F.element_at(_spelling_map(), s).cast("int"), numeric)

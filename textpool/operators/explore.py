@@ -15,7 +15,7 @@ PREVIEW_CHARS = 100
 def chart_frame(df: DataFrame) -> DataFrame:
     """``sentiment`` is required; keep ``confidence >= 0`` when the column exists."""
     if "sentiment" not in df.columns:
-        raise ValueError("Missing required column: sentiment")
+        raise ValueError(f"a chart needs a sentiment column, got {df.columns}")
     return df.filter(F.col("confidence") >= 0.0) if "confidence" in df.columns else df
 
 
@@ -76,12 +76,6 @@ def clamped_page(df: DataFrame, page_no: int, key: str, direction: str = "asc",
     return page(df, min(max(1, int(page_no)), last), key, direction, tie, page_size)
 
 
-def page_after(df: DataFrame, key: str, last_key, last_tie, tie: str = "id", page_size: int = PAGE_SIZE) -> DataFrame:
-    """Keyset page (ascending): rows strictly after (last_key, last_tie)."""
-    cond = (F.col(key) > F.lit(last_key)) | ((F.col(key) == F.lit(last_key)) & (F.col(tie) > F.lit(last_tie)))
-    return df.filter(cond).orderBy(F.col(key).asc(), F.col(tie).asc()).limit(page_size)
-
-
 def preview(df: DataFrame) -> DataFrame:
     """Text cut at 100 chars + '…', confidence with 4 decimals, probabilities as 'x.x%'."""
     t = F.col("text")

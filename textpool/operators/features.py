@@ -1,8 +1,7 @@
 """Text features: vocabulary + fixed-length encoding, relational TF-IDF, Spark ML baseline.
 
-Vocabulary size and feature count are parameters with hard upper bounds, so
-the tables that are broadcast (vocabulary, selected terms) are bounded by
-construction, never by the data.
+Vocabularies and term tables hold everything by default and are joined on
+their keys; sizes to cut them to are explicit parameters.
 """
 
 from __future__ import annotations
@@ -11,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpool.functions.arrays import explode_values
-from textpool.operators.ranking import top_k
+from textpool.operators.ranking import top_k, with_order_rank
+from textpool.session import scratch_path
 
 # Token patterns and encoder constants.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
@@ -20,6 +20,7 @@ MAX_LEN = 160
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
 N_SPECIAL = 4
 MIN_DF = 2
+#: Terms that the learned baseline is fitted on, the most frequent first.
 MAX_FEATURES = 80_000
 
 
@@ -27,55 +28,41 @@ def tokens(text_col: str = "text", pattern: str = WORD_PATTERN):
     return F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(pattern), 0)
 
 
-def build_vocabulary(docs: DataFrame, vocab_size: int = 30_000, text_col: str = "text") -> DataFrame:
-    """(token, token_id): the ``vocab_size`` most frequent tokens (count desc, token asc), ids from 4.
+def build_vocabulary(docs: DataFrame, vocab_size: int | None = None, text_col: str = "text") -> DataFrame:
+    """(token, token_id): all tokens by (count desc, token asc), ids from 4; only the first ``vocab_size`` when given.
 
-    Counting is a partially aggregated shuffle on the token; the cut is an
-    exact top-k (``ranking.top_k``: single-task only for small k, else a
-    range-partitioned rank) whose rank gives the ids; the result is bounded by
-    ``vocab_size``.
+    Counting is a partially aggregated shuffle on the token; the ids are a
+    range-partitioned rank, so no task holds the vocabulary.
     """
     counts = explode_values(docs, [], tokens(text_col), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = top_k(counts, vocab_size, [F.desc("n"), F.asc("token")], rank_col="_r", desc_count="n")
-    return top.select("token", (F.col("_r") + N_SPECIAL).cast("int").alias("token_id"))
-
-
-def by_document(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """Raw text hash-partitioned by document id: the one shuffle of the text pipelines.
-
-    Raw text is the smallest thing to move (exploded tokens are larger); every
-    per-document step after it (tokenising, per-term counts, folds, norms)
-    runs without another shuffle, and tokenising runs at shuffle parallelism
-    whatever the input's file layout.  Reusing the same frame for the
-    vocabulary lets the exchange be reused too.
-    """
-    return docs.select(id_col, text_col).repartition(id_col)
+    order = [F.desc("n"), F.asc("token")]
+    ranked = with_order_rank(counts, order, "_r") if vocab_size is None else top_k(counts, vocab_size, order, rank_col="_r", desc_count="n")
+    return ranked.select("token", (F.col("_r") + N_SPECIAL).cast("int").alias("token_id"))
 
 
 def encode_fixed(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text",
                  max_len: int = MAX_LEN) -> DataFrame:
-    """M1: ``[CLS] ids… [SEP]`` truncated to ``max_len`` and padded with 0; mask marks real tokens.
-
-    Documents are hash-partitioned by id once (``by_document``); only the first
-    ``max_len - 2`` token positions are exploded (the encoder's truncation),
-    looked up in the bounded vocabulary (broadcast, so the partitioning is
-    kept) and folded back per document without a second shuffle — each group
-    holds at most ``max_len`` entries.
+    """M1: rows ``[CLS] ids… [SEP]`` of ``max_len`` ids, padded with 0; the mask marks real tokens.
+
+    A text of more than ``max_len - 2`` tokens has as many windows as it needs
+    (``window_no`` from 0), so nothing is cut off; window 0 is the row of an
+    encoder that truncates. A text without tokens has one empty window.
+    Tokens meet the vocabulary in a join on the token (Catalyst broadcasts it
+    when its size allows; a frequent token's partition can be split) and are
+    folded per window, which holds at most ``max_len`` entries.
     """
     body = max_len - 2
-    t = by_document(docs, id_col, text_col).select(id_col, F.slice(tokens(text_col), 1, body).alias("_t"))
-    # posexplode_outer keeps token-less documents (they encode to [CLS][SEP])
-    ex = t.select(id_col, F.posexplode_outer("_t").alias("pos", "token"))
-    ids = ex.join(F.broadcast(vocab), "token", "left").select(
-        id_col, F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid")))
-        .alias("_e"))
-    per_doc = ids.groupBy(id_col).agg(F.array_sort(F.collect_list("_e")).alias("_p"))
-    seq = F.concat(F.array(F.lit(CLS_ID)), F.coalesce(F.transform("_p", lambda s: s["tid"]), F.array().cast("array<int>")),
-                   F.array(F.lit(SEP_ID)))
-    enc = per_doc.select(id_col, seq.alias("_s"))
+    ex = docs.select(id_col, F.posexplode_outer(tokens(text_col)).alias("pos", "token"))
+    window = F.coalesce(F.floor(F.col("pos") / body), F.lit(0)).cast("int")
+    ids = ex.join(vocab, "token", "left").select(
+        id_col, window.alias("window_no"),
+        F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid"))).alias("_e"))
+    folded = ids.groupBy(id_col, "window_no").agg(F.array_sort(F.collect_list("_e")).alias("_p"))
+    seq = F.concat(F.array(F.lit(CLS_ID)), F.transform("_p", lambda s: s["tid"]), F.array(F.lit(SEP_ID)))
+    enc = folded.select(id_col, "window_no", seq.alias("_s"))
     n = F.size("_s")
     return enc.select(
-        id_col,
+        id_col, "window_no",
         F.concat("_s", F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - n)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n)).alias("attention_mask"),
     )
@@ -97,29 +84,30 @@ def with_terms(df: DataFrame, text_col: str = "text", out: str = "terms") -> Dat
 
 
 def tfidf_relational(docs: DataFrame, id_col: str = "id", text_col: str = "text", min_df: int = MIN_DF,
-                     max_features: int = MAX_FEATURES) -> DataFrame:
+                     max_features: int | None = None) -> DataFrame:
     """M2 (relational form): (id, term, tfidf) with smoothed idf ``ln((1+n)/(1+df)) + 1`` and L2 rows.
 
-    Terms need ``df >= min_df``; the ``max_features`` most frequent (total count
-    desc, term asc) are kept.  n = number of documents (scalar subquery).
+    Terms need ``df >= min_df``; with ``max_features`` only the most frequent
+    (total count desc, term asc) are kept.  n = number of documents.
 
-    Plan: documents are hash-partitioned by id once (the raw text is the
-    smallest thing to move); term counts per (id, term) and the per-document
-    norm (a window on id) then reuse that partitioning.  The only other shuffle
-    is the per-term document frequency, partially aggregated map-side.  The
-    cut to ``max_features`` terms is a range-partitioned exact top-k (no task
-    receives partitions × 80,000 rows); the selected vocabulary is bounded by
-    ``max_features`` and broadcast.
+    Documents are tokenised once: raw text is shuffled by id, the counts per
+    (id, term) follow without another shuffle and are written to the shared
+    folder. Document frequencies and weights both read them; the join on the
+    term carries no hint.
     """
-    by_doc = by_document(docs, id_col, text_col)
+    spark = docs.sparkSession
+    by_doc = docs.select(id_col, text_col).repartition(id_col)
     tf = explode_values(with_terms(by_doc, text_col), [id_col], F.col("terms"), "term") \
         .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    vocab = top_k(stats.filter(F.col("df") >= min_df), max_features, [F.desc("total"), F.asc("term")],
-                  desc_count="total")
+    path = scratch_path(spark, "term_counts")
+    tf.write.parquet(path)
+    tf = spark.read.schema(tf.schema).parquet(path)
+    vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    if max_features is not None:
+        vocab = top_k(vocab, max_features, [F.desc("total"), F.asc("term")], desc_count="total")
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     vocab = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(F.broadcast(vocab), "term", "inner").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    w = tf.join(vocab, "term", "inner").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("tfidf"))
 

@@ -147,7 +147,3 @@ def round_cols(df: DataFrame, cols, digits: int = 6) -> DataFrame:
     for c in cols:
         df = df.withColumn(c, F.round(c, digits))
     return df
-
-
-def global_share(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn("share", F.col(col) / F.sum(col).over(Window.partitionBy(F.lit(1))))

@@ -4,7 +4,8 @@ Shuffle budget per operator (all keyed, all with map-side partial aggregation):
 
 * majority dedup — one shuffle on ``Sentence``; a sentence holding a third of
   all rows is pre-aggregated per map task into three counters.
-* override merge — one anti join on the normalised key.
+* override merge, leakage removal — one anti join on a 32-byte digest of the
+  normalised key; counts of keys and overlaps move digests only.
 * leakage report / overlap — one shuffle of ``(key, side)`` with partial agg.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpool.functions.aggregates import count_where
+from textpool.functions.hashing import digest
 from textpool.functions.text import norm_join_key, norm_key
 from textpool.operators.ranking import with_seeded_rank, with_sorted_rank
 
@@ -61,8 +63,8 @@ def merge_overrides(base: DataFrame, hard: DataFrame) -> DataFrame:
     Every base row whose ``lower().strip()`` key appears among the curated keys
     is removed (so all case variants go), then the curated rows are added.
     """
-    hard_keys = hard.select(norm_join_key("Sentence").alias("_nk")).distinct()
-    kept = base.withColumn("_nk", norm_join_key("Sentence")).join(hard_keys, "_nk", "left_anti").drop("_nk")
+    hard_keys = hard.select(digest(norm_join_key("Sentence")).alias("_nk")).distinct()
+    kept = base.withColumn("_nk", digest(norm_join_key("Sentence"))).join(hard_keys, "_nk", "left_anti").drop("_nk")
     return kept.unionByName(hard.select("Sentence", "Polarity"))
 
 
@@ -71,8 +73,8 @@ def override_counts(base: DataFrame, hard: DataFrame) -> DataFrame:
 
     One shuffle on the normalised key; the final one-row aggregate is global.
     """
-    keyed = base.select(norm_key("Sentence").alias("_nk"), F.lit(1).alias("_b"), F.lit(0).alias("_h")) \
-        .unionByName(hard.select(norm_key("Sentence").alias("_nk"), F.lit(0).alias("_b"), F.lit(1).alias("_h")))
+    keyed = base.select(digest(norm_key("Sentence")).alias("_nk"), F.lit(1).alias("_b"), F.lit(0).alias("_h")) \
+        .unionByName(hard.select(digest(norm_key("Sentence")).alias("_nk"), F.lit(0).alias("_b"), F.lit(1).alias("_h")))
     per_key = keyed.groupBy("_nk").agg(F.sum("_b").alias("nb"), F.sum("_h").alias("nh"))
     out = per_key.agg(
         F.sum("nh").cast("long").alias("hard_rows"),
@@ -118,16 +120,16 @@ def leakage_report(train: DataFrame, val: DataFrame, n_samples: int = 20) -> Dat
 
 def remove_leakage(train: DataFrame, val: DataFrame) -> DataFrame:
     """Drop every train row whose normalised key occurs in val (val is untouched)."""
-    val_keys = val.select(norm_join_key("Sentence").alias("_nk")).distinct()
-    return train.withColumn("_nk", norm_join_key("Sentence")).join(val_keys, "_nk", "left_anti").drop("_nk")
+    val_keys = val.select(digest(norm_join_key("Sentence")).alias("_nk")).distinct()
+    return train.withColumn("_nk", digest(norm_join_key("Sentence"))).join(val_keys, "_nk", "left_anti").drop("_nk")
 
 
 def split_overlap(train: DataFrame, val: DataFrame, test: DataFrame, col: str = "Sentence") -> DataFrame:
     """Pairwise exact overlap (distinct values) of three splits in one shuffle."""
     tagged = (
-        train.select(F.col(col).alias("_k"), F.lit(1).alias("_s"))
-        .unionByName(val.select(F.col(col).alias("_k"), F.lit(2).alias("_s")))
-        .unionByName(test.select(F.col(col).alias("_k"), F.lit(4).alias("_s")))
+        train.select(digest(F.col(col)).alias("_k"), F.lit(1).alias("_s"))
+        .unionByName(val.select(digest(F.col(col)).alias("_k"), F.lit(2).alias("_s")))
+        .unionByName(test.select(digest(F.col(col)).alias("_k"), F.lit(4).alias("_s")))
     )
     per_key = tagged.groupBy("_k").agg(F.bit_or("_s").alias("m"))
     has = lambda bit: (F.col("m").bitwiseAND(F.lit(bit)) > 0)
@@ -138,11 +140,17 @@ def split_overlap(train: DataFrame, val: DataFrame, test: DataFrame, col: str =
     )
 
 
-def assert_no_split_overlap(overlap_row) -> None:
-    """The reference's guard: fail when any pair of splits shares a sentence."""
-    d = overlap_row.asDict() if hasattr(overlap_row, "asDict") else dict(overlap_row)
-    if any(v > 0 for v in d.values()):
-        raise ValueError(f"Data leakage detected between splits: {d}")
+def checked_splits(train: DataFrame, val: DataFrame, test: DataFrame, col: str = "Sentence") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """J6 guard: the three splits, or ``SplitOverlap`` naming the pairs that share values of ``col``."""
+    counts = split_overlap(train, val, test, col).first().asDict()
+    shared = [f"{name.removesuffix('_overlap')}: {n}" for name, n in counts.items() if n]
+    if shared:
+        raise SplitOverlap(f"splits are not disjoint on {col} ({'; '.join(shared)})")
+    return train, val, test
+
+
+class SplitOverlap(ValueError):
+    """Two splits hold the same value."""
 
 
 # ── W2 ──────────────────────────────────────────────────────────────────────
@@ -196,25 +204,12 @@ def stratified_split(df: DataFrame, seed: int = SEED, test_size: float = 0.2, va
     return joined.select("Sentence", "Polarity", split.alias("split"))
 
 
-def hash_split(df: DataFrame, key: str, seed: int = SEED, fractions=(0.8, 0.1, 0.1)) -> DataFrame:
-    """Shuffle-free approximate split: a row's split depends only on md5(seed || key)."""
-    from textpool.functions.hashing import hex_bucket, seeded_hex
-    b = hex_bucket(seeded_hex(seed, key), 10_000)
-    t = int(round(fractions[0] * 10_000))
-    v = t + int(round(fractions[1] * 10_000))
-    return df.withColumn("split", F.when(b < t, "train").when(b < v, "val").otherwise("test"))
-
-
 # ── W5 ──────────────────────────────────────────────────────────────────────
-TOPK_SAMPLE_LIMIT = 10_000  # partitions × n rows reach one task on the top-k path
-
-
 def seeded_sample(df: DataFrame, n: int, seed: int = SEED, key_cols: Sequence[str] = ("Sentence", "Polarity"),
                   n_buckets: int | None = None) -> DataFrame:
     """Exactly ``min(n, count)`` rows, chosen by ``md5(seed || keys)`` order.
 
-    Small ``n``: top-k (TakeOrderedAndProject, ``n`` rows per task at most).
-    Large ``n``: rows are counted per md5-prefix bucket (a partially
+    Rows are counted per md5-prefix bucket (a partially
     aggregated table of at most ``n_buckets`` rows).  Buckets are monotone in
     the md5 order, so every row of a bucket before the one where the running
     count reaches ``n`` is in the sample and no row after it is.  Only those
@@ -226,8 +221,6 @@ def seeded_sample(df: DataFrame, n: int, seed: int = SEED, key_cols: Sequence[st
     from textpool.functions.hashing import hex_bucket, seeded_hex
     from textpool.operators.ranking import default_buckets
     keys = list(key_cols)
-    if n <= TOPK_SAMPLE_LIMIT:
-        return df.withColumn("_h", seeded_hex(seed, *keys)).orderBy("_h", *keys).limit(n).drop("_h")
     nb = n_buckets or default_buckets(df.sparkSession)
     bucket = hex_bucket(seeded_hex(seed, *keys), nb)
     counts = df.select(bucket.alias("_b")).groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # ≤ nb rows

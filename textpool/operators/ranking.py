@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,24 +30,29 @@ def default_buckets(spark, floor: int = 64, cap: int = 1 << 16) -> int:
 
 
 def with_position(df: DataFrame, name: str = "position") -> DataFrame:
-    """0-based position in input order (consecutive across partitions).
+    """0-based position in input order: by file path, place in the file, line.
 
-    Apply directly on a deterministic source (a file scan): the position of a
-    row is then identical on every recomputation, so lost executors are safe.
+    Apply directly on a deterministic source. A file scan packs pieces of
+    files into partitions by size, so the order comes from the pieces' own
+    path and start, not from partition numbers; a frame that is no file scan
+    is ordered by partition. The position of a row is the same on every
+    recomputation, so lost executors are safe.
     """
-    mid = F.monotonically_increasing_id()
-    tagged = df.withColumn("_mid", mid)
-    tagged = tagged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
-        "_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    )
-    # one row per input partition: bounded by the number of file splits
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    try:
+        slot = ["_path", "_start"]
+        tagged = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+    except AnalysisException:
+        slot = ["_pid"]
+        tagged = df.withColumn("_pid", F.spark_partition_id())
+    tagged = tagged.withColumn("_mid", F.monotonically_increasing_id())
+    # one row per piece of the input: bounded by the number of file splits
+    counts = tagged.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    w = Window.orderBy(*slot).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*slot, "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return (
-        tagged.join(F.broadcast(offsets), "_pid", "inner")  # one row per input split
-        .withColumn(name, (F.col("_off") + F.col("_loc")).cast("long"))
-        .drop("_mid", "_pid", "_loc", "_off")
+        tagged.join(offsets, slot, "inner")
+        .withColumn(name, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long"))
+        .drop("_mid", "_first", "_off", *slot)
     )
 
 

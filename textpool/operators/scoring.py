@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textpool.functions.aggregates import count_where
-from textpool.functions.labels import CLASS_NAMES, NEUTRAL_ID, class_name_of
+from textpool.functions.labels import CLASS_NAMES, class_name_of
 from textpool.functions.scoring import argmax3, fallback_class, softmax3
 from textpool.functions.text import strip_ws
 
@@ -179,9 +179,10 @@ def score_upload(entries: DataFrame, scorer, enabled: bool = True,
 # ── A3 / A4 / A19 / K4 ──────────────────────────────────────────────────────
 def sentiment_distribution(df: DataFrame, col: str = "sentiment") -> DataFrame:
     """A3: counts per sentiment plus the total (rollup: one aggregation, both levels)."""
-    r = df.rollup(col).agg(F.count(F.lit(1)).alias("count"))
-    return r.select(F.coalesce(F.col(col), F.lit("Total")).alias("label"), F.col("count").cast("long"),
-                    F.col(col).isNull().alias("is_total"))
+    r = df.rollup(col).agg(F.count(F.lit(1)).alias("count"), (F.grouping(col) == 1).alias("is_total"))
+    # the grouping mark tells the total from the rows whose sentiment is null
+    return r.select(F.when(F.col("is_total"), F.lit("Total")).otherwise(F.col(col)).alias("label"),
+                    F.col("count").cast("long"), "is_total")
 
 
 def sentiment_share(df: DataFrame, col: str = "sentiment") -> DataFrame:
@@ -195,7 +196,3 @@ def fallback_rate(pred: DataFrame) -> DataFrame:
     """Flagged rows / rows."""
     return pred.agg(F.count(F.lit(1)).alias("rows"), count_where("fallback_applied").alias("fallback_rows")) \
         .withColumn("fallback_rate", F.when(F.col("rows") > 0, F.col("fallback_rows") / F.col("rows")).otherwise(0.0))
-
-
-def neutral_id() -> int:
-    return NEUTRAL_ID

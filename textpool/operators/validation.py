@@ -34,7 +34,8 @@ def text_rules(col: str = "text") -> list[Rule]:
 
 def sentiment_rules(col: str = "sentiment") -> list[Rule]:
     n = F.length(F.col(col))
-    return [("sentiment_length", (n < 1) | (n > MAX_SENTIMENT_CHARS)),
+    return [("sentiment_missing", F.col(col).isNull()),
+            ("sentiment_length", (n < 1) | (n > MAX_SENTIMENT_CHARS)),
             ("sentiment_unknown", ~F.col(col).isin(*CLASS_NAMES))]
 
 

@@ -1,12 +1,14 @@
 """Imports every catalogue module so their ``@register`` calls run."""
 
-from textpool.plans import pool_queries  # noqa: F401
+from textpool.plans import (  # noqa: F401
+    aspect_queries,
+    browse_queries,
+    experiment_queries,
+    feature_queries,
+    io_queries,
+    metric_queries,
+    pool_queries,
+    score_queries,
+    stream_queries,
+)
 from textpool.plans.registry import OPERATORS, ORACLE, QUERIES  # noqa: F401
-
-for _mod in ("score_queries", "metric_queries", "browse_queries", "feature_queries",
-             "aspect_queries", "io_queries", "stream_queries", "experiment_queries"):
-    try:
-        __import__(f"textpool.plans.{_mod}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if e.name != f"textpool.plans.{_mod}":
-            raise

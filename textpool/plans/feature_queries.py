@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textpool.functions.labels import polarity_of
+from textpool.functions.text import strip_ws
 from textpool.operators import features as FE
 from textpool.plans import inputs as I
 from textpool.plans.registry import register
 from textpool.sources.tables import read_table
 
-VOCAB_SIZE = 30_000
-
 
 def _docs(spark, d):
     return read_table(spark, d, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
@@ -20,21 +19,19 @@ def _docs(spark, d):
 _ENC_SQL = (
     r"WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), "
     "cnt AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM d) GROUP BY token), "
-    f"voc AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token ASC) + 3 AS INTEGER) AS token_id FROM cnt "
-    f"ORDER BY n DESC, token ASC LIMIT {VOCAB_SIZE}), "
-    "ex AS (SELECT id, t[i] AS token, i AS pos FROM (SELECT id, t, unnest(range(1, least(len(t), 158) + 1)) AS i FROM d)), "
-    "enc AS (SELECT e.id, list(coalesce(v.token_id, 1) ORDER BY e.pos) AS ids FROM ex e LEFT JOIN voc v ON e.token = v.token "
-    "GROUP BY e.id), "
-    "s AS (SELECT d.id, [2] || coalesce(enc.ids, []) || [3] AS s FROM d LEFT JOIN enc ON d.id = enc.id) "
-    "SELECT id, len(s) AS n_real, array_to_string(s || list_transform(range(160 - len(s)), lambda x: 0), ' ') AS ids_text FROM s")
+    "voc AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token ASC) + 3 AS INTEGER) AS token_id FROM cnt), "
+    "ex AS (SELECT id, t[i] AS token, i AS pos FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM d)), "
+    "enc AS (SELECT e.id, CAST((e.pos - 1) // 158 AS INTEGER) AS window_no, list(v.token_id ORDER BY e.pos) AS ids "
+    "FROM ex e JOIN voc v ON e.token = v.token GROUP BY ALL), "
+    "s AS (SELECT d.id, coalesce(enc.window_no, 0) AS window_no, [2] || coalesce(enc.ids, []) || [3] AS s FROM d LEFT JOIN enc ON d.id = enc.id) "
+    "SELECT id, window_no, len(s) AS n_real, array_to_string(s || list_transform(range(160 - len(s)), lambda x: 0), ' ') AS ids_text FROM s")
 
 
 @register("encode_fixed", _ENC_SQL, ("M1",))
 def encode_fixed_q(spark, d):
     docs = _docs(spark, d)
-    # the vocabulary reads the same by-id partitioned text, so the exchange is shared
-    enc = FE.encode_fixed(docs, FE.build_vocabulary(FE.by_document(docs), VOCAB_SIZE))
-    return enc.select("id", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
+    enc = FE.encode_fixed(docs, FE.build_vocabulary(docs))
+    return enc.select("id", "window_no", F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
                       F.array_join("input_ids", " ").alias("ids_text"))
 
 
@@ -44,8 +41,7 @@ _TFIDF_SQL = (
     "ELSE [] END AS terms FROM d), "
     "tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM tm) GROUP BY id, term), "
     "st AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term), "
-    "voc AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM st WHERE df >= 2 "
-    "ORDER BY total DESC, term ASC LIMIT 80000), "
+    "voc AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1.0 AS idf FROM st WHERE df >= 2), "
     "w AS (SELECT tf.id, tf.term, tf.tf * v.idf AS w FROM tf JOIN voc v ON tf.term = v.term), "
     "nm AS (SELECT id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY id) "
     "SELECT w.id, w.term, round(w.w / nm.nrm, 6) AS tfidf FROM w JOIN nm ON w.id = nm.id")
@@ -58,8 +54,15 @@ def tfidf_terms(spark, d):
 
 @register("tfidf_logreg", None, ("M2", "M3"))
 def tfidf_logreg_q(spark, d):
-    """Train on the docs' train split, predict their test split (rows-only check: a learned model)."""
+    """Train on the labelled documents of the train split, predict those of the test split (rows-only check: a learned model).
+
+    Rows without a label or without text are dropped, from both.
+    """
     sp = I.doc_split_frames(spark, d)
-    prep = lambda df: df.select(F.col("doc_id").alias("id"), "text", polarity_of("sentiment", 1).alias("y"))
+
+    def prep(df):
+        out = df.select(F.col("doc_id").alias("id"), strip_ws("text").alias("text"), polarity_of("sentiment", None).alias("y"))
+        return out.filter(F.col("y").isNotNull() & (F.length("text") > 0))
+
     pred = FE.tfidf_logreg(prep(sp["train"]), prep(sp["test"]))
     return pred.select("id", "y", F.col("prediction").cast("int").alias("p"))

@@ -38,17 +38,45 @@ def csv_roundtrip(spark, d):
     return C.normalise_contract(FS.read_csv(spark, path), 1)
 
 
+def _upload_entries(spark, path):
+    """(id, text) of an uploaded CSV; without an id column the id is the row's position, from 0."""
+    df, _encoding, _sep = FS.read_upload_csv(spark, path)
+    text_col = C.resolve_column(df.columns, C.UPLOAD_TEXT_ALIASES)
+    id_col = C.pick_column(df.columns, C.ID_ALIASES)
+    if id_col is None:
+        df, id_col = with_position(df, "row_position"), "row_position"
+    return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+
+
+@register("upload_without_id", "SELECT count(*) AS n_rows, min(i) AS first_id, max(i) AS last_id, count(DISTINCT i) AS n_ids FROM "
+          "(SELECT row_number() OVER () - 1 AS i FROM documents)", ("P7", "S2"))
+def upload_without_id(spark, d):
+    path = scratch_path(spark, "upload_no_id")
+    W.write_csv(read_table(spark, d, "documents", "text").select(F.col("text").alias("Tweet"), F.lit("x").alias("note")), path, sep="\t")
+    ids = _upload_entries(spark, path).select(F.col("id").cast("long").alias("i"))
+    return ids.agg(F.count(F.lit(1)).alias("n_rows"), F.min("i").alias("first_id"), F.max("i").alias("last_id"),
+                   F.count_distinct("i").alias("n_ids"))
+
+
+@register("upload_distribution", f"SELECT {S.class_name('pred_id')} AS label, count(*) AS count FROM ({_CONV_SCORED_SQL}) GROUP BY 1 "
+          f"UNION ALL SELECT 'Total', count(*) FROM ({_CONV_SCORED_SQL})", ("M8", "A3"))
+def upload_distribution(spark, d):
+    return SC.score_upload(_conv_entries(spark, d), SCORER)["distribution"].select("label", "count")
+
+
+@register("upload_fallback", "SELECT count(*) AS rows, count(*) FILTER (fallback_applied) AS fallback_rows, "
+          f"CASE WHEN count(*) > 0 THEN round(count(*) FILTER (fallback_applied) / count(*), 6) ELSE 0 END AS fallback_rate FROM ({_CONV_SCORED_SQL})",
+          ("M8", "A19"))
+def upload_fallback(spark, d):
+    return SC.score_upload(_conv_entries(spark, d), SCORER)["fallback"].withColumn("fallback_rate", F.round("fallback_rate", 6))
+
+
 @register("upload_pipeline", f"SELECT id, {S.class_name('pred_id')} AS sentiment, {S.class_name('raw_id')} AS raw_sentiment, "
           f"fallback_applied, round(confidence, 4) AS confidence FROM ({_CONV_SCORED_SQL})", ("M8", "S2", "P1", "P7"))
 def upload_pipeline(spark, d):
     path = scratch_path(spark, "upload")
     W.write_csv(_conv_entries(spark, d).select(F.col("id").alias("row_id"), F.col("text").alias("Message")), path, sep=";")
-    df, _enc, _sep = FS.read_upload_csv(spark, path)
-    text_col = C.resolve_column(df.columns, C.UPLOAD_TEXT_ALIASES)
-    id_col = C.pick_column(df.columns, C.ID_ALIASES)
-    entries = df.select(F.col(id_col).alias("id") if id_col else F.lit(None).cast("string").alias("id"),
-                        F.col(text_col).alias("text"))
-    pred = SC.score_upload(entries, SCORER)["predictions"]  # scored once; distribution/fallback read the same rows
+    pred = SC.score_upload(_upload_entries(spark, path), SCORER)["predictions"]  # scored once; distribution/fallback read the same rows
     return pred.select("id", "sentiment", "raw_sentiment", "fallback_applied", F.round("confidence", 4).alias("confidence"))
 
 
@@ -84,10 +112,10 @@ def run_partitioned(spark, d):
 @register("line_items", (
     "SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_id, kept[i] AS line FROM (SELECT doc_id, kept, "
     "unnest(range(1, len(kept) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, "
-    f"'\\r?\\n'), lambda s: {S.strip('s')}), lambda s: length(s) >= 2)[1:500] AS kept FROM documents))"), ("S6",))
+    f"'\\r?\\n'), lambda s: {S.strip('s')}), lambda s: length(s) >= 2) AS kept FROM documents))"), ("S6",))
 def line_items(spark, d):
     docs = read_table(spark, d, "documents", "doc_id", "text")
-    return FS.lines_to_items(docs, "text", 500).select("doc_id", "line_id", "line")
+    return FS.lines_to_items(docs, "text").select("doc_id", "line_id", "line")
 
 
 @register("source_sample", S.seeded_sample(S.contract(S.CHAT_POOL, "Content", "Sentiment", 1), 300), ("S4", "S5", "W5"))

@@ -9,15 +9,16 @@ from textpool.plans.io_queries import _CONV_SCORED_SQL
 from textpool.plans.registry import register
 from textpool.plans.score_queries import SCORER
 from textpool.session import scratch_path
-from textpool.sources.tables import table_path
+from textpool.sources.tables import table_path, table_is_folder
 from textpool.streaming import stream as ST
 
 
 def _conv_stream(spark, d):
     schema = spark.read.parquet(table_path(d, "conversations")).schema
     # the file source watches a directory; the glob picks this table's files
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", "conversations*.parquet")
-           .option("maxFilesPerTrigger", 1).parquet(d))
+    folder = table_path(d, "conversations")
+    src = (spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if table_is_folder(spark, folder) else "conversations.parquet")
+           .parquet(folder if table_is_folder(spark, folder) else d))
     return src.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
                       .alias("id"), "text")
 

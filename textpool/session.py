@@ -34,9 +34,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (tests, local runs) a private
-    folder is created and registered, so lineage cuts and written tables always
-    land in the folder the cluster names.
+    Read from the session. When it is unset, a run on one machine (master
+    ``local``) gets a private folder; on a cluster that is an error, because
+    executors do not see each other's disks.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -44,6 +44,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     else:
         root = spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="textpool-ckpt-")
             try:
                 spark.conf.set("spark.checkpoint.dir", root)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textpool.functions.labels import class_id_of
+
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8", mode: str = "overwrite") -> None:
     """K1: header CSV; fields are quoted only when needed, quotes doubled, whitespace kept."""
@@ -13,13 +15,6 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8",
      .option("encoding", encoding).csv(path))
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 def write_json_report(df: DataFrame, path: str) -> None:
     """K2: a (one-row) nested report as JSON lines."""
     df.coalesce(1).write.mode("overwrite").json(path)
@@ -35,8 +30,9 @@ def results_export(pred: DataFrame, path: str, title: str | None = None, keyword
 
 
 def stats_export(distribution: DataFrame, path: str) -> None:
-    """K4: ``Label,Count`` rows with the Total row (from the rollup) included."""
-    write_csv(distribution.select(F.col("label").alias("Label"), F.col("count").alias("Count")).coalesce(1), path)
+    """K4: ``Label,Count`` rows, the total first, then the classes in their order (a row per class: one small file)."""
+    ordered = distribution.orderBy(F.desc("is_total"), class_id_of("label").asc_nulls_last(), "label")
+    write_csv(ordered.select(F.col("label").alias("Label"), F.col("count").alias("Count")).coalesce(1), path)
 
 
 def write_run(df: DataFrame, root: str, run_name: str) -> None:

@@ -1,26 +1,41 @@
-"""File sources: header CSV (all STRING), delimiter and encoding detection, lines, rows, optional files.
+"""File sources: header CSV (all STRING), delimiter and encoding detection, lines, optional files.
 
-Detection reads only a bounded sample (first line / a ``limit``ed text scan),
-so it costs one small job whatever the file size.  ``multiLine`` CSV files are
-not splittable: at scale land many files, not one large one.
+Encoding and quoted line breaks are decided over the whole input by one
+distributed pass each; only the header line is read to find the separator.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textpool.functions.arrays import explode_values
 from textpool.functions.text import strip_ws
 from textpool.operators.contract import empty_contract, strip_column_names
 
-ENCODINGS = ("UTF-8", "ISO-8859-1")
+UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
+MIXED = "mixed"
+SEPARATORS = (";", "\t", "|", ",")
+
+
+def has_quoted_breaks(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether a quoted field goes on over a line's end: its first line holds an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).filter(quotes % 2 == 1).limit(1).count())
+
 
+def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = UTF8,
+             quoted_breaks: bool | None = None) -> DataFrame:
+    """Header CSV, every column STRING (no inference), names trimmed.
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Header CSV, every column STRING (no inference), quoted multi-line fields, names trimmed."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    ``quoted_breaks``: fields may hold line breaks, so a file cannot be split
+    over tasks; by default that is found out from the input.
+    """
+    if quoted_breaks is None:
+        quoted_breaks = has_quoted_breaks(spark, path)
+    df = (spark.read.option("header", True).option("multiLine", quoted_breaks).option("escape", '"')
           .option("inferSchema", False).option("sep", sep).option("encoding", encoding).csv(path))
     return strip_column_names(df)
 
@@ -35,50 +50,42 @@ def _fields_outside_quotes(line: str, sep: str) -> int:
     return n
 
 
-def detect_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """S2: ';' when the header splits into more than one column on it, else ','."""
+def detect_separator(spark: SparkSession, path: str | Sequence[str], encoding: str = UTF8) -> str:
+    """The separator that cuts the header into most columns (``;``, tab, ``|``, ``,`` on ties); ``,`` for one column."""
     first = spark.read.option("encoding", encoding).text(path).limit(1).collect()
-    header = first[0][0] if first else ""
-    return ";" if _fields_outside_quotes(header or "", ";") > 1 else ","
-
+    header = (first[0][0] if first else "") or ""
+    best = max(SEPARATORS, key=lambda s: _fields_outside_quotes(header, s))
+    return best if _fields_outside_quotes(header, best) > 1 else ","
 
-def detect_encoding(spark: SparkSession, path: str, sample_lines: int = 10_000) -> str:
-    """S3: UTF-8 unless a bounded sample holds byte sequences that are not valid UTF-8, then Latin-1.
 
-    The text source keeps raw bytes, so validity is tested directly
-    (``is_valid_utf8``); a UTF-8 byte-order mark is valid and removed by the CSV reader.
-    """
-    sample = spark.read.text(path).limit(sample_lines)
-    bad = sample.filter(~F.is_valid_utf8("value")).limit(1).count()
-    return ENCODINGS[1] if bad else ENCODINGS[0]
+def files_by_encoding(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """S3: the input's files without and with a line anywhere that is not valid UTF-8 (driver rows: file names only)."""
+    lines = spark.read.text(path).select(F.is_valid_utf8("value").alias("ok"), F.col("_metadata.file_path").alias("file"))
+    rows = lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).collect()
+    return sorted(r.file for r in rows if r.ok), sorted(r.file for r in rows if not r.ok)
 
 
 def read_upload_csv(spark: SparkSession, path: str) -> tuple[DataFrame, str, str]:
-    """S2 + S3: detect encoding and separator, then read. Returns (df, encoding, separator)."""
-    enc = detect_encoding(spark, path)
-    sep = detect_separator(spark, path, enc)
-    return read_csv(spark, path, sep, enc), enc, sep
-
-
-def lines_to_items(df: DataFrame, text_col: str = "text", max_items: int = 500) -> DataFrame:
-    """Split each text on CRLF/LF, strip, keep lines of ≥ 2 chars, at most ``max_items`` per text;
+    """S2 + S3: every file in its own encoding, UTF-8 or else Latin-1. Returns (df, encoding or "mixed", separator)."""
+    good, bad = files_by_encoding(spark, path)
+    if not bad or not good:
+        encoding = LATIN1 if bad else UTF8
+        sep = detect_separator(spark, path, encoding)
+        return read_csv(spark, path, sep, encoding), encoding, sep
+    sep = detect_separator(spark, good, UTF8)
+    return read_csv(spark, good, sep, UTF8).unionByName(read_csv(spark, bad, sep, LATIN1)), MIXED, sep
+
+
+def lines_to_items(df: DataFrame, text_col: str = "text", max_items: int | None = None) -> DataFrame:
+    """Split each text on CRLF/LF, strip, keep lines of ≥ 2 chars (the first ``max_items`` per text, if given);
     ``line_id`` is the position among kept lines (0-based)."""
     lines = F.transform(F.split(F.col(text_col), r"\r?\n"), lambda s: strip_ws(s))
-    kept = F.slice(F.filter(lines, lambda s: F.length(s) >= 2), 1, max_items)
+    kept = F.filter(lines, lambda s: F.length(s) >= 2)
+    if max_items is not None:
+        kept = F.slice(kept, 1, max_items)
     return explode_values(df, ["*"], kept, "line", pos_alias="line_id").drop(text_col)
 
 
-def read_text_lines(spark: SparkSession, path: str, max_items: int | None = None) -> DataFrame:
-    """S6 over files: ``spark.read.text`` already splits CRLF/LF."""
-    df = spark.read.text(path).select(strip_ws("value").alias("text")).filter(F.length("text") >= 2)
-    return df.limit(max_items) if max_items else df
-
-
-def rows_source(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
-    """In-memory rows (an API body) as a DataFrame."""
-    return spark.createDataFrame(rows, schema)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -28,13 +28,24 @@ def run_score_stream(spark: SparkSession, stream: DataFrame, scorer, out_path: s
 
 def run_distribution_stream(spark: SparkSession, stream: DataFrame, scorer, out_path: str, checkpoint: str) -> DataFrame:
     """R2: running ``groupBy(sentiment).count()`` in complete mode; every micro-batch overwrites
-    the table with the current counts (state = 3 keys)."""
+    the published counts (state = 3 keys). A batch writes a folder of its own, named by its number, and the reader
+    takes the last complete one, so a crash never leaves a half-written result."""
     counts = score_stream(stream, scorer).groupBy("sentiment").agg(F.count(F.lit(1)).alias("count"))
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch:012d}")
 
     q = (counts.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_path)
+    return latest_counts(spark, out_path, counts.schema)
+
+
+def latest_counts(spark: SparkSession, out_path: str, schema) -> DataFrame:
+    """The counts of the last epoch that was written to its end; empty when no batch has run."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [] if not fs.exists(path) else sorted(
+        str(f.getPath()) for f in fs.listStatus(path)
+        if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+    return spark.read.schema(schema).parquet(done[-1]) if done else spark.createDataFrame([], schema)
