@@ -61,7 +61,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     """
     links = explode_values(
         pages.select(url_host(F.col("url")).alias("src"), F.array_distinct(F.transform(
-            F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)<a\s[^>]{0,2000}?href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"), F.lit(1)),
+            F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\"'\s>]+)"), F.lit(1)),
             lambda u: url_host(F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)))).alias("to")),
         ["src"], F.col("to"), "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     hosts = pages.select(url_host(F.col("url")).alias("host")).distinct()
