@@ -3,8 +3,11 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -501,6 +504,20 @@ def test_line_dedup_against_brute_force(spark, odd):
     assert line_dedup.line_dedup_digest(spark, empty(odd)).count() == 0
 
 
+# workers
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from textpool.session import local_session\n"
+            "s = local_session(cores=4, shuffle_partitions=4)\n"
+            "from textpool.llm.queries import QUERIES\n"
+            "for n, q in QUERIES.items(): print('ROWS', n, q(s, '/root/testdata/sf0.001').count())\n")
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
+                         capture_output=True, text=True, timeout=400)
+    assert out.stdout.count("ROWS") == len(QUERIES), out.stderr[-2000:]
+
+
 # pipeline
 
 def test_pipeline_stages(spark, tmp_path):

@@ -127,7 +127,7 @@ _VECTOR = "f long, label int, dim int, vec binary, copies long, c1 int, c2 int,
 
 def _assign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: MultiIndex = shared.value
+        index = MultiIndex(**shared.value)
         for batch in batches:
             vectors = [np.array(v, float) for v in batch.column("embedding").to_pylist()]
             dims = np.array([len(v) for v in vectors])
@@ -161,7 +161,7 @@ def _compare(shared, threshold: float):
     finds it itself.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: MultiIndex = shared.value
+        index = MultiIndex(**shared.value)
         key, held = None, []
 
         def close() -> pa.RecordBatch:
@@ -241,7 +241,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     table = sample.limit(fit_rows).toArrow() if n <= fit_rows else sample.orderBy("h").limit(fit_rows).toArrow()
     index = fit([(label, _unit(np.array([v]))[0]) for label, v in zip(table["label"].to_pylist(), table["embedding"].to_pylist(), strict=True)],
                 n, threshold, target)
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(vars(index))  # plain arrays: a worker may not have this package
     placed = materialise(spark, classes.select("f", "label", "embedding", "copies").mapInArrow(_assign(shared), _VECTOR), "vector-cells")
     cell = ["label", "dim", "c1", "c2"]
     members = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("members"))

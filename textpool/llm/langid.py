@@ -230,10 +230,10 @@ def fit(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS, fit_char
 
 
 def _calibrate(spark: SparkSession, model: CharModels, sample: DataFrame) -> None:
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(vars(model))  # plain arrays: a worker may not have this package
 
     def entropies(batches):
-        models = shared.value
+        models = CharModels(**shared.value)
         for batch in batches:
             entropy, count = models.entropies(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(count)],
@@ -268,10 +268,10 @@ def identify(spark: SparkSession, docs: DataFrame, model: CharModels | None, tex
     every text is ``und`` and rejected. Repeated rows get equal results, an
     empty table an empty one.
     """
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(None if model is None else vars(model))
 
     def run(batches):
-        models = shared.value
+        models = None if shared.value is None else CharModels(**shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             if models is None:
