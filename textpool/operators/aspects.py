@@ -2,8 +2,8 @@
 
 Extraction is a Column expression over the token array (``filter`` +
 ``array_distinct``); the part-of-speech test is a pluggable Column predicate
-(default: capitalised token, a proper-noun heuristic) — a tagger can replace it
-via ``mapInPandas``.  Scoring uses the same Arrow scorer path as sentences.
+(default: capitalised token, a proper-noun heuristic).  Scoring uses the same
+Arrow scorer path as sentences.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from textpool.functions.aggregates import count_where
 from textpool.functions.labels import class_name_of
 from textpool.functions.scoring import argmax3, softmax3
-from textpool.operators.scoring import apply_scorer
+from textpool.operators.scoring import pair_logits
 
 # The aspect blacklist (checked against the lower-cased token).
 ASPECT_BLACKLIST = [
@@ -61,28 +61,27 @@ def rule_neutral(text: Column) -> Column:
 def aspect_rows(items: DataFrame, pair_scorer, noun_test: NounTest = capitalised) -> DataFrame:
     """L1 + L2 + L3 + L4 + L5: one row per (text, aspect); no aspect → GENERAL / Neutral / 0.0.
 
-    Input ``(id, text)``; texts shorter than 2 characters are skipped.  One pass:
-    aspects are extracted once, each row is tagged (no aspect / rule-neutral /
-    to score), and only the to-score pairs reach the scorer; the rest are
-    Column logic on the same rows.
+    Input ``(id, text)``; texts shorter than 2 characters are skipped.  One
+    pass: aspects are extracted once, the model gets a text with the list of
+    its aspects (an empty list where the neutral rule decides), and the rows
+    are exploded after that, so a text travels to Python once.
     """
-    x = items.filter(F.length("text") >= 2).withColumn("_asp", extract_aspects(F.col("text"), noun_test))
-    ex = x.select("id", "text", F.explode_outer("_asp").alias("detected_aspect"))
-    kind = F.when(F.col("detected_aspect").isNull(), F.lit(0)).when(rule_neutral(F.col("text")), F.lit(1)) \
-        .otherwise(F.lit(2))
-    tagged = ex.withColumn("_kind", kind)
-    scored = apply_scorer(tagged, pair_scorer, text_col="text", pair_col="detected_aspect",
-                          where=F.col("_kind") == 2)
-    p0, p1, p2 = softmax3(F.col("l0"), F.col("l1"), F.col("l2"))
-    s = scored.select("id", "text", "detected_aspect", "_kind", p0.alias("p0"), p1.alias("p1"), p2.alias("p2"))
+    x = items.filter(F.length("text") >= 2).withColumn("_asp", extract_aspects(F.col("text"), noun_test)) \
+        .withColumn("_rule", rule_neutral(F.col("text")))
+    asked = F.when(F.col("_rule"), F.array().cast("array<string>")).otherwise(F.col("_asp"))
+    scored = x.withColumn("_lg", pair_logits(F.col("text"), asked, pair_scorer))
+    ex = scored.select("id", "text", "_rule", F.explode_outer(F.arrays_zip("_asp", "_lg")).alias("_e"))
+    lg = [F.col("_e")["_lg"][i] for i in range(3)]
+    s = ex.select("id", "text", "_rule", F.col("_e")["_asp"].alias("detected_aspect"),
+                  *(c.alias(f"p{i}") for i, c in enumerate(softmax3(*lg))))
+    none = F.col("detected_aspect").isNull()
     model_label = class_name_of(argmax3(F.col("p0"), F.col("p1"), F.col("p2")))
-    model_conf = F.round(F.greatest("p0", "p1", "p2") * 100, 2)
     return s.select(
         "id", "text",
         F.coalesce(F.col("detected_aspect"), F.lit(GENERAL)).alias("detected_aspect"),
-        F.when(F.col("_kind") < 2, F.lit("Neutral")).otherwise(model_label).alias("sentiment"),
-        F.when(F.col("_kind") == 0, F.lit(0.0)).when(F.col("_kind") == 1, F.lit(100.0))
-        .otherwise(model_conf).alias("confidence_score"),
+        F.when(none | F.col("_rule"), F.lit("Neutral")).otherwise(model_label).alias("sentiment"),
+        F.when(none, F.lit(0.0)).when(F.col("_rule"), F.lit(100.0))
+        .otherwise(F.round(F.greatest("p0", "p1", "p2") * 100, 2)).alias("confidence_score"),
     )
 
 

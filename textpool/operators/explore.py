@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpool.functions.labels import CLASS_NAMES, class_id_of
@@ -70,10 +70,21 @@ def total_pages(df: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
 
 def clamped_page(df: DataFrame, page_no: int, key: str, direction: str = "asc", tie: str = "id",
                  page_size: int = PAGE_SIZE) -> DataFrame:
-    """T3 with the page clamped to ``[1, total_pages]`` (one count job, then a top-k)."""
-    n = df.count()
-    last = max(1, -(-n // page_size))
-    return page(df, min(max(1, int(page_no)), last), key, direction, tie, page_size)
+    """T3 with the page clamped to ``[1, total_pages]`` (one count job, then a top-k).
+
+    The columns ``page_no`` and ``total_pages`` say which page it is.
+    """
+    last = total_pages(df, page_size).first()["total_pages"]
+    p = min(max(1, int(page_no)), last)
+    return page(df, p, key, direction, tie, page_size) \
+        .withColumn("page_no", F.lit(p).cast("long")).withColumn("total_pages", F.lit(last).cast("long"))
+
+
+def with_page_position(rows: DataFrame, page_no: int, key: str, direction: str = "asc", tie: str = "id",
+                       page_size: int = PAGE_SIZE, out: str = "position") -> DataFrame:
+    """The 1-based place of each row of one page (≤ ``page_size`` rows) in the whole sorted table."""
+    w = Window.partitionBy(F.lit(1)).orderBy(*sort_order(key, direction, tie))
+    return rows.withColumn(out, F.row_number().over(w) + F.lit((max(1, int(page_no)) - 1) * page_size))
 
 
 def preview(df: DataFrame) -> DataFrame:

@@ -1,14 +1,15 @@
 """Scoring: validity filter → logits (pluggable scorer) → softmax → argmax → fallback.
 
-Only the scorer runs in Python, as an Arrow-batched ``mapInPandas`` whose
-model is loaded once per Python worker; everything after the logits is Column
-arithmetic inside whole-stage codegen.
+Only the scorer runs in Python, as an Arrow-batched iterator ``pandas_udf`` on
+the texts alone, whose model is loaded once per Python worker; everything after
+the logits is Column arithmetic inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ CONFIDENCE_THRESHOLD = 0.70
 FALLBACK_LABEL = "Neutral"
 MIN_TEXT_CHARS = 2
 SCORER_BATCH = 32
+LOGITS = ["l0", "l1", "l2"]
 
 ScorerFn = Callable[[pd.Series], pd.DataFrame]
 
@@ -76,44 +78,65 @@ def _loaded(factory):
     return fn
 
 
+def _in_passes(fn, *inputs: pd.Series) -> np.ndarray:
+    """Logits of all rows, from forward passes of ``SCORER_BATCH`` rows."""
+    n = len(inputs[0])
+    parts = [fn(*(s.iloc[i:i + SCORER_BATCH] for s in inputs))[LOGITS].to_numpy(dtype="float64")
+             for i in range(0, n, SCORER_BATCH)]
+    return np.concatenate(parts) if parts else np.empty((0, len(LOGITS)))
+
+
 def apply_scorer(df: DataFrame, scorer, text_col: str = "text", pair_col: str | None = None,
                  where: Column | None = None) -> DataFrame:
-    """M4: add ``l0, l1, l2`` from ``scorer`` (a factory returning a pandas batch function).
-
-    Arrow batches are re-cut into ``SCORER_BATCH``-row forward passes; the model
-    is built once per Python worker process and reused across tasks.  With
-    ``where``, only rows where it holds reach the model (the others pass
-    through with null logits), so a caller that needs scored and unscored rows
-    makes one pass instead of a union of re-computed branches.
+    """M4: add ``l0, l1, l2`` from ``scorer``.
+
+    A scorer is a factory of a pandas batch function, or an object with a
+    ``score_frame(df, text_col)`` of its own (a trained Spark ML model, which
+    needs no Python worker).  Only the texts travel to Python and only the
+    logits come back; the other columns stay in the JVM.  The model is built
+    once per Python worker and reused across tasks.  With ``where``, the other
+    rows get null logits and their texts stay behind.
+
+    The function is marked nondeterministic so that a filter on its result is
+    not pushed below it, where it would run a second time; filter on other
+    columns before scoring.
     """
-    out_schema = T.StructType(df.schema.fields + [T.StructField(f"l{i}", T.DoubleType()) for i in range(3)])
-    mask_col = "_tp_score_row"
-    src = df if where is None else df.withColumn(mask_col, F.coalesce(where, F.lit(False)))
-    logit_cols = ["l0", "l1", "l2"]
-    masked = where is not None  # the closure must not capture the Column itself
+    if hasattr(scorer, "score_frame"):
+        if pair_col is not None or where is not None:
+            raise ValueError("a frame scorer takes texts only, and all of them")
+        return scorer.score_frame(df, text_col)
+    mask = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    inputs = [F.col(c) if where is None else F.when(mask, F.col(c)) for c in (text_col, pair_col) if c is not None]
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        fn = _loaded(scorer)
+        for todo, *texts in batches:
+            keep = todo.to_numpy(dtype=bool)
+            logits = np.full((len(todo), len(LOGITS)), np.nan)
+            logits[keep] = _in_passes(fn, *(t[keep] for t in texts))
+            yield pd.DataFrame(logits, columns=LOGITS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    logits = F.pandas_udf(run, T.StructType([T.StructField(c, T.DoubleType()) for c in LOGITS])).asNondeterministic()
+    out = df.withColumn("_tp_logits", logits(mask, *inputs))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), *(F.col("_tp_logits")[c].alias(c) for c in LOGITS))
+
+
+def pair_logits(text: Column, partners: Column, scorer) -> Column:
+    """Logits ``[l0, l1, l2]`` of ``(text, partner)`` for every entry of ``partners``, in order.
+
+    The text travels to Python once, however many partners it has. Null or
+    empty ``partners`` give an empty array.
+    """
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         fn = _loaded(scorer)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            mask = pdf.pop(mask_col).to_numpy(dtype=bool) if masked else None
-            todo = pdf if mask is None else pdf[mask]
-            parts = []
-            for start in range(0, len(todo), SCORER_BATCH):
-                chunk = todo.iloc[start:start + SCORER_BATCH]
-                args = (chunk[text_col],) if pair_col is None else (chunk[text_col], chunk[pair_col])
-                parts.append(fn(*args).reset_index(drop=True)[logit_cols])
-            if mask is None:
-                logits = pd.concat(parts, ignore_index=True)
-            else:
-                logits = pd.DataFrame(float("nan"), index=pdf.index, columns=logit_cols)
-                if parts:
-                    logits.loc[mask, logit_cols] = pd.concat(parts, ignore_index=True).to_numpy()
-            yield pd.concat([pdf, logits.reset_index(drop=True)], axis=1)
-
-    return src.mapInPandas(run, out_schema)
+        for texts, lists in batches:
+            sizes = np.array([0 if x is None else len(x) for x in lists], dtype=int)
+            flat = [v for x in lists if x is not None for v in x]
+            logits = _in_passes(fn, texts.repeat(sizes).reset_index(drop=True), pd.Series(flat, dtype=object)).tolist()
+            ends = sizes.cumsum()
+            yield pd.Series([logits[e - n:e] for e, n in zip(ends, sizes)], dtype=object)
+
+    return F.pandas_udf(run, "array<array<double>>").asNondeterministic()(text, partners)
 
 
 # ── filters and projections ─────────────────────────────────────────────────

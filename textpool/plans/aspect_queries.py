@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textpool.functions.arrays import explode_values
 from textpool.operators import aspects as AS
-from textpool.operators.scoring import PairShapeScorer
+from textpool.operators.scoring import PairShapeScorer, pair_logits
 from textpool.plans import sql as S
 from textpool.plans.registry import register
 from textpool.sources.tables import read_table
@@ -59,11 +58,12 @@ def aspect_rule_override(spark, d):
 @register("aspect_pair_score", _ASPECT_CTES + "SELECT id, detected_aspect, round(l0, 6) AS l0, round(l1, 6) AS l1, "
           "round(l2, 6) AS l2 FROM lg", ("L4", "M4"))
 def aspect_pair_score(spark, d):
-    from textpool.operators.scoring import apply_scorer
-    x = items(spark, d).filter(F.length("text") >= 2).withColumn("_asp", AS.extract_aspects(F.col("text")))
-    pairs = explode_values(x, ["id", "text"], F.col("_asp"), "detected_aspect").filter(~AS.rule_neutral(F.col("text")))
-    s = apply_scorer(pairs, PAIR_SCORER, text_col="text", pair_col="detected_aspect")
-    return s.select("id", "detected_aspect", *[F.round(c, 6).alias(c) for c in ("l0", "l1", "l2")])
+    x = items(spark, d).filter((F.length("text") >= 2) & ~AS.rule_neutral(F.col("text"))) \
+        .withColumn("_asp", AS.extract_aspects(F.col("text")))
+    x = x.withColumn("_lg", pair_logits(F.col("text"), F.col("_asp"), PAIR_SCORER))
+    s = x.select("id", F.explode(F.arrays_zip("_asp", "_lg")).alias("_e"))
+    return s.select("id", F.col("_e")["_asp"].alias("detected_aspect"),
+                    *[F.round(F.col("_e")["_lg"][i], 6).alias(f"l{i}") for i in range(3)])
 
 
 @register("aspect_crosstab", _ASPECT_CTES + (

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textpool.functions.aggregates import count_where
+from textpool.functions.labels import class_name_of
 from textpool.operators import explore as X
 from textpool.operators import scoring as SC
 from textpool.operators import validation as V
+from textpool.plans import inputs as I
 from textpool.plans import sql as S
 from textpool.plans.registry import register
-from textpool.plans.score_queries import ENTRIES_SCORED_SQL, entries_scored
+from textpool.plans.score_queries import ENTRIES_SCORED_SQL, SCORER, entries_scored
 from textpool.sources.tables import read_table
 
 
@@ -85,23 +88,47 @@ def chart_frame_q(spark, d):
     return X.labels_present(X.chart_frame(_pred(spark, d)))
 
 
+def _valid(spark, d):
+    return SC.valid_texts(I.batch_entries(spark, d))
+
+
+def _scored(entries):
+    """Predictions of the rows that browsing left over: only they reach the model."""
+    return SC.predict_from_logits(SC.apply_scorer(entries, SCORER)).withColumn("sentiment", class_name_of("pred_id"))
+
+
 @register("result_search", f"SELECT id, text, sentiment, round(confidence, 6) AS confidence FROM ({_PRED_SQL}) "
           "WHERE sentiment = 'Neutral' AND contains(lower(text), lower('The'))", ("P14",))
 def result_search(spark, d):
-    r = X.search(_pred(spark, d), sentiment="Neutral", query="The")
+    r = X.search(_scored(X.search(_valid(spark, d), query="The")), sentiment="Neutral")
     return r.select("id", "text", "sentiment", F.round("confidence", 6).alias("confidence"))
 
 
-@register("result_page", f"SELECT id, text, sentiment FROM ({_PRED_SQL}) ORDER BY text ASC NULLS FIRST, id ASC "
-          "LIMIT 25 OFFSET 50", ("T2", "T3"))
+def _page_sql(order, where, extra=""):
+    return (f"SELECT id, text, sentiment, position{extra} FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS position, "
+            f"greatest(1, CAST(ceil(count(*) OVER () / 25.0) AS BIGINT)) AS total_pages FROM ({_PRED_SQL})) WHERE {where}")
+
+
+@register("result_page", _page_sql("text ASC NULLS FIRST, id ASC", "position > 50 AND position <= 75"), ("T2", "T3"))
 def result_page(spark, d):
-    return X.page(_pred(spark, d), 3, "text", "asc").select("id", "text", "sentiment")
+    rows = X.with_page_position(X.page(_valid(spark, d), 3, "text", "asc"), 3, "text", "asc")
+    return _scored(rows).select("id", "text", "sentiment", "position")
 
 
-@register("result_page_desc", f"SELECT id, text, sentiment FROM ({_PRED_SQL}) ORDER BY text DESC NULLS LAST, id ASC "
-          "LIMIT 25", ("T2", "T3"))
+@register("result_page_desc", _page_sql("text DESC NULLS LAST, id ASC", "position <= 25"), ("T2", "T3"))
 def result_page_desc(spark, d):
-    return X.page(_pred(spark, d), 1, "text", "desc").select("id", "text", "sentiment")
+    rows = X.with_page_position(X.page(_valid(spark, d), 1, "text", "desc"), 1, "text", "desc")
+    return _scored(rows).select("id", "text", "sentiment", "position")
+
+
+@register("result_page_clamped", _page_sql("text ASC NULLS FIRST, id ASC", "position > (total_pages - 1) * 25",
+                                           ", total_pages AS page_no, total_pages"), ("T3",))
+def result_page_clamped(spark, d):
+    """A page number beyond the end gives the last page."""
+    rows = X.clamped_page(_valid(spark, d), 1_000_000_000, "text", "asc")
+    w = Window.partitionBy(F.lit(1)).orderBy(*X.sort_order("text", "asc"))  # one page of rows
+    rows = rows.withColumn("position", F.row_number().over(w) + (F.col("page_no") - 1) * X.PAGE_SIZE)
+    return _scored(rows).select("id", "text", "sentiment", "position", "page_no", "total_pages")
 
 
 @register("result_preview",
