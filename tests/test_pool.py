@@ -151,3 +151,28 @@ def test_with_position_consecutive(spark):
     df = spark.range(0, 1000, numPartitions=7).withColumn("v", F.col("id") * 2)
     pos = with_position(df).collect()
     assert sorted((r.position, r.id) for r in pos) == [(i, i) for i in range(1000)]
+
+
+def test_keyed_pools_count_like_texts(spark):
+    base = _df(spark, [("Hello", 0), ("hello ", 2), ("hello ", 2), ("hello ", 1), ("other", 1), ("keep", 2)])
+    hard = _df(spark, [("HELLO", 1), ("new one", 0)])
+    val = _df(spark, [("KEEP ", 1), ("unseen", 0)])
+
+    def build(f):
+        merged = P.majority_dedup(P.merge_overrides(P.majority_dedup(f(base)), f(hard)))
+        return merged, P.remove_leakage(merged, f(val))
+
+    (text, kept_text), (dig, kept_dig) = build(lambda x: x), build(P.keyed)
+    for a, b in ((text, dig), (kept_text, kept_dig)):
+        assert sorted(r["count"] for r in P.label_distribution(a).collect()) == \
+            sorted(r["count"] for r in P.label_distribution(b).collect())
+    assert P.leakage_report(dig, val).collect() == P.leakage_report(text, val).collect()
+    assert P.override_counts(P.keyed(base), P.keyed(hard)).collect() == P.override_counts(base, hard).collect()
+    plan = P.label_distribution(kept_dig)._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" in plan
+
+
+def test_sample_of_raw_rows_counts_nulls_as_empty(spark):
+    df = spark.createDataFrame([(None, "a"), ("x", None), ("y", "b"), ("z", "c")], "tweet string, label string")
+    got = P.seeded_sample(df, 4, key_cols=("tweet", "label")).collect()
+    assert len(got) == 4

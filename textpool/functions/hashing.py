@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 
 def seeded_hex(seed: int, *cols) -> Column:
-    parts = [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]
+    """md5 of the seed and the values as text; a null counts as empty text."""
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cols]
     return F.md5(F.concat(F.lit(str(seed)), *parts))
 
 

@@ -7,6 +7,9 @@ Shuffle budget per operator (all keyed, all with map-side partial aggregation):
 * override merge, leakage removal — one anti join on a 32-byte digest of the
   normalised key; counts of keys and overlaps move digests only.
 * leakage report / overlap — one shuffle of ``(key, side)`` with partial agg.
+
+A pool that is only counted goes through :func:`keyed` first: its texts are
+replaced by digests at the scan, and every operator here works on them alike.
 """
 
 from __future__ import annotations
@@ -14,15 +17,31 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpool.functions.aggregates import count_where
 from textpool.functions.hashing import digest
-from textpool.functions.text import norm_join_key, norm_key
+from textpool.functions.text import norm_join_key
 from textpool.operators.ranking import with_seeded_rank, with_sorted_rank
 
 SEED = 42
+#: Digest of the normalised text, carried by keyed pools.
+NORM_DIGEST = "_norm_digest"
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """A contract pool with digests for texts: ``Sentence`` (exact text), normalised text, ``Polarity``.
+
+    Equal texts have equal digests, so dedup, overrides, leakage and all counts
+    come out as on the texts, while a row in a shuffle is 64 bytes and a label.
+    """
+    return df.select(digest(F.col("Sentence")).alias("Sentence"),
+                     digest(norm_join_key("Sentence")).alias(NORM_DIGEST), "Polarity")
+
+
+def _norm_digest(df: DataFrame) -> Column:
+    return F.col(NORM_DIGEST) if NORM_DIGEST in df.columns else digest(norm_join_key("Sentence"))
 
 
 # ── J1 / A1 ────────────────────────────────────────────────────────────────
@@ -37,7 +56,8 @@ def majority_dedup(df: DataFrame) -> DataFrame:
     Polarity is 0/1/2 by contract, so the vote is three conditional counts in a
     single aggregation (partial agg before the shuffle, no second shuffle).
     """
-    agg = df.groupBy("Sentence").agg(
+    key = [c for c in ("Sentence", NORM_DIGEST) if c in df.columns]
+    agg = df.groupBy(*key).agg(
         count_where(F.col("Polarity") == 0).alias("_c0"),
         count_where(F.col("Polarity") == 1).alias("_c1"),
         count_where(F.col("Polarity") == 2).alias("_c2"),
@@ -48,7 +68,7 @@ def majority_dedup(df: DataFrame) -> DataFrame:
         .otherwise(F.lit(2))
         .cast("int")
     )
-    return agg.select("Sentence", vote.alias("Polarity"))
+    return agg.select(*key, vote.alias("Polarity"))
 
 
 def label_distribution(df: DataFrame, label_col: str = "Polarity") -> DataFrame:
@@ -63,9 +83,9 @@ def merge_overrides(base: DataFrame, hard: DataFrame) -> DataFrame:
     Every base row whose ``lower().strip()`` key appears among the curated keys
     is removed (so all case variants go), then the curated rows are added.
     """
-    hard_keys = hard.select(digest(norm_join_key("Sentence")).alias("_nk")).distinct()
-    kept = base.withColumn("_nk", digest(norm_join_key("Sentence"))).join(hard_keys, "_nk", "left_anti").drop("_nk")
-    return kept.unionByName(hard.select("Sentence", "Polarity"))
+    hard_keys = hard.select(_norm_digest(hard).alias("_nk")).distinct()
+    kept = base.withColumn("_nk", _norm_digest(base)).join(hard_keys, "_nk", "left_anti").drop("_nk")
+    return kept.unionByName(hard.select(*base.columns))
 
 
 def override_counts(base: DataFrame, hard: DataFrame) -> DataFrame:
@@ -73,9 +93,9 @@ def override_counts(base: DataFrame, hard: DataFrame) -> DataFrame:
 
     One shuffle on the normalised key; the final one-row aggregate is global.
     """
-    keyed = base.select(digest(norm_key("Sentence")).alias("_nk"), F.lit(1).alias("_b"), F.lit(0).alias("_h")) \
-        .unionByName(hard.select(digest(norm_key("Sentence")).alias("_nk"), F.lit(0).alias("_b"), F.lit(1).alias("_h")))
-    per_key = keyed.groupBy("_nk").agg(F.sum("_b").alias("nb"), F.sum("_h").alias("nh"))
+    tagged = base.select(_norm_digest(base).alias("_nk"), F.lit(1).alias("_b"), F.lit(0).alias("_h")) \
+        .unionByName(hard.select(_norm_digest(hard).alias("_nk"), F.lit(0).alias("_b"), F.lit(1).alias("_h")))
+    per_key = tagged.groupBy("_nk").agg(F.sum("_b").alias("nb"), F.sum("_h").alias("nh"))
     out = per_key.agg(
         F.sum("nh").cast("long").alias("hard_rows"),
         F.coalesce(F.sum(F.when(F.col("nb") > 0, F.col("nh"))), F.lit(0)).cast("long").alias("overrides"),
@@ -93,16 +113,21 @@ def leakage_report(train: DataFrame, val: DataFrame, n_samples: int = 20) -> Dat
 
     Output: train_size, val_size, overlap_count, overlap_ratio_of_val (4dp),
     overlap_samples (the ``n_samples`` smallest overlapping keys, sorted).
+
+    Keys meet as digests; ``train`` may be a keyed pool.  Texts are read for
+    the samples only: those of ``val`` whose digest overlaps.
     """
-    keyed = train.select(norm_key("Sentence").alias("_nk"), F.lit(1).alias("_t"), F.lit(0).alias("_v")) \
-        .unionByName(val.select(norm_key("Sentence").alias("_nk"), F.lit(0).alias("_t"), F.lit(1).alias("_v")))
-    per_key = keyed.groupBy("_nk").agg(F.sum("_t").alias("nt"), F.sum("_v").alias("nv"))
+    tagged = train.select(_norm_digest(train).alias("_nk"), F.lit(1).alias("_t"), F.lit(0).alias("_v")) \
+        .unionByName(val.select(_norm_digest(val).alias("_nk"), F.lit(0).alias("_t"), F.lit(1).alias("_v")))
+    per_key = tagged.groupBy("_nk").agg(F.sum("_t").alias("nt"), F.sum("_v").alias("nv"))
     both = (F.col("nt") > 0) & (F.col("nv") > 0)
     # top-k of the overlap keys: TakeOrderedAndProject, bounded by n_samples
-    samples = per_key.filter(both).select("_nk").orderBy("_nk").limit(n_samples)
+    texts = val.select(norm_join_key("Sentence").alias("_s")).withColumn("_nk", digest(F.col("_s")))
+    samples = texts.join(per_key.filter(both).select("_nk"), "_nk", "left_semi") \
+        .select("_s").distinct().orderBy("_s").limit(n_samples)
     stats_rows = per_key.select("nt", "nv", both.alias("_both"), F.lit(None).cast("string").alias("_s"))
     sample_rows = samples.select(F.lit(0).cast("long").alias("nt"), F.lit(0).cast("long").alias("nv"),
-                                 F.lit(False).alias("_both"), F.col("_nk").alias("_s"))
+                                 F.lit(False).alias("_both"), "_s")
     agg = stats_rows.unionByName(sample_rows).agg(
         F.coalesce(F.sum("nt"), F.lit(0)).cast("long").alias("train_size"),
         F.coalesce(F.sum("nv"), F.lit(0)).cast("long").alias("val_size"),
@@ -120,8 +145,8 @@ def leakage_report(train: DataFrame, val: DataFrame, n_samples: int = 20) -> Dat
 
 def remove_leakage(train: DataFrame, val: DataFrame) -> DataFrame:
     """Drop every train row whose normalised key occurs in val (val is untouched)."""
-    val_keys = val.select(digest(norm_join_key("Sentence")).alias("_nk")).distinct()
-    return train.withColumn("_nk", digest(norm_join_key("Sentence"))).join(val_keys, "_nk", "left_anti").drop("_nk")
+    val_keys = val.select(_norm_digest(val).alias("_nk")).distinct()
+    return train.withColumn("_nk", _norm_digest(train)).join(val_keys, "_nk", "left_anti").drop("_nk")
 
 
 def split_overlap(train: DataFrame, val: DataFrame, test: DataFrame, col: str = "Sentence") -> DataFrame:

@@ -80,14 +80,11 @@ def seed_variance_q(spark, d):
 def pool_variants(spark, d):
     """Training-pool size for each (extra, overrides) setting: four real pool builds.
 
-    The four variants share their inputs, so those are materialised once with a
-    reliable ``checkpoint()`` in the shared checkpoint folder (lineage cut,
-    recomputation-free after executor loss) and read back by every variant.
+    The four variants share their inputs, so those are written once, as digests
+    (the pools are only counted), and read back by every variant.
     """
-    from textpool.session import checkpoint_root
-    checkpoint_root(spark)
-    st = training_pool_stages(spark, d)
-    raw, extra, hard, val = (st[k].checkpoint() for k in ("merged_raw", "extra", "hard", "val"))
+    st = training_pool_stages(spark, d, keyed=True, written=True)
+    raw, extra, hard, val = (st[k] for k in ("merged_raw", "extra", "hard", "val"))
     variants = {
         (False, False): raw,
         (True, False): P.majority_dedup(P.union_pools(raw, extra)),

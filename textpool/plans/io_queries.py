@@ -11,7 +11,7 @@ from textpool.operators import scoring as SC
 from textpool.operators.ranking import with_position
 from textpool.plans import inputs as I
 from textpool.plans import sql as S
-from textpool.plans.pool_queries import _LEAK_SQL, training_pool_stages
+from textpool.plans.pool_queries import _LEAK_SQL, leakage_report_q
 from textpool.plans.registry import register
 from textpool.plans.score_queries import SCORER, _pred_projection, _pred_sql, EMBED_SCORED_SQL, embed_scored
 from textpool.session import scratch_path
@@ -92,8 +92,7 @@ def encoding_csv(spark, d):
 
 @register("json_report_roundtrip", _LEAK_SQL, ("K2",))
 def json_report_roundtrip(spark, d):
-    st = training_pool_stages(spark, d)
-    rep = P.leakage_report(st["deduped"], st["val"])
+    rep = leakage_report_q(spark, d)
     path = scratch_path(spark, "leakage_json")
     W.write_json_report(rep, path)
     back = spark.read.schema(rep.schema).json(path)
@@ -118,9 +117,11 @@ def line_items(spark, d):
     return FS.lines_to_items(docs, "text").select("doc_id", "line_id", "line")
 
 
-@register("source_sample", S.seeded_sample(S.contract(S.CHAT_POOL, "Content", "Sentiment", 1), 300), ("S4", "S5", "W5"))
+@register("source_sample", S.contract(S.seeded_sample(S.CHAT_POOL, 300, "Content", "Sentiment"), "Content", "Sentiment", 1),
+          ("S4", "S5", "W5"))
 def source_sample(spark, d):
-    return P.seeded_sample(C.normalise_contract(I.chat_pool(spark, d), 1), 300, I.SEED)
+    """Raw rows are sampled, then normalised, so rows that the contract drops count towards the 300."""
+    return C.normalise_contract(P.seeded_sample(I.chat_pool(spark, d), 300, I.SEED, ("Content", "Sentiment")), 1)
 
 
 @register("source_profile", "SELECT Polarity, count(*) AS count FROM ({})".format(

@@ -11,6 +11,7 @@ from textpool.operators import pool as P
 from textpool.plans import inputs as I
 from textpool.plans import sql as S
 from textpool.plans.registry import register
+from textpool.session import checkpoint_root
 
 # ── shared stage builders (Spark) ───────────────────────────────────────────
 
@@ -19,31 +20,40 @@ class _PoolStages(Mapping):
     """Stages of the pool build, each constructed on first use and then shared.
 
     A query that needs one stage builds only that stage's lineage, so the
-    driver does not analyse plans it never runs.
+    driver does not analyse plans it never runs. With ``keyed`` the stages hold
+    digests for texts, for queries that only count. With ``written`` each stage
+    is written to the shared folder once (a checkpoint) and later ones read it.
     """
 
     _BUILD = {
         "splits": lambda s: I.doc_split_frames(s.spark, s.d),
-        "base": lambda s: C.normalise_contract(s["splits"]["train"], 1),
-        "val": lambda s: C.normalise_contract(s["splits"]["val"], 1),
-        "chat": lambda s: C.normalise_contract(I.chat_pool(s.spark, s.d), 1),
+        "base": lambda s: s.contract(s["splits"]["train"]),
+        "val": lambda s: s.contract(s["splits"]["val"]),
+        "chat": lambda s: s.contract(I.chat_pool(s.spark, s.d)),
         "merged_raw": lambda s: P.majority_dedup(P.union_pools(s["base"], s["chat"])),
-        "part": lambda s: C.normalise_contract(I.part_pool(s.spark, s.d), 1),
-        "extra": lambda s: P.seeded_sample(s["part"], I.EXTRA_SAMPLE_SIZE, I.SEED),
+        "extra": lambda s: s.contract(P.seeded_sample(I.part_pool(s.spark, s.d), I.EXTRA_SAMPLE_SIZE, I.SEED, ("tweet", "label"))),
         "merged_extra": lambda s: P.majority_dedup(P.union_pools(s["merged_raw"], s["extra"])),
-        "hard": lambda s: C.normalise_contract(I.hard_examples(s.spark, s.d), 1),
+        "hard": lambda s: s.contract(I.hard_examples(s.spark, s.d)),
         "overridden": lambda s: P.merge_overrides(s["merged_extra"], s["hard"]),
         "deduped": lambda s: P.majority_dedup(s["overridden"]),
         "final": lambda s: P.remove_leakage(s["deduped"], s["val"]),
     }
     _PUBLIC = ["base", "val", "chat", "merged_raw", "extra", "merged_extra", "hard", "overridden", "deduped", "final"]
 
-    def __init__(self, spark, d: str):
-        self.spark, self.d, self._built = spark, d, {}
+    def __init__(self, spark, d: str, keyed: bool = False, written: bool = False):
+        self.spark, self.d, self._keyed, self._written, self._built = spark, d, keyed, written, {}
+
+    def contract(self, raw):
+        pool = C.normalise_contract(raw, 1)
+        return P.keyed(pool) if self._keyed else pool
 
     def __getitem__(self, key):
         if key not in self._built:
-            self._built[key] = self._BUILD[key](self)
+            stage = self._BUILD[key](self)
+            if self._written and key in self._PUBLIC:
+                checkpoint_root(self.spark)
+                stage = stage.checkpoint()
+            self._built[key] = stage
         return self._built[key]
 
     def __iter__(self):
@@ -53,10 +63,10 @@ class _PoolStages(Mapping):
         return len(self._PUBLIC)
 
 
-def training_pool_stages(spark, d: str) -> Mapping:
+def training_pool_stages(spark, d: str, keyed: bool = False, written: bool = False) -> Mapping:
     """The reference's build order: base → +raw, dedup → +sampled extra, dedup →
     overrides → dedup → leakage report and removal against val (stages built lazily)."""
-    return _PoolStages(spark, d)
+    return _PoolStages(spark, d, keyed, written)
 
 
 # ── shared stage builders (SQL) ─────────────────────────────────────────────
@@ -66,8 +76,7 @@ _POOL_CTES = {
     "val": S.contract("SELECT * FROM alldocs WHERE b >= 8000 AND b < 9000", "text", "sentiment", 1),
     "chat": S.contract(S.CHAT_POOL, "Content", "Sentiment", 1),
     "merged_raw": S.dedup("SELECT * FROM base UNION ALL SELECT * FROM chat"),
-    "part": S.contract(S.PART_POOL, "tweet", "label", 1),
-    "extra": S.seeded_sample("SELECT * FROM part", I.EXTRA_SAMPLE_SIZE),
+    "extra": S.contract(S.seeded_sample(S.PART_POOL, I.EXTRA_SAMPLE_SIZE, "tweet", "label"), "tweet", "label", 1),
     "merged_extra": S.dedup("SELECT * FROM merged_raw UNION ALL SELECT * FROM extra"),
     "hard": S.contract(S.HARD, "sentence", "polarity", 1),
     "overridden": S.merge_overrides("SELECT * FROM merged_extra", "SELECT * FROM hard"),
@@ -132,7 +141,7 @@ def pool_union_override(spark, d):
     f"(SELECT count(*) FROM hard h WHERE {S.norm('h.Sentence')} NOT IN (SELECT {S.norm('Sentence')} FROM merged_extra)) AS new_rows, "
     "(SELECT count(*) FROM merged_extra) AS pool_before, (SELECT count(*) FROM overridden) AS pool_after"), ("J3",))
 def override_counts_q(spark, d):
-    st = training_pool_stages(spark, d)
+    st = training_pool_stages(spark, d, keyed=True)
     return P.override_counts(st["merged_extra"], st["hard"])
 
 
@@ -149,8 +158,8 @@ _LEAK_SQL = pool_sql(
 
 @register("leakage_report", _LEAK_SQL, ("J4", "T4"))
 def leakage_report_q(spark, d):
-    st = training_pool_stages(spark, d)
-    return P.leakage_report(st["deduped"], st["val"])
+    """The training side is digests only; val keeps its texts for the samples."""
+    return P.leakage_report(training_pool_stages(spark, d, keyed=True)["deduped"], training_pool_stages(spark, d)["val"])
 
 
 @register("leakage_removed", pool_sql("SELECT Sentence, Polarity FROM final"), ("J5",))
@@ -161,7 +170,7 @@ def leakage_removed(spark, d):
 @register("training_pool_distribution",
           pool_sql("SELECT Polarity, count(*) AS count FROM final GROUP BY Polarity"), ("J1", "A1", "J2", "J5", "A2"))
 def training_pool_distribution(spark, d):
-    return P.label_distribution(training_pool_stages(spark, d)["final"])
+    return P.label_distribution(training_pool_stages(spark, d, keyed=True)["final"])
 
 
 _STAGES = ["base", "val", "chat", "merged_raw", "extra", "merged_extra", "hard", "overridden", "deduped", "final"]
@@ -170,7 +179,8 @@ _STAGES = ["base", "val", "chat", "merged_raw", "extra", "merged_extra", "hard",
 @register("pool_stage_sizes", pool_sql(" UNION ALL ".join(
     f"SELECT '{s}' AS stage, count(*) AS rows FROM {s}" for s in _STAGES)), ("A5",))
 def pool_stage_sizes(spark, d):
-    st = training_pool_stages(spark, d)
+    """Each stage is written once as digests, so a stage's rows are read from its predecessors' files."""
+    st = training_pool_stages(spark, d, keyed=True, written=True)
     return P.stage_sizes({s: st[s] for s in _STAGES})
 
 
@@ -185,7 +195,7 @@ def pool_stage_sizes(spark, d):
     "LEFT JOIN (SELECT Polarity, count(*) AS cnt FROM final GROUP BY Polarity) n ON c.Polarity = n.Polarity)))"),
     ("A6",))
 def class_weights_q(spark, d):
-    w = P.class_weights(training_pool_stages(spark, d)["final"])
+    w = P.class_weights(training_pool_stages(spark, d, keyed=True)["final"])
     return w.select("Polarity", "count", F.round("weight", 6).alias("weight"))
 
 

@@ -78,9 +78,8 @@ def dedup(src: str) -> str:
             f"FROM (SELECT Sentence, Polarity, count(*) AS n FROM ({src}) GROUP BY Sentence, Polarity)) WHERE rn = 1")
 
 
-def seeded_sample(src: str, n: int, seed: int = 42) -> str:
-    return (f"SELECT Sentence, Polarity FROM ({src}) "
-            f"ORDER BY {seeded_hex(seed, 'Sentence', 'Polarity')}, Sentence, Polarity LIMIT {n}")
+def seeded_sample(src: str, n: int, a: str, b: str, seed: int = 42) -> str:
+    return f"SELECT {a}, {b} FROM ({src}) ORDER BY {seeded_hex(seed, a, b)}, {a}, {b} LIMIT {n}"
 
 
 def merge_overrides(base: str, hard: str) -> str:
