@@ -101,3 +101,38 @@ def test_score_upload_outputs_share_one_scoring(spark):
     fb = out["fallback"].collect()[0]
     assert len(preds) == 24 and dist["Total"] == 24 and fb.rows == 24  # lengths 0 and 1 (16 of 40) dropped
     assert sum(dist[k] for k in dist if k != "Total") == 24
+
+
+def test_text_model_learns_saves_and_scores(spark, tmp_path):
+    """Held-out texts with known answers; a null text, an unseen text and a clashing column."""
+    from textpool.operators import features as FE
+    from textpool.operators import scoring as SC
+    words = {0: "bad awful broken", 1: "plain usual average", 2: "good lovely splendid"}
+    train = [(f"{w} thing number {i}", y) for y, ws in words.items() for i in range(12) for w in ws.split()]
+    model = FE.fit_text_model(spark.createDataFrame(train, "text string, y int"))
+    model.save(str(tmp_path / "model"))
+    rows = [(f"a thing that is {w}", y) for y, ws in words.items() for w in ws.split()] + [(None, None), ("zzz", None), ("", None)]
+    test = spark.createDataFrame([(i, t, y, 7) for i, (t, y) in enumerate(rows)], "id int, text string, y int, terms int")
+    scored = FE.TextModel.load(str(tmp_path / "model")).score_frame(test)
+    assert scored.columns == ["id", "text", "y", "terms", "l0", "l1", "l2"]
+    out = SC.predict_from_logits(scored, enabled=False).collect()
+    assert len(out) == len(rows) and all(r["terms"] == 7 for r in out)
+    known = [r for r in out if r["y"] is not None]
+    assert [r["pred_id"] for r in known] == [r["y"] for r in known]
+    blank = {(r["l0"], r["l1"], r["l2"]) for r in out if r["y"] is None}
+    assert len(blank) == 1  # none of them holds a known term
+
+
+def test_text_vocabulary_against_plain_counts(spark):
+    from collections import Counter
+    from textpool.operators import features as FE
+    texts = ["aa bb aa", "bb cc", None, "", "aa bb aa bb", "x"]
+    got = {r["term"]: (r["df"], r["total"]) for r in FE.text_vocabulary(
+        spark.createDataFrame([(t,) for t in texts], "text string"), 100, min_df=1).collect()}
+    total, df = Counter(), Counter()
+    for t in texts:
+        tok = [w for w in (t or "").split() if len(w) > 1]
+        terms = tok + [" ".join(p) for p in zip(tok, tok[1:])]
+        total.update(terms)
+        df.update(set(terms))
+    assert got == {t: (df[t], n) for t, n in total.items()}

@@ -6,10 +6,14 @@ their keys; sizes to cut them to are explicit parameters.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpool.functions.arrays import explode_values
+from textpool.functions.scoring import argmax3
+from textpool.operators.pool import seeded_sample
 from textpool.operators.ranking import top_k, with_order_rank
 from textpool.session import scratch_path
 
@@ -22,6 +26,11 @@ N_SPECIAL = 4
 MIN_DF = 2
 #: Terms that the learned baseline is fitted on, the most frequent first.
 MAX_FEATURES = 80_000
+#: Labelled rows that the regressions are fitted on at most, and rows in a task of theirs.
+FIT_ROWS = 50_000
+FIT_TASK_ROWS = 2_500
+N_CLASSES = 3
+MARGIN_LIMIT = 100.0
 
 
 def tokens(text_col: str = "text", pattern: str = WORD_PATTERN):
@@ -112,44 +121,99 @@ def tfidf_relational(docs: DataFrame, id_col: str = "id", text_col: str = "text"
     return w.select(id_col, "term", (F.col("w") / norm).alias("tfidf"))
 
 
-def tfidf_logreg(train: DataFrame, test: DataFrame, text_col: str = "text", label_col: str = "y",
-                 max_iter: int = 1200, tol: float = 1e-4, vocab_size: int = MAX_FEATURES,
-                 min_df: int = MIN_DF) -> DataFrame:
-    """M2 + M3 on Spark ML: TF-IDF (1-2 grams, smoothed idf + 1, L2) → one-vs-rest L2 logistic
-    regression with balanced class weights. Returns test rows with ``prediction``.
+class TextModel:
+    """M3: a fitted text classifier over the classes 0..2; a scorer for ``scoring.apply_scorer``.
+
+    Terms are built in the row, weights and terms (at most ``vocab_size``) travel
+    with the plan: scoring has no shuffle and no Python worker.
+    """
+
+    def __init__(self, pipeline):
+        self.pipeline = pipeline
+
+    def save(self, path: str) -> None:
+        self.pipeline.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> TextModel:
+        from pyspark.ml import PipelineModel
+        return cls(PipelineModel.load(path))
+
+    def score_frame(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        """``df`` with ``l0, l1, l2``: the margins of the one-against-the-rest models. A null text counts as empty."""
+        from pyspark.ml.functions import vector_to_array
+        own = df.withColumn("_tm_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+        out = self.pipeline.transform(with_terms(own, "_tm_text", "_tm_terms"))
+        # a class that the training rows lack has an infinite intercept
+        margin = lambda c: F.greatest(F.least(vector_to_array(f"_tm_raw{c}")[1], F.lit(MARGIN_LIMIT)), F.lit(-MARGIN_LIMIT))
+        return out.select(*(F.col(f"`{c}`") for c in df.columns), *(margin(c).alias(f"l{c}") for c in range(N_CLASSES)))
+
+
+def text_vocabulary(docs: DataFrame, vocab_size: int, min_df: int = MIN_DF, text_col: str = "text") -> DataFrame:
+    """(term, df, total) of the ``vocab_size`` most frequent terms (total desc, term asc) in at least ``min_df`` rows.
 
-    The idf offset is applied with ``ElementwiseProduct(idf + 1)`` on raw term
-    counts, because Spark's ``IDF`` uses ``ln((1+n)/(1+df))`` without the +1.
+    The terms of a row are folded in the row (its distinct terms, and how often
+    each occurs), so one partially aggregated shuffle on the term counts both.
+    """
+    terms = with_terms(docs.select(F.coalesce(text_col, F.lit("")).alias("_t")), "_t")
+    marked = terms.select(F.array_sort("terms").alias("_s")).select(F.transform("_s", lambda t, i: F.struct(
+        t.alias("term"), F.when((i == 0) | (F.get("_s", i - 1) != t), 1).otherwise(0).alias("first"))).alias("_s"))
+    each = explode_values(marked, [], F.col("_s"), "_e").select("_e.term", F.col("_e.first").alias("_first"))
+    counts = each.groupBy("term").agg(F.sum("_first").alias("df"), F.count(F.lit(1)).alias("total"))
+    return top_k(counts.filter(F.col("df") >= min_df), vocab_size, [F.desc("total"), F.asc("term")], desc_count="total")
+
+
+def fit_text_model(train: DataFrame, text_col: str = "text", label_col: str = "y", max_iter: int = 100, tol: float = 1e-4,
+                   vocab_size: int = MAX_FEATURES, min_df: int = MIN_DF, fit_rows: int = FIT_ROWS) -> TextModel:
+    """M2 + M3: TF-IDF (1-2 grams, smoothed idf + 1, L2 rows) and three logistic regressions with balanced class weights.
+
+    Terms and document frequencies come from all rows of ``train``; the
+    regressions are fitted on at most ``fit_rows`` of them, a seeded exact
+    sample. ``vocab_size`` bounds what the driver and each task hold.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression, OneVsRest
-    from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer,
-                                    RegexTokenizer, SQLTransformer)
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_uni", pattern=TFIDF_PATTERN, gaps=False, toLowercase=True)
-    ngr = NGram(n=2, inputCol="_uni", outputCol="_bi")
-    cat = SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _terms FROM __THIS__")
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=float(min_df), vocabSize=vocab_size)
-    feats = Pipeline(stages=[tok, ngr, cat, cv]).fit(train)
-    tr = feats.transform(train)
-    idf = IDF(inputCol="_tf", outputCol="_idf").fit(tr)
-    scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf",
-                               scalingVec=Vectors.dense([v + 1.0 for v in idf.idf.toArray()]))
-    norm = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-
-    counts = train.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
-    k = counts.select(F.count(F.lit(1))).scalar()
-    n = train.select(F.count(F.lit(1))).scalar()
-    weighted = tr.join(F.broadcast(counts), label_col).withColumn("_w", n / (k * F.col("_n")))  # ≤ k rows
-    prep = lambda df: norm.transform(scale.transform(df))
-    lr = LogisticRegression(maxIter=max_iter, tol=tol, regParam=1.0 / max(1, train.count()), standardization=False,
-                            weightCol="_w")
-    ovr = OneVsRest(classifier=lr, labelCol=label_col, featuresCol="features", weightCol="_w", parallelism=3)
-    fit_input = prep(weighted).withColumn(label_col, F.col(label_col).cast("double")) \
-        .select(label_col, "features", "_w").persist()
+    spark = train.sparkSession
+    n = train.select(F.count(F.lit(1)).alias("n")).first()["n"]
+    vocab = text_vocabulary(train, vocab_size, min_df, text_col).orderBy(F.desc("total"), "term").collect()  # ≤ vocab_size
+    if not n or not vocab:
+        raise ValueError("no terms to learn from")
+    idf = Vectors.dense([math.log((1.0 + n) / (1.0 + v["df"])) + 1.0 for v in vocab])
+    stages = [CountVectorizerModel.from_vocabulary([v["term"] for v in vocab], inputCol="_tm_terms", outputCol="_tm_tf"),
+              ElementwiseProduct(inputCol="_tm_tf", outputCol="_tm_tfidf", scalingVec=idf),
+              Normalizer(inputCol="_tm_tfidf", outputCol="_tm_x", p=2.0)]
+    sample = seeded_sample(train.select(text_col, label_col), fit_rows, key_cols=[text_col, label_col])
+    rows = Pipeline(stages=stages).fit(train).transform(
+        with_terms(sample.withColumn("_tm_text", F.coalesce(text_col, F.lit(""))), "_tm_text", "_tm_terms"))
+    path = scratch_path(spark, "fit_rows")
+    rows.select(label_col, "_tm_x").write.parquet(path)
+    # every step of the fit is a job over these rows, so few rows go to few tasks
+    rows = spark.read.parquet(path).coalesce(math.ceil(min(n, fit_rows) / FIT_TASK_ROWS))
+    counts = {r[label_col]: r["n"] for r in rows.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col(label_col).between(0, N_CLASSES - 1)).collect()}  # ≤ 3 rows
+    used = sum(counts.values())
+    weight = F.coalesce(*(F.when(F.col(label_col) == c, F.lit(used / (len(counts) * m))) for c, m in counts.items()))
+    weighted = rows.filter(F.col(label_col).between(0, N_CLASSES - 1)).withColumn("_tm_w", weight).persist()
     try:
-        model = ovr.fit(fit_input)
+        for c in range(N_CLASSES):
+            lr = LogisticRegression(featuresCol="_tm_x", labelCol="_tm_is", weightCol="_tm_w", rawPredictionCol=f"_tm_raw{c}",
+                                    probabilityCol="", predictionCol="", family="binomial", maxIter=max_iter, tol=tol,
+                                    regParam=1.0 / used, standardization=False)
+            stages.append(lr.fit(weighted.withColumn("_tm_is", (F.col(label_col) == c).cast("double"))))
     finally:
-        fit_input.unpersist()
-    return model.transform(prep(feats.transform(test)))
+        weighted.unpersist()
+    return TextModel(Pipeline(stages=stages).fit(train))
+
+
+def tfidf_logreg(train: DataFrame, test: DataFrame, text_col: str = "text", label_col: str = "y", **options) -> DataFrame:
+    """M2 + M3: the rows of ``test`` with ``prediction``, by a model fitted on ``train``, saved and loaded again.
+
+    The class of the greatest margin wins, the smallest class on ties.
+    """
+    path = scratch_path(train.sparkSession, "text_model")
+    fit_text_model(train, text_col, label_col, **options).save(path)
+    scored = TextModel.load(path).score_frame(test, text_col)
+    return scored.withColumn("prediction", argmax3(F.col("l0"), F.col("l1"), F.col("l2")))

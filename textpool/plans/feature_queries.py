@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from textpool.functions.labels import polarity_of
 from textpool.functions.text import strip_ws
 from textpool.operators import features as FE
+from textpool.operators import metrics as M
+from textpool.operators import scoring as SC
 from textpool.plans import inputs as I
+from textpool.plans import sql as S
 from textpool.plans.registry import register
+from textpool.session import scratch_path
 from textpool.sources.tables import read_table
 
 
@@ -52,17 +56,67 @@ def tfidf_terms(spark, d):
     return FE.tfidf_relational(_docs(spark, d)).withColumn("tfidf", F.round("tfidf", 6))
 
 
-@register("tfidf_logreg", None, ("M2", "M3"))
-def tfidf_logreg_q(spark, d):
-    """Train on the labelled documents of the train split, predict those of the test split (rows-only check: a learned model).
-
-    Rows without a label or without text are dropped, from both.
-    """
+def _learning_sets(spark, d):
+    """(train, test) of the labelled documents; rows without a label or without text are dropped, from both."""
     sp = I.doc_split_frames(spark, d)
 
     def prep(df):
         out = df.select(F.col("doc_id").alias("id"), strip_ws("text").alias("text"), polarity_of("sentiment", None).alias("y"))
         return out.filter(F.col("y").isNotNull() & (F.length("text") > 0))
 
-    pred = FE.tfidf_logreg(prep(sp["train"]), prep(sp["test"]))
-    return pred.select("id", "y", F.col("prediction").cast("int").alias("p"))
+    return prep(sp["train"]), prep(sp["test"])
+
+
+@register("tfidf_logreg", None, ("M2", "M3"))
+def tfidf_logreg_q(spark, d):
+    """Train on the labelled documents of the train split, predict those of the test split (rows-only check: a learned model)."""
+    pred = FE.tfidf_logreg(*_learning_sets(spark, d))
+    return pred.select("id", "y", F.col("prediction").alias("p"))
+
+
+_LEARN_SQL = (f"WITH lab AS (SELECT doc_id, b, {S.strip('text')} AS text, {S.polarity('sentiment', None)} AS y FROM ({S.ALL_DOCS})), "
+              "ok AS (SELECT * FROM lab WHERE y IS NOT NULL AND length(text) > 0), "
+              "mj AS (SELECT y AS m FROM ok WHERE b < 8000 GROUP BY y ORDER BY count(*) DESC, y LIMIT 1), "
+              "tst AS (SELECT y, y = (SELECT m FROM mj) AS hit FROM ok WHERE b >= 9000) ")
+
+
+@register("trained_comparison", _LEARN_SQL + (
+    "SELECT model, CAST((SELECT count(*) FROM tst) AS BIGINT) AS rows, "
+    "CAST((SELECT count(*) FROM tst WHERE y = 0) AS BIGINT) AS support_negative, "
+    "CAST((SELECT count(*) FROM tst WHERE y = 1) AS BIGINT) AS support_neutral, "
+    "CAST((SELECT count(*) FROM tst WHERE y = 2) AS BIGINT) AS support_positive, "
+    "CAST((SELECT count(*) FROM tst) AS BIGINT) AS predicted, "
+    "CASE model WHEN 'majority_class' THEN (SELECT round(avg(CAST(hit AS INTEGER)), 6) FROM tst) END AS majority_accuracy "
+    "FROM (SELECT unnest(['majority_class', 'tfidf_logreg']) AS model)"), ("M3", "A7", "A16"))
+def trained_comparison(spark, d):
+    """The learned baseline beside the majority class, on the same test rows.
+
+    The output is what SQL can say without the learned weights: the rows and
+    their classes, that each row got a class, and the majority's accuracy.
+    The learned model's quality is tested on a fixture with known answers.
+    """
+    train, test = _learning_sets(spark, d)
+    majority = M.majority_predictions(train.select(F.col("y").alias("Polarity")), test)
+    learned = FE.tfidf_logreg(train, test).select(F.lit("tfidf_logreg").alias("model"), "id", "y", F.col("prediction").alias("p"))
+    counts = M.confusion_counts(majority.unionByName(learned))
+
+    def rows(cond):
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+
+    share = F.round(rows(F.col("y") == F.col("p")) / rows(F.lit(True)), 6)
+    return counts.groupBy("model").agg(
+        rows(F.lit(True)).alias("rows"), *[rows(F.col("y") == i).alias(f"support_{c}") for i, c in enumerate(("negative", "neutral", "positive"))],
+        rows(F.col("p").between(0, 2)).alias("predicted"), F.when(F.col("model") == "majority_class", share).alias("majority_accuracy"))
+
+
+@register("trained_scorer", (
+    f"SELECT id, true AS probabilities_sum_to_one, true AS label_follows_policy FROM ({S.valid_text(S.BATCH_ENTRIES)})"), ("M3", "M4", "M8"))
+def trained_scorer(spark, d):
+    """The batch scored with the fitted, saved and reloaded model: every valid row once, each by the fallback policy."""
+    path = scratch_path(spark, "text_model")
+    FE.fit_text_model(_learning_sets(spark, d)[0]).save(path)
+    pred = SC.score_texts(I.batch_entries(spark, d), FE.TextModel.load(path))
+    best = F.greatest("p0", "p1", "p2")
+    expected = F.when(best < SC.CONFIDENCE_THRESHOLD, F.lit(1)).otherwise(F.col("raw_id"))
+    return pred.select("id", (F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) < 1e-9).alias("probabilities_sum_to_one"),
+                       ((F.col("pred_id") == expected) & (F.get(F.array("p0", "p1", "p2"), F.col("raw_id")) == best)).alias("label_follows_policy"))
