@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textpool.functions.aggregates import count_where
 from textpool.operators import experiments as EX
 from textpool.operators import metrics as M
 from textpool.operators import pool as P
+from textpool.operators import scoring as SC
+from textpool.plans import inputs as I
 from textpool.plans import sql as S
 from textpool.plans.pool_queries import _POOL_CTES, training_pool_stages
 from textpool.plans.registry import register
-from textpool.plans.score_queries import embed_scored
+from textpool.session import scratch_path
 from textpool.sources.tables import read_table
 
 
@@ -77,11 +80,11 @@ def seed_variance_q(spark, d):
 
 
 # ── J8 / J9 ─────────────────────────────────────────────────────────────────
-def pool_variants(spark, d):
-    """Training-pool size for each (extra, overrides) setting: four real pool builds.
+def pool_label_counts(spark, d):
+    """(use_hf_train_extra, merge_hard_examples, n0, n1, n2): rows per label of the pool of each setting.
 
-    The four variants share their inputs, so those are written once, as digests
-    (the pools are only counted), and read back by every variant.
+    Four real pool builds. They share their inputs, so those are written once,
+    as digests (the pools are only counted), and read back by every variant.
     """
     st = training_pool_stages(spark, d, keyed=True, written=True)
     raw, extra, hard, val = (st[k] for k in ("merged_raw", "extra", "hard", "val"))
@@ -91,12 +94,18 @@ def pool_variants(spark, d):
         (False, True): P.majority_dedup(P.merge_overrides(raw, hard)),
         (True, True): P.majority_dedup(P.merge_overrides(P.majority_dedup(P.union_pools(raw, extra)), hard)),
     }
-    parts = [P.remove_leakage(v, val).agg(F.count(F.lit(1)).alias("train_pool_size"))
-             .select(F.lit(a).alias("use_hf_train_extra"), F.lit(b).alias("merge_hard_examples"), "train_pool_size")
+    parts = [P.remove_leakage(v, val).agg(*[count_where(F.col("Polarity") == c).alias(f"n{c}") for c in range(3)])
+             .select(F.lit(a).alias("use_hf_train_extra"), F.lit(b).alias("merge_hard_examples"), "n0", "n1", "n2")
              for (a, b), v in variants.items()]
     return P.union_pools(*parts)
 
 
+def pool_variants(spark, d):
+    """Training-pool size for each (extra, overrides) setting."""
+    return pool_label_counts(spark, d).select("use_hf_train_extra", "merge_hard_examples",
+                                              (F.col("n0") + F.col("n1") + F.col("n2")).alias("train_pool_size"))
+
+
 _VARIANT_SQL = {
     (False, False): "SELECT * FROM merged_raw",
     (True, False): S.dedup("SELECT * FROM merged_raw UNION ALL SELECT * FROM extra"),
@@ -119,29 +128,51 @@ def ablation_grid_q(spark, d):
     return EX.ablation_grid(pool_variants(spark, d))
 
 
-def _fallback_metrics(spark, d):
-    on = embed_scored(spark, d, True).select(F.lit(True).alias("f"), "y", F.col("pred_id").alias("p"))
-    off = embed_scored(spark, d, False).select(F.lit(False).alias("f"), "y", F.col("pred_id").alias("p"))
-    ev = on.unionByName(off).withColumn("model", F.col("f").cast("string")).withColumn("id", F.lit(0))
-    cmp = M.model_comparison(ev)
-    return cmp.select((F.col("model") == "true").alias("confidence_fallback_enabled"), "accuracy", "macro_f1")
+def _pool_metrics(spark, d, pools):
+    """accuracy and macro_f1 of one model per pool and fallback setting.
+
+    A pool's model adds the log shares of its labels (add-one smoothed) to the
+    logits of the scored rows, so what a pool holds decides what its model says.
+    """
+    keys = ["use_hf_train_extra", "merge_hard_examples"]
+    total = F.col("n0") + F.col("n1") + F.col("n2")
+    priors = pools.select(*keys, *[F.log((F.col(f"n{c}") + 1) / (total + 3)).alias(f"g{c}") for c in range(3)])  # four rows
+    settings = F.array(*[F.struct(F.lit(a).alias(keys[0]), F.lit(b).alias(keys[1])) for a in (False, True) for b in (False, True)])
+    rows = I.logits_table(spark, d).select("id", "y", "l0", "l1", "l2", F.explode(settings).alias("_k")).select("*", "_k.*")
+    shifted = rows.join(F.broadcast(priors), keys).select(
+        "id", "y", *keys, *[(F.col(f"l{c}") + F.col(f"g{c}")).alias(f"l{c}") for c in range(3)])
+    pred = SC.predict_from_logits(shifted, enabled=True)
+    # with fallback the final class counts, without it the raw one: one scored row serves both
+    ev = pred.select("id", "y", *keys, F.explode(F.array(
+        F.struct(F.lit(True).alias("confidence_fallback_enabled"), F.col("pred_id").alias("p")),
+        F.struct(F.lit(False).alias("confidence_fallback_enabled"), F.col("raw_id").alias("p")))).alias("_e")).select("*", "_e.*")
+    flags = [*keys, "confidence_fallback_enabled"]
+    cmp = M.model_comparison(ev.withColumn("model", F.concat(*[F.col(f).cast("int").cast("string") for f in flags])))
+    return cmp.select(*[(F.substring("model", i + 1, 1) == "1").alias(f) for i, f in enumerate(flags)], "accuracy", "macro_f1")
 
 
 _PAIRS_SQL = _GRID_CTES.rstrip("\n") + (
-    f", es AS ({S.scored(S.LOGITS, fallback=True)}), en AS ({S.scored(S.LOGITS, fallback=False)}), "
-    "ev AS (SELECT true AS f, y, pred_id AS p FROM es UNION ALL SELECT false, y, pred_id FROM en), "
-    "conf AS (SELECT f, y, p, count(*) AS n FROM ev GROUP BY f, y, p), "
-    "pc AS (SELECT f, c, sum(CASE WHEN y = c AND p = c THEN n ELSE 0 END) AS tp, "
+    ", pl AS (" + " UNION ALL ".join(
+        f"SELECT {str(a).lower()} AS a, {str(b).lower()} AS b, count(CASE WHEN Polarity = 0 THEN 1 END) AS n0, "
+        f"count(CASE WHEN Polarity = 1 THEN 1 END) AS n1, count(CASE WHEN Polarity = 2 THEN 1 END) AS n2 "
+        f"FROM ({S.remove_leakage(v, 'SELECT * FROM val')})" for (a, b), v in _VARIANT_SQL.items()) + "), "
+    "sh AS (SELECT a, b, y, " + ", ".join(
+        f"l{c} + ln(CAST(n{c} + 1 AS DOUBLE) / CAST(n0 + n1 + n2 + 3 AS DOUBLE)) AS l{c}" for c in range(3))
+    + f" FROM ({S.LOGITS}) lg, pl), "
+    f"es AS ({S.scored('SELECT * FROM sh', fallback=True)}), en AS ({S.scored('SELECT * FROM sh', fallback=False)}), "
+    "ev AS (SELECT a, b, true AS f, y, pred_id AS p FROM es UNION ALL SELECT a, b, false, y, pred_id FROM en), "
+    "conf AS (SELECT a, b, f, y, p, count(*) AS n FROM ev GROUP BY ALL), "
+    "pc AS (SELECT a, b, f, c, sum(CASE WHEN y = c AND p = c THEN n ELSE 0 END) AS tp, "
     "sum(CASE WHEN y = c THEN n ELSE 0 END) AS support, sum(CASE WHEN p = c THEN n ELSE 0 END) AS predicted "
-    "FROM conf, (SELECT unnest([0, 1, 2]) AS c) GROUP BY f, c), "
-    "r1 AS (SELECT f, support, predicted, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS prec, "
+    "FROM conf, (SELECT unnest([0, 1, 2]) AS c) GROUP BY a, b, f, c), "
+    "r1 AS (SELECT a, b, f, support, predicted, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS prec, "
     "CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS rec FROM pc), "
     "rep AS (SELECT *, CASE WHEN prec + rec = 0 THEN 0.0 ELSE 2 * prec * rec / (prec + rec) END AS f1 FROM r1), "
-    "acc AS (SELECT f, sum(CASE WHEN y = p THEN n ELSE 0 END) / sum(n) AS accuracy FROM conf GROUP BY f), "
-    "mf AS (SELECT f, avg(CASE WHEN support > 0 OR predicted > 0 THEN f1 END) AS macro_f1 FROM rep GROUP BY f), "
-    "fm AS (SELECT acc.f, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM acc JOIN mf ON acc.f = mf.f), "
-    "runs AS (SELECT g.run_id, g.use_hf_train_extra, g.merge_hard_examples, g.confidence_fallback_enabled, fm.accuracy, "
-    "fm.macro_f1 FROM grid g JOIN fm ON g.confidence_fallback_enabled = fm.f)\n"
+    "acc AS (SELECT a, b, f, sum(CASE WHEN y = p THEN n ELSE 0 END) / sum(n) AS accuracy FROM conf GROUP BY a, b, f), "
+    "mf AS (SELECT a, b, f, avg(CASE WHEN support > 0 OR predicted > 0 THEN f1 END) AS macro_f1 FROM rep GROUP BY a, b, f), "
+    "fm AS (SELECT a, b, f, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1 FROM acc JOIN mf USING (a, b, f)), "
+    "runs AS (SELECT g.run_id, g.use_hf_train_extra, g.merge_hard_examples, g.confidence_fallback_enabled, fm.accuracy, fm.macro_f1 "
+    "FROM grid g JOIN fm ON g.confidence_fallback_enabled = fm.f AND g.use_hf_train_extra = fm.a AND g.merge_hard_examples = fm.b)\n"
     "SELECT o.use_hf_train_extra, o.merge_hard_examples, o.run_id AS run_off, o.accuracy AS accuracy_off, "
     "o.macro_f1 AS macro_f1_off, n.run_id AS run_on, n.accuracy AS accuracy_on, n.macro_f1 AS macro_f1_on, "
     "n.accuracy - o.accuracy AS delta_accuracy, n.macro_f1 - o.macro_f1 AS delta_macro_f1, "
@@ -152,5 +183,11 @@ _PAIRS_SQL = _GRID_CTES.rstrip("\n") + (
 
 @register("ablation_pairs", _PAIRS_SQL, ("J9",))
 def ablation_pairs_q(spark, d):
-    runs = EX.ablation_grid(pool_variants(spark, d)).join(_fallback_metrics(spark, d), "confidence_fallback_enabled")
+    counts = pool_label_counts(spark, d)
+    path = scratch_path(spark, "pool_counts")
+    counts.write.parquet(path)  # four rows that the grid and the priors read
+    counts = spark.read.parquet(path)
+    sizes = counts.select("use_hf_train_extra", "merge_hard_examples", (F.col("n0") + F.col("n1") + F.col("n2")).alias("train_pool_size"))
+    runs = EX.ablation_grid(sizes).join(
+        _pool_metrics(spark, d, counts), ["use_hf_train_extra", "merge_hard_examples", "confidence_fallback_enabled"])
     return EX.ablation_pairs(runs)
