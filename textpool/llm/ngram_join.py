@@ -76,20 +76,17 @@ def describe(docs: DataFrame) -> DataFrame:
         _describe, "doc_id long, f long, n long, n_region long, low long, high long")
 
 
-# step 1: postings (token, class) of the region, packed by bucket of the token
+# step 1: postings (token, class) of the region, packed by bucket of the token. A token travels as its low 32 bits:
+# two tokens of a bucket that agree in them count as shared, so a class may stay uncertified, never the reverse.
 
 def _pack(f: np.ndarray, runs: np.ndarray, tokens: np.ndarray) -> bytes:
-    low = np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :6]
-    return b"".join((np.uint32(len(f)).tobytes(), f.tobytes(), runs.astype(np.uint32).tobytes(), low.tobytes()))
+    return b"".join((np.uint32(len(f)).tobytes(), f.tobytes(), runs.astype(np.uint32).tobytes(), tokens.astype(np.uint32).tobytes()))
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     k = int(np.frombuffer(data, np.uint32, 1)[0])
     f, runs = np.frombuffer(data, np.uint64, k, 4), np.frombuffer(data, np.uint32, k, 4 + 8 * k)
-    low = np.frombuffer(data, np.uint8, -1, 4 + 12 * k).reshape(-1, 6)
-    tokens = np.zeros((len(low), 8), np.uint8)
-    tokens[:, :6] = low
-    return np.repeat(f, runs), tokens.view(np.uint64).ravel()
+    return np.repeat(f, runs), np.frombuffer(data, np.uint32, -1, 4 + 12 * k)
 
 
 def _postings(n_buckets: int):
