@@ -246,11 +246,13 @@ def _placed(spark: SparkSession, sets: DataFrame, groups: DataFrame, by: str) ->
 def candidate_pairs(spark: SparkSession, sets: DataFrame, group: DataFrame) -> DataFrame:
     """(a, b): pairs of classes of different groups that pass the prefix, length and positional filters."""
     own = sets.join(group, "f", "left").select("f", "n", F.coalesce("root", "f").alias("g"), "tokens")
-    tokens = own.select("f", "n", "g", "tokens").mapInArrow(_explode_tokens, "f long, n int, g long, token long")
+    members = materialise(spark, own.select("f", "n", "g"), "shingle-members")
+    tokens = own.select("f", "g", "tokens").mapInArrow(_explode_tokens, "f long, g long, token long")
     tokens = materialise(spark, tokens, "shingle-postings")
     rarity = tokens.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2"), F.count(F.lit(1)).alias("df")).filter("g1 <> g2")
-    met = tokens.join(rarity.select("token", "df"), "token")
-    ordered = met.groupBy("f", "n", "g").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    # only ids and tokens are shuffled; a set's size and group come back once per set
+    met = tokens.select("f", "token").join(rarity.select("token", "df"), "token")
+    ordered = met.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared")).join(members, "f")
     n_own = F.col("n") - F.size("shared")
     reach = _prefix(F.col("n")) - n_own
     prefix = (ordered.filter(reach > 0).select("f", "n", "g", n_own.alias("n_own"), F.posexplode(
@@ -272,11 +274,11 @@ def candidate_pairs(spark: SparkSession, sets: DataFrame, group: DataFrame) -> D
 def _explode_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            f, n, g, data = (batch.column(c).slice(i, 256).to_pylist() for c in range(4))
+            f, g, data = (batch.column(c).slice(i, 256).to_pylist() for c in range(3))
             lengths = [len(d) // 8 for d in data]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(f, np.int64), lengths)), pa.array(np.repeat(np.array(n, np.int32), lengths)),
-                 pa.array(np.repeat(np.array(g, np.int64), lengths)), pa.array(np.frombuffer(b"".join(data), np.int64))], ["f", "n", "g", "token"])
+                [pa.array(np.repeat(np.array(f, np.int64), lengths)), pa.array(np.repeat(np.array(g, np.int64), lengths)),
+                 pa.array(np.frombuffer(b"".join(data), np.int64))], ["f", "g", "token"])
 
 
 def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
