@@ -229,6 +229,20 @@ def test_inconsistent_values_break_an_alignment(spark):
     assert [r.doc_id for r in decontam.contamination_digest(spark, docs, bench).collect()] == [1]
 
 
+def test_items_of_few_plain_words_are_found_verbatim(spark):
+    items = ["What comes next: 2, 4, 8, 16, 32, 64, 128, 256?", "7 8 9 10", "Compute 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 of all these in the given order",
+             "17 kg 18 kg 19 kg 20 kg 21 kg 22 kg 23 kg"]
+    bench = spark.createDataFrame(list(enumerate(items)) + [(9, "?!"), (10, " ")], "item_id long, text string")
+    rng = random.Random(5)
+    texts = [f"{prose(rng, 20)}. {t} {prose(rng, 20)}" for t in items] + [f"{prose(rng, 20)}. 3 6 12 24 48 96 192 384 {prose(rng, 20)}"]
+    texts.append(texts[2].replace("13", "130").replace("16", "160").replace("17", "170"))  # its one template keeps its weight
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contamination_digest(spark, docs, bench).collect()}
+    assert {(0, 0), (1, 1), (2, 2), (3, 3), (5, 2)} <= got and not any(d == 4 for d, _ in got)
+    value, kind, doc, *_ = decontam.tokens(items)
+    assert {int(doc[i]) for i in decontam.windows(value, kind, doc, 4)[0]} == set(range(len(items)))
+
+
 # 5 personal data
 
 def brute_spans(text):

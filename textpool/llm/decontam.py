@@ -4,7 +4,8 @@ Numbers, units and names become typed placeholders, so a question asked again
 with other values keeps its template. Hashes of template windows of the
 documents are joined with those of the benchmark; the values that a match puts
 in the placeholders must then agree: where the benchmark repeats a value, the
-document must repeat its own.
+document must repeat its own. A window with too few plain words for a template
+matches by its values themselves.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from textpool.llm.common import free_name, materialise, slabs
 
 WINDOW = 10
-#: Of a window, so many tokens must be plain words, in proportion.
+#: Of a template, so many tokens must be plain words, in proportion; other windows are exact: their values are hashed.
 MIN_LITERAL = 0.5
 #: Share of an item's windows that must match, in the same order and with values that agree.
 MIN_SHARE = 0.1
@@ -122,45 +123,56 @@ _UNIT_HASHES = np.array([_word_hash(u) for u in sorted(UNITS)], np.uint64)
 _PLACEHOLDER = np.array([0, *(_word_hash(f"<{k}>") for k in ("number", "unit", "name"))], np.uint64)
 
 
-def windows(value: np.ndarray, kind: np.ndarray, doc: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the template windows of ``size`` tokens with enough plain words, none across texts."""
+#: Sets the hashes of exact windows apart from those of templates.
+_EXACT = np.uint64(_word_hash("<exact>"))
+
+
+def windows(value: np.ndarray, kind: np.ndarray, doc: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, exact) of all windows of ``size`` tokens, none across texts; exact are those with too few plain words for a template."""
     n = len(value) - size + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     template = np.where(kind == WORD, value, _PLACEHOLDER[kind])
     factor = _mix(np.arange(1, size + 1, dtype=np.uint64) + np.uint64(size * _SEED % (1 << 64))) | np.uint64(1)
     h = template[:n] * factor[0]
     for j in range(1, size):
         h += template[j:j + n] * factor[j]
     plain = np.r_[0, np.cumsum(kind == WORD)]
-    start = np.flatnonzero((plain[size:] - plain[:-size] >= max(1, MIN_LITERAL * size)) & (doc[size - 1:] == doc[:n]))
-    return start, _mix(h[start])
+    start = np.flatnonzero(doc[size - 1:] == doc[:n])
+    exact = (plain[size:] - plain[:-size])[start] < max(1, MIN_LITERAL * size)
+    at = start[exact]
+    if len(at):
+        h[at] = _EXACT
+        for j in range(size):
+            h[at] += value[at + j] * factor[j]
+    return start, _mix(h[start]), exact
 
 
-_WINDOW_FIELDS = "pos int, hash long, vals array<long>"
+_WINDOW_FIELDS = "pos int, hash long, vals array<long>, exact boolean"
 
 
 def _rows(words: Words, ids: list, texts: list, size: int, wanted: np.ndarray | None) -> pa.RecordBatch:
-    """One row per window: id, pos, hash, the values in its placeholders in order, tokens of the text."""
+    """One row per window: id, pos, hash, the values in its placeholders in order (none if exact), exact, tokens of the text."""
     value, kind, doc = tokens(texts, words)
-    start, h = windows(value, kind, doc, size)
+    start, h, exact = windows(value, kind, doc, size)
     if wanted is not None and len(h):
         at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
         ok = (wanted[at] == h) if len(wanted) else np.zeros(len(h), bool)
-        start, h = start[ok], h[ok]
+        start, h, exact = start[ok], h[ok], exact[ok]
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
     slots = np.flatnonzero(kind != WORD)
-    low, high = np.searchsorted(slots, start), np.searchsorted(slots, start + size)
+    low = np.searchsorted(slots, start)
+    high = np.where(exact, low, np.searchsorted(slots, start + size))
     flat = np.arange((high - low).sum()) + np.repeat(low - np.r_[0, np.cumsum(high - low)[:-1]], high - low) if len(start) else np.zeros(0, np.int64)
     vals = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(high - low)].astype(np.int32)), pa.array(value[slots[flat]].view(np.int64)))
     of = doc[start]
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.array(ids, np.int64)[of]), pa.array((start - first[of]).astype(np.int32)), pa.array(h.view(np.int64)), vals,
-         pa.array((first[of + 1] - first[of]).astype(np.int32))], ["id", "pos", "hash", "vals", "n_tokens"])
+        [pa.array(np.array(ids, np.int64)[of]), pa.array((start - first[of]).astype(np.int32)), pa.array(h.view(np.int64)), vals, pa.array(exact),
+         pa.array((first[of + 1] - first[of]).astype(np.int32))], ["id", "pos", "hash", "vals", "exact", "n_tokens"])
 
 
 def _windows_of(rows: DataFrame, sizes: list[int], wanted, whole: bool = False) -> DataFrame:
-    """Windows of all ``sizes``; with ``whole``, of a text shorter than the first size the one window that it is."""
+    """Windows of all ``sizes``; with ``whole``, of a text shorter than the first size the one window that it is, so every text with a token has one."""
     def run(batches):
         keep = None if wanted is None else wanted.value
         words = Words()
@@ -169,13 +181,17 @@ def _windows_of(rows: DataFrame, sizes: list[int], wanted, whole: bool = False)
             for a, b in slabs(np.array([len(t) for t in texts]), SLAB):
                 if len(words) > _FORGET:
                     words = Words()
-                for size in sizes:
-                    yield _rows(words, ids[a:b], texts[a:b], size, keep)
-                if whole:
-                    for i, t in zip(ids[a:b], texts[a:b], strict=True):
-                        n = len(tokens([t], words)[0])
-                        if 0 < n < sizes[0]:
-                            yield _rows(words, [i], [t], n, keep)
+                if not whole:
+                    for size in sizes:
+                        yield _rows(words, ids[a:b], texts[a:b], size, keep)
+                    continue
+                for i, t in zip(ids[a:b], texts[a:b], strict=True):
+                    n = len(tokens([t], words)[0])
+                    if n:
+                        own = _rows(words, [i], [t], min(n, sizes[0]), keep)
+                        if not own.num_rows:
+                            raise ValueError(f"benchmark item {i} has no window")
+                        yield own
 
     return rows.mapInArrow(run, f"id long, {_WINDOW_FIELDS}, n_tokens int")
 
@@ -187,7 +203,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
     ``id`` is ``doc_row_key`` of the document's row. A window of a document
     matches one of an item with the same template; matches at the same offset
     form an alignment, whose placeholder values must agree. An alignment
-    counts when it covers ``min_share`` of the item's windows. Items shorter
+    counts when it covers ``min_share`` of the item's windows, or of its
+    templates alone. Exact windows hold no placeholder values; those of an
+    alignment whose values disagree still count by themselves. Items shorter
     than a window match documents by windows of their own length. Null and
     empty texts match nothing, repeated rows are judged alike, empty tables
     give an empty result.
@@ -203,18 +221,24 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
         hashes = own.select("hash").distinct().toArrow()["hash"].to_numpy().view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(hashes))
     seen = _windows_of(rows, [size, *sorted(lengths, reverse=True)], wanted).select("id", "pos", "hash", "vals")
-    totals = own.groupBy("id").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("id", "item_id")
-    item = own.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("vals").alias("item_vals"))
+    totals = own.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("total"),
+                                                           F.count_distinct(F.when(~F.col("exact"), F.col("pos"))).alias("templates"))
+    item = own.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("vals").alias("item_vals"), "exact")
     seen = materialise(spark, seen, "document-windows") if wanted is not None else seen
     met = seen.join(item, "hash").withColumn("offset", F.col("pos") - F.col("item_pos"))
     # pairs (item value, document value) of each placeholder; one item value must always meet the same document value
     met = met.withColumn("pairs", F.arrays_zip(F.col("item_vals").alias("a"), F.col("vals").alias("b")).cast("array<struct<a:bigint,b:bigint>>"))
     aligned = met.groupBy("id", "item_id", "offset").agg(
-        F.count_distinct("item_pos").alias("n_windows"), F.min("pos").alias("first_token"),
+        F.size(F.collect_set("item_pos")).alias("n_all"), F.size(F.collect_set(F.when(F.col("exact"), F.col("item_pos")))).alias("n_exact"),
+        F.min("pos").alias("first_all"), F.min(F.when(F.col("exact"), F.col("pos"))).alias("first_exact"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     agrees = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
-    best = (aligned.filter(agrees).join(totals, "item_id").withColumn("share", F.col("n_windows") / F.col("total"))
-            .filter(F.col("share") >= min_share).groupBy("id", "item_id")
+    of_all = F.greatest(F.col("n_all") / F.col("total"), (F.col("n_all") - F.col("n_exact")) / F.greatest("templates", F.lit(1)))
+    judged = aligned.withColumn("agrees", agrees).join(totals, "item_id").select(
+        "id", "item_id", F.when(F.col("agrees"), F.col("n_all")).otherwise(F.col("n_exact")).cast("long").alias("n_windows"),
+        F.when(F.col("agrees"), of_all).otherwise(F.col("n_exact") / F.col("total")).alias("share"),
+        F.when(F.col("agrees"), F.col("first_all")).otherwise(F.col("first_exact")).alias("first_token"))
+    best = (judged.filter((F.col("n_windows") > 0) & (F.col("share") >= min_share)).groupBy("id", "item_id")
             .agg(F.max("n_windows").alias("n_windows"), F.max("share").alias("share"), F.min("first_token").alias("first_token")))
     return best
 
