@@ -243,6 +243,19 @@ def test_items_of_few_plain_words_are_found_verbatim(spark):
     assert {int(doc[i]) for i in decontam.windows(value, kind, doc, 4)[0]} == set(range(len(items)))
 
 
+def test_names_that_begin_sentences_are_names(spark):
+    items = ["Anna has 5 apples. Ben has 7 pears. Carla has 9 plums. Who has the most?",
+             "Which river runs through the old town of glass?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rng = random.Random(9)
+    pre, post = prose(rng, 20), prose(rng, 20)
+    renamed = items[0].replace("Anna", "Dora").replace("Ben", "Emil").replace("Carla", "Fritz").replace("5", "6")
+    texts = [f"{pre}. {renamed} {post}", f"{pre} {items[1]} {post}", f"{pre}, {items[1].lower()} {post}", f"{pre}. {items[0]} {post}", f"{pre}. {post}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contamination_digest(spark, docs, bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 1), (3, 0)}
+
+
 # 5 personal data
 
 def brute_spans(text):

@@ -5,13 +5,15 @@ with other values keeps its template. Hashes of template windows of the
 documents are joined with those of the benchmark; the values that a match puts
 in the placeholders must then agree: where the benchmark repeats a value, the
 document must repeat its own. A window with too few plain words for a template
-matches by its values themselves.
+matches by its values themselves. A capitalised word that begins a sentence is
+read both as a word and as a name.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -93,11 +95,11 @@ class Words(dict):
         return number
 
 
-def tokens(texts: list[str], words: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Value hash, kind and text number of every token of the texts. Tokens of punctuation only are left out.
+def tokens(texts: list[str], words: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Value hash, kind, text number and kind in the other reading of every token of the texts. Tokens of punctuation only are left out.
 
-    A capitalised word is a name unless it begins a line or a sentence; a unit
-    is a unit after a number only.
+    A capitalised word is a name unless it begins a line or a sentence; in the
+    other reading it is a name there too. A unit is a unit after a number only.
     """
     words = Words() if words is None else words
     split = [t.replace("\n", f" {_BREAK} ").split() for t in texts]
@@ -110,13 +112,14 @@ def tokens(texts: list[str], words: Words | None = None) -> tuple[np.ndarray, np
     value, kind, capital, ends, doc = value[told], kind[told], capital[told], ends[told], doc[told]
     first = np.r_[True, doc[1:] != doc[:-1]] if len(doc) else np.zeros(0, bool)
     begins = first | np.r_[True, ends[:-1]] if len(doc) else first
-    kind[(kind == WORD) & capital & ~begins] = NAME
+    capital &= kind == WORD
+    kind[capital & ~begins] = NAME
     bare = kind != NONE
-    value, kind, doc = value[bare], kind[bare], doc[bare]
+    value, kind, doc, capital = value[bare], kind[bare], doc[bare], capital[bare]
     if len(doc):
         after = np.r_[False, (kind[:-1] == NUM) & (doc[1:] == doc[:-1])]
         kind[after & (kind == WORD) & np.isin(value, _UNIT_HASHES)] = UNIT
-    return value, kind, doc
+    return value, kind, doc, np.where(capital, NAME, kind)
 
 
 _UNIT_HASHES = np.array([_word_hash(u) for u in sorted(UNITS)], np.uint64)
@@ -148,27 +151,39 @@ def windows(value: np.ndarray, kind: np.ndarray, doc: np.ndarray, size: int = WI
     return start, _mix(h[start]), exact
 
 
-_WINDOW_FIELDS = "pos int, hash long, vals array<long>, exact boolean"
+_WINDOW_FIELDS = "pos int, hash long, vals array<long>, exact boolean, readings int"
 
 
-def _rows(words: Words, ids: list, texts: list, size: int, wanted: np.ndarray | None) -> pa.RecordBatch:
-    """One row per window: id, pos, hash, the values in its placeholders in order (none if exact), exact, tokens of the text."""
-    value, kind, doc = tokens(texts, words)
+def _rows(words: Words, ids: list, texts: list, size: int, wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """One row per window and hash: id, pos, hash, the values in its placeholders in order (none if exact), exact, readings, tokens of the text.
+
+    ``readings`` is 1 for the first reading of ``tokens``, 2 for the other, 3 for both.
+    """
+    value, kind, doc, other = tokens(texts, words)
     start, h, exact = windows(value, kind, doc, size)
-    if wanted is not None and len(h):
-        at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
-        ok = (wanted[at] == h) if len(wanted) else np.zeros(len(h), bool)
-        start, h, exact = start[ok], h[ok], exact[ok]
+    start2, h2, exact2 = windows(value, other, doc, size)
+    differ = h != h2
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    slots = np.flatnonzero(kind != WORD)
-    low = np.searchsorted(slots, start)
-    high = np.where(exact, low, np.searchsorted(slots, start + size))
-    flat = np.arange((high - low).sum()) + np.repeat(low - np.r_[0, np.cumsum(high - low)[:-1]], high - low) if len(start) else np.zeros(0, np.int64)
-    vals = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(high - low)].astype(np.int32)), pa.array(value[slots[flat]].view(np.int64)))
-    of = doc[start]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.array(ids, np.int64)[of]), pa.array((start - first[of]).astype(np.int32)), pa.array(h.view(np.int64)), vals, pa.array(exact),
-         pa.array((first[of + 1] - first[of]).astype(np.int32))], ["id", "pos", "hash", "vals", "exact", "n_tokens"])
+
+    def batch(kind, start, h, exact, readings) -> pa.RecordBatch:
+        if wanted is not None and len(h):
+            at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
+            ok = (wanted[at] == h) if len(wanted) else np.zeros(len(h), bool)
+            start, h, exact, readings = start[ok], h[ok], exact[ok], readings[ok]
+        slots = np.flatnonzero(kind != WORD)
+        low = np.searchsorted(slots, start)
+        high = np.where(exact, low, np.searchsorted(slots, start + size))
+        flat = np.arange((high - low).sum()) + np.repeat(low - np.r_[0, np.cumsum(high - low)[:-1]], high - low) if len(start) else np.zeros(0, np.int64)
+        vals = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(high - low)].astype(np.int32)), pa.array(value[slots[flat]].view(np.int64)))
+        of = doc[start]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.array(ids, np.int64)[of]), pa.array((start - first[of]).astype(np.int32)), pa.array(h.view(np.int64)), vals, pa.array(exact),
+             pa.array(readings.astype(np.int32)), pa.array((first[of + 1] - first[of]).astype(np.int32))],
+            ["id", "pos", "hash", "vals", "exact", "readings", "n_tokens"])
+
+    yield batch(kind, start, h, exact, np.where(differ, 1, 3))
+    if differ.any():
+        yield batch(other, start2[differ], h2[differ], exact2[differ], np.full(int(differ.sum()), 2))
 
 
 def _windows_of(rows: DataFrame, sizes: list[int], wanted, whole: bool = False) -> DataFrame:
@@ -183,15 +198,15 @@ def _windows_of(rows: DataFrame, sizes: list[int], wanted, whole: bool = False)
                     words = Words()
                 if not whole:
                     for size in sizes:
-                        yield _rows(words, ids[a:b], texts[a:b], size, keep)
+                        yield from _rows(words, ids[a:b], texts[a:b], size, keep)
                     continue
                 for i, t in zip(ids[a:b], texts[a:b], strict=True):
                     n = len(tokens([t], words)[0])
                     if n:
-                        own = _rows(words, [i], [t], min(n, sizes[0]), keep)
-                        if not own.num_rows:
+                        own = list(_rows(words, [i], [t], min(n, sizes[0]), keep))
+                        if not own[0].num_rows:
                             raise ValueError(f"benchmark item {i} has no window")
-                        yield own
+                        yield from own
 
     return rows.mapInArrow(run, f"id long, {_WINDOW_FIELDS}, n_tokens int")
 
@@ -202,7 +217,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
 
     ``id`` is ``doc_row_key`` of the document's row. A window of a document
     matches one of an item with the same template; matches at the same offset
-    form an alignment, whose placeholder values must agree. An alignment
+    form an alignment, whose placeholder values must agree; it is judged for
+    each reading of the document with each of the item. An alignment
     counts when it covers ``min_share`` of the item's windows, or of its
     templates alone. Exact windows hold no placeholder values; those of an
     alignment whose values disagree still count by themselves. Items shorter
@@ -220,21 +236,24 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
     if n <= MOST_SHIPPED:
         hashes = own.select("hash").distinct().toArrow()["hash"].to_numpy().view(np.uint64)
         wanted = spark.sparkContext.broadcast(np.sort(hashes))
-    seen = _windows_of(rows, [size, *sorted(lengths, reverse=True)], wanted).select("id", "pos", "hash", "vals")
-    totals = own.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("total"),
-                                                           F.count_distinct(F.when(~F.col("exact"), F.col("pos"))).alias("templates"))
-    item = own.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("vals").alias("item_vals"), "exact")
+    seen = _windows_of(rows, [size, *sorted(lengths, reverse=True)], wanted).select("id", "pos", "hash", "vals", "readings")
+    # of each reading of an item: its windows, and those that are templates; a window is in a reading once
+    totals = own.select(F.col("id").alias("item_id"), "exact", F.explode(_readings("readings")).alias("item_reading")).groupBy(
+        "item_id", "item_reading").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(~F.col("exact"), 1)).alias("templates"))
+    item = own.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("vals").alias("item_vals"), "exact",
+                      F.col("readings").alias("item_readings"))
     seen = materialise(spark, seen, "document-windows") if wanted is not None else seen
     met = seen.join(item, "hash").withColumn("offset", F.col("pos") - F.col("item_pos"))
     # pairs (item value, document value) of each placeholder; one item value must always meet the same document value
     met = met.withColumn("pairs", F.arrays_zip(F.col("item_vals").alias("a"), F.col("vals").alias("b")).cast("array<struct<a:bigint,b:bigint>>"))
-    aligned = met.groupBy("id", "item_id", "offset").agg(
+    met = met.withColumn("reading", F.explode(_readings("readings"))).withColumn("item_reading", F.explode(_readings("item_readings")))
+    aligned = met.groupBy("id", "item_id", "offset", "reading", "item_reading").agg(
         F.size(F.collect_set("item_pos")).alias("n_all"), F.size(F.collect_set(F.when(F.col("exact"), F.col("item_pos")))).alias("n_exact"),
         F.min("pos").alias("first_all"), F.min(F.when(F.col("exact"), F.col("pos"))).alias("first_exact"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     agrees = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
     of_all = F.greatest(F.col("n_all") / F.col("total"), (F.col("n_all") - F.col("n_exact")) / F.greatest("templates", F.lit(1)))
-    judged = aligned.withColumn("agrees", agrees).join(totals, "item_id").select(
+    judged = aligned.withColumn("agrees", agrees).join(totals, ["item_id", "item_reading"]).select(
         "id", "item_id", F.when(F.col("agrees"), F.col("n_all")).otherwise(F.col("n_exact")).cast("long").alias("n_windows"),
         F.when(F.col("agrees"), of_all).otherwise(F.col("n_exact") / F.col("total")).alias("share"),
         F.when(F.col("agrees"), F.col("first_all")).otherwise(F.col("first_exact")).alias("first_token"))
@@ -243,6 +262,11 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, siz
     return best
 
 
+def _readings(bits: str):
+    """The readings, 1 and 2, that are set in ``bits``."""
+    return F.when(F.col(bits) == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col(bits)))
+
+
 def doc_row_key():
     """Key of a document's row: equal for repeated rows only."""
     return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
