@@ -468,6 +468,22 @@ def test_language_of_odd_rows(spark, odd):
     assert langid.langid_digest(spark, empty(docs)).count() == 0
 
 
+def test_copies_and_long_texts_leave_a_language_its_sample(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 12), "en") for i in range(400)] + [(400 + i, f"der die das und ich nicht wort{'abcdefghij'[i % 10] * (1 + i // 10)}", "de") for i in range(400)]
+    copy, long = "immer wieder der selbe Text " * 20, "ein sehr langer Text ohne Ende " * 4000
+    docs = spark.createDataFrame(rows + [(1000 + i, copy, "de") for i in range(2000)], "doc_id long, text string, lang string")
+    sample = {r.lang: (r.n, r.k) for r in langid.training_sample(spark, docs, 150, 50_000).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("calibrates"), 1)).alias("k")).collect()}
+    assert sample["de"][0] == sample["en"][0] == 150 and min(sample["de"][1], sample["en"][1]) > 75
+    monkeypatch.setattr(langid, "LEAST_ROWS", 40)
+    huge = spark.createDataFrame(rows + [(5000 + i, long + str(i), "de") for i in range(400)], "doc_id long, text string, lang string")
+    counts = {r.lang: r["count"] for r in langid.training_sample(spark, huge, 150, 50_000).groupBy("lang").count().collect()}
+    assert counts == {"de": 40, "en": 150}
+    one = spark.createDataFrame([(1, "nur ein Text", "de"), (5, "only one text here", "en"), (6, "just this one", "nl")], "doc_id long, text string, lang string")
+    assert langid.fit(spark, one).langs == sorted(r.lang for r in one.filter(~langid.held_out()).collect())
+
+
 # 9 tool calls
 
 def test_calls_are_linked_ordered_and_checked(spark):

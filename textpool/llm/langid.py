@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textpool.llm.common import materialise, slabs
@@ -23,6 +23,8 @@ from textpool.llm.common import materialise, slabs
 ORDER = 4
 #: Bounds of the labelled sample that is counted, per language: distinct texts and code points.
 FIT_ROWS, FIT_CHARS = 2_000, 6_000_000
+#: So many distinct texts per language, if it has them, are in the sample whatever their length.
+LEAST_ROWS = 200
 #: Of the sample, one text in so many calibrates and is not counted.
 CALIBRATE_ONE_IN = 5
 #: A text is rejected when its excess over the mean cross-entropy, times the root of its length
@@ -172,21 +174,37 @@ def held_out(doc_id="doc_id"):
 
 
 def training_sample(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
-    """(lang, text, calibrates): about ``fit_rows`` distinct labelled texts per language, chosen by their hash.
+    """(lang, text, calibrates): per language, the first ``fit_rows`` distinct labelled texts by their hash.
 
-    Held-out documents, null languages, and texts without a letter are left
-    out. Copies of a text count once, so a large group of them weighs nothing.
+    A text that begins beyond ``fit_chars`` code points of those before it is
+    left out, unless it is among the first ``LEAST_ROWS``. Held-out documents,
+    null languages, and texts without a letter are left out. Copies of a text
+    count once, in rows and in code points. The first text of a language never
+    calibrates, so each language of the sample is counted.
     """
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         "lang", "text", F.xxhash64("text").alias("hash"))
-    sums = rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n"), F.sum(F.length("text")).alias("chars"))
-    share = sums.select(F.col("lang").alias("l"), F.least(
-        F.lit(1.0), fit_rows / F.col("n"), fit_chars / F.col("chars")).alias("share"))
-    share = materialise(spark, share, "language-shares")  # a row per language, of known size
-    top = F.pmod(F.col("hash"), F.lit(1 << 30)) / float(1 << 30)
-    return (rows.join(share, F.col("lang") == F.col("l")).filter(top < F.col("share"))
-            .dropDuplicates(["lang", "hash"])
-            .select("lang", "text", (F.pmod(F.shiftright("hash", 30), F.lit(CALIBRATE_ONE_IN)) == 0).alias("calibrates")))
+    place = F.pmod(F.col("hash"), F.lit(1 << 30)) * (1 << 33) + F.pmod(F.shiftright("hash", 30), F.lit(1 << 33))  # order of the texts
+    distinct = rows.groupBy("lang", place.alias("place")).agg(F.max(F.length("text")).cast("long").alias("chars"))
+    distinct = materialise(spark, distinct, "language-texts")  # three numbers a text
+    # whole ranges of places before the bounds, by their sums; then the few texts that are left, one by one
+    part = F.shiftright("place", 53)
+    sums = distinct.groupBy("lang", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("lang").alias("l"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
+                       F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"))
+    least = min(LEAST_ROWS, fit_rows)
+    sums = sums.filter((F.col("n_before") < fit_rows) & ((F.col("chars_before") < fit_chars) | (F.col("n_before") < least)))
+    near = distinct.join(sums.select("l", "p"), (F.col("lang") == F.col("l")) & (part == F.col("p"))).select("lang", "place", "chars")
+    before = Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.select("lang", "place", F.row_number().over(Window.partitionBy("lang").orderBy("place")).alias("nth"),
+                       F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("chars_before"))
+    taken = near.filter((F.col("nth") <= fit_rows) & ((F.col("chars_before") < fit_chars) | (F.col("nth") <= least)))
+    bounds = taken.groupBy(F.col("lang").alias("l")).agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    bounds = materialise(spark, bounds, "language-bounds")  # a row per language, of known size
+    calibrates = (F.pmod(F.shiftright("hash", 30), F.lit(CALIBRATE_ONE_IN)) == 0) & (place != F.col("first"))
+    return (rows.join(bounds, F.col("lang") == F.col("l")).filter(place <= F.col("last"))
+            .dropDuplicates(["lang", "hash"]).select("lang", "text", calibrates.alias("calibrates")))
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +224,12 @@ def fit(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS, fit_char
     """Models of all languages of ``docs(doc_id, text, lang)``; None when no row can be learned from.
 
     Counted on the executors; the driver gets the n-gram counts of the
-    bounded sample, at most ``fit_chars`` per language.
+    bounded sample.
     """
     sample = training_sample(spark, docs, fit_rows, fit_chars)
     counted = sample.filter("NOT calibrates").select("lang", "text").mapInArrow(_count_grams, "lang string, key long, n long")
     table = counted.groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
-    if not table.num_rows:  # so few texts that all of them calibrate
+    if not table.num_rows:  # nothing to count in the first texts
         sample = sample.withColumn("calibrates", F.lit(True))
         counted = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, key long, n long")
         table = counted.groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
