@@ -323,6 +323,21 @@ def test_main_text(spark):
     assert html_extract.extract(spark, empty(pages)).count() == 0
 
 
+def test_drawings_formulas_and_wrappers_hide_no_text(spark):
+    words = "Words of the article that are many enough to be read by someone."
+    pages = ["<article><p>one <svg class=i/> two</p><p>three</p></article>", "<article><p>one <svg viewBox='0'><text>drawn</text></svg> two <math/> three</p></article>",
+             "<article><p>one <svg> two</p><p>three</p></article>",
+             "<article><p>so <math><semantics><mfrac><mi>x</mi><mn>2</mn></mfrac><annotation>\\frac</annotation></semantics></math> holds</p></article>",
+             f"<div class='content has-sidebar'><article><p>{words}</p></article></div>",
+             f"<div class='layout sidebar-right'><div><article><p>{words}</p><div class=comments><article><p>A reader says so.</p></article></div></article></div></div>",
+             f"<div class='page sidebar'><main><p>{words}</p></main></div>",
+             f"<article><p>{words}</p></article><section class=related><article><p>Another story.</p></article></section>",
+             f"<article><p>{words}</p></article><aside><article><p>Another story.</p></article></aside>"]
+    want = ["one two\nthree", "one two three", "one two\nthree", "so x 2 holds"] + [words] * 5
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    assert [r.text for r in sorted(html_extract.extract(spark, df).collect())] == want
+
+
 def test_tree_agrees_with_its_table(spark):
     tree = html_extract.train(spark)
     rows = html_extract.labelled_blocks()

@@ -22,7 +22,14 @@ from pyspark.sql import functions as F
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "no_article", "aside")
 
 #: Elements whose content is no text of the page.
-_SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video")
+_SILENT = ("script", "style", "noscript", "template", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video")
+#: Drawings and sources of formulas: silent up to their close tag; without one, or self-closed, only the tag is.
+_DRAWN = {t: re.compile(rf"</{t}\s*+[^>]*+>", re.I) for t in ("svg", "annotation", "annotation-xml")}
+#: Elements of formulas, which stand in a block with space around them.
+_MATH = frozenset("""
+    math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle
+    msub msubsup msup mtable mtd mtext mtr munder munderover none semantics
+    """.split())
 #: Elements that only mark up words within a block.
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _ASIDE_TAGS = frozenset("nav header footer aside form button menu dialog fieldset label input option head".split())
@@ -43,24 +50,34 @@ _TOKEN = re.compile(
     r"|<(?P<silent>" + "|".join(_SILENT) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>.*?(?:</(?P=silent)\s*+[^>]*+>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I)
+#: Class words that tell what a wrapper has beside it, as in has-sidebar; they are not what it is.
+_HAS = re.compile(r"(?<![a-z])(?:has|with|without|no)[-_][a-z0-9_-]*")
 _ROLE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _SPACES = re.compile(r"\s+")
 
 
 def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
-    """(text, share of words in links, inside an article, inside something beside it) of the blocks in page order."""
-    out: list[tuple[str, float, bool, bool]] = []
+    """(text, share of words in links, inside an article, inside something beside it) of the blocks in page order.
+
+    What holds a main element is not beside it, unless hidden. On a page whose
+    articles all lie inside something beside them, class words and forms
+    around an article do not count.
+    """
+    out: list[tuple[str, float, bool, bool, bool]] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
-    state, in_link = (False, False), 0
+    # inside an article, something beside it, the same without what wraps an article, something beside by its tag, something hidden
+    outside = (False, False, False, False, False)
+    stack: list[tuple] = []
+    state, in_link = outside, 0
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if parts:
             text = _SPACES.sub(" ", unescape("".join(p for p, _ in parts))).strip()
             if text:
                 linked = sum(len(unescape(p).split()) for p, link in parts if link)
-                out.append((text, min(1.0, linked / max(1, len(text.split()))), *state))
+                out.append((text, min(1.0, linked / max(1, len(text.split()))), *state[:3]))
             parts.clear()
 
     def add(piece: str) -> None:
@@ -68,7 +85,7 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
             parts.append((piece, in_link > 0))
 
     at = 0
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         add(html[at:m.start()])
         at = m.end()
         if m["silent"]:
@@ -79,10 +96,20 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in _DRAWN:
+            if not m["close"] and not (m["attrs"] or "").rstrip().endswith("/") and tag not in unclosed:
+                if end := _DRAWN[tag].search(html, at):
+                    at = end.end()
+                else:
+                    unclosed.add(tag)
+            continue
         if tag == "a":
             in_link = 0 if m["close"] else 1
+        if tag in _MATH:
+            add(" ")
+            continue
         if tag in _INLINE:
-            marks = _marks(tag, m["attrs"]) if not m["close"] and tag in ("span", "a", "small", "time") and m["attrs"] else (False, False)
+            marks = _marks(tag, m["attrs"]) if not m["close"] and tag in ("span", "a", "small", "time") and m["attrs"] else (False, False, False, False)
             if tag == "br":
                 add(" ")
             if not marks[1]:
@@ -90,11 +117,11 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
                     flush()
                     while stack.pop()[0] != tag:
                         pass
-                    state = stack[-1][1:] if stack else (False, False)
+                    state = stack[-1][1:] if stack else outside
                 continue
             flush()
-            stack.append((tag, state[0], True))
-            state = (state[0], True)
+            state = (state[0], True, True, state[3], state[4] or marks[3])
+            stack.append((tag, *state))
             continue
         flush()
         in_link = 0
@@ -103,26 +130,35 @@ def blocks(html: str) -> list[tuple[str, float, bool, bool]]:
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
-            state = stack[-1][1:] if stack else (False, False)
+            state = stack[-1][1:] if stack else outside
         elif tag not in _VOID and not (m["attrs"] or "").rstrip().endswith("/"):
             while stack and (stack[-1][0] == tag and tag in _CLOSES_ITSELF or stack[-1][0] == "p"):
                 stack.pop()
-            state = stack[-1][1:] if stack else (False, False)
-            article, aside = _marks(tag, m["attrs"])
+            state = stack[-1][1:] if stack else outside
+            article, aside, by_tag, hidden = _marks(tag, m["attrs"])
             if tag == "header" and state[0] and not state[1]:  # of the article, not of the page
-                aside = False
-            state = (state[0] or article, state[1] or aside)
+                aside = by_tag = False
+            strict, loose, by_tag, hidden = state[1] or aside, state[2] or aside, state[3] or by_tag, state[4] or hidden
+            if tag == "main":
+                strict = loose = hidden or by_tag
+            elif article and not aside and not any(t == "article" for t, *_ in stack):
+                loose = hidden or by_tag
+            state = (state[0] or article, strict, loose, by_tag, hidden)
             stack.append((tag, *state))
     add(html[at:])
     flush()
-    return out
+    plain = any(b[2] and not b[3] for b in out)
+    return [(*b[:3], b[3] if plain else b[4]) for b in out]
 
 
-def _marks(tag: str, attrs: str | None) -> tuple[bool, bool]:
-    words = {w for g in _ROLE.findall(attrs or "") for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(g)).lower())} if attrs else set()
+def _marks(tag: str, attrs: str | None) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is an article; is beside it; is so by its tag, other than a form; is hidden."""
+    words = {w for g in _ROLE.findall(attrs or "") for w in re.split(r"[^a-z]+", _HAS.sub("", re.sub(r"([a-z])([A-Z])", r"\1-\2", "".join(g)).lower()))} if attrs else set()
     article = tag in _ARTICLE_WORDS or not _ARTICLE_WORDS.isdisjoint(words) and _ASIDE_WORDS.isdisjoint(words)
-    aside = tag in _ASIDE_TAGS or (tag not in ("html", "body", "article", "main") and not _ASIDE_WORDS.isdisjoint(words)) or bool(attrs and _HIDDEN.search(attrs))
-    return article, aside
+    hidden = bool(attrs and _HIDDEN.search(attrs))
+    named = not _ASIDE_WORDS.isdisjoint(words)
+    aside = tag in _ASIDE_TAGS or (tag not in ("html", "body", "article", "main") and named) or hidden
+    return article, aside, tag in _ASIDE_TAGS and tag != "form", hidden
 
 
 def features(found: list[tuple[str, float, bool, bool]]) -> np.ndarray:
