@@ -406,6 +406,15 @@ def test_jaccard_join_without_shipped_classes(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_classes(rows)
 
 
+def test_jaccard_join_without_shipped_classes_or_ids(spark, odd, monkeypatch):
+    rows = near_rows(12, 3)
+    docs = spark.createDataFrame([(None if i % 3 else i, t) for i, t in rows], "doc_id long, text string")
+    odd_rows, some_ids = (rows_of(ngram_join.near_copies(spark, d)) for d in (odd, docs))
+    monkeypatch.setattr(ngram_join, "MOST_SHIPPED", -1)
+    assert rows_of(ngram_join.near_copies(spark, odd)) == odd_rows
+    assert rows_of(ngram_join.near_copies(spark, docs)) == some_ids
+
+
 def test_jaccard_join_on_odd_rows(spark, odd):
     got = ngram_join.near_copies(spark, odd).collect()
     assert len(got) == len(odd_docs())

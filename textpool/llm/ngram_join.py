@@ -66,14 +66,20 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low[some], high[some] = h[start[:-1][some]], h[start[1:][some] - 1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(first, last - first), pa.array(f.view(np.int64), mask=~some), pa.array(n.astype(np.int64)),
-                 pa.array((inside[start[1:]] - inside[start[:-1]]).astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64))],
-                ["doc_id", "f", "n", "n_region", "low", "high"])
+                 pa.array((inside[start[1:]] - inside[start[:-1]]).astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)),
+                 batch.column(2).slice(first, last - first)],
+                ["doc_id", "f", "n", "n_region", "low", "high", "row_key"])
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, f (fingerprint of its set, null for an empty one), n, n_region, low, high (least and greatest hash)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _describe, "doc_id long, f long, n long, n_region long, low long, high long")
+    """Per row: doc_id, f (fingerprint of its set, null for an empty one), n, n_region, low, high (least and greatest hash), row_key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row_key().alias("row_key")).mapInArrow(
+        _describe, "doc_id long, f long, n long, n_region long, low long, high long, row_key long")
+
+
+def _row_key():
+    """Hash of a row's id and text; never null."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
 # step 1: postings (token, class) of the region, packed by bucket of the token. A token travels as its low 32 bits:
@@ -320,9 +326,9 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Da
         wanted = spark.sparkContext.broadcast(np.sort(open_classes.select("f").toArrow()["f"].to_numpy().view(np.uint64)))
         if not n_open:
             return rows, spark.createDataFrame([], "f long, root long")
-    else:  # one row of each class, by its id
-        ids = rows.join(open_classes.select("f"), "f").groupBy("f").agg(F.min("doc_id").alias("doc_id"))
-        texts = own.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    else:  # one row of each class, by its key: an id may be null
+        keys = rows.join(open_classes.select("f"), "f").groupBy("f").agg(F.min("row_key").alias("row_key"))
+        texts = own.withColumn("row_key", _row_key()).join(keys.select("row_key"), "row_key", "left_semi")
     found = texts.select("text").mapInArrow(_sets_of(wanted), _SET)
     sets = materialise(spark, _placed(spark, found, open_classes, "low"), "shingle-sets")
 
