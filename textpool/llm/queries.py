@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textpool.llm import decontam, embed_dedup, html_extract, langid, line_dedup, mixing, ngram_join, pii, tool_chat, url_filter
+from textpool.llm import (decontam, embed_dedup, filter_audit, html_extract, langid, line_dedup, mixing, ngram_join, pii, spelling,
+                          tool_chat, url_filter, warc)
 from textpool.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,19 @@ def op9(spark, d):
 @_query("op10_line_dedup", line_dedup.SQL)
 def op10(spark, d):
     return line_dedup.line_dedup_digest(spark, read_table(spark, d, "documents", "doc_id", "text"))
+
+
+@_query("op11_spelling_variants", spelling.SQL)
+def op11(spark, d):
+    return spelling.spelling_variants(spark, read_table(spark, d, "documents", "doc_id", "text"))
+
+
+@_query("op12_filter_audit", filter_audit.SQL)
+def op12(spark, d):
+    return filter_audit.audit_filters(spark, read_table(spark, d, "documents", "doc_id", "text", "source"),
+                                      read_table(spark, d, "labels", "doc_id", "quality", "toxic"))
+
+
+@_query("op13_warc_revisits", warc.SQL)
+def op13(spark, d):
+    return warc.archive_digest(spark, read_table(spark, d, "pages", "page_id", "url", "html"))
