@@ -38,13 +38,24 @@ def csv_roundtrip(spark, d):
     return C.normalise_contract(FS.read_csv(spark, path), 1)
 
 
+@register("csv_quoted_breaks", "SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS text_md5, length(text) - length(replace(text, chr(10), '')) "
+          "AS breaks, '5\" pipe' AS note FROM documents", ("S1", "K1"))
+def csv_quoted_breaks(spark, d):
+    """Texts with line breaks in quoted fields beside a stray quote, written and read back in pieces."""
+    path = scratch_path(spark, "csv_quoted")
+    docs = read_table(spark, d, "documents", "doc_id", "text")
+    W.write_csv(docs.select(F.col("doc_id").alias("id"), "text", F.lit('5" pipe').alias("note")), path)
+    back = FS.read_csv(spark, path, quoted_breaks=True)
+    return back.select("id", F.md5("text").alias("text_md5"), F.regexp_count("text", F.lit("\n")).cast("long").alias("breaks"), "note")
+
+
 def _upload_entries(spark, path):
     """(id, text) of an uploaded CSV; without an id column the id is the row's position, from 0."""
     df, _encoding, _sep = FS.read_upload_csv(spark, path)
+    if C.pick_column(df.columns, C.ID_ALIASES) is None:
+        df, _encoding, _sep = FS.read_upload_csv(spark, path, position="row_position")
     text_col = C.resolve_column(df.columns, C.UPLOAD_TEXT_ALIASES)
-    id_col = C.pick_column(df.columns, C.ID_ALIASES)
-    if id_col is None:
-        df, id_col = with_position(df, "row_position"), "row_position"
+    id_col = C.pick_column(df.columns, C.ID_ALIASES) or "row_position"
     return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
 

@@ -13,31 +13,35 @@ from pyspark.sql import functions as F
 
 from textpool.functions.arrays import explode_values
 from textpool.functions.text import strip_ws
+from textpool.operators.ranking import with_position
 from textpool.operators.contract import empty_contract, strip_column_names
+from textpool.session import materialise
+from textpool.sources import quoted_csv
 
 UTF8, LATIN1 = "UTF-8", "ISO-8859-1"
 MIXED = "mixed"
 SEPARATORS = (";", "\t", "|", ",")
 
 
-def has_quoted_breaks(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """Whether a quoted field goes on over a line's end: its first line holds an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(spark.read.text(path).filter(quotes % 2 == 1).limit(1).count())
-
-
 def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str = ",", encoding: str = UTF8,
-             quoted_breaks: bool | None = None) -> DataFrame:
-    """Header CSV, every column STRING (no inference), names trimmed.
+             quoted_breaks: bool | None = None, position: str | None = None) -> DataFrame:
+    """Header CSV, every column STRING (no inference), names trimmed; ``position`` names a column for the record's place.
 
-    ``quoted_breaks``: fields may hold line breaks, so a file cannot be split
-    over tasks; by default that is found out from the input.
+    ``quoted_breaks``: fields may hold line breaks, so records are cut out of
+    the files' pieces in a second pass (``quoted_csv``); by default a pass over
+    the lines finds out whether they do. Either way a file is read by as many
+    tasks as it has pieces.
     """
-    if quoted_breaks is None:
-        quoted_breaks = has_quoted_breaks(spark, path)
-    df = (spark.read.option("header", True).option("multiLine", quoted_breaks).option("escape", '"')
-          .option("inferSchema", False).option("sep", sep).option("encoding", encoding).csv(path))
-    return strip_column_names(df)
+    states = None
+    if quoted_breaks is not False:
+        quoted_csv.pin_splits(spark)
+        states = materialise(spark, quoted_csv.piece_states(spark, path, sep), "csv_pieces")  # one row per piece
+        quoted_breaks = quoted_breaks or bool(states.filter("breaks").limit(1).count())
+    if quoted_breaks:
+        return strip_column_names(quoted_csv.read_quoted_csv(spark, path, sep, encoding, states, position))
+    df = (spark.read.option("header", True).option("escape", '"').option("inferSchema", False).option("sep", sep)
+          .option("encoding", encoding).csv(path))
+    return strip_column_names(df if position is None else with_position(df, position))
 
 
 def _fields_outside_quotes(line: str, sep: str) -> int:
@@ -65,15 +69,21 @@ def files_by_encoding(spark: SparkSession, path: str) -> tuple[list[str], list[s
     return sorted(r.file for r in rows if r.ok), sorted(r.file for r in rows if not r.ok)
 
 
-def read_upload_csv(spark: SparkSession, path: str) -> tuple[DataFrame, str, str]:
-    """S2 + S3: every file in its own encoding, UTF-8 or else Latin-1. Returns (df, encoding or "mixed", separator)."""
+def read_upload_csv(spark: SparkSession, path: str, position: str | None = None) -> tuple[DataFrame, str, str]:
+    """S2 + S3: every file in its own encoding, UTF-8 or else Latin-1. Returns (df, encoding or "mixed", separator).
+
+    ``position`` names a column with the record's place; of mixed encodings, the UTF-8 files come first.
+    """
     good, bad = files_by_encoding(spark, path)
     if not bad or not good:
         encoding = LATIN1 if bad else UTF8
         sep = detect_separator(spark, path, encoding)
-        return read_csv(spark, path, sep, encoding), encoding, sep
+        return read_csv(spark, path, sep, encoding, position=position), encoding, sep
     sep = detect_separator(spark, good, UTF8)
-    return read_csv(spark, good, sep, UTF8).unionByName(read_csv(spark, bad, sep, LATIN1)), MIXED, sep
+    first, second = read_csv(spark, good, sep, UTF8, position=position), read_csv(spark, bad, sep, LATIN1, position=position)
+    if position is not None:
+        second = second.withColumn(position, F.col(position) + first.select(F.count(F.lit(1))).scalar())
+    return first.unionByName(second), MIXED, sep
 
 
 def lines_to_items(df: DataFrame, text_col: str = "text", max_items: int | None = None) -> DataFrame:
