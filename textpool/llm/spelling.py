@@ -77,7 +77,8 @@ class _Nodes:
 def _sorted_words(spark: SparkSession, words: DataFrame, key: str) -> DataFrame:
     """``words`` cut into ranges of ``key`` and sorted in them; written, so that every later pass sees the same ranges."""
     checkpoint_root(spark)
-    return words.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, or few small ranges would be merged before they grow to pairs
+    return words.repartitionByRange(parts, key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
 
 
 def _starts(ranged: DataFrame, key: str) -> dict[int, tuple[int, int, list[int]]]:

@@ -114,7 +114,8 @@ def write_archives(records: DataFrame, path: str) -> None:
 
     # one row is one file; the separator that the writer adds ends its last record
     (records.mapInArrow(pack, "archive binary").select(F.col("archive").cast("string"))
-     .write.option("lineSep", BREAK.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path))
+     .write.option("lineSep", BREAK.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip")
+     .option("zlib.compress.level", "BEST_SPEED").text(path))
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
