@@ -58,15 +58,18 @@ def rule_neutral(text: Column) -> Column:
     return F.contains(low, F.lit("ne ")) & F.contains(low, F.lit(" ne "))
 
 
-def aspect_rows(items: DataFrame, pair_scorer, noun_test: NounTest = capitalised) -> DataFrame:
+def aspect_rows(items: DataFrame, pair_scorer, noun_test: NounTest = capitalised, aspects: Column | None = None) -> DataFrame:
     """L1 + L2 + L3 + L4 + L5: one row per (text, aspect); no aspect → GENERAL / Neutral / 0.0.
 
     Input ``(id, text)``; texts shorter than 2 characters are skipped.  One
     pass: aspects are extracted once, the model gets a text with the list of
     its aspects (an empty list where the neutral rule decides), and the rows
-    are exploded after that, so a text travels to Python once.
+    are exploded after that, so a text travels to Python once. ``aspects``:
+    the aspects of a text by another rule, as those of a tagger's tokens
+    (``tagging.aspects_of_tokens``).
     """
-    x = items.filter(F.length("text") >= 2).withColumn("_asp", extract_aspects(F.col("text"), noun_test)) \
+    found = extract_aspects(F.col("text"), noun_test) if aspects is None else aspects
+    x = items.filter(F.length("text") >= 2).withColumn("_asp", found) \
         .withColumn("_rule", rule_neutral(F.col("text")))
     asked = F.when(F.col("_rule"), F.array().cast("array<string>")).otherwise(F.col("_asp"))
     scored = x.withColumn("_lg", pair_logits(F.col("text"), asked, pair_scorer))

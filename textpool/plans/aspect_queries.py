@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textpool.operators import aspects as AS
+from textpool.operators import tagging as TG
 from textpool.operators.scoring import PairShapeScorer, pair_logits
 from textpool.plans import sql as S
 from textpool.plans.registry import register
@@ -84,3 +85,23 @@ def aspect_crosstab_q(spark, d):
 def top_aspect_rows_q(spark, d):
     rows = AS.report_filter(_rows(spark, d)).select("id", "detected_aspect", "sentiment", "confidence_score")
     return AS.keep_top_aspects(rows)
+
+
+#: Endings of the tables' invented prose; a tagger of real text is learned (``tagging.fit_hmm``).
+TAGGER = TG.SuffixTagger(("tion", "ing", "er", "ment", "ción", "eux"), ("s", "es", "ed", "er", "ers", "ing", "tion"), ("the", "and", "that", "for", "thing", "her"))
+_TAGGED_SQL = (
+    "WITH tk AS (SELECT concat(CAST(conv_id AS VARCHAR), '-', CAST(turn AS VARCHAR)) AS id, "
+    r"regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+') AS t FROM conversations), "
+    "ex AS (SELECT DISTINCT id, unnest(t) AS token FROM tk), "
+    r"lm AS (SELECT id, token, lower(token) AS low, regexp_replace(lower(token), '^(.{3,}?)(?:tion|ers|ing|ed|er|es|s)$', '\1') AS lemma FROM ex) "
+    "SELECT id, token AS detected_aspect FROM lm WHERE length(low) >= 3 "
+    r"AND (regexp_matches(token, '^\p{Lu}') OR regexp_matches(low, '(tion|ing|er|ment|ción|eux)$')) "
+    "AND low NOT IN ('the', 'and', 'that', 'for', 'thing', 'her') "
+    f"AND low NOT IN ({_BLACK}) AND lemma NOT IN ({_BLACK})")
+
+
+@register("aspect_tagged", _TAGGED_SQL, ("L1",))
+def aspect_tagged(spark, d):
+    """Aspects by a tagger behind the table function: nouns, stop words, lemma and surface form against the blacklist."""
+    found = items(spark, d).withColumn("_tokens", TG.tag_tokens(F.col("text"), TAGGER))
+    return found.select("id", F.explode(TG.aspects_of_tokens(F.col("_tokens"))).alias("detected_aspect"))
