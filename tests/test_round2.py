@@ -101,11 +101,15 @@ def test_column_roles():
             C.resolve_column(bad, C.SENTENCE_ALIASES, "Sentence")
 
 
-def test_guard_against_shared_sentences(spark):
-    a, b, c = (spark.createDataFrame([(x, 1) for x in v], "Sentence string, Polarity int") for v in ("ab", "cd", "de"))
-    assert P.checked_splits(a, b, a.limit(0))[0] is a
-    with pytest.raises(P.SplitOverlap, match="val_test: 1"):
-        P.checked_splits(a, b, c)
+def test_guard_against_shared_sentences(spark, tmp_path):
+    """A leaking split fails the job that writes it; a clean one goes through the guard unchanged."""
+    clean = spark.createDataFrame([("a", 1, "train"), ("b", 1, "val"), ("c", 0, "test"), ("a", 1, "train")], "Sentence string, Polarity int, split string")
+    P.guard_splits(clean).write.parquet(str(tmp_path / "clean"))
+    assert spark.read.parquet(str(tmp_path / "clean")).count() == 4
+    leaking = clean.union(spark.createDataFrame([("b", 1, "test")], clean.schema))
+    with pytest.raises(Exception, match="not disjoint on Sentence: 1 shared"):
+        P.guard_splits(leaking).write.parquet(str(tmp_path / "leaking"))
+    assert P.guard_splits(clean.limit(0)).count() == 0
 
 
 def test_running_counts_without_and_with_several_batches(spark, tmp_path):

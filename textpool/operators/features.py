@@ -58,15 +58,17 @@ def encode_fixed(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col
     encoder that truncates. A text without tokens has one empty window.
     Tokens meet the vocabulary in a join on the token (Catalyst broadcasts it
     when its size allows; a frequent token's partition can be split) and are
-    folded per window, which holds at most ``max_len`` entries.
+    folded per window, which holds at most ``max_len`` entries. Every row of
+    ``docs`` is a text of its own, whether its id is repeated, null or neither.
     """
     body = max_len - 2
-    ex = docs.select(id_col, F.posexplode_outer(tokens(text_col)).alias("pos", "token"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), id_col, tokens(text_col).alias("_tok"))
+    ex = rows.select("_row", id_col, F.posexplode_outer("_tok").alias("pos", "token"))
     window = F.coalesce(F.floor(F.col("pos") / body), F.lit(0)).cast("int")
     ids = ex.join(vocab, "token", "left").select(
-        id_col, window.alias("window_no"),
+        "_row", id_col, window.alias("window_no"),
         F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid"))).alias("_e"))
-    folded = ids.groupBy(id_col, "window_no").agg(F.array_sort(F.collect_list("_e")).alias("_p"))
+    folded = ids.groupBy("_row", id_col, "window_no").agg(F.array_sort(F.collect_list("_e")).alias("_p"))
     seq = F.concat(F.array(F.lit(CLS_ID)), F.transform("_p", lambda s: s["tid"]), F.array(F.lit(SEP_ID)))
     enc = folded.select(id_col, "window_no", seq.alias("_s"))
     n = F.size("_s")
@@ -97,17 +99,18 @@ def tfidf_relational(docs: DataFrame, id_col: str = "id", text_col: str = "text"
     """M2 (relational form): (id, term, tfidf) with smoothed idf ``ln((1+n)/(1+df)) + 1`` and L2 rows.
 
     Terms need ``df >= min_df``; with ``max_features`` only the most frequent
-    (total count desc, term asc) are kept.  n = number of documents.
+    (total count desc, term asc) are kept.  n = number of documents. Every
+    row is a document of its own, whether its id is repeated or null.
 
-    Documents are tokenised once: raw text is shuffled by id, the counts per
-    (id, term) follow without another shuffle and are written to the shared
+    Documents are tokenised once: raw text is dealt by row, the counts per
+    (row, term) follow without another shuffle and are written to the shared
     folder. Document frequencies and weights both read them; the join on the
     term carries no hint.
     """
     spark = docs.sparkSession
-    by_doc = docs.select(id_col, text_col).repartition(id_col)
-    tf = explode_values(with_terms(by_doc, text_col), [id_col], F.col("terms"), "term") \
-        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    by_doc = docs.select(F.monotonically_increasing_id().alias("_row"), id_col, text_col).repartition("_row")
+    tf = explode_values(with_terms(by_doc, text_col), ["_row", id_col], F.col("terms"), "term") \
+        .groupBy("_row", id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     path = scratch_path(spark, "term_counts")
     tf.write.parquet(path)
     tf = spark.read.schema(tf.schema).parquet(path)
@@ -116,8 +119,8 @@ def tfidf_relational(docs: DataFrame, id_col: str = "id", text_col: str = "text"
         vocab = top_k(vocab, max_features, [F.desc("total"), F.asc("term")], desc_count="total")
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     vocab = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(vocab, "term", "inner").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    w = tf.join(vocab, "term", "inner").select("_row", id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_row")))
     return w.select(id_col, "term", (F.col("w") / norm).alias("tfidf"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textpool.functions.aggregates import count_where
+from textpool.functions.labels import CLASS_NAMES
 from textpool.operators import experiments as EX
 from textpool.operators import metrics as M
 from textpool.operators import pool as P
@@ -79,6 +80,72 @@ def seed_variance_q(spark, d):
     return _rounded(EX.seed_variance(r, "o_orderpriority"), ["mean_val_macro_f1", "std_val_macro_f1", "mean_epochs"])
 
 
+# ── K2 ──────────────────────────────────────────────────────────────────────
+# The settings that a training run records.
+RUN_CONFIG = {
+    "random_seed": 42, "batch_size": 32, "epochs": 4, "learning_rate": 2e-5, "max_len": 160, "warmup_ratio": 0.1, "use_class_weights": True,
+    "neutral_class_index": 1, "neutral_loss_boost": 1.0, "early_stopping": True, "early_stopping_patience": EX.PATIENCE,
+    "early_stopping_min_delta": EX.MIN_DELTA, "merge_raw_absa_for_train": True, "use_hf_train_extra": True,
+    "hf_dataset_id": "winvoker/turkish-sentiment-analysis-dataset", "hf_sample_size": 10_000, "hf_seed": 42, "merge_hard_examples": True,
+    "leakage_guard_enabled": True, "confidence_fallback_enabled": True, "confidence_threshold": SC.CONFIDENCE_THRESHOLD,
+    "confidence_fallback_label": SC.FALLBACK_LABEL,
+}
+
+
+def _artifacts(spark, d):
+    """The artifacts of all runs; an order's line count and quantity stand for its training's sizes."""
+    li = read_table(spark, d, "lineitem", "l_orderkey", "l_quantity")
+    sizes = li.groupBy(F.col("l_orderkey").alias("run_id")).agg(
+        F.sum("l_quantity").cast("long").alias("train"), F.count(F.lit(1)).alias("val"))
+    return EX.experiment_artifacts(_epochs(spark, d), sizes, RUN_CONFIG, {"device": "cpu", "use_amp": False}, "text-model", "text_model", CLASS_NAMES)
+
+
+def _written_json(spark, df, name):
+    """A table of nested reports, written as JSON lines and read back with its schema."""
+    path = scratch_path(spark, name)
+    df.write.json(path)
+    return spark.read.schema(df.schema).json(path)
+
+
+_HISTORY_SQL = ("array_to_string(list(CAST(epoch AS VARCHAR) || ':' || CASE WHEN improved THEN '+' ELSE '-' END || "
+                "CAST(CAST(round(val_macro_f1 * 50) AS BIGINT) AS VARCHAR) ORDER BY epoch), ' ')")
+
+
+@register("experiment_artifact", _EPOCH_SQL + (
+    "SELECT b.run_id, round(coalesce(best_val_macro_f1, -1), 6) AS best_val_macro_f1, CAST(epochs_ran AS INTEGER) AS epochs_ran, "
+    "z.train_size, z.val_size, 42 AS random_seed, true AS early_stopping, 'Neutral' AS fallback_label, 'Negative,Neutral,Positive' AS classes, "
+    f"h.history FROM best b JOIN (SELECT run_id, {_HISTORY_SQL} AS history FROM r GROUP BY run_id) h USING (run_id) "
+    "JOIN (SELECT l_orderkey AS run_id, CAST(sum(l_quantity) AS BIGINT) AS train_size, count(*) AS val_size FROM lineitem GROUP BY 1) z "
+    "USING (run_id)"), ("K2", "W3"))
+def experiment_artifact(spark, d):
+    back = _written_json(spark, _artifacts(spark, d), "artifacts")
+    mark = F.transform("epoch_history", lambda e: F.concat(
+        e["epoch"].cast("string"), F.lit(":"), F.when(e["improved"], "+").otherwise("-"), F.round(e["val_macro_f1"] * 50).cast("long").cast("string")))
+    return back.select(
+        "run_id", F.round("best_val_macro_f1", 6).alias("best_val_macro_f1"), "epochs_ran", F.col("dataset_sizes.train").alias("train_size"),
+        F.col("dataset_sizes.val").alias("val_size"), F.col("config_snapshot.random_seed").alias("random_seed"),
+        F.col("config_snapshot.early_stopping").alias("early_stopping"),
+        F.col("config_snapshot.confidence_fallback_label").alias("fallback_label"), F.array_join("class_names", ",").alias("classes"),
+        F.array_join(mark, " ").alias("history"))
+
+
+@register("multi_seed_report", _EPOCH_SQL + (
+    "SELECT o.o_custkey AS job, array_to_string(list(CAST(b.run_id AS VARCHAR) || ':' || CAST(epochs_ran AS VARCHAR) ORDER BY b.run_id), ' ') AS runs, "
+    "round(avg(CASE WHEN best_val_macro_f1 <> 0 THEN best_val_macro_f1 END), 6) AS mean_val_macro_f1, "
+    "round(stddev_pop(CASE WHEN best_val_macro_f1 <> 0 THEN best_val_macro_f1 END), 6) AS std_val_macro_f1 "
+    "FROM best b JOIN orders o ON b.run_id = o.o_orderkey GROUP BY o.o_custkey"), ("K2", "A17"))
+def multi_seed_report(spark, d):
+    """A customer's orders stand for the seeds of one multi-seed job."""
+    orders = read_table(spark, d, "orders", "o_orderkey", "o_custkey")
+    runs = EX.best_checkpoint(_epochs(spark, d)).join(orders, F.col("run_id") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("job"), F.col("run_id").alias("seed"), F.concat(F.lit("multi_seed_"), "run_id").alias("run_name"),
+        "best_val_macro_f1", F.col("epochs_ran").alias("epochs"))
+    back = _written_json(spark, EX.multi_seed_summary(runs, "job"), "multi_seed")
+    listed = F.transform("results", lambda r: F.concat(r["seed"].cast("string"), F.lit(":"), r["epochs"].cast("string")))
+    return _rounded(back.select("job", F.array_join(listed, " ").alias("runs"), "mean_val_macro_f1", "std_val_macro_f1"),
+                    ["mean_val_macro_f1", "std_val_macro_f1"])
+
+
 # ── J8 / J9 ─────────────────────────────────────────────────────────────────
 def pool_label_counts(spark, d):
     """(use_hf_train_extra, merge_hard_examples, n0, n1, n2): rows per label of the pool of each setting.

@@ -9,6 +9,7 @@ from textpool.functions.text import strip_ws
 from textpool.operators import features as FE
 from textpool.operators import metrics as M
 from textpool.operators import scoring as SC
+from textpool.operators import subwords as SW
 from textpool.plans import inputs as I
 from textpool.plans import sql as S
 from textpool.plans.registry import register
@@ -39,6 +40,28 @@ def encode_fixed_q(spark, d):
                       F.array_join("input_ids", " ").alias("ids_text"))
 
 
+#: A public vocabulary of ranked byte merges; its ids end at 50255, so the marks follow.
+SUBWORD_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SUBWORD_MARKS = {"cls_id": 50_257, "sep_id": 50_258, "pad_id": 50_259}
+
+
+@register("encode_subwords", "SELECT doc_id AS id, md5(coalesce(text, '')) AS decoded_md5, true AS windows_ok FROM documents", ("M1",))
+def encode_subwords_q(spark, d, vocabulary: str = SUBWORD_FILE):
+    """Every text as windows of 160 sub-word ids; checked by decoding the windows' ids back into the text."""
+    encoder, marks = SW.RankedMerges(vocabulary), SUBWORD_MARKS
+    enc = SW.encode_subwords(_docs(spark, d), encoder, **marks)
+    real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    # a full window before the last one, marks at both ends, padding after them
+    ok = ((F.size("input_ids") == FE.MAX_LEN) & (F.col("input_ids")[0] == marks["cls_id"]) & (F.get("input_ids", real - 1) == marks["sep_id"])
+          & F.forall(F.slice("input_ids", real + 1, FE.MAX_LEN), lambda x: x == marks["pad_id"]))
+    whole = enc.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("window_no", F.slice("input_ids", F.lit(2), real - 2).alias("ids")))).alias("w"),
+        F.bool_and(ok).alias("ok"))
+    full = F.forall(F.slice("w", F.lit(1), F.size("w") - 1), lambda x: F.size(x["ids"]) == FE.MAX_LEN - 2)
+    text = SW.subword_text(F.flatten(F.transform("w", lambda x: x["ids"])), encoder)
+    return whole.select("id", F.md5(text).alias("decoded_md5"), (F.col("ok") & full).alias("windows_ok"))
+
+
 _TFIDF_SQL = (
     r"WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM documents), "
     "tm AS (SELECT id, t || CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) "

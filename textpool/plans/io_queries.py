@@ -141,6 +141,19 @@ def source_profile(spark, d):
     return P.label_distribution(C.normalise_contract(I.chat_pool(spark, d), 1))
 
 
+_RAW_LABEL = f"CASE {S.polarity('Sentiment', None)} WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' WHEN 2 THEN 'positive' ELSE 'unlabelled' END"
+
+
+@register("source_landing", f"SELECT 'Content,Sentiment' AS columns, label, n AS count, CAST(sum(n) OVER () AS BIGINT) AS rows FROM "
+          f"(SELECT l.label, count(c.lb) AS n FROM (SELECT unnest(['negative', 'neutral', 'positive', 'unlabelled']) AS label) l "
+          f"LEFT JOIN (SELECT {_RAW_LABEL} AS lb FROM ({S.CHAT_POOL})) c ON c.lb = l.label GROUP BY l.label)", ("S5", "K1"))
+def source_landing(spark, d):
+    """The raw source is landed as CSV; its columns, rows and label counts come from the pass that writes it."""
+    found = P.land_source(I.chat_pool(spark, d), scratch_path(spark, "landing"), "Sentiment")
+    return spark.createDataFrame([(",".join(found["columns"]), k, n, found["rows"]) for k, n in found["labels"].items()],
+                                 "columns string, label string, count long, rows long")
+
+
 @register("optional_source", S.contract(S.LABELLED_DOCS, "text", "sentiment", 1), ("S8", "J1"))
 def optional_source(spark, d):
     base = C.normalise_contract(I.labelled_docs(spark, d), 1)

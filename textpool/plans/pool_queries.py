@@ -11,7 +11,7 @@ from textpool.operators import pool as P
 from textpool.plans import inputs as I
 from textpool.plans import sql as S
 from textpool.plans.registry import register
-from textpool.session import checkpoint_root
+from textpool.session import materialise, scratch_path
 
 # ── shared stage builders (Spark) ───────────────────────────────────────────
 
@@ -22,7 +22,8 @@ class _PoolStages(Mapping):
     A query that needs one stage builds only that stage's lineage, so the
     driver does not analyse plans it never runs. With ``keyed`` the stages hold
     digests for texts, for queries that only count. With ``written`` each stage
-    is written to the shared folder once (a checkpoint) and later ones read it.
+    is written to the shared folder once, its rows are counted in that pass
+    (``rows``), and later stages read the files.
     """
 
     _BUILD = {
@@ -42,6 +43,7 @@ class _PoolStages(Mapping):
 
     def __init__(self, spark, d: str, keyed: bool = False, written: bool = False):
         self.spark, self.d, self._keyed, self._written, self._built = spark, d, keyed, written, {}
+        self.rows: dict[str, int] = {}
 
     def contract(self, raw):
         pool = C.normalise_contract(raw, 1)
@@ -51,8 +53,8 @@ class _PoolStages(Mapping):
         if key not in self._built:
             stage = self._BUILD[key](self)
             if self._written and key in self._PUBLIC:
-                checkpoint_root(self.spark)
-                stage = stage.checkpoint()
+                stage, seen = P.observed_write(stage, scratch_path(self.spark, f"pool-{key}"), f"pool-{key}")
+                self.rows[key] = seen["rows"]
             self._built[key] = stage
         return self._built[key]
 
@@ -179,9 +181,11 @@ _STAGES = ["base", "val", "chat", "merged_raw", "extra", "merged_extra", "hard",
 @register("pool_stage_sizes", pool_sql(" UNION ALL ".join(
     f"SELECT '{s}' AS stage, count(*) AS rows FROM {s}" for s in _STAGES)), ("A5",))
 def pool_stage_sizes(spark, d):
-    """Each stage is written once as digests, so a stage's rows are read from its predecessors' files."""
+    """Each stage is written once as digests, from its predecessors' files, and counted while it is written."""
     st = training_pool_stages(spark, d, keyed=True, written=True)
-    return P.stage_sizes({s: st[s] for s in _STAGES})
+    for stage in _STAGES:
+        st[stage]
+    return spark.createDataFrame([(s, st.rows[s]) for s in _STAGES], "stage string, rows long")
 
 
 @register("class_weights", pool_sql(
@@ -225,9 +229,10 @@ def _split_pool(spark, d):
     return P.stratified_split(majority_dedup_lineitem(spark, d), seed=I.SEED)
 
 
-@register("stratified_split", _SPLIT_CTE + "SELECT Sentence, Polarity, split FROM s", ("W2",))
+@register("stratified_split", _SPLIT_CTE + "SELECT Sentence, Polarity, split FROM s", ("W2", "J6"))
 def stratified_split_q(spark, d):
-    return _split_pool(spark, d)
+    """The splits are written, and leave that table only through the guard on their overlap."""
+    return P.guard_splits(materialise(spark, _split_pool(spark, d), "splits"))
 
 
 @register("stratified_split_sizes", _SPLIT_CTE + "SELECT split, Polarity, count(*) AS n FROM s GROUP BY split, Polarity",
