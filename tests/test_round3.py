@@ -1,10 +1,12 @@
 """Row identity of the encoders, sub-words, the streamed epoch fold, observed writes, nested artifacts."""
 
+import collections
 import json
 import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +176,54 @@ def test_multi_seed_summary(spark):
     got = {r.job: r for r in EX.multi_seed_summary(runs, "job").collect()}
     assert got["j"].seeds == [42, 123, 456] and math.isclose(got["j"].mean_val_macro_f1, 0.6) and math.isclose(got["j"].std_val_macro_f1, 0.1)
     assert [x.run_name for x in got["j"].results] == ["a", "b", "c"] and got["k"].mean_val_macro_f1 is None
+
+
+# M3
+
+def dense_optimum(x, y, weight):
+    """Newton's method on |w|²/2 (without the intercept, the last weight) + sum of weighted losses."""
+    penalty = np.ones(x.shape[1])
+    penalty[-1] = 0
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        grad = penalty * w + x.T @ (weight * (p - y))
+        hess = np.diag(penalty) + (x.T * (weight * p * (1 - p))) @ x
+        w = w - np.linalg.solve(hess, grad)
+    return w
+
+
+def test_fitted_margins_are_the_optimum_of_a_dense_solver(spark):
+    rng = random.Random(3)
+    words = [["bad", "awful", "slow"], ["okay", "normal", "plain"], ["good", "great", "fast"]]
+    rows = []
+    for _ in range(150):
+        y = rng.choice([0, 0, 0, 1, 2])
+        rows.append((" ".join(rng.choice(words[y] if rng.random() < 0.6 else words[rng.randrange(3)]) for _ in range(6)), y))
+    train = spark.createDataFrame(rows, "text string, y int")
+    model = FE.fit_text_model(train, max_iter=500, tol=1e-12)
+    got = model.score_frame(train).select("text", "l0", "l1", "l2").collect()
+    terms = lambda t: (lambda k: k + [f"{a} {b}" for a, b in zip(k, k[1:], strict=False)])(t.split())
+    df = collections.Counter(t for x, _ in rows for t in set(terms(x)))
+    kept = sorted(t for t, n in df.items() if n >= 2)
+    x = np.zeros((len(rows), len(kept) + 1))
+    for i, (t, _) in enumerate(rows):
+        for term in terms(t):
+            if df[term] >= 2:
+                x[i, kept.index(term)] += math.log((1 + len(rows)) / (1 + df[term])) + 1
+        x[i] /= np.linalg.norm(x[i])
+        x[i, -1] = 1.0
+    want = {}
+    for c in range(3):
+        y = np.array([r[1] == c for r in rows], float)
+        margins = x @ dense_optimum(x, y, np.where(y == 1, len(rows) / (3 * y.sum()), 1.0))
+        for (t, _), m in zip(rows, margins, strict=True):
+            want.setdefault(t, []).append(m)
+    for r in got:
+        assert np.allclose([r.l0, r.l1, r.l2], want[r.text][:3], atol=1e-4)
+
+
+def test_a_class_without_rows_is_never_predicted(spark):
+    train = spark.createDataFrame([("aa bb", 0), ("aa cc", 0), ("dd bb", 2), ("dd cc", 2)] * 3, "text string, y int")
+    pred = FE.tfidf_logreg(train, train)
+    assert all(r.prediction == r.y for r in pred.collect())

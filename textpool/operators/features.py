@@ -147,8 +147,9 @@ class TextModel:
         from pyspark.ml.functions import vector_to_array
         own = df.withColumn("_tm_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
         out = self.pipeline.transform(with_terms(own, "_tm_text", "_tm_terms"))
-        # a class that the training rows lack has an infinite intercept
-        margin = lambda c: F.greatest(F.least(vector_to_array(f"_tm_raw{c}")[1], F.lit(MARGIN_LIMIT)), F.lit(-MARGIN_LIMIT))
+        # a class that the training rows lack has no model
+        known = {s.getRawPredictionCol() for s in self.pipeline.stages if s.hasParam("rawPredictionCol")}
+        margin = lambda c: vector_to_array(f"_tm_raw{c}")[1] if f"_tm_raw{c}" in known else F.lit(-MARGIN_LIMIT)
         return out.select(*(F.col(f"`{c}`") for c in df.columns), *(margin(c).alias(f"l{c}") for c in range(N_CLASSES)))
 
 
@@ -168,11 +169,15 @@ def text_vocabulary(docs: DataFrame, vocab_size: int, min_df: int = MIN_DF, text
 
 def fit_text_model(train: DataFrame, text_col: str = "text", label_col: str = "y", max_iter: int = 100, tol: float = 1e-4,
                    vocab_size: int = MAX_FEATURES, min_df: int = MIN_DF, fit_rows: int = FIT_ROWS) -> TextModel:
-    """M2 + M3: TF-IDF (1-2 grams, smoothed idf + 1, L2 rows) and three logistic regressions with balanced class weights.
+    """M2 + M3: TF-IDF (1-2 grams, smoothed idf + 1, L2 rows) and a logistic regression of each class against the rest.
 
+    A regression minimises ``|w|²/2`` plus the summed loss, where rows of its
+    class weigh ``rows / (classes · rows of the class)`` and all others 1 (the
+    reference solver's problem, but for the intercept, which is not penalised).
     Terms and document frequencies come from all rows of ``train``; the
     regressions are fitted on at most ``fit_rows`` of them, a seeded exact
-    sample. ``vocab_size`` bounds what the driver and each task hold.
+    sample. ``vocab_size`` is the reference's number of terms; it bounds what
+    the driver and each task hold.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -198,14 +203,16 @@ def fit_text_model(train: DataFrame, text_col: str = "text", label_col: str = "y
     counts = {r[label_col]: r["n"] for r in rows.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).filter(
         F.col(label_col).between(0, N_CLASSES - 1)).collect()}  # ≤ 3 rows
     used = sum(counts.values())
-    weight = F.coalesce(*(F.when(F.col(label_col) == c, F.lit(used / (len(counts) * m))) for c, m in counts.items()))
-    weighted = rows.filter(F.col(label_col).between(0, N_CLASSES - 1)).withColumn("_tm_w", weight).persist()
+    weighted = rows.filter(F.col(label_col).between(0, N_CLASSES - 1)).persist()
     try:
-        for c in range(N_CLASSES):
+        for c, m in sorted(counts.items()):
+            own = used / (len(counts) * m)
+            # Spark divides the loss by the sum of the weights
             lr = LogisticRegression(featuresCol="_tm_x", labelCol="_tm_is", weightCol="_tm_w", rawPredictionCol=f"_tm_raw{c}",
                                     probabilityCol="", predictionCol="", family="binomial", maxIter=max_iter, tol=tol,
-                                    regParam=1.0 / used, standardization=False)
-            stages.append(lr.fit(weighted.withColumn("_tm_is", (F.col(label_col) == c).cast("double"))))
+                                    regParam=1.0 / (own * m + used - m), standardization=False)
+            is_c = F.col(label_col) == c
+            stages.append(lr.fit(weighted.withColumn("_tm_is", is_c.cast("double")).withColumn("_tm_w", F.when(is_c, own).otherwise(1.0))))
     finally:
         weighted.unpersist()
     return TextModel(Pipeline(stages=stages).fit(train))
