@@ -10,10 +10,12 @@ from textpool.functions.labels import class_name_of
 from textpool.operators import explore as X
 from textpool.operators import scoring as SC
 from textpool.operators import validation as V
+from textpool.operators.result_index import ResultIndex
 from textpool.plans import inputs as I
 from textpool.plans import sql as S
 from textpool.plans.registry import register
 from textpool.plans.score_queries import ENTRIES_SCORED_SQL, SCORER, entries_scored
+from textpool.session import scratch_path
 from textpool.sources.tables import read_table
 
 
@@ -131,6 +133,34 @@ def result_page_clamped(spark, d):
     return _scored(rows).select("id", "text", "sentiment", "position", "page_no", "total_pages")
 
 
+def _text_index(spark, d):
+    return ResultIndex.write(_valid(spark, d), scratch_path(spark, "result_index"), "text")
+
+
+_VALID_SQL = S.valid_text(S.BATCH_ENTRIES)
+
+
+@register("result_page_keyset", (
+    "SELECT id, text, position FROM (SELECT id, text, row_number() OVER (ORDER BY text ASC NULLS FIRST, id ASC) AS position, "
+    f"greatest(1, count(*) OVER () // 50) AS p FROM ({_VALID_SQL})) WHERE position > (p - 1) * 25 AND position <= (p + 1) * 25"), ("T2", "T3"))
+def result_page_keyset(spark, d):
+    """The middle page by its number, then the page after its last row, from a clustered copy."""
+    index = _text_index(spark, d)
+    rows = index.files.agg(F.sum("n")).first()[0] or 0
+    page_no = max(1, rows // (2 * X.PAGE_SIZE))
+    first = index.page(page_no)
+    last = first.orderBy(F.desc("position")).limit(1).collect()
+    columns = ["id", "text", "position"]
+    if not last:
+        return first.select(columns)
+    return first.select(columns).union(index.page_after(last[0], position=last[0]["position"]).select(columns))
+
+
+@register("result_search_indexed", f"SELECT id, text FROM ({_VALID_SQL}) WHERE contains(lower(text), lower('Ation the'))", ("P14",))
+def result_search_indexed(spark, d):
+    return _text_index(spark, d).search("Ation the").select("id", "text")
+
+
 @register("result_preview",
           f"SELECT id, CASE WHEN length(text) > 100 THEN concat(substring(text, 1, 100), '…') ELSE text END AS text_preview, "
           f"round(confidence, 4) AS confidence_4dp, printf('%.1f%%', round(p0 * 100, 1)) AS negative_pct, "
