@@ -12,7 +12,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from textpool.llm import filter_audit, spelling, warc
+from textpool.llm import filter_audit, html_extract, spelling, tool_chat, url_filter, warc
 from textpool.session import scratch_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -233,3 +233,38 @@ def test_revisits_of_given_archives_are_resolved(spark):
     assert got == {"urn:page:4:2": ("response", None, b"body"), "urn:page:7:0": ("revisit", "urn:page:4:2", None),
                    "urn:page:2:1": ("revisit", "urn:page:4:2", None), "urn:page:8:3": ("revisit", "urn:elsewhere", None),
                    "urn:other": ("revisit", "urn:elsewhere", None)}
+
+
+# 6, pages without an article element
+
+HELD_OUT = "bHPSPPQc llHPPPSPkkkc bwHPQPPtt wHPSPPHPPc lbHQPPSPc HPPPP bHPPPtPc llPPSPPl kkHPSPPc bbHPPHSPPkkc tHPQPt cHPPPSPPb".split()
+
+
+def used(tree):
+    return set() if len(tree) == 1 else {html_extract.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+
+def test_tree_uses_links_words_and_neighbours_and_judges_unseen_pages(spark):
+    tree = html_extract.train(spark)
+    marked, unmarked = tree[2], tree[3]
+    assert used(marked) == {"in_article", "aside"}  # an article's blocks stay whatever their words
+    assert "links" in used(unmarked) and "words" in used(unmarked) and any("before" in f or "after" in f for f in used(unmarked))
+    hit = wrong = missed = 0
+    for turn, outline in enumerate(HELD_OUT):
+        html, labels = html_extract.outline_page(outline, turn + 5)
+        got = html_extract.judge(tree, html_extract.features(html_extract.blocks(html)))
+        for ok, label in zip(got, labels, strict=True):
+            hit, wrong, missed = hit + (ok and label == "1"), wrong + (ok and label == "0"), missed + (not ok and label == "1")
+    f1 = 2 * hit / (2 * hit + wrong + missed)
+    print("block F1 on held-out outlines", round(f1, 3), used(unmarked))
+    assert f1 >= 0.9
+
+
+def test_pages_without_an_article(spark):
+    long = "A paragraph of the page with more than a dozen of words, so that it looks like text."
+    menu = "<div><a href=/1>Home</a></div><div><a href=/2>News</a></div>"
+    pages = [f"<body>{menu}<h1>Title here</h1><div>{long}</div><div>Second one here.</div><div>{long} {long}</div><div><a href=/3>Next page of it</a></div></body>",
+             f"<article><p>{long}</p><div class='reader-response'><p>User: a long comment of many words which was left below the text.</p></div></article>"]
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(spark, df).collect()}
+    assert got == {0: f"Title here\n{long}\nSecond one here.\n{long} {long}", 1: long}

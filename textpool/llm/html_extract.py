@@ -1,9 +1,11 @@
 """Main text of web pages: flat text blocks, judged by a decision tree.
 
 A page becomes a list of text blocks with shallow features: words, share of
-words in links, the same of the neighbouring blocks, and what kind of element
-surrounds them. A small labelled table of blocks, made from the pages in
-``LABELLED``, trains the tree (Spark ML); its rules then run where the pages are.
+words in links, the same of two neighbouring blocks on each side, and what
+kind of element surrounds them. A small labelled table of blocks, made from
+the pages in ``LABELLED`` and ``OUTLINES``, trains the tree (Spark ML); its
+rules then run where the pages are. Where a page marks its article the marks
+decide; elsewhere words, links and neighbours do.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "no_article", "aside")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "words_before_2", "links_before_2",
+            "words_after_2", "links_after_2", "in_article", "no_article", "aside")
 
 #: Elements whose content is no text of the page.
 _SILENT = ("script", "style", "noscript", "template", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video")
@@ -38,7 +41,7 @@ _ASIDE_WORDS = frozenset("""
     ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies
     dialog disclaimer discussion disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation
     newsletter notice notices notification overlay pager pagination popup privacy promo promoted promotion recommended related
-    replies respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags
+    replies respond response responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags
     teaser toolbar topbar widget alert complementary contentinfo reactions toc warning
     """.split())
 _ARTICLE_WORDS = frozenset(("article", "main"))
@@ -163,12 +166,16 @@ def _marks(tag: str, attrs: str | None) -> tuple[bool, bool, bool, bool]:
 
 def features(found: list[tuple[str, float, bool, bool]]) -> np.ndarray:
     """One row of FEATURES per block; beyond the page's ends lie blocks without words."""
-    words = np.array([0, *(len(t.split()) for t, *_ in found), 0], float)
-    links = np.array([0, *(b[1] for b in found), 0], float)
+    if not found:
+        return np.zeros((0, len(FEATURES)))
+    n = len(found)
+    words = np.array([0, 0, *(len(t.split()) for t, *_ in found), 0, 0], float)
+    links = np.array([0, 0, *(b[1] for b in found), 0, 0], float)
+    near = [column[at:at + n] for at in (2, 1, 3, 0, 4) for column in (words, links)]  # the block, one before, one after, two before, two after
     inside = np.array([b[2] for b in found], float)
-    none = np.full(len(found), float(not any(b[2] and not b[3] for b in found)))
+    none = np.full(n, float(not any(b[2] and not b[3] for b in found)))
     aside = np.array([b[3] for b in found], float)
-    return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], inside, none, aside]) if found else np.zeros((0, len(FEATURES)))
+    return np.column_stack([*near, inside, none, aside])
 
 
 #: Labelled blocks: pages, and of each block in page order whether it belongs to the main text.
@@ -182,13 +189,41 @@ LABELLED = (
     ("<article><ul><li>An item</li><li>Another item of the list</li></ul><p><a href=/all>All of this line is a link but it is in the article</a></p><p>End.</p></article>", "1111"),
     ("<div class=sidebar><p>Words beside the text that are long enough to look like a paragraph of it.</p></div><div class=article><p>Some.</p><p>More words of the main part, enough of them to make a line.</p></div><div class=newsletter>Subscribe to our letter and get news every single week for free.</div>", "0110"),
     ("<p><a href=/p>Previous page</a></p><p>A page of plain paragraphs, the first of which has more than twenty words so that one can see that it is text.</p><p>The second one follows with as many words or more, and so it is easily seen that this belongs to the text.</p><p><a href=/n>Next page</a></p>", "0110"),
+    ("<div>The daily paper of all the towns around here</div><article><h1>Heading</h1><p>Text of the article in some words.</p><p>End.</p></article><div>Number 12</div>", "01110"),
+    ("<div><p>Welcome back, dear reader, to the pages of our paper, which has many things to read.</p></div><main><p>One.</p><p>Some more words of it.</p></main><p>Printed in town</p><div>Back to top</div>", "01100"),
     ("<nav>Skip to the content of this page please</nav><article><header><h1>Heading</h1></header><p>Body.</p><footer>Filed under many things</footer></article><div role=dialog>Sign in now to read all of it without any limits at all.</div>", "01100"),
 )
 
 
+#: Labelled outlines of pages without an article element. Main text: H heading, P paragraph, S short line, Q paragraph with a link.
+#: Beside it: l link, b menu of several links, t teaser of words and a link, w single word, c small print, k link list of an index.
+OUTLINES = """
+bHPPPcl lllHPSPPkk bHSPPQPc wlHPPtHPkc bHPPSPPPllc llHQPQPtttc bHPSSPc wwHPPPc bHSPSPc lHPPPPPPPPl
+bkkkkHPPc lllHSPPPwc bHPHPHPc bHQQPkkkc lHPSPtc bbHPPPbb tttHPPPttt wHPPSPPw lllllHPPPlllll cHPPPc
+bSPPPc bPPPPb lPSPSPl tPPPt wPPQPPw bHPSHSPc llHPPHPPkkk bHPtc bHSPPSSPPc kkkHPPkkk
+P PP HP HPP PPP HPPP SP l c w ll bl lP Pl bP Pc HPS HPSP llHSPPl bHSPSPll llHPSPPPl lHPSPPl
+lHPQPSPQl bHPPPPcc bwHPPwc blHPPSlb ttHPSPPtt bHPPQHQPPb lSPPSl bHPPSc kHPPPPk cbHPPPPbc
+""".split()
+
+
+def outline_page(outline: str, turn: int = 0) -> tuple[str, str]:
+    """The page of an outline and its labels; ``turn`` varies the numbers of words."""
+    parts, labels = [], []
+    for i, kind in enumerate(outline):
+        v = (7 * i + 3 * turn + len(outline)) % 10
+        words = " ".join(["word"] * {"H": 2 + v % 6, "P": 15 + 5 * v, "S": 2 + v % 6, "Q": 16 + 4 * v, "l": 1 + v % 3, "b": 1, "t": 5 + v % 7,
+                                     "w": 1 + v % 2, "c": 4 + v % 6, "k": 4 + v % 5}[kind])
+        link = f"<a href=/{i}>{words if kind in 'lk' else 'some link'}</a>"
+        body = {"l": link, "k": link, "b": " ".join([f"<a href=/{i}>item</a>"] * (3 + v % 5)), "t": f"{words} <a href=/{i}>and then read on here now</a>",
+                "Q": f"{words} {link} {words}"}.get(kind, words)
+        parts.append(f"<h2>{body}</h2>" if kind == "H" else f"<div>{body}</div>")
+        labels.append("1" if kind in "HPSQ" else "0")
+    return "".join(parts), "".join(labels)
+
+
 def labelled_blocks() -> list[tuple[float, list[float]]]:
     out = []
-    for html, labels in LABELLED:
+    for html, labels in (*LABELLED, *(outline_page(o, turn) for turn in range(4) for o in OUTLINES)):
         rows = features(blocks(html))
         if len(rows) != len(labels):
             raise ValueError(f"{len(labels)} labels for {len(rows)} blocks: {html[:60]}")
@@ -201,9 +236,9 @@ Tree = tuple
 
 
 def train(spark: SparkSession) -> Tree:
-    """The tree of the labelled table."""
-    table = spark.createDataFrame(labelled_blocks(), "label double, x array<double>").select("label", array_to_vector("x").alias("features"))
-    model = DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=2, seed=1).fit(table)
+    """The tree of the labelled table: below its root, pages that mark an article and pages that do not are learned apart."""
+    rows = labelled_blocks()
+    marked = FEATURES.index("no_article")
 
     def read(node) -> Tree:
         if node.numDescendants() == 0:
@@ -211,7 +246,12 @@ def train(spark: SparkSession) -> Tree:
         split = node.split()
         return split.featureIndex(), float(split.threshold()), read(node.leftChild()), read(node.rightChild())
 
-    return read(model._call_java("rootNode"))
+    def fit(part: list) -> Tree:
+        table = spark.createDataFrame(part, "label double, x array<double>").select("label", array_to_vector("x").alias("features"))
+        model = DecisionTreeClassifier(maxDepth=10, minInstancesPerNode=2, maxBins=64, seed=1).fit(table)
+        return read(model._call_java("rootNode"))
+
+    return marked, 0.5, fit([r for r in rows if not r[1][marked]]), fit([r for r in rows if r[1][marked]])
 
 
 def judge(tree: Tree, rows: np.ndarray) -> np.ndarray:
