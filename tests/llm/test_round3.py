@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,37 @@ def test_pages_without_an_article(spark):
     df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract(spark, df).collect()}
     assert got == {0: f"Title here\n{long}\nSecond one here.\n{long} {long}", 1: long}
+
+
+# 2
+
+def test_scores_are_the_closed_form_on_a_graph_with_cycles(spark):
+    rng = random.Random(9)
+    hosts = [f"h{i}.net" for i in range(25)] + ["good.org", "bad.com"]
+    html = {h: "".join(f'<{t} href="//{o}/x">' for t, o in zip(("a", "area", "link"), rng.sample([x for x in hosts if x != h], 3), strict=True))
+            for h in hosts}
+    pages = spark.createDataFrame([(i, f"http://{h}/" + ("de/1" if h == "bad.com" else ""), html[h]) for i, h in enumerate(hosts)]
+                                  + [(99, "http://good.org/2", html["good.org"])], PAGE)
+    got = {r.host: r for r in url_filter.judge_urls(spark, pages).collect()}
+    weight = collections.Counter()
+    for h in hosts:
+        for o in re.findall("//([^/]+)/x", html[h]):
+            weight[h, o] += 2 if h == "good.org" else 1
+    names = sorted(got)
+    at = {n: i for i, n in enumerate(names)}
+    m = np.zeros((len(names),) * 2)
+    for (a, b), k in weight.items():
+        m[at[b], at[a]] += k
+    d = url_filter.DAMPING
+    for column, matrix, seed in (("trust", m, "good.org"), ("distrust", m.T, "bad.com")):
+        sums = matrix.sum(axis=0)
+        step = np.divide(matrix, sums, out=np.zeros_like(matrix), where=sums > 0)
+        want = np.linalg.solve(np.eye(len(names)) - d * step, (1 - d) * np.array([float(n == seed) for n in names]))
+        assert max(abs(got[n][column] - want[at[n]]) for n in names) < 1e-6
+
+
+def test_no_link_no_verdict_from_a_shared_parent_domain(spark):
+    pages = spark.createDataFrame([(1, "http://a.co.uk/", "<a href='/x'>"), (2, "http://b.co.uk/", None), (3, "http://bad.com/de/x", "<base href='http://a.co.uk/'>")], PAGE)
+    assert {(r.src, r.dst) for r in url_filter.host_edges(pages).collect()} == {("bad.com", "a.co.uk")}
+    assert {r.host: r.verdict for r in url_filter.judge_urls(spark, pages).collect()} == {"a.co.uk": "allow", "b.co.uk": "allow", "bad.com": "block"}
+    assert ("b.co.uk", "co.uk") in {(r.src, r.dst) for r in url_filter.host_edges(pages, families=True).collect()}
