@@ -16,8 +16,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textpool.llm.common import connected, materialise
 
@@ -26,8 +27,8 @@ THRESHOLD = 0.93
 FIT_ROWS = 20_000
 #: Share of the pairs of the sample, and of pairs made at random at and above the threshold, within the radius.
 TARGET_RECALL = 0.995
-#: Vectors per cell that the number of codewords aims at; codewords per half at most.
-PER_CELL, MOST_WORDS = 32, 512
+#: Vectors per cell that the number of codewords aims at.
+PER_CELL = 32
 ROUNDS = 12
 #: Rows and columns of a block that one task compares at once.
 BLOCK = 512
@@ -89,7 +90,7 @@ def fit(sample: list[tuple[int | None, np.ndarray]], n: int, threshold: float =
         own = [(label, v) for label, v in sample if len(v) == dim]
         x = np.array([v for _, v in own])
         labels = np.array([label for label, _ in own])
-        k = max(1, min(MOST_WORDS, len(x) // 8, int(np.ceil(np.sqrt(n / PER_CELL)))))
+        k = max(1, min(len(x) // 8, int(np.ceil(np.sqrt(n / PER_CELL)))))
         index.books[dim] = _codebook(x[:, :dim // 2], k, rng), _codebook(x[:, dim // 2:], k, rng)
         d1, d2 = index.distances(x)
         base = d1.min(1) + d2.min(1)
@@ -122,7 +123,7 @@ def fit(sample: list[tuple[int | None, np.ndarray]], n: int, threshold: float =
     return index
 
 
-_VECTOR = "f long, label int, dim int, vec binary, copies long, c1 int, c2 int, probes array<struct<i:int,j:int>>"
+_VECTOR = "f long, label long, dim int, vec binary, copies long, c1 int, c2 int, probes array<struct<i:int,j:int>>"
 
 
 def _assign(shared):
@@ -210,11 +211,19 @@ def _compare(shared, threshold: float):
     return run
 
 
+def _label(vectors: DataFrame) -> Column:
+    """The label as a long: whole numbers as they are, any other type by its hash; null stays null."""
+    if isinstance(vectors.schema["label"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.col("label").cast("long")
+    return F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+
+
 def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS,
                  target: float = TARGET_RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors(vec_id, embedding, label)``.
 
-    Two vectors link when their labels are equal and not null, their lengths
+    Labels may be of any type that can be hashed. Two vectors link when their
+    labels are equal and not null, their lengths
     are equal and their cosine, in double precision, is ``threshold`` or more.
     Vectors that are null, empty, zero or hold a null or non-finite component
     link with nothing. Equal vectors of one label are one class, whose rows
@@ -223,7 +232,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     and are kept only if nothing else is in their component. An empty table
     gives an empty result.
     """
-    own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), _label(vectors).alias("label"))
     fine = (F.col("label").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
             & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
             & F.exists("embedding", lambda v: v != 0))
@@ -238,7 +247,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     sample = classes.select("label", "embedding", F.xxhash64("f").alias("h"))
     if n > fit_rows:  # an even part by hash, then at most fit_rows of it
         sample = sample.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * fit_rows / n)))
-    table = sample.limit(fit_rows).toArrow() if n <= fit_rows else sample.orderBy("h").limit(fit_rows).toArrow()
+    table = sample.orderBy("h").limit(fit_rows).toArrow()  # in this order the index does not depend on the rows'
     index = fit([(label, _unit(np.array([v]))[0]) for label, v in zip(table["label"].to_pylist(), table["embedding"].to_pylist(), strict=True)],
                 n, threshold, target)
     shared = spark.sparkContext.broadcast(vars(index))  # plain arrays: a worker may not have this package
