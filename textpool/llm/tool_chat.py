@@ -59,8 +59,8 @@ def schema_error(value, schema: Mapping, at: str = "arguments") -> str | None:
 
 
 def canonical(value) -> str:
-    """JSON with sorted keys, no spaces and no escapes that are not needed."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no spaces and no escapes that are not needed; numbers that JSON lacks are a ``ValueError``."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def depths(spark: SparkSession, calls: DataFrame) -> DataFrame:
@@ -89,8 +89,9 @@ def link_calls(spark: SparkSession, calls: DataFrame, results: DataFrame, schema
 
     ``arguments`` is JSON text. Calls that repeat an identifier count as one,
     the smallest by (turn, name, arguments); of several results the smallest
-    text is taken and ``n_results`` tells their number. Calls without an
-    identifier, and results of no call, are left out. ``status`` is ok,
+    text is taken and ``n_results`` tells their number. Arguments that no JSON
+    can repeat (NaN, infinite numbers, half a surrogate pair) are bad JSON.
+    Calls without an identifier, and results of no call, are left out. ``status`` is ok,
     invalid (``fault`` says why: bad JSON, unknown tool, or the schema),
     unanswered or cyclic, the worst last. ``depth`` orders the calls of a
     conversation topologically, then ``turn``. Empty tables give an empty result.
@@ -110,6 +111,7 @@ def link_calls(spark: SparkSession, calls: DataFrame, results: DataFrame, schema
             for r in batch.to_pylist():
                 try:
                     arguments = json.loads(r["arguments"])
+                    canonical(arguments).encode()  # no number beyond JSON's, no half of a surrogate pair
                     fault = None if r["name"] in schemas else "unknown tool"
                     fault = fault or schema_error(arguments, schemas[r["name"]])
                 except (ValueError, RecursionError):
@@ -130,7 +132,8 @@ def link_calls(spark: SparkSession, calls: DataFrame, results: DataFrame, schema
 
 def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results told by plain conversations: a user's turn calls ``reply``, the assistant's next turn answers it,
-    and a user's turn two after another one builds on it."""
+    and a user's turn two after another one builds on it. Turns without a conv_id or number, and those of other roles,
+    are neither calls nor results."""
     def call_id(turn):
         return F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
 
