@@ -5,6 +5,7 @@ import collections
 import gzip
 import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textpool.llm import filter_audit, html_extract, spelling, tool_chat, url_filter, warc
+from textpool.llm import embed_dedup, filter_audit, html_extract, spelling, tool_chat, url_filter, warc
 from textpool.session import scratch_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -303,3 +304,27 @@ def test_no_link_no_verdict_from_a_shared_parent_domain(spark):
     assert {(r.src, r.dst) for r in url_filter.host_edges(pages).collect()} == {("bad.com", "a.co.uk")}
     assert {r.host: r.verdict for r in url_filter.judge_urls(spark, pages).collect()} == {"a.co.uk": "allow", "b.co.uk": "allow", "bad.com": "block"}
     assert ("b.co.uk", "co.uk") in {(r.src, r.dst) for r in url_filter.host_edges(pages, families=True).collect()}
+
+
+# 3, 9
+
+@pytest.mark.parametrize("kind,labels", [("long", (1 << 40, 7)), ("string", ("a", "b")), ("decimal(20,2)", (None, None))])
+def test_labels_of_other_types(spark, kind, labels):
+    rows = [(1, [1.0, 0.0, 0.2, 0.1], 0), (2, [1.0, 0.01, 0.2, 0.1], 0), (3, [1.0, 0.0, 0.2, 0.1], 1), (None, [0.0, 0.0, 1.0, 0.0], 0), (5, [1.0, 0.0, 0.2, 0.1], 0)]
+    df = spark.createDataFrame([(i, v, k) for i, v, k in rows], "vec_id long, embedding array<float>, k int")
+    label = F.when(F.col("k") == 0, F.lit(labels[0])).otherwise(F.lit(labels[1])).cast(kind) if labels[0] is not None else F.col("k").cast(kind)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(spark, df.withColumn("label", label)).collect()}
+    assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[5] == (2, 1, False) and got[3] == (0, 3, True) and got[None][0] == 0
+
+
+def test_arguments_that_json_cannot_repeat(spark):
+    bad = [r'{"prompt":"\ud800","turn":1}', '{"prompt":"x","turn":NaN}', '{"prompt":"x","turn":1e999}', '{"prompt":"x","turn":-Infinity}', "[" * 100_000]
+    good = r'{"turn":1,"prompt":"\ud83d\ude00 ' + "y" * 200_000 + '"}'
+    calls = spark.createDataFrame([(1, f"c{i}", None, i, "reply", a) for i, a in enumerate([*bad, good])],
+                                  "conv_id long, call_id string, parent_id string, turn long, name string, arguments string")
+    results = spark.createDataFrame([(f"c{i}", "r") for i in range(6)], "call_id string, content string")
+    got = {r.call_id: r for r in tool_chat.link_calls(spark, calls, results).collect()}
+    assert {got[f"c{i}"].fault for i in range(5)} == {"bad JSON"} and {got[f"c{i}"].status for i in range(5)} == {"invalid"}
+    assert got["c5"].status == "ok" and json.loads(got["c5"].json)["call"]["arguments"]["prompt"].startswith("\U0001F600 yyy")
+    assert tool_chat.link_calls(spark, calls.limit(0), results.limit(0)).count() == 0
+    assert tool_chat.tool_chat_digest(spark, spark.createDataFrame([], "conv_id long, turn int, role string, text string, json string")).count() == 0

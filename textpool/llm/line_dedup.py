@@ -93,11 +93,16 @@ def _keys(docs: DataFrame):
 
 
 def line_dedup_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256, keep: the digest that the registered query returns."""
+    """doc_id, n_lines, n_dropped, kept_sha256, keep: the digest that the registered query returns.
+
+    ``keep`` is the compressed bitmap as text: ``start:length`` of each run of
+    kept positions, comma-joined.
+    """
     found = F.col("line_dedup")
+    runs = F.transform(found["keep"], lambda r: F.concat(r["start"].cast("string"), F.lit(":"), r["len"].cast("string")))
     return dedup_lines(spark, docs.select("doc_id", "text")).select(
         "row.doc_id", found["n_lines"].alias("n_lines"), found["n_dropped"].alias("n_dropped"),
-        F.sha2(found["kept_text"], 256).alias("kept_sha256"))
+        F.sha2(found["kept_text"], 256).alias("kept_sha256"), F.array_join(runs, ",").alias("keep"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -120,8 +125,15 @@ keyed AS (
 firsts AS (
   SELECT key, min(doc_id) AS first_id FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) <> max(doc_id)),
 judged AS (
-  SELECT k.doc_id, k.pos, k.line, f.key IS NOT NULL AND k.doc_id <> f.first_id AS lost FROM keyed k LEFT JOIN firsts f USING (key))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+  SELECT k.doc_id, k.pos, k.line, f.key IS NOT NULL AND k.doc_id <> f.first_id AS lost FROM keyed k LEFT JOIN firsts f USING (key)),
+islands AS (
+  SELECT doc_id, min(pos) AS start, count(*) AS len FROM (
+    SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM judged WHERE NOT lost)
+  GROUP BY doc_id, island),
+bitmaps AS (SELECT doc_id, string_agg(start || ':' || len, ',' ORDER BY start) AS keep FROM islands GROUP BY doc_id),
+told AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+  FROM judged GROUP BY doc_id)
+SELECT t.*, coalesce(b.keep, '') AS keep FROM told t LEFT JOIN bitmaps b USING (doc_id)
 """
