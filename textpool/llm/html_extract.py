@@ -259,7 +259,14 @@ def judge(tree: Tree, rows: np.ndarray) -> np.ndarray:
     if len(tree) == 1:
         return np.full(len(rows), tree[0])
     at, threshold, left, right = tree
-    return np.where(rows[:, at] <= threshold, judge(left, rows), judge(right, rows))
+    goes = rows[:, at] <= threshold
+    if goes.all():
+        return judge(left, rows)
+    if not goes.any():
+        return judge(right, rows)
+    out = np.empty(len(rows), bool)
+    out[goes], out[~goes] = judge(left, rows[goes]), judge(right, rows[~goes])
+    return out
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
