@@ -1,33 +1,40 @@
-"""Personal data: fixed patterns for seeds, bootstrapped contexts for identifiers that no pattern knows.
-
-The seeds of a whole text are found by four rules. Tokens that look like
-identifiers (they hold a digit or @) stand in lexical contexts; contexts and
-tokens form a graph, scored round by round: a context is as good as the share
-of known tokens in it, a token as good as its contexts. Unknown tokens in
-contexts of high confidence become spans of kind ``id``.
+"""Personal data: fixed patterns for seeds, bootstrapped patterns for identifiers that no rule knows.
+
+The base spans of a whole text are found by four rules. Tokens that look like
+identifiers (they hold a digit or @) stand in lexical patterns; patterns and
+tokens form a graph, scored round by round: a pattern is as good as the share
+of known tokens in it, a token as good as its patterns. Seeds are the base
+spans and tokens that look like keys (``looks_like_key``). Tokens accepted in
+a round support patterns in the next, until nothing new is accepted. Tokens in
+patterns of high confidence, base spans apart, become spans of kind ``id``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpool.llm.common import materialise
+from textpool.llm.common import SPACES, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 FOUND = "id"
-ROUNDS = 3
-#: Added to a context's number of tokens, so that few tokens cannot make it sure.
+#: Added to a pattern's number of tokens, so that few tokens cannot make it sure.
 PRIOR = 1.5
-#: A context needs this score and so many distinct known tokens.
+#: A pattern needs this score and so many distinct known tokens.
 SURE, SUPPORT = 0.6, 3
-#: Code points beside a token that its context words come from.
+#: Code points beside a token that its pattern words come from.
 NEAR = 80
+#: Beginnings of keys in published formats (fixed values).
+KEY_PREFIXES = ("AKIA", "AIza", "ghp_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "eyJ")
+#: Without such a beginning, a key has so many letters and digits, mixed.
+KEY_LENGTH = 32
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Digits are taken whole and never given back, so a search stays linear in the text.
@@ -37,6 +44,12 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Punctuation at the ends of a word.
+_EDGES = string.punctuation + "«»“”„‘’…¿¡"
+_KEY = re.compile(r"[A-Za-z0-9+/_-]+")
+_HEX = re.compile(r"[0-9A-Fa-f]+")
+_ASSIGNED = re.compile(r"[A-Za-z_-]+[=:][\"'(\[<]*(?=[^/])")
+_LABEL = re.compile(r"([^\W\d_](?:[\w.-]*[^\W_])?)[\"')\]]*\s*[=:#]+>?\s*[\"'(\[<]*$")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -84,7 +97,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def identifier_tokens(text: str) -> list[tuple[int, int]]:
-    """Tokens between white space that hold a digit or @, without punctuation at their ends."""
+    """Tokens between white space that hold a digit or @, without punctuation at their ends or a name and mark (``key=``) before."""
     out, end = [], 0
     m = _MARK.search(text)
     while m:
@@ -98,19 +111,65 @@ def identifier_tokens(text: str) -> list[tuple[int, int]]:
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
+        named = _ASSIGNED.match(text, a, b)
+        if named and _MARK.search(text, named.end(), b):
+            a = named.end()
         if b - a >= 4:
             out.append((a, b))
         m = _MARK.search(text, end)
     return out
 
 
+def looks_like_key(token: str) -> bool:
+    """A key in a published format, or a long run that mixes letters and digits as random keys do."""
+    if not _KEY.fullmatch(token):
+        return False
+    if len(token) >= 16 and token.startswith(KEY_PREFIXES):
+        return True
+    kinds = [c.isdigit() for c in token if c.isalnum()]
+    return len(kinds) >= KEY_LENGTH and len(set(token.lower())) >= 10 and 8 * sum(x != y for x, y in itertools.pairwise(kinds)) >= len(kinds)
+
+
+def shape(token: str) -> str:
+    """The runs of character classes and their lengths; of many runs, the classes and the token's length."""
+    if len(token) >= 16 and _HEX.fullmatch(token):
+        return f"hex{len(token)}"
+    kinds = ["0" if c.isdigit() else "a" if c.isalpha() else c for c in token]
+    runs = [(k, len(list(g))) for k, g in itertools.groupby(kinds)]
+    if len(runs) <= 6:
+        return "".join(f"{k}{n}" if k in "0a" else k for k, n in runs)
+    return "".join(sorted(set(kinds))) + str(len(token))
+
+
+def _words(piece: str) -> list[str]:
+    """Lower-cased words with letters and without a digit or @; other tokens between white space are passed over."""
+    return [w for t in re.split(_SPACE, piece.lower()) if not _MARK.search(t) and any(c.isalpha() for c in t) and (w := t.strip(_EDGES))]
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a token: the two words before it; the word before and the word after."""
-    left = [w for w in re.split(_SPACE, text[max(0, start - NEAR):start].lower()) if w]
-    right = [w for w in re.split(_SPACE, text[end:end + NEAR].lower()) if any(c.isalpha() for c in w)]
+    """Patterns of a token.
+
+    The two words before it; the word before and the word after; the name
+    before a mark (``name = _``); the word before and the token's shape.
+    Words come from ``NEAR`` code points on each side; a word that this cuts
+    is passed over.
+    """
+    low, high = max(0, start - NEAR), min(len(text), end + NEAR)
+    before, after = text[low:start], text[end:high]
+    if low and not _SPACE.match(text[low - 1]):
+        cut = _SPACE.search(before)
+        before = before[cut.end():] if cut else ""
+    if high < len(text) and not _SPACE.match(text[high]):
+        after = after[:max(after.rfind(c) for c in SPACES) + 1]
+    left, right = _words(before), _words(after)
     out = [" ".join(left[-2:]) + " _"] if len(left) > 1 else []
     if left and right:
         out.append(left[-1] + " _ " + right[0])
+    label = _LABEL.search(before)
+    if label:
+        out.append(label[1].lower() + " = _")
+    if left:
+        out.append(left[-1] + " _ " + shape(text[start:end]) + " .")
     return out
 
 
@@ -118,63 +177,86 @@ def _instance(token: str) -> str:
     return token.lower() if len(token) <= 64 else hashlib.md5(token.lower().encode()).hexdigest()
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
-    token = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("inst", pa.string()), ("seed", pa.bool_()), ("ctx", pa.list_(pa.string()))]))
+    token = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("inst", pa.string()), ("base", pa.bool_()), ("seed", pa.bool_()), ("ctx", pa.list_(pa.string()))]))
     for batch in batches:
         spans, tokens = [], []
         for text in batch.column(2).to_pylist():
             text = text or ""
             base = base_spans(text) if "@" in text or _MARK.search(text) else []
             spans.append([{"k": KINDS.index(k), "s": s, "e": e} for k, s, e in base])
-            own = []
+            own, ranges, at = [], _merged([(s, e) for _, s, e in base]), 0
             for s, e in identifier_tokens(text):
-                seed = any(a < e and s < b for _, a, b in base)
-                own.append({"s": s, "e": e, "inst": _instance(text[s:e]), "seed": seed, "ctx": contexts(text, s, e)})
+                while at < len(ranges) and ranges[at][1] <= s:
+                    at += 1
+                fixed = at < len(ranges) and ranges[at][0] < e
+                own.append({"s": s, "e": e, "inst": _instance(text[s:e]), "base": fixed, "seed": fixed or looks_like_key(text[s:e]),
+                            "ctx": contexts(text, s, e)})
             tokens.append(own)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(tokens, token)],
                                          ["doc_id", "version", "base", "tokens"])
 
 
 _SCAN_SCHEMA = ("doc_id long, version long, base array<struct<k:int,s:int,e:int>>, "
-                "tokens array<struct<s:int,e:int,inst:string,seed:boolean,ctx:array<string>>>")
+                "tokens array<struct<s:int,e:int,inst:string,base:boolean,seed:boolean,ctx:array<string>>>")
 
 
-def sure_contexts(spark: SparkSession, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(ctx, ctx_score) of the contexts of high confidence in ``edges(ctx, inst, seed)``, one row per pair.
+def sure_contexts(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(ctx, ctx_score) of the patterns of high confidence in ``edges(ctx, inst, seed)``, one row per pair.
 
-    Each round is two joins and aggregates on the graph. A seed keeps the
-    score 1. A context's score is the sum of its tokens' scores over their
-    number plus ``PRIOR``; a token's is the noisy-or of its sure contexts.
+    A seed has the score 1. A pattern's score is the sum of its known tokens'
+    scores over its number of tokens plus ``PRIOR``; it is sure from ``SURE``
+    on, with ``SUPPORT`` known tokens. A token of sure patterns is known from
+    the next round on, its score the noisy-or of theirs. Scores only grow, so
+    no pattern or token is lost again; rounds end when none is added. A round
+    is two joins and aggregates on the graph, folded before they shuffle.
     """
-    sizes = edges.groupBy("ctx").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("seed"), 1)).alias("known"))
-    # a context without a known token can never become sure through one round; support is asked of every context
-    graph = materialise(spark, edges.join(sizes.filter(F.col("known") >= SUPPORT), "ctx"), "pii-graph")
-    scored = graph.withColumn("score", F.col("seed").cast("double"))
-    strength = F.sum("score") / (F.first("n") + PRIOR)
-    for _ in range(rounds - 1):
-        good = scored.groupBy("ctx").agg(strength.alias("ctx_score"))
-        told = graph.join(good, "ctx").groupBy("inst").agg(
-            (1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("ctx_score"), F.lit(0.999)))))).alias("told"))
-        scored = graph.join(told, "inst").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("told")))
-    return scored.groupBy("ctx").agg(strength.alias("ctx_score")).filter(F.col("ctx_score") >= SURE)
+    # a pattern with fewer tokens than SUPPORT is never sure; most patterns of prose are such
+    enough = edges.groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SUPPORT).drop("n")
+    graph = materialise(spark, edges.join(enough, "ctx"), "pii-graph")
+    unknown = graph.filter("NOT seed").drop("seed")
+    scored, before = graph.withColumn("score", F.when(F.col("seed"), 1.0)), None
+    while True:
+        good = scored.groupBy("ctx").agg(
+            F.round(F.sum("score") / (F.count(F.lit(1)) + F.lit(PRIOR)), 9).alias("ctx_score"), F.count("score").alias("known"))
+        sure = materialise(spark, good.filter((F.col("ctx_score") >= SURE) & (F.col("known") >= SUPPORT)).drop("known"), "pii-contexts")
+        told = materialise(spark, unknown.join(sure, "ctx").groupBy("inst").agg(
+            F.round(1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least(F.col("ctx_score"), F.lit(0.999))))), 9).alias("told")), "pii-tokens")
+        now = (sure.count(), told.count())
+        if now == before or not now[1]:
+            return sure
+        before = now
+        scored = graph.join(told, "inst", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("told")))
 
 
 def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, base and found: arrays of spans ``(k, s, e)`` of every row of ``docs(doc_id, text)``.
 
     ``k`` indexes KINDS; spans of ``found`` are the method's, none overlaps a
-    base span. Offsets are code points, ends exclusive. A null text is empty.
+    base span. A key is a seed but no span unless a pattern is sure of it;
+    identifiers without a digit or @ are not looked for. Offsets are code points, ends exclusive. A null text is empty.
     Repeated rows get equal spans; null ids are kept. An empty table gives an
     empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
     scanned = materialise(spark, rows.mapInArrow(_scan, _SCAN_SCHEMA), "pii-scan")
     tokens = scanned.filter(F.size("tokens") > 0).select("doc_id", "version", F.explode("tokens").alias("t")).select(
-        "doc_id", "version", "t.s", "t.e", "t.inst", "t.seed", F.explode("t.ctx").alias("ctx"))
+        "doc_id", "version", "t.s", "t.e", "t.inst", "t.base", "t.seed", F.explode("t.ctx").alias("ctx"))
     edges = tokens.groupBy("ctx", "inst").agg(F.max("seed").alias("seed"))
-    sure = materialise(spark, sure_contexts(spark, edges), "pii-contexts")
-    found = (tokens.filter("NOT seed").join(sure, "ctx").groupBy("doc_id", "version")
+    sure = sure_contexts(spark, edges)
+    found = (tokens.filter("NOT base").join(sure, "ctx").groupBy("doc_id", "version")
              .agg(F.sort_array(F.collect_set(F.struct(F.lit(len(KINDS)).alias("k"), "s", "e"))).alias("found"))
              .withColumnRenamed("doc_id", "f_id").withColumnRenamed("version", "f_version"))
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("version") == F.col("f_version"))
