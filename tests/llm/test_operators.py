@@ -227,6 +227,74 @@ def test_inconsistent_values_break_an_alignment(spark):
     assert [r.doc_id for r in decontam.contamination_digest(spark, docs, bench).collect()] == [1]
 
 
+def brute_contaminated(spark, texts, items, min_share):
+    """(document, item, windows, share, first token) by a loop over every document and item."""
+    def of(rows, sizes, keep):
+        frame = spark.createDataFrame(rows, "id long, text string")
+        out = {}
+        for r in decontam._windows_of(frame, sizes, None, keep).collect():
+            out.setdefault(r.id, []).append(r)
+        return out
+
+    own = of(list(enumerate(items)), [decontam.WINDOW], True)
+    short = {r.n_tokens for rows in own.values() for r in rows if r.n_tokens < decontam.WINDOW}
+    docs = of(list(enumerate(texts)), [decontam.WINDOW, *sorted(short, reverse=True)], False)
+    best = {}
+    for d, seen in docs.items():
+        for i, item in own.items():
+            for reading in (1, 2):
+                for item_reading in (1, 2):
+                    mine = [w for w in item if w.readings & item_reading]
+                    lines = {}
+                    for w in mine:
+                        for v in seen:
+                            if v.hash == w.hash and v.readings & reading:
+                                lines.setdefault(v.pos - w.pos, []).append((w, v))
+                    for met in lines.values():
+                        values = {(a, b) for w, v in met for a, b in zip(w.vals, v.vals, strict=True)}
+                        agrees = len({a for a, _ in values}) == len(values)
+                        full, exact = {w.pos for w, _ in met}, {w.pos for w, _ in met if w.exact}
+                        templates = max(1, sum(not w.exact for w in mine))
+                        if agrees:
+                            n, share = len(full), max(len(full) / len(mine), (len(full) - len(exact)) / templates)
+                        else:
+                            n, share = len(exact), len(exact) / len(mine)
+                        if n and share >= min_share:
+                            first = min(v.pos for w, v in met if agrees or w.exact)
+                            old = best.get((d, i), (0, 0.0, first))
+                            best[d, i] = (max(n, old[0]), max(share, old[1]), min(first, old[2]))
+    return {(d, i, n, round(share, 9), first) for (d, i), (n, share, first) in best.items()}
+
+
+def test_rare_windows_lose_no_pair(spark):
+    rng = random.Random(12)
+    shared = "Read the whole question with care and then give one short answer in your own plain words"
+    items = [f"{shared}: {prose(rng, n)} {rng.randrange(99)} kg." for n in (2, 5, 9, 20, 40) for _ in range(4)]
+    items += ["Yes", "two words", f"1 2 3 4 5 6 {prose(rng, 8)} 7 8 9 10 11 12 13 14 15 16"]
+    texts = [f"{prose(rng, 15)}. {it} {prose(rng, 10)}" for it in items]
+    texts += [f"{prose(rng, 9)} {shared}: {prose(rng, 9)}", f"{items[9]} {items[15]} {items[9]}", f"{prose(rng, 30)} yes", prose(rng, 40)]
+    texts += [" ".join(it.split()[5:14] + it.split()[-9:]) for it in items[8:20]] + ["", " "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for min_share in (0.1, 0.9):
+        ids = docs.select("doc_id", decontam.doc_row_key().alias("id"))
+        got = decontam.contaminated(spark, docs, bench, min_share=min_share).join(ids, "id")
+        got = {(r.doc_id, r.item_id, r.n_windows, round(r.share, 9), r.first_token) for r in got.collect()}
+        assert got == brute_contaminated(spark, texts, items, min_share)
+        assert len(got) > 10
+
+
+def test_items_without_an_id_and_repeated_rows(spark):
+    rng = random.Random(13)
+    items = [prose(rng, 25), prose(rng, 25)]
+    bench = spark.createDataFrame([(None, items[0]), (None, items[0]), (7, items[1]), (7, items[1]), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{prose(rng, 9)} {items[0]}"), (None, items[1]), (None, items[1]), (3, prose(rng, 30)), (4, None)],
+                                 "doc_id long, text string")
+    got = sorted(decontam.contamination_digest(spark, docs, bench).collect(), key=repr)
+    assert [(r.doc_id, r.item_id, r.share) for r in got] == [(1, None, 1.0), (None, 7, 1.0)]
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(spark, docs, bench).collect()) == [3, 4]
+
+
 def test_items_of_few_plain_words_are_found_verbatim(spark):
     items = ["What comes next: 2, 4, 8, 16, 32, 64, 128, 256?", "7 8 9 10", "Compute 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 of all these in the given order",
              "17 kg 18 kg 19 kg 20 kg 21 kg 22 kg 23 kg"]

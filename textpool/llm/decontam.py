@@ -19,7 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textpool.llm.common import free_name, materialise, slabs
@@ -213,53 +213,82 @@ def _windows_of(rows: DataFrame, sizes: list[int], wanted, whole: bool = False)
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
                  min_share: float = MIN_SHARE) -> DataFrame:
-    """(id, item_id, n_windows, share, first_token): the documents, by row key, that hold an item's template.
-
-    ``id`` is ``doc_row_key`` of the document's row. A window of a document
-    matches one of an item with the same template; matches at the same offset
-    form an alignment, whose placeholder values must agree; it is judged for
-    each reading of the document with each of the item. An alignment
-    counts when it covers ``min_share`` of the item's windows, or of its
-    templates alone. Exact windows hold no placeholder values; those of an
-    alignment whose values disagree still count by themselves. Items shorter
-    than a window match documents by windows of their own length. Null and
-    empty texts match nothing, repeated rows are judged alike, empty tables
-    give an empty result.
+    """(id, item_key, item_id, n_windows, share, first_token): the documents, by row key, that hold an item's template.
+
+    ``id`` is ``doc_row_key`` of the document's row, ``item_key`` that of the
+    benchmark's; items without an ``item_id`` are searched for like others,
+    repeated items count once. A window of a document matches one of an item
+    with the same template; matches at the same offset form an alignment,
+    whose placeholder values must agree; it is judged for each reading of the
+    document with each of the item. An alignment counts when it covers
+    ``min_share`` of the item's windows, or of its templates alone. Exact
+    windows hold no placeholder values; those of an alignment whose values
+    disagree still count by themselves. Items shorter than a window match
+    documents by windows of their own length, so an item of one word is found
+    wherever that word stands. Null and empty texts match nothing, repeated
+    rows are judged alike, empty tables give an empty result.
+
+    An alignment that counts holds one of any ``total - needed + 1`` windows of
+    its item, so documents meet items by the windows that fewest items share,
+    and only such pairs by all windows: a passage that many items share does
+    not multiply documents by items.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").filter(F.col("item_id").isNotNull())
-    items = items.withColumn("text", F.coalesce("text", F.lit("")))
-    own = materialise(spark, _windows_of(items, [size], None, True), "benchmark-windows")
+    items = benchmark.select(doc_row_key("item_id").alias("id"), F.col("item_id").cast("long").alias("item_id"),
+                             F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["id"])
+    own = materialise(spark, _windows_of(items.select("id", "text"), [size], None, True), "benchmark-windows")
     lengths = [r[0] for r in own.filter(F.col("n_tokens") < size).select("n_tokens").distinct().collect()]  # fewer than ``size``
     rows = docs.select(doc_row_key().alias("id"), "text").filter(F.col("text").isNotNull())
-    n = own.select("hash").distinct().count()
+    hashes = own.select("hash").distinct()
+    n = hashes.count()
     wanted = None
     if n <= MOST_SHIPPED:
-        hashes = own.select("hash").distinct().toArrow()["hash"].to_numpy().view(np.uint64)
-        wanted = spark.sparkContext.broadcast(np.sort(hashes))
+        wanted = spark.sparkContext.broadcast(np.sort(hashes.toArrow()["hash"].to_numpy().view(np.uint64)))
     seen = _windows_of(rows, [size, *sorted(lengths, reverse=True)], wanted).select("id", "pos", "hash", "vals", "readings")
+    seen = materialise(spark, seen if wanted is not None else seen.join(hashes, "hash", "left_semi"), "document-windows")
     # of each reading of an item: its windows, and those that are templates; a window is in a reading once
-    totals = own.select(F.col("id").alias("item_id"), "exact", F.explode(_readings("readings")).alias("item_reading")).groupBy(
-        "item_id", "item_reading").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(~F.col("exact"), 1)).alias("templates"))
-    item = own.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("vals").alias("item_vals"), "exact",
+    read = own.select(F.col("id").alias("item_key"), "pos", "hash", "exact", F.explode(_readings("readings")).alias("item_reading"))
+    totals = read.groupBy("item_key", "item_reading").agg(
+        F.count(F.lit(1)).alias("total"), F.count(F.when(~F.col("exact"), 1)).alias("templates"))
+    item = own.select(F.col("id").alias("item_key"), F.col("pos").alias("item_pos"), "hash", F.col("vals").alias("item_vals"), "exact",
                       F.col("readings").alias("item_readings"))
-    seen = materialise(spark, seen, "document-windows") if wanted is not None else seen
-    met = seen.join(item, "hash").withColumn("offset", F.col("pos") - F.col("item_pos"))
+    pairs = materialise(spark, seen.select("id", "hash").join(_rare_windows(read, totals, min_share), "hash")
+                        .select("id", "item_key").distinct(), "document-items")
+    met = pairs.join(item, "item_key").join(seen, ["id", "hash"]).withColumn("offset", F.col("pos") - F.col("item_pos"))
     # pairs (item value, document value) of each placeholder; one item value must always meet the same document value
     met = met.withColumn("pairs", F.arrays_zip(F.col("item_vals").alias("a"), F.col("vals").alias("b")).cast("array<struct<a:bigint,b:bigint>>"))
     met = met.withColumn("reading", F.explode(_readings("readings"))).withColumn("item_reading", F.explode(_readings("item_readings")))
-    aligned = met.groupBy("id", "item_id", "offset", "reading", "item_reading").agg(
+    aligned = met.groupBy("id", "item_key", "offset", "reading", "item_reading").agg(
         F.size(F.collect_set("item_pos")).alias("n_all"), F.size(F.collect_set(F.when(F.col("exact"), F.col("item_pos")))).alias("n_exact"),
         F.min("pos").alias("first_all"), F.min(F.when(F.col("exact"), F.col("pos"))).alias("first_exact"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     agrees = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
     of_all = F.greatest(F.col("n_all") / F.col("total"), (F.col("n_all") - F.col("n_exact")) / F.greatest("templates", F.lit(1)))
-    judged = aligned.withColumn("agrees", agrees).join(totals, ["item_id", "item_reading"]).select(
-        "id", "item_id", F.when(F.col("agrees"), F.col("n_all")).otherwise(F.col("n_exact")).cast("long").alias("n_windows"),
+    judged = aligned.withColumn("agrees", agrees).join(totals, ["item_key", "item_reading"]).select(
+        "id", "item_key", F.when(F.col("agrees"), F.col("n_all")).otherwise(F.col("n_exact")).cast("long").alias("n_windows"),
         F.when(F.col("agrees"), of_all).otherwise(F.col("n_exact") / F.col("total")).alias("share"),
         F.when(F.col("agrees"), F.col("first_all")).otherwise(F.col("first_exact")).alias("first_token"))
-    best = (judged.filter((F.col("n_windows") > 0) & (F.col("share") >= min_share)).groupBy("id", "item_id")
+    best = (judged.filter((F.col("n_windows") > 0) & (F.col("share") >= min_share)).groupBy("id", "item_key")
             .agg(F.max("n_windows").alias("n_windows"), F.max("share").alias("share"), F.min("first_token").alias("first_token")))
-    return best
+    return best.join(items.select(F.col("id").alias("item_key"), "item_id"), "item_key").select(
+        "id", "item_key", "item_id", "n_windows", "share", "first_token")
+
+
+def _rare_windows(read: DataFrame, totals: DataFrame, min_share: float) -> DataFrame:
+    """(hash, item_key): of each reading, the windows in fewest items, so many that every alignment that counts holds one.
+
+    That is asked of all windows and of the templates alone.
+    """
+    held = read.groupBy("hash").agg(F.countDistinct("item_key").alias("n_items"))
+    ordered = read.join(held, "hash").join(totals, ["item_key", "item_reading"])
+
+    def enough(total: str):
+        return F.col(total) - F.ceil(F.col(total) * F.lit(min_share) - F.lit(1e-9)) + 1
+
+    by_reading = Window.partitionBy("item_key", "item_reading").orderBy("n_items", "hash", "pos")
+    by_kind = Window.partitionBy("item_key", "item_reading", "exact").orderBy("n_items", "hash", "pos")
+    ordered = ordered.withColumn("place", F.row_number().over(by_reading)).withColumn("kind_place", F.row_number().over(by_kind))
+    first = (F.col("place") <= enough("total")) | (~F.col("exact") & (F.col("kind_place") <= enough("templates")))
+    return ordered.filter(first).select("hash", "item_key").distinct()
 
 
 def _readings(bits: str):
@@ -267,13 +296,16 @@ def _readings(bits: str):
     return F.when(F.col(bits) == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col(bits)))
 
 
-def doc_row_key():
-    """Key of a document's row: equal for repeated rows only."""
-    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
+def doc_row_key(id_column: str = "doc_id"):
+    """Key of a document's or item's row: equal for repeated rows only."""
+    return F.xxhash64(F.col(id_column), F.coalesce(F.col("text"), F.lit("")))
 
 
 def contamination_digest(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows, share, first_token of every contaminated document and item: what the registered query returns."""
+    """doc_id, item_id, n_windows, share, first_token of every contaminated document and item: what the registered query returns.
+
+    ``item_id`` is null for an item without one; equal rows are returned once.
+    """
     own = docs.select("doc_id", "text")
     hits = materialise(spark, contaminated(spark, own, benchmark), "contaminated")
     ids = own.select("doc_id", doc_row_key().alias("id"))
