@@ -105,6 +105,22 @@ def test_mixed_documents_hold_what_the_plan_takes(spark, odd):
     assert mixing.mixing_digest(spark, empty(odd)).count() == 0
 
 
+def test_repeated_rows_of_one_key_are_folded_before_the_sort(spark):
+    rows = [(5, "one two three", "en", "a", 13)] * 4000 + [(None, None, "en", "a", 0)] * 4000
+    rows += [(i, "w " * (i % 9), "en", "a" if i % 2 else "b", 2 * (i % 9)) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, DOC)
+    plan, sources = mixing.mix_plan(spark, docs)
+    got = plan.collect()
+    assert len(got) == len(rows)
+    target = {r.source: round(r.target) for r in sources.collect()}
+    for source in "ab":
+        words = sum(r.taken for r in got if r.source == source)
+        assert target[source] - 4000 <= words <= target[source]  # rows of one key share the words that fall to them, rounded down
+    assert len({(r.start, r.taken) for r in got if r.doc_id == 5}) == 1
+    mixed = mixing.mix_documents(spark, docs).filter("source = 'b'").collect()
+    assert all(r.n_chars == len(r.text) for r in mixed)
+
+
 # 2 urls
 
 def test_rules_and_hosts(spark):

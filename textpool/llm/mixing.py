@@ -83,16 +83,19 @@ def mix_plan(spark: SparkSession, docs: DataFrame, seed: int = 1, cycle: int = 3
                .withColumn("n_ranges", F.ceil(F.sqrt("n_rows"))))
     joined = rows.join(sources.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "n_ranges"),
                        F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    ranged = joined.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << KEY_BITS)) * F.col("n_ranges")).cast("long"))
+    # equal keys are one row before they are sorted, so any number of repeated rows weighs nothing in a range
+    place = F.floor(F.col("key") / F.lit(float(1 << KEY_BITS)) * F.col("n_ranges")).cast("long")
+    keys = joined.withColumn("range", place).groupBy("source", "range", "key").agg(F.sum("size").alias("group_size"))
     along = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    offsets = (keys.groupBy("source", "range").agg(F.sum("group_size").alias("range_size"))
                .select(F.col("source").alias("s"), F.col("range").alias("r"),
                        F.coalesce(F.sum("range_size").over(along), F.lit(0)).alias("offset")))
-    inside = Window.partitionBy("source", "range").orderBy("key")
-    before = F.coalesce(F.sum("size").over(inside.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = (ranged.withColumn("before", before).withColumn("group_size", F.sum("size").over(inside.rangeBetween(0, 0)))
+    inside = Window.partitionBy("source", "range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (keys.withColumn("before", F.coalesce(F.sum("group_size").over(inside), F.lit(0)))
               .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-              .withColumn("start", F.col("offset") + F.col("before")))
+              .select(F.col("source").alias("of_source"), F.col("key").alias("of_key"), "group_size",
+                      (F.col("offset") + F.col("before")).alias("start")))
+    placed = joined.join(starts, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("key") == F.col("of_key"))).drop("of_source", "of_key")
     return placed.withColumn("taken", _taken()), sources
 
 
@@ -110,7 +113,8 @@ def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = 1, cycle: in
 
     The text never moves: the key at which a source's budget ends is found on
     sizes alone, and each row compares its own key with it. The copy that the
-    budget cuts holds the text up to its last whole word taken. New columns
+    budget cuts holds the text up to its last whole word taken; ``n_chars``, if
+    there is such a column, is that of the cut text. New columns
     whose names clash get an underscore.
     """
     placed, sources = mix_plan(spark, docs, seed, cycle, most)
@@ -138,7 +142,10 @@ def mix_documents(spark: SparkSession, docs: DataFrame, seed: int = 1, cycle: in
     head = F.regexp_extract_all(whole, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     text = F.when(F.col("m_words") < F.col("m_size"),
                   F.array_join(F.slice(head, F.lit(1), F.col("m_words").cast("int")), "")).otherwise(whole)
-    return out.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns],
+    kept = {"text": text}
+    if "n_chars" in docs.columns:
+        kept["n_chars"] = F.when(F.col("m_words") < F.col("m_size"), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[kept.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns],
                       F.col("m_epoch").alias(epoch), F.col("m_words").alias(words))
 
 
