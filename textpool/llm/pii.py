@@ -4,7 +4,8 @@ The base spans of a whole text are found by four rules. Tokens that look like
 identifiers (they hold a digit or @) stand in lexical patterns; patterns and
 tokens form a graph, scored round by round: a pattern is as good as the share
 of known tokens in it, a token as good as its patterns. Seeds are the base
-spans and tokens that look like keys (``looks_like_key``). Tokens accepted in
+spans and tokens that look like keys (``looks_like_key``); keys of published
+formats are spans of kind ``id`` wherever they stand. Tokens accepted in
 a round support patterns in the next, until nothing new is accepted. Tokens in
 patterns of high confidence, base spans apart, become spans of kind ``id``.
 """
@@ -31,9 +32,16 @@ PRIOR = 1.5
 SURE, SUPPORT = 0.6, 3
 #: Code points beside a token that its pattern words come from.
 NEAR = 80
-#: Beginnings of keys in published formats (fixed values).
-KEY_PREFIXES = ("AKIA", "AIza", "ghp_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "eyJ")
-#: Without such a beginning, a key has so many letters and digits, mixed.
+#: Published formats of keys (fixed values).
+KEY_FORMATS = (
+    r"AKIA[0-9A-Z]{16}",
+    r"AIza[0-9A-Za-z_-]{35}",
+    r"gh[pousr]_[0-9A-Za-z]{36}",
+    r"github_pat_[0-9A-Za-z_]{22,}",
+    r"glpat-[0-9A-Za-z_-]{20}",
+    r"xox[abps]-[0-9A-Za-z-]{10,}",
+)
+#: A key of no published format has so many letters and digits, mixed.
 KEY_LENGTH = 32
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -47,6 +55,7 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]")
 #: Punctuation at the ends of a word.
 _EDGES = string.punctuation + "«»“”„‘’…¿¡"
 _KEY = re.compile(r"[A-Za-z0-9+/_-]+")
+_PUBLISHED = re.compile("|".join(KEY_FORMATS))
 _HEX = re.compile(r"[0-9A-Fa-f]+")
 _ASSIGNED = re.compile(r"[A-Za-z_-]+[=:][\"'(\[<]*(?=[^/])")
 _LABEL = re.compile(r"([^\W\d_](?:[\w.-]*[^\W_])?)[\"')\]]*\s*[=:#]+>?\s*[\"'(\[<]*$")
@@ -124,7 +133,7 @@ def looks_like_key(token: str) -> bool:
     """A key in a published format, or a long run that mixes letters and digits as random keys do."""
     if not _KEY.fullmatch(token):
         return False
-    if len(token) >= 16 and token.startswith(KEY_PREFIXES):
+    if _PUBLISHED.fullmatch(token):
         return True
     kinds = [c.isdigit() for c in token if c.isalnum()]
     return len(kinds) >= KEY_LENGTH and len(set(token.lower())) >= 10 and 8 * sum(x != y for x, y in itertools.pairwise(kinds)) >= len(kinds)
@@ -190,7 +199,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())]))
-    token = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("inst", pa.string()), ("base", pa.bool_()), ("seed", pa.bool_()), ("ctx", pa.list_(pa.string()))]))
+    token = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("inst", pa.string()), ("base", pa.bool_()), ("seed", pa.bool_()), ("known", pa.bool_()), ("ctx", pa.list_(pa.string()))]))
     for batch in batches:
         spans, tokens = [], []
         for text in batch.column(2).to_pylist():
@@ -203,14 +212,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at += 1
                 fixed = at < len(ranges) and ranges[at][0] < e
                 own.append({"s": s, "e": e, "inst": _instance(text[s:e]), "base": fixed, "seed": fixed or looks_like_key(text[s:e]),
-                            "ctx": contexts(text, s, e)})
+                            "known": not fixed and _PUBLISHED.fullmatch(text, s, e) is not None, "ctx": contexts(text, s, e)})
             tokens.append(own)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(tokens, token)],
                                          ["doc_id", "version", "base", "tokens"])
 
 
 _SCAN_SCHEMA = ("doc_id long, version long, base array<struct<k:int,s:int,e:int>>, "
-                "tokens array<struct<s:int,e:int,inst:string,base:boolean,seed:boolean,ctx:array<string>>>")
+                "tokens array<struct<s:int,e:int,inst:string,base:boolean,seed:boolean,known:boolean,ctx:array<string>>>")
 
 
 def sure_contexts(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -245,8 +254,9 @@ def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, base and found: arrays of spans ``(k, s, e)`` of every row of ``docs(doc_id, text)``.
 
     ``k`` indexes KINDS; spans of ``found`` are the method's, none overlaps a
-    base span. A key is a seed but no span unless a pattern is sure of it;
-    identifiers without a digit or @ are not looked for. Offsets are code points, ends exclusive. A null text is empty.
+    base span. A key of a published format is a seed and a span; another that
+    looks like a key is a seed, but a span only where a pattern is sure of it.
+    Identifiers without a digit or @ are not looked for. Offsets are code points, ends exclusive. A null text is empty.
     Repeated rows get equal spans; null ids are kept. An empty table gives an
     empty result.
     """
@@ -260,8 +270,11 @@ def find_personal_data(spark: SparkSession, docs: DataFrame) -> DataFrame:
              .agg(F.sort_array(F.collect_set(F.struct(F.lit(len(KINDS)).alias("k"), "s", "e"))).alias("found"))
              .withColumnRenamed("doc_id", "f_id").withColumnRenamed("version", "f_version"))
     same = F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("version") == F.col("f_version"))
-    return scanned.join(found, same, "left").select(
-        "doc_id", "base", F.coalesce("found", F.array().cast("array<struct<k:int,s:int,e:int>>")).alias("found"))
+    spans = "array<struct<k:int,s:int,e:int>>"
+    keys = F.transform(F.filter("tokens", lambda t: t["known"]), lambda t: F.struct(F.lit(len(KINDS)).alias("k"), t["s"].alias("s"), t["e"].alias("e")))
+    rows = scanned.select("doc_id", "version", "base", keys.cast(spans).alias("keys"))
+    return rows.join(found, same, "left").select(
+        "doc_id", "base", F.array_sort(F.array_union("keys", F.coalesce(F.col("found").cast(spans), F.array().cast(spans)))).alias("found"))
 
 
 def pii_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
