@@ -2,8 +2,10 @@
 
 One model per learned language, orders 1 to 4 over lower-cased letters with
 one boundary symbol for everything else. Four symbols of 16 bits make one
-64-bit key, so an n-gram table is a sorted array of keys and a row of log
-probabilities per language. The language with the lowest cross-entropy per
+64-bit key, so an n-gram table is a sorted array of keys; each key lists the
+languages that hold it with their log probabilities, and no others, so the
+tables grow with what the languages hold, not with keys times languages.
+The language with the lowest cross-entropy per
 symbol wins; texts no language explains well are rejected, by bounds that
 are calibrated on labelled texts outside the counted sample.
 """
@@ -15,8 +17,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from textpool.llm.common import materialise, slabs
 
@@ -30,6 +34,8 @@ CALIBRATE_ONE_IN = 5
 #: A text is rejected when its excess over the mean cross-entropy, times the root of its length
 #: (``LONG`` symbols at most), is above this multiple of the largest seen in calibration.
 REJECT_MARGIN, LONG = 1.5, 400
+#: Most (language, n-gram) counts that the driver takes and the tasks get (20 bytes each); beyond, ``fit`` refuses.
+MOST_COUNTS = 200_000_000
 UNDETERMINED = "und"
 SLAB = 4_000_000
 
@@ -67,13 +73,33 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
 
 
+def _table(per: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted keys, where each key's entries begin, language of each entry, its value) of the (keys, values) of each language."""
+    keys = np.concatenate([k for k, _ in per])
+    order = np.argsort(keys, kind="stable")
+    lang = np.repeat(np.arange(len(per), dtype=np.int32), [len(k) for k, _ in per])[order]
+    value = np.concatenate([v for _, v in per]).astype(np.float32)[order]
+    keys, first = np.unique(keys[order], return_index=True)
+    return keys, np.r_[first, len(lang)], lang, value
+
+
+def _entries(table: tuple, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``wanted``, language, value) of the entries of each wanted key."""
+    keys, first, lang, value = table
+    at, hit = _find(keys, wanted)
+    rows, at = np.flatnonzero(hit), at[hit]
+    n = first[at + 1] - first[at]
+    entry = np.repeat(first[at] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
+    return np.repeat(rows, n), lang[entry], value[entry]
+
+
 @dataclass
 class CharModels:
-    """Tables by order: sorted n-gram keys with log p per language, sorted contexts with log back-off weight."""
+    """Tables by order (see ``_table``): n-grams with log p, contexts with log back-off weight."""
 
     langs: list[str]
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    grams: dict[int, tuple] = field(default_factory=dict)
+    contexts: dict[int, tuple] = field(default_factory=dict)
     unseen: np.ndarray | None = None
     mean: np.ndarray | None = None
     bound: np.ndarray | None = None
@@ -82,20 +108,18 @@ class CharModels:
     def log_p(self, keys: np.ndarray) -> np.ndarray:
         """Natural log probability of each key's last symbol given the others, one column per language."""
         out = np.zeros((len(keys), len(self.langs)), np.float32)
-        todo = None
+        todo = np.ones(out.shape, bool)
         for n in range(ORDER, 0, -1):
-            at, hit = _find(self.grams[n][0], keys)
-            rows = np.flatnonzero(hit) if todo is None else todo[hit]
-            out[rows] += self.grams[n][1][at[hit]]
-            todo = np.flatnonzero(~hit) if todo is None else todo[~hit]
-            keys = keys[~hit]
-            if not len(todo):
-                break
+            rows, lang, value = _entries(self.grams[n], keys)
+            own = todo[rows, lang]
+            out[rows[own], lang[own]] += value[own]
+            todo[rows, lang] = False
             if n == 1:
-                out[todo] += self.unseen
+                out += np.where(todo, self.unseen, np.float32(0))
                 break
-            at, hit = _find(self.contexts[n][0], keys >> np.uint64(16))
-            out[todo[hit]] += self.contexts[n][1][at[hit]]
+            rows, lang, value = _entries(self.contexts[n], keys >> np.uint64(16))
+            own = todo[rows, lang]
+            out[rows[own], lang[own]] += value[own]
             keys = keys & np.uint64((1 << 16 * (n - 1)) - 1)
         return out
 
@@ -110,7 +134,10 @@ class CharModels:
             if not len(keys):
                 continue
             starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            total[a + doc[starts]] = -np.add.reduceat(self.log_p(keys), starts, axis=0, dtype=np.float64)
+            distinct, place = np.unique(keys, return_inverse=True)
+            of_distinct = self.log_p(distinct)
+            for i in range(len(self.langs)):
+                total[a + doc[starts], i] = -np.add.reduceat(np.ascontiguousarray(of_distinct[:, i])[place], starts, dtype=np.float64)
             count[a:b] = np.bincount(doc, minlength=b - a)
         return total / np.maximum(count, 1)[:, None], count
 
@@ -132,39 +159,31 @@ def estimate(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]])
     order has one discount, n1 / (n1 + 2 n2) of its counts of counts.
     """
     model = CharModels(langs)
-    per = {n: [] for n in range(1, ORDER + 1)}
-    for lang in langs:
-        keys, c = counts[lang]
-        per[ORDER].append((keys, c.astype(float)))
+    letters = len(np.unique(np.concatenate([counts[lang][0] & np.uint64(0xFFFF) for lang in langs])))
+    grams, contexts = ({n: [] for n in range(1, ORDER + 1)} for _ in range(2))
+    model.unseen = np.zeros(len(langs), np.float32)
+    for i, lang in enumerate(langs):
+        orders = {ORDER: (counts[lang][0], counts[lang][1].astype(float))}
         for n in range(ORDER - 1, 0, -1):
-            keys, c = np.unique(keys & np.uint64((1 << 16 * n) - 1), return_counts=True)
-            per[n].append((keys, c.astype(float)))
-    lower = None
-    for n in range(1, ORDER + 1):
-        grams = np.unique(np.concatenate([k for k, _ in per[n]]))
-        contexts = np.unique(grams >> np.uint64(16)) if n > 1 else np.zeros(1, np.uint64)
-        of_context = np.searchsorted(contexts, grams >> np.uint64(16))
-        p, back = np.zeros((len(grams), len(langs))), np.ones((len(contexts), len(langs)))
-        if n == 1:
-            below, model.unseen = np.full((len(grams), len(langs)), 1.0 / (len(grams) + 1)), np.zeros(len(langs))
-        else:
-            below = lower[1][np.searchsorted(lower[0], grams & np.uint64((1 << 16 * (n - 1)) - 1))]
-        for i, (keys, c) in enumerate(per[n]):
+            keys, c = np.unique(orders[n + 1][0] & np.uint64((1 << 16 * n) - 1), return_counts=True)
+            orders[n] = keys, c.astype(float)
+        lower = None
+        for n in range(1, ORDER + 1):
+            keys, c = orders[n]
             n1, n2 = (c == 1).sum(), (c == 2).sum()
             discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            at = np.searchsorted(grams, keys)
-            total = np.bincount(of_context[at], weights=c, minlength=len(contexts))
-            kinds = np.bincount(of_context[at], minlength=len(contexts))
-            seen = total > 0
-            back[seen, i] = discount * kinds[seen] / total[seen]
-            p[at, i] = np.maximum(c - discount, 0) / total[of_context[at]]
-        p += back[of_context] * below
-        if n == 1:
-            model.unseen = np.log(back[0] / (len(grams) + 1)).astype(np.float32)
-        else:
-            model.contexts[n] = contexts, np.log(back).astype(np.float32)
-        model.grams[n] = grams, np.log(p).astype(np.float32)
-        lower = grams, p
+            context, at = np.unique(keys >> np.uint64(16), return_inverse=True) if n > 1 else (np.zeros(1, np.uint64), np.zeros(len(keys), int))
+            total = np.bincount(at, weights=c)
+            back = discount * np.bincount(at) / total
+            below = 1.0 / (letters + 1) if n == 1 else lower[1][np.searchsorted(lower[0], keys & np.uint64((1 << 16 * (n - 1)) - 1))]
+            p = np.maximum(c - discount, 0) / total[at] + back[at] * below
+            grams[n].append((keys, np.log(p)))
+            contexts[n].append((context, np.log(back)))
+            if n == 1:
+                model.unseen[i] = np.log(back[0] / (letters + 1))
+            lower = keys, p
+    model.grams = {n: _table(grams[n]) for n in grams}
+    model.contexts = {n: _table(contexts[n]) for n in contexts if n > 1}
     return model
 
 
@@ -224,22 +243,30 @@ def fit(spark: SparkSession, docs: DataFrame, fit_rows: int = FIT_ROWS, fit_char
     """Models of all languages of ``docs(doc_id, text, lang)``; None when no row can be learned from.
 
     Counted on the executors; the driver gets the n-gram counts of the
-    bounded sample.
+    bounded sample, at most ``MOST_COUNTS`` (a ValueError beyond: take fewer
+    ``fit_chars``, or mend a ``lang`` column that holds no languages).
     """
+    def counts_of(rows: DataFrame) -> pa.Table:
+        counted = rows.select("lang", "text").mapInArrow(_count_grams, "lang string, key long, n long")
+        counted = materialise(spark, counted.groupBy("lang", "key").agg(F.sum("n").alias("n")), "language-counts")
+        if counted.count() > MOST_COUNTS:
+            raise ValueError(f"more than {MOST_COUNTS} (language, n-gram) counts")
+        return counted.toArrow()
+
     sample = training_sample(spark, docs, fit_rows, fit_chars)
-    counted = sample.filter("NOT calibrates").select("lang", "text").mapInArrow(_count_grams, "lang string, key long, n long")
-    table = counted.groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    table = counts_of(sample.filter("NOT calibrates"))
     if not table.num_rows:  # nothing to count in the first texts
         sample = sample.withColumn("calibrates", F.lit(True))
-        counted = sample.select("lang", "text").mapInArrow(_count_grams, "lang string, key long, n long")
-        table = counted.groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
+        table = counts_of(sample)
         if not table.num_rows:
             return None
-    of = np.array(table["lang"].to_pylist(), object)
-    keys, n = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    langs, counts = sorted(set(of)), {}
-    for lang in langs:
-        own = of == lang
+    table = table.sort_by([("lang", "ascending")]).combine_chunks()
+    of = pc.dictionary_encode(table["lang"].combine_chunks())
+    number, keys, n = of.indices.to_numpy(), table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    langs, counts = of.dictionary.to_pylist(), {}
+    starts = np.searchsorted(number, np.arange(len(langs) + 1))
+    for i, lang in enumerate(langs):
+        own = slice(starts[i], starts[i + 1])
         order = np.argsort(keys[own])
         counts[lang] = keys[own][order], n[own][order]
     model = estimate(langs, counts)
@@ -277,9 +304,13 @@ def _calibrate(spark: SparkSession, model: CharModels, sample: DataFrame) -> Non
         model.sharpness = min((1.0, 2.0, 5.0, 10.0, 20.0, 50.0), key=loss)
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: CharModels | None, text: str = "text") -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, model: CharModels | None, text: str = "text",
+             returned: list[str] | None = None) -> DataFrame:
     """``docs`` with ``langid struct<lang, score, cross_entropy, rejected>`` and all its rows in ``row``.
 
+    ``row`` holds the columns ``returned`` (None: all). Each column travels to
+    the tasks' Python once, and only these come back.
+
     ``lang`` is a learned language, or ``und`` for a null text or one without
     a letter (score 0, rejected). Ties go to the first language in text order.
     ``rejected`` texts are those that no language explains. Without a model
@@ -287,11 +318,14 @@ def identify(spark: SparkSession, docs: DataFrame, model: CharModels | None, tex
     empty table an empty one.
     """
     shared = spark.sparkContext.broadcast(None if model is None else vars(model))
+    at = docs.columns.index(text)
+    names = docs.columns if returned is None else returned
+    back = [docs.columns.index(c) for c in names]
 
     def run(batches):
         models = None if shared.value is None else CharModels(**shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             if models is None:
                 best = [UNDETERMINED] * len(texts)
                 d = {"score": np.zeros(len(texts)), "entropy": np.zeros(len(texts)), "rejected": np.ones(len(texts), bool)}
@@ -301,12 +335,13 @@ def identify(spark: SparkSession, docs: DataFrame, model: CharModels | None, tex
             found = pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(d["score"], pa.float64()),
                                                 pa.array(d["entropy"], pa.float64()), pa.array(d["rejected"], pa.bool_())],
                                                ["lang", "score", "cross_entropy", "rejected"])
-            yield pa.RecordBatch.from_arrays([batch.column(1), found], ["row", "langid"])
+            row = pa.StructArray.from_arrays([batch.column(i) for i in back], names)
+            yield pa.RecordBatch.from_arrays([row, found], ["row", "langid"])
 
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(F.col(text).alias("text"), kept.alias("row"))
-    row = packed.schema["row"].dataType.simpleString()
-    return packed.mapInArrow(run, f"row {row}, langid struct<lang:string,score:double,cross_entropy:double,rejected:boolean>")
+    flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    schema = StructType([StructField("row", StructType([StructField(n, flat.schema[i].dataType) for i, n in zip(back, names, strict=True)])),
+                         StructField("langid", StructType.fromDDL("lang string, score double, cross_entropy double, rejected boolean"))])
+    return flat.mapInArrow(run, schema)
 
 
 def langid_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -317,7 +352,7 @@ def langid_digest(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _score_only(spark: SparkSession, docs: DataFrame, model: CharModels | None) -> DataFrame:
-    found = identify(spark, docs, model, "scored")
+    found = identify(spark, docs, model, "scored", ["doc_id", "held_out"])
     return found.select("row.doc_id", "row.held_out", F.col("langid.lang").alias("lang_pred"), "langid.score",
                         "langid.cross_entropy", "langid.rejected")
 
