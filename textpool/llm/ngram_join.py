@@ -39,6 +39,8 @@ LEAST_BUCKETS = 12
 #: Up to so many uncertified classes travel to the tasks (8 bytes each) to pick their rows; beyond, a join picks them.
 MOST_SHIPPED = 4_000_000
 _RANGES = 64
+#: Stands for the classes of a slab that share a token.
+MARK = np.uint64(0)
 
 _SET = "f long, n int, tokens binary"
 
@@ -84,6 +86,9 @@ def _row_key():
 
 # step 1: postings (token, class) of the region, packed by bucket of the token. A token travels as its low 32 bits:
 # two tokens of a bucket that agree in them count as shared, so a class may stay uncertified, never the reverse.
+# A token that several classes of a slab hold is shared for certain: its bucket gets one posting of MARK, and the classes'
+# own postings are dealt by class and bucket, so a shingle of a third of all classes is spread over all tasks. A class
+# with copies in other slabs may have such a token counted on both ways; again it only stays uncertified.
 
 def _pack(f: np.ndarray, runs: np.ndarray, tokens: np.ndarray) -> bytes:
     return b"".join((np.uint32(len(f)).tobytes(), f.tobytes(), runs.astype(np.uint32).tobytes(), tokens.astype(np.uint32).tobytes()))
@@ -95,7 +100,18 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(f, runs), np.frombuffer(data, np.uint32, -1, 4 + 12 * k)
 
 
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Whether each value occurs more than once."""
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(h), bool)
+    if len(h):
+        out[order] = np.r_[False, same] | np.r_[same, False]
+    return out
+
+
 def _postings(n_buckets: int):
+    """Rows (bucket, payload): tokens by their bucket; below zero, tokens known to be shared, dealt by class and bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.uint64(int(_REGION_END) // n_buckets + 1)
         for batch in batches:
@@ -106,22 +122,28 @@ def _postings(n_buckets: int):
                 chosen[once] = True
                 keep = (h < _REGION_END) & chosen[rows - first]
                 h, own = h[keep], f[rows[keep] - first]
-                bucket = (h // width).astype(np.uint16 if n_buckets < 65536 else np.int64)
-                order = np.argsort(bucket, kind="stable")
+                bucket = (h // width).astype(np.int64)
+                known = _repeated(h)
+                marked = np.unique(h[known])
+                dealt = n_buckets + ((mix(own[known]) + bucket[known].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+                bucket = np.concatenate([bucket[~known], (marked // width).astype(np.int64), dealt])
+                own = np.concatenate([own[~known], np.full(len(marked), MARK), own[known]])
+                h = np.concatenate([h[~known], marked, h[known]])
+                order = np.argsort(bucket.astype(np.uint16) if 2 * n_buckets < 65536 else bucket, kind="stable")
                 h, own, bucket = h[order], own[order], bucket[order]
-                edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
+                edges = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(h)] if len(h) else np.zeros(0, int)
                 ids, payloads = [], []
-                for b in np.flatnonzero(np.diff(edges)):
-                    part = slice(edges[b], edges[b + 1])
+                for x, y in zip(edges[:-1], edges[1:], strict=True):
+                    part, b = slice(x, y), int(bucket[x])
                     at = np.flatnonzero(np.r_[True, own[part][1:] != own[part][:-1]])
-                    ids.append(int(b))
+                    ids.append(b if b < n_buckets else n_buckets - b - 1)
                     payloads.append(_pack(own[part][at], np.diff(np.r_[at, len(own[part])]), h[part]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(payloads, pa.binary())], ["bucket", "payload"])
     return run
 
 
 def _count_shared(group: pa.Table) -> pa.Table:
-    """(f, shared): of each class, its tokens in this bucket that another class holds too."""
+    """(f, shared): of each class, its tokens in this bucket that another class holds too (below zero: all of them)."""
     parts = [_unpack(x.as_py()) for x in group.column("payload")]
     f, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((f, tokens))
@@ -129,8 +151,10 @@ def _count_shared(group: pa.Table) -> pa.Table:
     same = tokens[1:] == tokens[:-1]
     new = np.r_[True, ~same | (f[1:] != f[:-1])]
     f, tokens = f[new], tokens[new]
-    same = tokens[1:] == tokens[:-1]
-    shared, count = np.unique(f[np.r_[False, same] | np.r_[same, False]], return_counts=True)
+    if group.column("bucket")[0].as_py() >= 0:
+        same = tokens[1:] == tokens[:-1]
+        f = f[np.r_[False, same] | np.r_[same, False]]
+    shared, count = np.unique(f[f != MARK], return_counts=True)
     return pa.table({"f": pa.array(shared.view(np.int64)), "shared": pa.array(count.astype(np.int64))})
 
 
@@ -152,12 +176,15 @@ def uncertified(spark: SparkSession, docs: DataFrame, rows: DataFrame, classes:
 # step 2: sets of the uncertified classes, and links within groups of one hash
 
 def _sets_of(wanted):
+    """Sets of the rows (text, row_key) whose key is wanted (None: of all)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = None if wanted is None else wanted.value
         for batch in batches:
+            keys = batch.column(1).to_numpy()
+            chosen = np.ones(len(keys), bool) if keep is None else keep[np.minimum(np.searchsorted(keep, keys), len(keep) - 1)] == keys
             for first, last, h, rows in shingle_sets(batch.column(0)):
                 start, n, f = _fingerprints(h, rows, first, last)
-                ok = (n > 0) if keep is None else (n > 0) & np.isin(f, keep)
+                ok = (n > 0) & chosen[first:last]
                 _, once = np.unique(np.where(ok, f, 0), return_index=True)
                 at = [i for i in once.tolist() if ok[i]]
                 yield pa.RecordBatch.from_arrays(
@@ -217,7 +244,7 @@ def _group_links(members: list[tuple[int, bytes]]) -> dict[int, list[int]]:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (place, f, n, tokens) sorted by place: one row per class with its links within the place."""
+    """Rows (place, f, n, tokens) sorted by place and f: one row per class with its links within the place."""
     held: list[tuple[int, bytes]] = []
     place = None
 
@@ -234,7 +261,8 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield close()
                 held = []
             place = p
-            held.append((f, data))
+            if not held or held[-1][0] != f:  # repeated rows come one after another
+                held.append((f, data))
     if held:
         yield close()
 
@@ -244,7 +272,7 @@ def _placed(spark: SparkSession, sets: DataFrame, groups: DataFrame, by: str) ->
     sizes = groups.groupBy(by).agg(F.count(F.lit(1)).alias("members"))
     where = groups.join(sizes, by).select("f", F.xxhash64(by, F.pmod(F.xxhash64("f"), F.ceil(F.col("members") / GROUP))).alias("place"))
     rows = sets.join(where, "f").select("place", "f", "n", "tokens")
-    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(_grouped, f"{_SET}, links array<long>")
+    return rows.repartition("place").sortWithinPartitions("place", "f").mapInArrow(_grouped, f"{_SET}, links array<long>")
 
 
 # step 3: rare-first prefix join between groups
@@ -304,8 +332,10 @@ def _check_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, n_pairs: int) -> DataFrame:
-    """(u, v): the pairs that link. A set travels once to each part that needs it."""
-    placed = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(max(1, -(-n_pairs // PART)))))
+    """(u, v): the pairs that link. A set travels once to each part that needs it; a class with many pairs is in many parts."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART).alias("pieces")).filter("pieces > 1")
+    piece = F.pmod(F.xxhash64("b"), F.coalesce("pieces", F.lit(1)))
+    placed = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("a", piece), F.lit(max(1, -(-n_pairs // PART)))).alias("part"))
     need = placed.select("part", F.col("a").alias("f")).union(placed.select("part", F.col("b").alias("f"))).distinct()
     rows = need.join(sets, "f").select("part", F.col("f").alias("a"), F.lit(None).cast("long").alias("b"), "tokens").union(
         placed.select("part", "a", "b", F.lit(None).cast("binary").alias("tokens")))
@@ -317,19 +347,19 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Da
     """(rows, roots): the described rows of ``docs(doc_id, text)``, and (f, root) of every class that links with another."""
     own = docs.select("doc_id", "text")
     rows = materialise(spark, describe(own), "shingle-rows")
-    classes = rows.filter("f IS NOT NULL").groupBy("f").agg(*[F.first(c).alias(c) for c in ("n", "n_region", "low", "high")])
-    open_classes = materialise(spark, uncertified(spark, own, rows, classes).select("f", "low", "high"), "shingle-open")
+    classes = rows.filter("f IS NOT NULL").groupBy("f").agg(
+        *[F.first(c).alias(c) for c in ("n", "n_region", "low", "high")], F.min("row_key").alias("row_key"))
+    open_classes = materialise(spark, uncertified(spark, own, rows, classes).select("f", "low", "high", "row_key"), "shingle-open")
     n_open = open_classes.count()
+    if not n_open:
+        return rows, spark.createDataFrame([], "f long, root long")
     wanted = None
-    texts = own
+    texts = own.withColumn("row_key", _row_key())  # one row of each class, by its key: an id may be null, a text copied often
     if n_open <= MOST_SHIPPED:
-        wanted = spark.sparkContext.broadcast(np.sort(open_classes.select("f").toArrow()["f"].to_numpy().view(np.uint64)))
-        if not n_open:
-            return rows, spark.createDataFrame([], "f long, root long")
-    else:  # one row of each class, by its key: an id may be null
-        keys = rows.join(open_classes.select("f"), "f").groupBy("f").agg(F.min("row_key").alias("row_key"))
-        texts = own.withColumn("row_key", _row_key()).join(keys.select("row_key"), "row_key", "left_semi")
-    found = texts.select("text").mapInArrow(_sets_of(wanted), _SET)
+        wanted = spark.sparkContext.broadcast(np.sort(open_classes.select("row_key").toArrow()["row_key"].to_numpy()))
+    else:
+        texts = texts.join(open_classes.select("row_key"), "row_key", "left_semi")
+    found = texts.select("text", "row_key").mapInArrow(_sets_of(wanted), _SET)
     sets = materialise(spark, _placed(spark, found, open_classes, "low"), "shingle-sets")
 
     def edges(grouped: DataFrame) -> DataFrame:
