@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textpool.functions.arrays import explode_values
 from textpool.functions.scoring import argmax3
+from textpool.operators import blocks as B
 from textpool.operators.pool import seeded_sample
 from textpool.operators.ranking import top_k, with_order_rank
-from textpool.session import scratch_path
+from textpool.session import materialise, scratch_path
 
 # Token patterns and encoder constants.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
@@ -49,6 +54,11 @@ def build_vocabulary(docs: DataFrame, vocab_size: int | None = None, text_col: s
     return ranked.select("token", (F.col("_r") + N_SPECIAL).cast("int").alias("token_id"))
 
 
+def word_text(text_col: str = "text", pattern: str = WORD_PATTERN):
+    """The tokens of a text joined by blanks, which no token holds; null for a null text."""
+    return F.array_join(tokens(text_col, pattern), " ")
+
+
 def encode_fixed(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text",
                  max_len: int = MAX_LEN) -> DataFrame:
     """M1: rows ``[CLS] ids… [SEP]`` of ``max_len`` ids, padded with 0; the mask marks real tokens.
@@ -102,26 +112,43 @@ def tfidf_relational(docs: DataFrame, id_col: str = "id", text_col: str = "text"
     (total count desc, term asc) are kept.  n = number of documents. Every
     row is a document of its own, whether its id is repeated or null.
 
-    Documents are tokenised once: raw text is dealt by row, the counts per
-    (row, term) follow without another shuffle and are written to the shared
-    folder. Document frequencies and weights both read them; the join on the
-    term carries no hint.
+    The tokens of the documents are dealt into blocks of bounded size and
+    written to the shared folder. A term leaves a block once, with the number
+    of the block's documents that hold it; the sums by term come back to the
+    blocks, where the documents are weighted. No row per document and term is
+    shuffled.
     """
-    spark = docs.sparkSession
-    by_doc = docs.select(F.monotonically_increasing_id().alias("_row"), id_col, text_col).repartition("_row")
-    tf = explode_values(with_terms(by_doc, text_col), ["_row", id_col], F.col("terms"), "term") \
-        .groupBy("_row", id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    path = scratch_path(spark, "term_counts")
-    tf.write.parquet(path)
-    tf = spark.read.schema(tf.schema).parquet(path)
-    vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    if max_features is not None:
+    texts = B.deal(docs, id_col, word_text(text_col, TFIDF_PATTERN), "tfidf_words")
+
+    def count(batches):
+        for block, words in B.block_parts(batches):
+            for part in B.cut(words):
+                terms, df, total = B.term_counts(part)
+                columns = [pa.array(np.full(len(terms), block, np.int64)), terms, pa.array(df), pa.array(total)]
+                found = pa.RecordBatch.from_arrays(columns[:len(fields)], fields)
+                yield found.take(pc.sort_indices(terms))  # neighbours share their beginnings: fewer bytes to shuffle
+
+    def weigh(texts: pa.Table, known: pa.Table) -> pa.Table:
+        terms, codes, rows = B.term_codes(texts.column("_words").combine_chunks())
+        rows, codes, times = B.per_row(codes, rows, len(terms))
+        df, found = B.looked_up(terms, known, "term", "df", 0)
+        rows, codes, times = (x[found[codes]] for x in (rows, codes, times))
+        w = times * (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0)[codes]
+        norm = np.sqrt(np.bincount(rows, w * w, minlength=len(texts)))
+        return pa.table([texts.column(id_col).take(pa.array(rows)), terms.take(pa.array(codes)), pa.array(w / norm[rows])], names)
+
+    n_docs = texts.count()
+    fields = ["_block", "term", "df", "total"][:3 if max_features is None else 4]
+    counts = texts.mapInArrow(count, ", ".join(f"{c} {'string' if c == 'term' else 'long'}" for c in fields))
+    if max_features is None:
+        known = counts.select("_block", "term", F.sum("df").over(Window.partitionBy("term")).alias("df")).filter(F.col("df") >= min_df)
+    else:
+        vocab = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).filter(F.col("df") >= min_df)
         vocab = top_k(vocab, max_features, [F.desc("total"), F.asc("term")], desc_count="total")
-    n_docs = docs.select(F.count(F.lit(1))).scalar()
-    vocab = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(vocab, "term", "inner").select("_row", id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("_row")))
-    return w.select(id_col, "term", (F.col("w") / norm).alias("tfidf"))
+        known = counts.select("_block", "term").join(vocab.select("term", "df"), "term").select("_block", "term", "df")
+    schema = T.StructType([texts.schema[id_col], *T.StructType.fromDDL("term string, tfidf double").fields])
+    names = schema.fieldNames()
+    return texts.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(weigh, schema)
 
 
 class TextModel:
