@@ -183,15 +183,20 @@ class TextModel:
 def text_vocabulary(docs: DataFrame, vocab_size: int, min_df: int = MIN_DF, text_col: str = "text") -> DataFrame:
     """(term, df, total) of the ``vocab_size`` most frequent terms (total desc, term asc) in at least ``min_df`` rows.
 
-    The terms of a row are folded in the row (its distinct terms, and how often
-    each occurs), so one partially aggregated shuffle on the term counts both.
+    Terms are counted in slices of bounded size before the partially
+    aggregated shuffle on the term, so a term leaves a slice once.
     """
-    terms = with_terms(docs.select(F.coalesce(text_col, F.lit("")).alias("_t")), "_t")
-    marked = terms.select(F.array_sort("terms").alias("_s")).select(F.transform("_s", lambda t, i: F.struct(
-        t.alias("term"), F.when((i == 0) | (F.get("_s", i - 1) != t), 1).otherwise(0).alias("first"))).alias("_s"))
-    each = explode_values(marked, [], F.col("_s"), "_e").select("_e.term", F.col("_e.first").alias("_first"))
-    counts = each.groupBy("term").agg(F.sum("_first").alias("df"), F.count(F.lit(1)).alias("total"))
-    return top_k(counts.filter(F.col("df") >= min_df), vocab_size, [F.desc("total"), F.asc("term")], desc_count="total")
+    def count(batches):
+        for batch in batches:
+            for part in B.cut(batch.column(0)):
+                terms, df, total = B.term_counts(part)
+                yield pa.RecordBatch.from_arrays([terms, pa.array(df), pa.array(total)], ["term", "df", "total"])
+
+    found = docs.select(word_text(text_col, TFIDF_PATTERN).alias("_words")).mapInArrow(count, "term string, df long, total long")
+    counts = found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).filter(F.col("df") >= min_df)
+    # the ranking reads its rows several times
+    counts = materialise(docs.sparkSession, counts, "term_totals")
+    return top_k(counts, vocab_size, [F.desc("total"), F.asc("term")], desc_count="total")
 
 
 def fit_text_model(train: DataFrame, text_col: str = "text", label_col: str = "y", max_iter: int = 100, tol: float = 1e-4,

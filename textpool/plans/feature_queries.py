@@ -13,7 +13,7 @@ from textpool.operators import subwords as SW
 from textpool.plans import inputs as I
 from textpool.plans import sql as S
 from textpool.plans.registry import register
-from textpool.session import scratch_path
+from textpool.session import materialise, scratch_path
 from textpool.sources.tables import read_table
 
 
@@ -79,15 +79,15 @@ def tfidf_terms(spark, d):
     return FE.tfidf_relational(_docs(spark, d)).withColumn("tfidf", F.round("tfidf", 6))
 
 
-def _learning_sets(spark, d):
-    """(train, test) of the labelled documents; rows without a label or without text are dropped, from both."""
-    sp = I.doc_split_frames(spark, d)
+def _learning_sets(spark, d, splits=("train", "test")):
+    """The splits of the labelled documents; rows without a label or without text are dropped, from all.
 
-    def prep(df):
-        out = df.select(F.col("doc_id").alias("id"), strip_ws("text").alias("text"), polarity_of("sentiment", None).alias("y"))
-        return out.filter(F.col("y").isNotNull() & (F.length("text") > 0))
-
-    return prep(sp["train"]), prep(sp["test"])
+    A fit reads its rows several times, so documents meet their labels once and the rows are written.
+    """
+    rows = I.split_docs(spark, d).filter(F.col("split").isin(*splits)).select(
+        F.col("doc_id").alias("id"), strip_ws("text").alias("text"), polarity_of("sentiment", None).alias("y"), "split")
+    rows = materialise(spark, rows.filter(F.col("y").isNotNull() & (F.length("text") > 0)), "learning_rows")
+    return [rows.filter(F.col("split") == s).drop("split") for s in splits]
 
 
 @register("tfidf_logreg", None, ("M2", "M3"))
@@ -137,7 +137,7 @@ def trained_comparison(spark, d):
 def trained_scorer(spark, d):
     """The batch scored with the fitted, saved and reloaded model: every valid row once, each by the fallback policy."""
     path = scratch_path(spark, "text_model")
-    FE.fit_text_model(_learning_sets(spark, d)[0]).save(path)
+    FE.fit_text_model(_learning_sets(spark, d, ("train",))[0]).save(path)
     pred = SC.score_texts(I.batch_entries(spark, d), FE.TextModel.load(path))
     best = F.greatest("p0", "p1", "p2")
     expected = F.when(best < SC.CONFIDENCE_THRESHOLD, F.lit(1)).otherwise(F.col("raw_id"))

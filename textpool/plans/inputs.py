@@ -33,6 +33,14 @@ def labelled_docs(spark, d: str, how: str = "inner") -> DataFrame:
     return j.select("doc_id", "lang", "text", _doc_sentiment(how == "inner").alias("sentiment"))
 
 
+def split_docs(spark, d: str) -> DataFrame:
+    """All documents (labels left-joined) with their ``split`` by md5(seed || doc_id): copies cross splits."""
+    b = F.col("_b")
+    split = F.when(b < 8000, "train").when(b < 9000, "val").when(b >= 9000, "test")
+    raw = labelled_docs(spark, d, "left")
+    return raw.withColumn("_b", hex_bucket(seeded_hex(SEED, "doc_id"), 10_000)).withColumn("split", split).drop("_b")
+
+
 def doc_split_frames(spark, d: str) -> dict[str, DataFrame]:
     """All documents (labels left-joined) split by md5(seed || doc_id): copies cross splits."""
     raw = labelled_docs(spark, d, "left")
