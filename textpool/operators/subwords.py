@@ -9,17 +9,24 @@ which is read on the driver and travels with the plan.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textpool.operators.blocks import cut
 from textpool.operators.features import MAX_LEN
 
 #: Fixed value: how the byte-level vocabularies cut a text before merging.
 PIECE_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Bytes of texts, and rows of ids, that a worker turns into Python objects at a time.
+SLICE_BYTES = 500_000
+SLICE_ROWS = 200
+
 Codec = tuple[Callable[[str], Iterable[int]], Callable[[Iterable[int]], str]]
 
 
@@ -74,23 +81,30 @@ class RankedMerges:
 
 
 def subword_ids(text: Column, encoder: Callable[[], Codec]) -> Column:
-    """All ids of each whole text; a null text has none."""
+    """All ids of each whole text; a null text has none. A worker holds the ids of a slice of a batch at a time."""
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode, _ = encoder()
-        for texts in batches:
-            yield pa.array([[] if t is None else list(encode(t)) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        for batch in batches:
+            for texts in cut(batch, SLICE_BYTES):
+                ids, sizes = array("i"), [0]
+                for t in texts:
+                    if t.is_valid:
+                        ids.extend(encode(t.as_py()))
+                    sizes.append(len(ids))
+                yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.array(ids, np.int32)))
 
     return run(text)
 
 
 def subword_text(ids: Column, encoder: Callable[[], Codec]) -> Column:
-    """The text of each list of ids."""
+    """The text of each list of ids, one list at a time."""
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         _, decode = encoder()
-        for lists in batches:
-            yield pa.array([None if ids is None else decode(ids) for ids in lists.to_pylist()], pa.string())
+        for batch in batches:
+            for begin in range(0, len(batch), SLICE_ROWS):
+                yield pa.array([decode(x.as_py()) if x.is_valid else None for x in batch.slice(begin, SLICE_ROWS)], pa.string())
 
     return run(ids)
 
