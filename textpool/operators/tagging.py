@@ -13,15 +13,18 @@ import math
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpool.operators.aspects import ASPECT_BLACKLIST, MIN_ASPECT_CHARS
+from textpool.operators.blocks import cut
 
 NOUN_TAGS = ("NOUN", "PROPN")
 TOKENS = "array<struct<token:string,lemma:string,pos:string,is_stop:boolean>>"
+_FIELDS = [pa.field("token", pa.string()), pa.field("lemma", pa.string()), pa.field("pos", pa.string()), pa.field("is_stop", pa.bool_())]
+#: Bytes of texts whose tokens a worker holds at a time.
+SLICE_BYTES = 250_000
 #: Common function words; a tagger's own list may be given instead.
 STOP_WORDS = (
     "acaba ancak asla aslında ayrıca bana bazen bazı belki ben benim beri bir biraz birçok biz bize bizim bu buna bunu burada bütün "
@@ -160,15 +163,21 @@ def fit_hmm(tagged: DataFrame, longest: int = 4, **options) -> HmmTagger:
 
 
 def tag_tokens(text: Column, tagger: Callable[[], TextTagger]) -> Column:
-    """The tokens of each text (null text: none), as ``array<struct<token, lemma, pos, is_stop>>``."""
-    fields = pa.struct([("token", pa.string()), ("lemma", pa.string()), ("pos", pa.string()), ("is_stop", pa.bool_())])
-    names = [f.name for f in fields]
+    """The tokens of each text (null text: none), as ``array<struct<token, lemma, pos, is_stop>>``.
 
-    @F.pandas_udf(TOKENS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    A worker holds the tokens of a slice of a batch at a time.
+    """
+    @F.arrow_udf(TOKENS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tag = tagger()
-        for texts in batches:
-            yield pd.Series([[dict(zip(names, t, strict=True)) for t in tag(x)] if x is not None else [] for x in texts], dtype=object)
+        for batch in batches:
+            for texts in cut(batch, SLICE_BYTES):
+                found, sizes = [], [0]
+                for x in texts:
+                    found.extend(tag(x.as_py()) if x.is_valid else ())
+                    sizes.append(len(found))
+                columns = [pa.array([t[i] for t in found], f.type) for i, f in enumerate(_FIELDS)]
+                yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(columns, fields=_FIELDS))
 
     return run(text)
 
