@@ -101,9 +101,9 @@ def _artifacts(spark, d):
 
 
 def _written_json(spark, df, name):
-    """A table of nested reports, written as JSON lines and read back with its schema."""
+    """A table of nested reports, written as compressed JSON lines (all repeat their settings) and read back with its schema."""
     path = scratch_path(spark, name)
-    df.write.json(path)
+    df.write.json(path, compression="gzip")
     return spark.read.schema(df.schema).json(path)
 
 
