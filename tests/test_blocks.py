@@ -61,7 +61,7 @@ def shuffled_tokens(df):
 
 def test_no_row_per_document_and_term_is_shuffled(spark):
     docs = spark.createDataFrame(list(enumerate(texts())), "id long, text string")
-    for df in (FE.tfidf_relational(docs),):
+    for df in (FE.tfidf_relational(docs), FE.encode_fixed(docs, FE.build_vocabulary(docs))):
         plan, exchanges = shuffled_tokens(df)
         assert "FlatMapCoGroupsInArrow" in plan and not any("_row" in e or "pos" in e for e in exchanges)
 

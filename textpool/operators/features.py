@@ -66,27 +66,45 @@ def encode_fixed(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col
     A text of more than ``max_len - 2`` tokens has as many windows as it needs
     (``window_no`` from 0), so nothing is cut off; window 0 is the row of an
     encoder that truncates. A text without tokens has one empty window.
-    Tokens meet the vocabulary in a join on the token (Catalyst broadcasts it
-    when its size allows; a frequent token's partition can be split) and are
-    folded per window, which holds at most ``max_len`` entries. Every row of
-    ``docs`` is a text of its own, whether its id is repeated, null or neither.
+    The distinct tokens of a block of texts meet the vocabulary in a join on
+    the token; the block's texts are numbered with what comes back, so no
+    token is a shuffled row of its own. Every row of ``docs`` is a text of its
+    own, whether its id is repeated, null or neither.
     """
     body = max_len - 2
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), id_col, tokens(text_col).alias("_tok"))
-    ex = rows.select("_row", id_col, F.posexplode_outer("_tok").alias("pos", "token"))
-    window = F.coalesce(F.floor(F.col("pos") / body), F.lit(0)).cast("int")
-    ids = ex.join(vocab, "token", "left").select(
-        "_row", id_col, window.alias("window_no"),
-        F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid"))).alias("_e"))
-    folded = ids.groupBy("_row", id_col, "window_no").agg(F.array_sort(F.collect_list("_e")).alias("_p"))
-    seq = F.concat(F.array(F.lit(CLS_ID)), F.transform("_p", lambda s: s["tid"]), F.array(F.lit(SEP_ID)))
-    enc = folded.select(id_col, "window_no", seq.alias("_s"))
-    n = F.size("_s")
-    return enc.select(
-        id_col, "window_no",
-        F.concat("_s", F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - n)).alias("input_ids"),
-        F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n)).alias("attention_mask"),
-    )
+    texts = B.deal(docs, id_col, word_text(text_col), "encoder_words")
+
+    def distinct(batches):
+        for block, words in B.block_parts(batches):
+            for part in B.cut(words):
+                found = B.word_codes(part)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block, np.int64)), found], ["_block", "token"])
+
+    def encode(texts: pa.Table, known: pa.Table) -> pa.Table:
+        words, codes, rows = B.word_codes(texts.column("_words").combine_chunks())
+        ids = B.looked_up(words, known, "token", "token_id", UNK_ID)[0][codes]
+        sizes = np.bincount(rows, minlength=len(texts))
+        windows = np.maximum(-(-sizes // body), 1)
+        first, start = np.cumsum(windows) - windows, np.cumsum(sizes) - sizes
+        pos = np.arange(len(rows)) - start[rows]
+        at = first[rows] + pos // body
+        real = np.bincount(at, minlength=windows.sum()) + 2
+        grid = np.full((windows.sum(), max_len), PAD_ID, np.int32)
+        grid[:, 0] = CLS_ID
+        grid[at, pos % body + 1] = ids
+        grid[np.arange(len(grid)), real - 1] = SEP_ID
+        mask = (np.arange(max_len) < real[:, None]).astype(np.int32)
+        row = np.repeat(np.arange(len(texts)), windows)
+        ends = pa.array(np.arange(len(grid) + 1, dtype=np.int32) * max_len)
+        return pa.table([texts.column(id_col).take(pa.array(row)), pa.array((np.arange(len(row)) - first[row]).astype(np.int32)),
+                         pa.ListArray.from_arrays(ends, pa.array(grid.ravel())), pa.ListArray.from_arrays(ends, pa.array(mask.ravel()))], names)
+
+    known = texts.mapInArrow(distinct, "_block long, token string").join(
+        vocab.select("token", F.col("token_id").cast("int").alias("token_id")), "token").select("_block", "token", "token_id")
+    schema = T.StructType([texts.schema[id_col], *T.StructType.fromDDL(
+        "window_no int, input_ids array<int>, attention_mask array<int>").fields])
+    names = schema.fieldNames()
+    return texts.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(encode, schema)
 
 
 def with_terms(df: DataFrame, text_col: str = "text", out: str = "terms") -> DataFrame:
