@@ -265,7 +265,10 @@ def fit_text_model(train: DataFrame, text_col: str = "text", label_col: str = "y
             stages.append(lr.fit(weighted.withColumn("_tm_is", is_c.cast("double")).withColumn("_tm_w", F.when(is_c, own).otherwise(1.0))))
     finally:
         weighted.unpersist()
-    return TextModel(Pipeline(stages=stages).fit(train))
+    # a fitted regression holds its summary and, through it, the session, which no task can be sent; a loaded one does not
+    path = scratch_path(spark, "fitted_model")
+    TextModel(Pipeline(stages=stages).fit(train)).save(path)
+    return TextModel.load(path)
 
 
 def tfidf_logreg(train: DataFrame, test: DataFrame, text_col: str = "text", label_col: str = "y", **options) -> DataFrame:
