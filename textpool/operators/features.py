@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from textpool.functions.arrays import explode_values
 from textpool.functions.scoring import argmax3
 from textpool.operators import blocks as B
-from textpool.operators.pool import seeded_sample
 from textpool.operators.ranking import top_k, with_order_rank
 from textpool.session import materialise, scratch_path
 
@@ -31,8 +30,7 @@ N_SPECIAL = 4
 MIN_DF = 2
 #: Terms that the learned baseline is fitted on, the most frequent first.
 MAX_FEATURES = 80_000
-#: Labelled rows that the regressions are fitted on at most, and rows in a task of theirs.
-FIT_ROWS = 50_000
+#: Labelled rows in a task of the regressions at least, while few rows make few tasks.
 FIT_TASK_ROWS = 2_500
 N_CLASSES = 3
 MARGIN_LIMIT = 100.0
@@ -218,16 +216,17 @@ def text_vocabulary(docs: DataFrame, vocab_size: int, min_df: int = MIN_DF, text
 
 
 def fit_text_model(train: DataFrame, text_col: str = "text", label_col: str = "y", max_iter: int = 100, tol: float = 1e-4,
-                   vocab_size: int = MAX_FEATURES, min_df: int = MIN_DF, fit_rows: int = FIT_ROWS) -> TextModel:
+                   vocab_size: int = MAX_FEATURES, min_df: int = MIN_DF) -> TextModel:
     """M2 + M3: TF-IDF (1-2 grams, smoothed idf + 1, L2 rows) and a logistic regression of each class against the rest.
 
     A regression minimises ``|w|²/2`` plus the summed loss, where rows of its
     class weigh ``rows / (classes · rows of the class)`` and all others 1 (the
     reference solver's problem, but for the intercept, which is not penalised).
-    Terms and document frequencies come from all rows of ``train``; the
-    regressions are fitted on at most ``fit_rows`` of them, a seeded exact
-    sample. ``vocab_size`` is the reference's number of terms; it bounds what
-    the driver and each task hold.
+    Terms, document frequencies and the regressions come from all rows of
+    ``train``. The rows' term counts are written once; each step of a
+    regression is a job over blocks of them, which Spark holds in memory and on
+    disk. ``vocab_size`` is the reference's number of terms; it bounds what the
+    driver and each task hold.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -240,31 +239,27 @@ def fit_text_model(train: DataFrame, text_col: str = "text", label_col: str = "y
     if not n or not vocab:
         raise ValueError("no terms to learn from")
     idf = Vectors.dense([math.log((1.0 + n) / (1.0 + v["df"])) + 1.0 for v in vocab])
-    stages = [CountVectorizerModel.from_vocabulary([v["term"] for v in vocab], inputCol="_tm_terms", outputCol="_tm_tf"),
-              ElementwiseProduct(inputCol="_tm_tf", outputCol="_tm_tfidf", scalingVec=idf),
+    counter = CountVectorizerModel.from_vocabulary([v["term"] for v in vocab], inputCol="_tm_terms", outputCol="_tm_tf")
+    stages = [counter, ElementwiseProduct(inputCol="_tm_tf", outputCol="_tm_tfidf", scalingVec=idf),
               Normalizer(inputCol="_tm_tfidf", outputCol="_tm_x", p=2.0)]
-    sample = seeded_sample(train.select(text_col, label_col), fit_rows, key_cols=[text_col, label_col])
-    rows = Pipeline(stages=stages).fit(train).transform(
-        with_terms(sample.withColumn("_tm_text", F.coalesce(text_col, F.lit(""))), "_tm_text", "_tm_terms"))
+    labelled = train.select(label_col, F.coalesce(text_col, F.lit("")).alias("_tm_text")).filter(F.col(label_col).between(0, N_CLASSES - 1))
     path = scratch_path(spark, "fit_rows")
-    rows.select(label_col, "_tm_x").write.parquet(path)
+    # small whole numbers, which are written in a fraction of the weights' bytes
+    counter.transform(with_terms(labelled, "_tm_text", "_tm_terms")).select(label_col, "_tm_tf").write.parquet(path)
     # every step of the fit is a job over these rows, so few rows go to few tasks
-    rows = spark.read.parquet(path).coalesce(math.ceil(min(n, fit_rows) / FIT_TASK_ROWS))
-    counts = {r[label_col]: r["n"] for r in rows.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).filter(
-        F.col(label_col).between(0, N_CLASSES - 1)).collect()}  # ≤ 3 rows
+    rows = spark.read.parquet(path).coalesce(math.ceil(n / FIT_TASK_ROWS))
+    counts = {r[label_col]: r["n"] for r in rows.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}  # ≤ 3 rows
     used = sum(counts.values())
-    weighted = rows.filter(F.col(label_col).between(0, N_CLASSES - 1)).persist()
-    try:
-        for c, m in sorted(counts.items()):
-            own = used / (len(counts) * m)
-            # Spark divides the loss by the sum of the weights
-            lr = LogisticRegression(featuresCol="_tm_x", labelCol="_tm_is", weightCol="_tm_w", rawPredictionCol=f"_tm_raw{c}",
-                                    probabilityCol="", predictionCol="", family="binomial", maxIter=max_iter, tol=tol,
-                                    regParam=1.0 / (own * m + used - m), standardization=False)
-            is_c = F.col(label_col) == c
-            stages.append(lr.fit(weighted.withColumn("_tm_is", is_c.cast("double")).withColumn("_tm_w", F.when(is_c, own).otherwise(1.0))))
-    finally:
-        weighted.unpersist()
+    for stage in stages[1:]:
+        rows = stage.transform(rows)
+    for c, m in sorted(counts.items()):
+        own = used / (len(counts) * m)
+        # Spark divides the loss by the sum of the weights
+        lr = LogisticRegression(featuresCol="_tm_x", labelCol="_tm_is", weightCol="_tm_w", rawPredictionCol=f"_tm_raw{c}",
+                                probabilityCol="", predictionCol="", family="binomial", maxIter=max_iter, tol=tol,
+                                regParam=1.0 / (own * m + used - m), standardization=False)
+        is_c = F.col(label_col) == c
+        stages.append(lr.fit(rows.withColumn("_tm_is", is_c.cast("double")).withColumn("_tm_w", F.when(is_c, own).otherwise(1.0))))
     # a fitted regression holds its summary and, through it, the session, which no task can be sent; a loaded one does not
     path = scratch_path(spark, "fitted_model")
     TextModel(Pipeline(stages=stages).fit(train)).save(path)
