@@ -39,3 +39,11 @@ def test_tfidf_logreg_is_fitted_on_every_row(spark, tmp_path, monkeypatch):
     seen = rows_of_fits(monkeypatch)
     FQ.tfidf_logreg_q(spark, d)
     assert n > 50_000 and seen == [n] * 3
+
+
+def test_trained_comparison_is_fitted_on_every_row(spark, tmp_path, monkeypatch):
+    d, n = many_labelled(spark, tmp_path)
+    seen = rows_of_fits(monkeypatch)
+    rows = {r["model"]: r for r in FQ.trained_comparison(spark, d).collect()}
+    assert n > 50_000 and seen == [n] * 3
+    assert rows["tfidf_logreg"]["predicted"] == rows["majority_class"]["rows"] > 6_000
