@@ -47,3 +47,11 @@ def test_trained_comparison_is_fitted_on_every_row(spark, tmp_path, monkeypatch)
     rows = {r["model"]: r for r in FQ.trained_comparison(spark, d).collect()}
     assert n > 50_000 and seen == [n] * 3
     assert rows["tfidf_logreg"]["predicted"] == rows["majority_class"]["rows"] > 6_000
+
+
+def test_trained_scorer_is_fitted_on_every_row(spark, tmp_path, monkeypatch):
+    d, n = many_labelled(spark, tmp_path)
+    seen = rows_of_fits(monkeypatch)
+    rows = FQ.trained_scorer(spark, d).collect()
+    assert n > 50_000 and seen == [n] * 3
+    assert [r["id"] for r in rows if r["label_follows_policy"]] == [r["id"] for r in rows] and "c1-0" in {r["id"] for r in rows}
