@@ -129,42 +129,62 @@ def tfidf_relational(docs: DataFrame, id_col: str = "id", text_col: str = "text"
     row is a document of its own, whether its id is repeated or null.
 
     The tokens of the documents are dealt into blocks of bounded size and
-    written to the shared folder. A term leaves a block once, with the number
-    of the block's documents that hold it; the sums by term come back to the
-    blocks, where the documents are weighted. No row per document and term is
-    shuffled.
+    written to the shared folder, a block as one compressed row. A block's
+    distinct terms leave it once, in compressed buckets by their hash, with the
+    number of the block's documents that hold each. A bucket answers each block
+    with the sums of its terms in the same order, as compressed numbers; there
+    the documents are weighted. No row per document and term or per block and
+    term is shuffled.
     """
-    texts = B.deal(docs, id_col, word_text(text_col, TFIDF_PATTERN), "tfidf_words")
+    blocks = B.deal(docs, id_col, word_text(text_col, TFIDF_PATTERN), "tfidf_words", True)
+    size = blocks.agg(F.sum(F.size("_ids")).alias("n"), F.sum("_bytes").alias("bytes")).first()
+    n_docs, n_buckets = size["n"] or 0, max(1, math.ceil((size["bytes"] or 0) / B.BUCKET_BYTES))
 
     def count(batches):
-        for block, words in B.block_parts(batches):
-            for part in B.cut(words):
-                terms, df, total = B.term_counts(part)
-                columns = [pa.array(np.full(len(terms), block, np.int64)), terms, pa.array(df), pa.array(total)]
-                found = pa.RecordBatch.from_arrays(columns[:len(fields)], fields)
-                yield found.take(pc.sort_indices(terms))  # neighbours share their beginnings: fewer bytes to shuffle
+        for batch in batches:
+            for block, words in zip(batch.column("_block"), batch.column("_words"), strict=True):
+                found = list(B.bucket_counts(B.strings(words.as_py()), n_buckets))
+                if found:
+                    columns = [pa.array([block.as_py()] * len(found)), *map(pa.array, zip(*found, strict=True))]
+                    yield pa.RecordBatch.from_arrays(columns[:len(fields)], fields)
+
+    def answers(found: pa.Table, df_of) -> pa.Table:
+        sizes, codes, terms, (df,) = B.bucket_sums(found, "_df")
+        df = df_of(terms, np.where(df >= min_df, df, 0))[codes]
+        parts = [B.packed_numbers(x) for x in np.split(df, np.cumsum(sizes)[:-1])]
+        return pa.table([found.column("_block"), found.column("_bucket"), pa.array(parts, pa.binary())], ["_block", "_bucket", "_df"])
+
+    def sums(found: pa.Table) -> pa.Table:
+        _, _, terms, (df, total) = B.bucket_sums(found, "_df", "_total")
+        bucket = found.column("_bucket")[0].as_py()
+        return pa.table([pa.array(np.full(len(terms), bucket, np.int64)), terms, pa.array(df), pa.array(total)], ["_bucket", "term", "df", "total"])
 
     def weigh(texts: pa.Table, known: pa.Table) -> pa.Table:
-        terms, codes, rows = B.term_codes(texts.column("_words").combine_chunks())
+        ids = texts.column("_ids").combine_chunks().flatten()
+        terms, codes, rows, starts = B.bucket_codes(B.strings(texts.column("_words")[0].as_py()), n_buckets)
         rows, codes, times = B.per_row(codes, rows, len(terms))
-        df, found = B.looked_up(terms, known, "term", "df", 0)
+        df = np.zeros(len(terms), np.int64)
+        for bucket, part in zip(known.column("_bucket").to_pylist(), known.column("_df"), strict=True):
+            df[starts[bucket]:starts[bucket + 1]] = B.numbers(part.as_py())
+        found = df > 0
         rows, codes, times = (x[found[codes]] for x in (rows, codes, times))
         w = times * (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0)[codes]
-        norm = np.sqrt(np.bincount(rows, w * w, minlength=len(texts)))
-        return pa.table([texts.column(id_col).take(pa.array(rows)), terms.take(pa.array(codes)), pa.array(w / norm[rows])], names)
+        norm = np.sqrt(np.bincount(rows, w * w, minlength=len(ids)))
+        return pa.table([ids.take(pa.array(rows)), terms.take(pa.array(codes)), pa.array(w / norm[rows])], names)
 
-    n_docs = texts.count()
-    fields = ["_block", "term", "df", "total"][:3 if max_features is None else 4]
-    counts = texts.mapInArrow(count, ", ".join(f"{c} {'string' if c == 'term' else 'long'}" for c in fields))
+    fields = ["_block", "_bucket", "_terms", "_df", "_total"][:4 if max_features is None else 5]
+    counts = blocks.select("_block", "_words").mapInArrow(count, ", ".join(f"{c} {'long' if c in fields[:2] else 'binary'}" for c in fields))
+    answer = "_block long, _bucket long, _df binary"
     if max_features is None:
-        known = counts.select("_block", "term", F.sum("df").over(Window.partitionBy("term")).alias("df")).filter(F.col("df") >= min_df)
+        known = counts.groupBy("_bucket").applyInArrow(lambda t: answers(t, lambda terms, df: df), answer)
     else:
-        vocab = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).filter(F.col("df") >= min_df)
-        vocab = top_k(vocab, max_features, [F.desc("total"), F.asc("term")], desc_count="total")
-        known = counts.select("_block", "term").join(vocab.select("term", "df"), "term").select("_block", "term", "df")
-    schema = T.StructType([texts.schema[id_col], *T.StructType.fromDDL("term string, tfidf double").fields])
+        vocab = counts.groupBy("_bucket").applyInArrow(sums, "_bucket long, term string, df long, total long").filter(F.col("df") >= min_df)
+        vocab = top_k(vocab, max_features, [F.desc("total"), F.asc("term")], desc_count="total").select("_bucket", "term", "df")
+        known = counts.groupBy("_bucket").cogroup(vocab.groupBy("_bucket")).applyInArrow(
+            lambda t, v: answers(t, lambda terms, df: B.looked_up(terms, v, "term", "df", 0)[0]), answer)
+    schema = T.StructType([T.StructField(id_col, blocks.schema["_ids"].dataType.elementType), *T.StructType.fromDDL("term string, tfidf double").fields])
     names = schema.fieldNames()
-    return texts.groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(weigh, schema)
+    return blocks.select("_block", "_ids", "_words").groupBy("_block").cogroup(known.groupBy("_block")).applyInArrow(weigh, schema)
 
 
 class TextModel:
